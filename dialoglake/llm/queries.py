@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import topk, url_filter
+from dialoglake.llm import packing, quality, simhash, topk, url_filter
 from dialoglake.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -47,5 +47,44 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM m WHERE k = 1
 """
 
-QUERIES = {"op1_topk": op1_topk, "op4_url_rules": op4_url_rules}
-ORACLES = {"op1_topk": OP1_SQL, "op4_url_rules": OP4_SQL}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(table(spark, sf_dir, "documents"))
+    return book.withColumn("base_failed", ~quality.passes("base")).withColumn("kept", quality.passes("v1"))
+
+
+OP2_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT i, ws, unnest(range(1, len(ws) - 6)) AS p FROM w),
+k AS (SELECT i, p, count(*) OVER (PARTITION BY i, array_to_string(ws[p:p+7], ' ')) AS c FROM p),
+r AS (SELECT i, count(DISTINCT p + o) AS n FROM k, range(8) t(o) WHERE c > 1 GROUP BY i),
+l AS (SELECT i, unnest(string_split(t, chr(10))) AS line FROM w),
+d AS (SELECT i, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY i),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (i) LEFT JOIN d USING (i)),
+f AS (
+  SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 15 * n_words)::BIGINT + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT)::BIGINT AS failed FROM m)
+SELECT *, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept FROM f
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op4_url_rules": op4_url_rules, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "op4_url_rules": OP4_SQL}
