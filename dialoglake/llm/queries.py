@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import packing, quality, simhash, topk, url_filter
+from dialoglake.llm import chat, mixing, packing, pii, quality, simhash, topk, url_filter
 from dialoglake.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -86,5 +86,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_quality": op2_quality, "op4_url_rules": op4_url_rules, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
-ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "op4_url_rules": OP4_SQL}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.copies_by_row(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k.name) for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP9_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, chat FROM c
+WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND d.l[1:c.n] = c.l) AND NOT EXISTS (SELECT 1 FROM c d WHERE d.l = c.l AND d.conv_id < c.conv_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op6_pii, op7_simhash, op8_packing, op9_chat)}
+ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "op4_url_rules": OP4_SQL, "op9_chat": OP9_SQL}

@@ -1,0 +1,297 @@
+"""Quality rules, personal data, SimHash, mixing and packing against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from dialoglake.llm import mixing, packing, pii, quality, simhash
+from dialoglake.llm import queries as q
+from dialoglake.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, None, "en", None, 0),
+    (2, "", None, "a", 0),
+    (3, " \n\t ", "en", "a", 4),
+    (4, "one", "en", "b", 3),
+    (4, "one", "en", "b", 3),
+    (None, "x y", "en", "b", 3),
+    (5, "same words " * 4000, "en", "c", 44000),
+    (6, "w" * 100_000, "en", "c", 100_000),
+]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+# ---- quality
+
+
+def plain_repeats(words):
+    found = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    return len({i + k for i in range(len(words) - 7) if found[tuple(words[i : i + 8])] > 1 for k in range(8)})
+
+
+def test_repeated_words_match_plain_counts():
+    r = random.Random(3)
+    for _ in range(300):
+        words = [r.choice("abc") for _ in range(r.randrange(60))]
+        assert quality.repeated_words([w.encode() for w in words]) == plain_repeats(words)
+    many = [str(i) for i in range(60_000)] * 2
+    assert quality.repeated_words([w.encode() for w in many]) == len(many)
+
+
+def test_ledger_and_ablation(spark):
+    book = quality.ledger(docs(spark, ODD)).cache()
+    rows = book.collect()
+    assert len(rows) == len(ODD)
+    assert {r.doc_id: r.n_words for r in rows if r.doc_id} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 8000, 6: 1}
+    for policy in quality.POLICIES:
+        for r in quality.ablation(book, policy).collect():
+            bit = 1 << list(quality.RULES).index(r.rule)
+            bits = [x.failed & quality.mask(policy) for x in rows]
+            assert r.failing == sum(b & bit > 0 for b in bits)
+            assert r.only_this == sum(b == bit for b in bits)
+            assert r.kept_without == sum(b & ~bit == 0 for b in bits)
+    assert quality.filter_documents(docs(spark, ODD)).columns == docs(spark, ODD).columns
+    assert quality.ledger(docs(spark, [])).count() == 0
+
+
+# ---- personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_pii(text):
+    out = []
+    for n, (kind, rx) in enumerate((("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))):
+        for m in rx.finditer(text):
+            d = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 12 <= len(d) <= 19 and plain_luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if good:
+                out.append((m.start(), n, m.end(), kind))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+CASES = [
+    "a@b.com_x@c.org y@z",
+    "..a@b.c.d-e.f@g.h i@j.k",
+    "1.2.3.4.5.6.7.8 999.1.1.1 0255.000.1.1 1.2.3.4",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111111111111111x",
+    "+1 (499) 555-6503 +12345 +1+2 3456789012 é +49 30 123456 .",
+    "é😀 a@b.co 😀 1.1.1.1",
+    "IBAN: DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 DE00370400440532013000",
+    'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"',
+    "a" * 50_000,
+    "1." * 30_000,
+    "a@" + "b." * 20_000 + "c",
+    "x@y.z " * 700,
+]
+
+
+def test_base_spans_match_plain_search(spark):
+    r = random.Random(5)
+    rows = [(i, t, "", "", 0) for i, t in enumerate(CASES)]
+    rows += [(100 + i, "".join(r.choice("a1@.+- (é42") for _ in range(r.randrange(80))), "", "", 0) for i in range(800)]
+    rows += [(5000, None, "", "", 0), (5001, "", "", "", 0)]
+    got = pii.find_pii(docs(spark, rows)).select("doc_id", pii.listed(pii.F.col("base_spans")).alias("s"), pii.listed(pii.F.col("all_spans")).alias("all")).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert len(got) == len(rows)
+    for g in got:
+        assert g.s == plain_pii(texts[g.doc_id] or ""), texts[g.doc_id]
+        assert set(g.s.split(",")) <= set(g["all"].split(",")) or not g.s
+    every = {g.doc_id: g["all"] for g in got}
+    assert every[6].count("iban") == 2 and "secret" in every[7]
+
+
+def test_pii_query_on_the_table(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in q.op6_pii(spark, sf).collect():
+        plain = plain_pii(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+        assert r.n_email + r.n_ip + r.n_card + r.n_phone == (plain.count(",") + 1 if plain else 0)
+
+
+# ---- SimHash
+
+
+def plain_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def plain_components(ids, prints, radius=3):
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def test_fingerprints_and_classes(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    prints = [plain_print(r.text) for r in rows]
+    want = {r.doc_id: (f"{p:016x}", c) for r, p, c in zip(rows, prints, plain_components([r.doc_id for r in rows], prints), strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in q.op7_simhash(spark, sf).collect()} == want
+
+
+def test_every_pair_within_the_radius_meets_in_some_table():
+    r = random.Random(2)
+    for level in range(4):
+        for _ in range(3000):
+            flips = sum(1 << b for b in r.sample(range(64), r.randrange(1, 4)))
+            assert any((m & (2**64 - 1)) & flips == 0 for m in simhash.masks(3, level))
+
+
+@pytest.mark.parametrize("bucket", [4, 2048])
+def test_large_buckets_are_hashed_again(spark, bucket):
+    r = random.Random(9)
+    centre = [r.getrandbits(64) for _ in range(4)]
+    values = {c for c in centre} | {centre[r.randrange(4)] ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 5))) for _ in range(250)}
+    values = sorted(values)
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 3, bucket)
+    got = {x.node: x.root for x in components(edges).collect()}
+    want = dict(zip(signed, plain_components(signed, values), strict=True))
+    assert {v: got.get(v, v) for v in signed} == want
+
+
+def test_simhash_of_odd_rows(spark):
+    got = {(r.id, r.fp): r.component_id for r in simhash.near_duplicates(docs(spark, ODD)).collect()}
+    assert got[(1, 0)] == got[(2, 0)] == got[(3, 0)] == 1
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+# ---- mixing
+
+
+def plain_targets(sizes):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, free, out = float(sum(sizes.values())), set(order), {}
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+        free -= over
+
+
+def test_mixing_reaches_its_targets(spark, sf):
+    rows = q.op3_mixing(spark, sf).collect()
+    assert rows == q.op3_mixing(spark.newSession(), sf).orderBy("doc_id").collect() or sorted(rows) == sorted(q.op3_mixing(spark, sf).collect())
+    read = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for d, r in read.items()}
+    by_source = Counter()
+    for d, n in size.items():
+        by_source[read[d].source] += n
+    aims = plain_targets(by_source)
+    taken, largest = Counter(), Counter()
+    for r in rows:
+        s = read[r.doc_id].source
+        assert r["size"] == size[r.doc_id] and r.source_size == by_source[s] and abs(r.target - aims[s]) < 1e-6
+        assert r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        taken[s] += r.taken
+        largest[s] = max(largest[s], r["size"])
+    for s, aim in aims.items():
+        assert abs(taken[s] - aim) <= largest[s]
+
+
+def test_pivotal_rounding_keeps_words_and_expectations(spark):
+    units = [("s", i, 7 * i, 10 + i % 13, (i % 9 + 1) / 10, 3) for i in range(300)]
+    df = spark.createDataFrame(units, "source string, k1 long, k2 long, size long, p double, grade int")
+    want, share = sum(u[3] * u[4] for u in units), np.zeros(300)
+    for seed in range(6):
+        got = {r.k1: r.more for r in mixing.draw_copies(df, seed).collect()}
+        assert len(got) == 300 and abs(sum(units[i][3] * m for i, m in got.items()) - want) <= 22
+        share += np.array([got[i] for i in range(300)])
+    assert abs(np.corrcoef(share, [u[4] for u in units])[0, 1]) > 0.6
+
+
+def test_mixed_documents_keep_columns_and_copies(spark):
+    rows = [(i, f"word {i} " * (1 + i % 5), "en", "ab"[i % 2], 1) for i in range(60)] + ODD
+    df = docs(spark, rows)
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns
+    drawn = mixing.mix(df, key_cols=tuple(df.columns))
+    assert out.count() == drawn.agg(mixing.F.sum("copies")).first()[0]
+    assert mixing.mix_documents(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
+
+
+# ---- packing
+
+
+def test_packing_is_whole_and_tight(spark, sf):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(q.tokenizer_path())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = q.op8_packing(spark, sf).collect()
+    room = {}
+    for r in rows:
+        room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in room.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = 0
+    for d, text in texts.items():
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == d)
+        assert mine == [(n, a // 4, len(ids[a : a + 8192]) // 4, zlib.crc32(ids[a : a + 8192])) for n, a in enumerate(range(0, len(ids), 8192))]
+        total += len(ids) // 4
+    assert len(room) <= -(-total // 2048) * 1.03 + 1
+
+
+def test_tokens_equal_the_tokenizers_own(spark):
+    from dialoglake.llm.tokens import word_tokens
+
+    mine, r = word_tokens(q.tokenizer_path()), random.Random(1)
+    for _ in range(1500):
+        t = "".join(r.choice("aAbB'sSTtéÉßÀ0129 .,!?#%<|>\n\t\r\x00\x0b　İıſ́ͅΣσς漢\x85\x1c😀ﬁ") for _ in range(r.randrange(50)))
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == mine.whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_packing_close_to_the_least_number():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 300, 6000):
+        lengths = np.minimum(2048, np.maximum(1, r.lognormal(6.4, 1.0, n).astype(int)))
+        sequence, _ = packing.pack(lengths, 2048)
+        assert len(set(sequence.tolist())) <= -(-int(lengths.sum()) // 2048) * 1.02 + 2
+
+
+def test_packing_of_odd_rows(spark):
+    got = packing.pack_documents(docs(spark, ODD), q.tokenizer_path()).collect()
+    assert sorted({r.doc_id for r in got if r.doc_id}) == [1, 2, 3, 4, 5, 6] and sum(r.doc_id == 4 for r in got) == 2
+    assert packing.pack_documents(docs(spark, []), q.tokenizer_path()).count() == 0
