@@ -56,3 +56,16 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: str, l
     heavy = F.broadcast(right.where(F.col(rows) > limit))
     light = right.where(F.col(rows) <= limit)
     return left.join(heavy, keys, "inner").unionByName(left.join(F.broadcast(right.where(F.col(rows) > limit).select(*keys)), keys, "left_anti").join(light, keys, "left"))
+
+
+def one_row_each(docs: DataFrame, names: list[str], chosen: DataFrame, *more: str) -> DataFrame:
+    """``names`` of one row for each key of ``chosen`` (key_a, key_b: the ``text_key`` of all ``names``; rows: how often it occurs), and its columns ``more``.
+
+    Equal rows stand for one another. Only keys that occur more than once are grouped, with a map-side first.
+    """
+    key = text_key(*[F.col(n) for n in names])
+    keyed = docs.select(*names, key.alias("_key")).select(*names, F.col("_key.a").alias("_a"), F.col("_key.b").alias("_b"))
+    met = (F.col("_a") == F.col("key_a")) & (F.col("_b") == F.col("key_b"))
+    single = keyed.join(chosen.where("rows = 1"), met).select(*names, *more)
+    several = keyed.join(chosen.where("rows > 1"), met).groupBy("_a", "_b").agg(F.first(F.struct(*names)).alias("row"), *[F.first(m).alias(m) for m in more])
+    return single.unionByName(several.select("row.*", *more))

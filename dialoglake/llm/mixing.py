@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import n_words, settle, text_key
+from dialoglake.llm.common import n_words, one_row_each, settle, text_key
 
 FAN = 32
 NEVER = 1e-9
@@ -142,12 +142,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     plain = docs.toDF(*names)
     cols = {k: at[options.pop(k, d)] for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
     drawn = settle(mix(plain, **cols, **options, key_cols=tuple(names)).where("copies > 0").select("key_a", "key_b", "rows", "copies"))
-    key = text_key(*[F.col(c) for c in names])
-    keyed = plain.withColumn("_key", key).withColumn("_a", F.col("_key.a")).withColumn("_b", F.col("_key.b")).drop("_key")
-    single, several = drawn.where("rows = 1"), drawn.where("rows > 1")
-    met = (F.col("_a") == F.col("key_a")) & (F.col("_b") == F.col("key_b"))
-    once = keyed.join(single, met)
-    # Rows that repeat stand for one another: one of each is kept, as often as all of them were drawn.
-    again = keyed.join(several, met).groupBy("_a", "_b").agg(F.first(F.struct(*names)).alias("row"), F.first("copies").alias("copies")).select("row.*", "copies")
-    out = once.select(*names, "copies").unionByName(again.select(*names, "copies"))
+    out = one_row_each(plain, names, drawn, "copies")
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*names).toDF(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import chat, mixing, packing, pii, quality, simhash, topk, url_filter
+from dialoglake.llm import chat, line_dedup, mixing, packing, passages, pii, quality, simhash, topk, url_filter
 from dialoglake.llm.common import table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -115,5 +115,29 @@ SELECT conv_id, n AS n_turns, chat FROM c
 WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND d.l[1:c.n] = c.l) AND NOT EXISTS (SELECT 1 FROM c d WHERE d.l = c.l AND d.conv_id < c.conv_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op6_pii, op7_simhash, op8_packing, op9_chat)}
-ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "op4_url_rules": OP4_SQL, "op9_chat": OP9_SQL}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="n_removed")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS i, doc_id, text FROM documents),
+l AS (SELECT i, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+w AS (SELECT i, n, row_number() OVER (PARTITION BY i ORDER BY n) AS k, line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+t AS (
+  SELECT *, line || chr(10) || lead(line) OVER o || chr(10) || lead(line, 2) OVER o AS win FROM w WINDOW o AS (PARTITION BY i ORDER BY k)),
+r AS (SELECT i, k, row_number() OVER (PARTITION BY win ORDER BY i, k) > 1 AS later FROM t WHERE win IS NOT NULL),
+g AS (SELECT DISTINCT w.i, w.n FROM r JOIN w ON w.i = r.i AND w.k BETWEEN r.k AND r.k + 2 WHERE later),
+c AS (
+  SELECT l.i, string_agg(line, chr(10) ORDER BY l.n) FILTER (WHERE g.n IS NULL) AS text, count(g.n) AS n_removed
+  FROM l LEFT JOIN g ON g.i = l.i AND g.n = l.n GROUP BY l.i)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text, coalesce(n_removed, 0) AS n_removed FROM d LEFT JOIN c USING (i)
+"""
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("from_id").alias("source_doc_id"), "matched")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages)}
+ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL}

@@ -169,7 +169,7 @@ def test_every_pair_within_the_radius_meets_in_some_table():
             assert any((m & (2**64 - 1)) & flips == 0 for m in simhash.masks(3, level))
 
 
-@pytest.mark.parametrize("bucket", [4, 2048])
+@pytest.mark.parametrize("bucket", [40, 2048])
 def test_large_buckets_are_hashed_again(spark, bucket):
     r = random.Random(9)
     centre = [r.getrandbits(64) for _ in range(4)]
