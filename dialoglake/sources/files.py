@@ -40,7 +40,7 @@ def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """media_id, text of whole files, without byte order mark and carriage returns."""
-    read = spark.read.option("wholetext", True).text(path)
+    read = spark.read.text(path, wholetext=True)
     return read.select(stem(F.input_file_name()).alias("media_id"), F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n").alias("text"))
 
 
