@@ -7,6 +7,9 @@ whose fingerprint occurs in two places or more go on: there the match is extende
 form runs of any length; their lines are deleted. So a line goes exactly if it lies in ``run`` or more consecutive lines
 that stand, in the same order, at an earlier place, and the first place always stays.
 
+What repeats grows with the input and has no size bound, so the joins are merge joins at every size: a plan seen on a small
+input is the plan of a large one.
+
 Defined results: a null text stays null, an empty one empty; lines without a word are passed over and stay; rows with a
 null id come last; rows equal in id and text count as one place and get the same result; a text of fewer than ``run``
 lines keeps them all; an empty table gives no rows.
@@ -17,12 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StructType
 
 from dialoglake.llm.common import settle, text_key
 
@@ -65,13 +67,22 @@ def _windows(run: int):
     return read
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def cut(t: str, g: np.ndarray) -> str:
-        out = set(g.tolist())
-        return "\n".join(x for n, x in enumerate(t.split("\n")) if n not in out)
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the lines of the last column, ``gone``, from the texts in the column before it; a few texts at a time."""
+
+    def cut(text: str | None, gone: list[int] | None) -> str | None:
+        if text is None or gone is None:
+            return text
+        out = set(gone)
+        return "\n".join(x for n, x in enumerate(text.split("\n")) if n not in out)
 
-    return pd.Series([t if t is None or g is None else cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+    for batch in batches:
+        *rest, text, gone = batch.columns
+        for a in range(0, batch.num_rows, 256):
+            t, g = text[a : a + 256], gone[a : a + 256]
+            if g.null_count < len(g):
+                t = pa.array(map(cut, t.to_pylist(), g.to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays([*[c[a : a + 256] for c in rest], t], batch.schema.names[:-1])
 
 
 def repeated_lines(docs: DataFrame, run: int = 3) -> DataFrame:
@@ -81,10 +92,10 @@ def repeated_lines(docs: DataFrame, run: int = 3) -> DataFrame:
     windows = settle(docs.select(F.col("id").isNull().alias("without"), "id", "k1", "k2", "_text").mapInArrow(_windows(run), schema))
     at = F.struct("without", "id", "k1", "k2", "fp_line")
     shared = windows.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
-    near = windows.join(shared, "fp", "left_semi")
+    near = windows.join(shared.hint("merge"), "fp", "left_semi")
     place = F.struct(*PLACE)
     first = near.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end")
-    later = near.join(first, ["w1", "w2"]).where(place > F.col("first"))
+    later = near.join(first.hint("merge"), ["w1", "w2"]).where(place > F.col("first"))
     return later.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
@@ -98,8 +109,9 @@ def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     key = text_key(F.col(ident), F.col(text))
     keyed = plain.select(*names, key.alias("_key")).select(*names, F.col("_key.a").alias("k1"), F.col("_key.b").alias("k2"))
     gone = settle(repeated_lines(keyed.select(F.col(ident).alias("id"), "k1", "k2", F.col(text).alias("_text")), run))
-    met = keyed.join(gone, ["k1", "k2"], "left")
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("gone")))
-    more = [] if removed_col is None else [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_removed")]
-    out = met.select(*[kept.alias(n) if n == text else F.col(n) for n in names], *more)
+    met = keyed.join(gone.hint("merge"), ["k1", "k2"], "left")
+    rest = [n for n in names if n != text]
+    more = [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_removed")] if removed_col else []
+    ready = met.select(*rest, *more, text, "gone")
+    out = ready.mapInArrow(_without, StructType(ready.schema.fields[:-1])).select(*names, *(["_removed"] if removed_col else []))
     return out.toDF(*docs.columns, *([removed_col] if removed_col else []))
