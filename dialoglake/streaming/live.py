@@ -14,11 +14,11 @@ from dialoglake.functions.text import is_short_unit_repeated, normalize_for_repe
 OUT = "media_id string, seq long, start double, end double, text string, reason string"
 
 
-def mark_hallucinations_live(rows: DataFrame, phrases: DataFrame, idle_minutes: int = 60) -> DataFrame:
+def mark_hallucinations_live(rows: DataFrame, phrases: DataFrame, idle_minutes: int | None = None) -> DataFrame:
     """A stream of media_id, seq, start, end, text -> OUT, in append mode.
 
-    Each recording keeps the last accepted text; rows of one batch are taken in order of seq. A recording that says nothing
-    for ``idle_minutes`` is forgotten.
+    Each recording keeps the last accepted text; rows of one batch are taken in order of seq. With ``idle_minutes``
+    a recording that says nothing for so long is forgotten (Spark then also runs batches without data).
     """
     known = phrases.select(normalize_for_repeat(F.col("phrase")).alias("norm")).distinct().withColumn("known", F.lit(True))
     said = F.coalesce("text", F.lit(""))
@@ -41,7 +41,8 @@ def mark_hallucinations_live(rows: DataFrame, phrases: DataFrame, idle_minutes:
                 last = norm
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(idle_minutes * 60_000)
+            if idle_minutes is not None:
+                state.setTimeoutDuration(idle_minutes * 60_000)
         yield held.assign(reason=pd.array(out, "object"))[["media_id", "seq", "start", "end", "text", "reason"]]
 
-    return ready.groupBy("media_id").applyInPandasWithState(step, OUT, "last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ready.groupBy("media_id").applyInPandasWithState(step, OUT, "last string", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
