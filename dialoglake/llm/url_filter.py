@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,25 +69,32 @@ def _range_of(cuts: list[str]):
     return number
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one or more ranges, each sorted by key with rules first; answers each probe from the stack of open rules."""
     at, stack = None, []
-    for frame in frames:
-        best, total, hosts, blocks = [], [], [], []
-        for part, line, is_url, key, rule, size, host_size, block in zip(
-            *(frame[c] for c in ("part", "line", "is_url", "key", "rule", "size", "host_size", "block")), strict=True
+    for batch in batches:
+        held = {c: batch.column(c) for c in batch.schema.names}
+        best, asked = [], []
+        for n, (part, line, is_url, key, rule, size, host_size, block) in enumerate(
+            zip(*(held[c].to_pylist() for c in ("part", "line", "is_url", "key", "rule", "size", "host_size", "block")), strict=True)
         ):
             if part != at:
                 at, stack = part, []
             while stack and not line.startswith(stack[-1][0]):
                 stack.pop()
-            if not is_url:
-                stack.append((key, rule, size, host_size, block))
+            if is_url:
+                asked.append(n)
+                best.append(max(stack, key=lambda s: s[2:]) if stack else (None, None, -1, -1, False))
             else:
-                top = max(stack, key=lambda s: s[2:]) if stack else (None, None, -1, -1, False)
-                best.append(top[1]), total.append(top[2]), hosts.append(top[3]), blocks.append(top[4])
-        asked = frame[frame["is_url"]]
-        yield pd.DataFrame({"id": asked["id"].array, "host": asked["host"].array, "path": asked["path"].array, "depth": asked["depth"].array, "rule": best, "size": total, "host_size": hosts, "block": blocks})
+                stack.append((key, rule, size, host_size, block))
+        take = pa.array(asked, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [held[c].take(take) for c in KEPT] + [pa.array([b[i] for b in best], t) for i, t in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()), (4, pa.bool_()))],
+            [*KEPT, "rule", "size", "host_size", "block"],
+        )
+
+
+KEPT = ["id", "host", "path", "depth"]
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -121,7 +129,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     )
     line = opened.unionByName(asked).repartition(ranges, "part").sortWithinPartitions("part", "line", "is_url", "size")
     kind = urls.schema["id"].dataType.simpleString()
-    found = line.mapInPandas(_sweep, f"id {kind}, host string, path string, depth int, rule string, size int, host_size int, block boolean")
+    found = line.mapInArrow(_sweep, f"id {kind}, host string, path string, depth int, rule string, size int, host_size int, block boolean")
     best = F.max(F.struct("size", "host_size", "block", "rule"))
     won = found.groupBy("id", "host", "path").agg(best.alias("best"), F.sum((F.col("depth") == 0).cast("int")).alias("copies"))
     return won.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(

@@ -107,7 +107,7 @@ def test_line_dedup_keeps_clashing_columns(spark):
 
 def plain_chats(rows):
     held = {}
-    for c, t, role, text in set(rows):
+    for c, t, role, text in {(c, t if c is not None else 0, role, text) for c, t, role, text in rows}:
         held.setdefault(("lone", role, text) if c is None else c, []).append(((t is not None, t or 0) if c is not None else 0, (role is not None, role or ""), (text is not None, text or "")))
     seqs = {c: [(ro, te) for _, ro, te in sorted(v)] for c, v in held.items()}
     keep = []
