@@ -9,6 +9,8 @@ from dialoglake.functions.text import is_unknown, strip, subtitle_text
 from dialoglake.functions.timecode import colon_ms_to_comma_ms, format_distance, format_time, seconds_to_time_str
 from dialoglake.operators.matching import COLUMNS
 
+#: White space at a field's ends is content, and a quote inside a field is doubled.
+VERBATIM = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
 TRANSCRIPT = ["start", "end", "speaker", "text", "cosine_distance"]
 
 
@@ -19,11 +21,11 @@ def transcript_rows(resolved: DataFrame) -> DataFrame:
 
 def write_transcript_csv(rows: DataFrame, path: str) -> None:
     """A folder for each recording, every field quoted, with a header even where there are no rows."""
-    rows.select("media_id", *TRANSCRIPT).write.option("quoteAll", True).option("header", True).partitionBy("media_id").csv(path)
+    rows.select("media_id", *TRANSCRIPT).write.options(quoteAll=True, header=True, **VERBATIM).partitionBy("media_id").csv(path)
 
 
 def write_correspondence_csv(rows: DataFrame, path: str) -> None:
-    rows.repartition("media_id").sortWithinPartitions("media_id", "row_no").select("media_id", *COLUMNS).write.option("header", True).option("escape", '"').partitionBy("media_id").csv(path)
+    rows.repartition("media_id").sortWithinPartitions("media_id", "row_no").select("media_id", *COLUMNS).write.options(header=True, **VERBATIM).partitionBy("media_id").csv(path)
 
 
 def append_metrics(rows: DataFrame, path: str) -> None:

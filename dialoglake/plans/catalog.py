@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -665,3 +667,51 @@ def byte_counts(contents: list[bytes]):
     import numpy as np
 
     return [np.bincount(np.frombuffer(c, "u1") % 16, minlength=16) for c in contents]
+
+
+# ---- files written and read again
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh place in the folder that all executors share, or, where none is set, in a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-files-")
+    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {UTT} SELECT media_id::VARCHAR AS media_id, {even_sql('start')} AS start, {even_sql('"end"')} AS "end", speaker, text, '' AS cosine_distance FROM utt""")
+def snk1_src1_transcript_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_transcript_csv(sinks.transcript_rows(src.utterances(spark, sf).withColumn("distance", F.lit(None).cast("double"))), path)
+    schema = "start string, end string, speaker string, text string, cosine_distance string, media_id string"
+    back = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+    return back.select("media_id", *[F.coalesce(c, F.lit("")).alias(c) for c in sinks.TRANSCRIPT])
+
+
+@query(f"WITH {GIVEN}, {CORR} SELECT media_id::VARCHAR AS media_id, type, coalesce(script_id::VARCHAR, '') AS script_start_id, speaker, subtitle_text FROM rn")
+def snk2_correspondence_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark)
+    sinks.write_correspondence_csv(matching.correspondence(*_given(spark, sf)), path)
+    schema = ", ".join(f"{c} string" for c in matching.COLUMNS) + ", media_id string"
+    back = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select("media_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("type", "script_start_id", "speaker", "subtitle_text")])
+
+
+@query(f"WITH {EVT}, c AS (SELECT media_id, count(*) AS n FROM turns GROUP BY ALL) SELECT media_id, n FROM c UNION ALL SELECT media_id, n FROM c")
+def snk7_append_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    path, rows = _folder(spark), src.turns(spark, sf).groupBy("media_id").agg(F.count("*").alias("n"))
+    for _ in range(2):
+        sinks.append_metrics(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT page_id, NOT (l IN ('笑') OR contains(l, 'BGM') OR ends_with(l, '音')) AS speaks FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '笑' WHEN 1 THEN 'BGM ' || url WHEN 2 THEN url || '音' ELSE url END AS l FROM pages)")
+def f4_speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
+    k, url = F.col("page_id") % 4, F.col("url")
+    label = F.when(k == 0, "笑").when(k == 1, F.concat(F.lit("BGM "), url)).when(k == 2, F.concat(url, F.lit("音"))).otherwise(url)
+    return src.table(spark, sf, "pages").select("page_id", tx.is_speaker_label(label).alias("speaks"))
+
+
+@query("SELECT doc_id % 20 AS media_id, count(*) AS shown FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY ALL")
+def f1_usable_rows(spark: SparkSession, sf: str) -> DataFrame:
+    l = src.lines(spark, sf).select((F.col("media_id") % 20).alias("media_id"), F.lit("0").alias("start_time"), F.lit("1").alias("end_time"), F.col("text").alias("subtitle_text"))
+    return sinks.usable_subtitle_rows(l).groupBy("media_id").agg(F.count("*").alias("shown"))
