@@ -91,10 +91,11 @@ def repeated_lines(docs: DataFrame, run: int = 3) -> DataFrame:
     schema = f"without boolean, id {kind}, k1 long, k2 long, fp long, fp_line int, w1 long, w2 long, line int, lines array<int>"
     windows = settle(docs.select(F.col("id").isNull().alias("without"), "id", "k1", "k2", "_text").mapInArrow(_windows(run), schema))
     at = F.struct("without", "id", "k1", "k2", "fp_line")
-    shared = windows.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp")
+    # Both tables of keys are counted with partial sums and written, so that Spark can split a hot key's rows in the joins.
+    shared = settle(windows.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp"))
     near = windows.join(shared.hint("merge"), "fp", "left_semi")
     place = F.struct(*PLACE)
-    first = near.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end")
+    first = settle(near.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end"))
     later = near.join(first.hint("merge"), ["w1", "w2"]).where(place > F.col("first"))
     return later.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
