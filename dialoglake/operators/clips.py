@@ -31,8 +31,9 @@ def enumerate_windows(entries: DataFrame, options: ClipOptions = ClipOptions())
     speech = entries.where(is_speech())
     asked = speech.select("media_id", (F.col("start") + options.length - EPS).alias("t"), F.lit(0).alias("kind"), "start", F.col("entry_no").alias("no"), F.lit(None).cast("double").alias("end"))
     ends = speech.select("media_id", "end").distinct().select("media_id", F.col("end").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("start"), F.lit(None).cast("int").alias("no"), "end")
-    onward = Window.partitionBy("media_id").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = asked.unionByName(ends).withColumn("end", F.first("end", ignorenulls=True).over(onward)).where("kind = 0 and end is not null")
+    # Read from the far end, so that the frame only grows: a frame that shrinks from behind costs the square of a recording.
+    onward = Window.partitionBy("media_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = asked.unionByName(ends).withColumn("end", F.last("end", ignorenulls=True).over(onward)).where("kind = 0 and end is not null")
     near = found.where(F.abs(F.col("end") - F.col("start") - options.length) <= options.tolerance)
     return near.select("media_id", F.row_number().over(Window.partitionBy("media_id").orderBy("start", "no")).alias("window_no"), "start", "end")
 
@@ -76,7 +77,7 @@ def select_clip_pair(scored: DataFrame) -> DataFrame:
     """
     line = scored.select("media_id", F.col("start").alias("t"), F.lit(1).alias("kind"), "window_no", "score", F.lit(None).cast("double").alias("own"), F.lit(None).cast("int").alias("asks"))
     asks = scored.select("media_id", (F.col("end") - EPS).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("window_no"), F.lit(None).cast("double").alias("score"), F.col("score").alias("own"), F.col("window_no").alias("asks"))
-    onward = Window.partitionBy("media_id").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = Window.partitionBy("media_id").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     real = F.col("window_no").isNotNull()
     high = F.max(F.when(real, F.struct("score", (-F.col("window_no")).alias("less")))).over(onward)
     low = F.max(F.when(real, F.struct((-F.col("score")).alias("minus"), (-F.col("window_no")).alias("less")))).over(onward)

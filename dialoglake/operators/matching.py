@@ -195,8 +195,8 @@ def correspondence(matched: DataFrame, script_lines: DataFrame, stt_lines: DataF
     records = timed.where("type = 'Matched'").withColumn("before", F.max("script_start_id").over(upto)).where("before is null or script_start_id > before")
     marks = records.select("media_id", F.col("script_start_id").alias("at"), F.lit(1).alias("kind"), "pos", none_int.alias("sid"))
     asks = unused.select("media_id", (F.col("script_start_id")).alias("at"), F.lit(2).alias("kind"), none_int.alias("pos"), F.col("script_start_id").alias("sid"))
-    onward = Window.partitionBy("media_id").orderBy("at", F.desc("kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = asks.unionByName(marks).withColumn("pos", F.first("pos", ignorenulls=True).over(onward)).where("kind = 2").select("media_id", F.col("sid").alias("script_start_id"), F.coalesce("pos", F.lit(2**31 - 1)).alias("pos"))
+    onward = Window.partitionBy("media_id").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = asks.unionByName(marks).withColumn("pos", F.last("pos", ignorenulls=True).over(onward)).where("kind = 2").select("media_id", F.col("sid").alias("script_start_id"), F.coalesce("pos", F.lit(2**31 - 1)).alias("pos"))
     whole = timed.withColumn("part", F.lit(1)).unionByName(unused.join(placed, ["media_id", "script_start_id"]).withColumn("part", F.lit(0)))
     final = Window.partitionBy("media_id").orderBy("pos", "part", F.when(F.col("part") == 0, F.col("script_start_id")))
     return fill_unmatched_times(whole.withColumn("row_no", F.row_number().over(final)).drop("pos", "part"))
@@ -208,7 +208,8 @@ def fill_unmatched_times(rows: DataFrame) -> DataFrame:
     timed = F.col("type") != "Unmatched_Script"
     rows = rows.withColumn("_run", F.sum(timed.cast("int")).over(along))
     before = F.last(F.when(timed, time_str_to_seconds(F.coalesce("end_time", "start_time"))), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(F.when(timed, time_str_to_seconds(F.col("start_time"))), ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy("media_id").orderBy(F.desc("row_no")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(timed, time_str_to_seconds(F.col("start_time"))), ignorenulls=True).over(back)
     run = Window.partitionBy("media_id", "_run", timed)
     rows = rows.withColumn("_a", F.coalesce(before, F.lit(0.0))).withColumn("_b", F.coalesce(after, "_a"))
     rows = rows.withColumn("_k", F.row_number().over(run.orderBy("row_no"))).withColumn("_size", F.count("*").over(run))

@@ -367,7 +367,7 @@ def j8_window_members(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     e = src.entries(spark, sf)
-    return clips.score_windows(clips.window_variables(clips.enumerate_windows(e, OPTIONS), e), OPTIONS)
+    return clips.score_windows(clips.window_variables(clips.enumerate_windows(e, OPTIONS).cache(), e), OPTIONS).cache()
 
 
 @query(f"WITH {ENT}, {WIN}, {WVAR} SELECT media_id, window_no, speaker_count, round(cpm, 6) AS cpm, round(ratio, 6) AS ratio, round(score, 6) AS score FROM sc")

@@ -1,4 +1,7 @@
-"""The operators put together into the library's jobs."""
+"""The operators put together into the library's jobs.
+
+What several outputs of a job read is kept by ``cache()``: Spark spills it to disk and recomputes what a lost executor held.
+"""
 
 from __future__ import annotations
 
@@ -37,8 +40,8 @@ def match_script(script_lines: DataFrame, stt_lines: DataFrame, encoder: Callabl
     a = matching.ngrams(script_lines, "dialogue", max_n, by_speaker=True)
     b = matching.ngrams(stt_lines, "text", max_n, timed=True)
     near = matching.knn_join(matching.encode_texts(a, encoder).select("media_id", "ngram_id", "vec"), matching.encode_texts(b, encoder).select("media_id", "ngram_id", "vec"), k)
-    chosen = matching.weighted_chain(matching.candidate_pairs(near, a, b))
-    matched = matching.matched_rows(chosen, a, b, stt_lines)
+    chosen = matching.weighted_chain(matching.candidate_pairs(near, a, b)).cache()
+    matched = matching.matched_rows(chosen, a, b, stt_lines).cache()
     return {"matched": matched, "table": matching.correspondence(matched, script_lines, stt_lines), "usage": matching.usage_stats(matched, script_lines, stt_lines)}
 
 
@@ -48,11 +51,11 @@ def export_subtitles(table: DataFrame) -> DataFrame:
 
 def select_clips(entries: DataFrame, options: clips.ClipOptions = clips.ClipOptions()) -> dict[str, DataFrame]:
     """Subtitle tracks -> scored windows, the chosen pair of each recording, report, cut list and shifted entries."""
-    windows = clips.window_variables(clips.enumerate_windows(entries, options), entries)
-    scored = clips.score_windows(windows, options)
+    windows = clips.enumerate_windows(entries, options).cache()
+    scored = clips.score_windows(clips.window_variables(windows, entries), options).cache()
     pairs = clips.select_clip_pair(scored)
     report = clips.clip_report(pairs, scored)
-    chosen = report.select("media_id", "kind", "window_no").join(clips.enumerate_windows(entries, options), ["media_id", "window_no"])
+    chosen = report.select("media_id", "kind", "window_no").join(windows, ["media_id", "window_no"])
     inside = clips.window_members(chosen, entries)
     return {"windows": scored, "pairs": pairs, "report": report, "cuts": clips.clip_cut_list(report), "entries": clips.shift_entries(inside, ["media_id", "kind"], "w_start")}
 
@@ -60,8 +63,8 @@ def select_clips(entries: DataFrame, options: clips.ClipOptions = clips.ClipOpti
 def evaluate_subtitles(reference: DataFrame, generated: DataFrame, registered: DataFrame | None = None, tolerances: tuple[float, ...] = (evaluation.TOLERANCE,), turns: DataFrame | None = None, rules: LabelRules = LabelRules()) -> dict[str, DataFrame]:
     """Reference and generated entries -> detail, summary, accuracy, confusion and report."""
     a, b = evaluation.fill_omitted_speakers(reference), evaluation.fill_omitted_speakers(generated)
-    pairs = evaluation.align_entries(a, b)
-    judged = evaluation.judged_pairs(pairs, a, b, registered)
+    pairs = evaluation.align_entries(a, b).cache()
+    judged = evaluation.judged_pairs(pairs, a, b, registered).cache()
     summary, accuracy = evaluation.evaluation_summary(pairs, judged), evaluation.in_point_accuracy(judged, tolerances)
     speakers_ = evaluation.appearing_speakers(reference, registered)
     return {"pairs": pairs, "detail": evaluation.evaluation_detail(judged), "summary": summary, "accuracy": accuracy, "confusion": evaluation.confusion(judged), "report": evaluation.evaluation_report(summary, accuracy, speakers_, reference, turns)}
