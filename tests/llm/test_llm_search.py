@@ -159,6 +159,23 @@ def test_passages_finds_exact_and_fuzzy_repeats(spark):
     assert passages.repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_of_similarity_090_are_found(spark):
+    r = random.Random(8)
+    rows, want = {}, set()
+    for i in range(60):
+        base = [f"p{i}x{k}" for k in range(60)]
+        near = base.copy()
+        for k in r.sample(range(60), 6):
+            near[k] = f"new{i}x{k}"
+        rows[i], rows[100 + i] = words(r, 70) + base + words(r, 70), words(r, 90) + near + words(r, 90)
+        want.add(100 + i)
+    # A single seed: of 60 words every fifth differs but for one run of nine.
+    base = [f"s{k}" for k in range(60)]
+    rows[200], rows[201] = words(r, 70) + base + words(r, 70), words(r, 90) + [w if k % 5 < 4 or k == 29 else f"d{k}" for k, w in enumerate(base)] + words(r, 90)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    assert {x.id for x in passages.repeated_passages(df).collect()} == want | {201}
+
+
 def test_every_long_exact_repeat_is_covered(spark, sf):
     texts = {x.doc_id: (x.text or "").split() for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = {}
