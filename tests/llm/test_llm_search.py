@@ -176,6 +176,22 @@ def test_passages_of_similarity_090_are_found(spark):
     assert {x.id for x in passages.repeated_passages(df).collect()} == want | {201}
 
 
+def test_passages_made_of_pieces_known_from_elsewhere(spark):
+    r = random.Random(9)
+    rows, want = {}, set()
+    for i in range(40):
+        one, two = [f"a{i}x{k}" for k in range(35)], [f"b{i}x{k}" for k in range(35)]
+        whole = [*one, f"mid{i}", *two]
+        near = whole.copy()
+        near[33] = near[37] = "other"  # no seed over the middle is left: the nearest earlier document has to be asked
+        for n, w in enumerate([one, two, whole, one, whole]):
+            rows[i * 10 + n] = words(r, 60) + w + words(r, 60)
+        rows[1000 + i * 10], rows[1001 + i * 10] = words(r, 60) + whole + words(r, 60), words(r, 60) + near + words(r, 60)
+        want |= {i * 10 + 4, 1000 + i * 10, 1001 + i * 10}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    assert {x.id for x in passages.repeated_passages(df).collect()} == want
+
+
 def test_every_long_exact_repeat_is_covered(spark, sf):
     texts = {x.doc_id: (x.text or "").split() for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = {}
