@@ -188,6 +188,36 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+# ---- near-duplicates by shingles
+
+
+def test_pipeline_drops_texts_whose_shingles_are_alike(spark):
+    import corpus_pipeline
+    from dialoglake.llm import neardup
+
+    r, rows = random.Random(4), list(ODD)
+    for i in range(100, 140):
+        base = [f"w{r.randrange(3000)}" for _ in range(200)]
+        near, far = base.copy(), base.copy()
+        for k in (20, 90, 160):
+            near[k] = "other"  # 15 of 196 shingles: similarity 0.86
+        for k in range(5, 200, 15):
+            far[k] = "other"  # similarity about 0.5
+        rows += [(i, " ".join(base), "en", "a", 1), (i + 100, " ".join(near), "en", "a", 1), (i + 200, " ".join(far), "en", "a", 1)]
+    sets = [(d, set(neardup.shingles((t or "").encode()).tolist())) for d, t, *_ in rows]
+    kept = sorted((x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs(spark, rows), "").collect()), key=lambda d: (d is None, d or 0))
+    ids = [d for d, _ in sets]
+    root = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            x, y = sets[i][1], sets[j][1]
+            if x == y or len(x & y) >= 0.8 * len(x | y):
+                root = [root[j] if k == root[i] else k for k in root]
+    least = [min((ids[i] for i in range(len(ids)) if root[i] == c), key=lambda d: (d is None, d or 0)) for c in set(root)]
+    assert kept == sorted(least, key=lambda d: (d is None, d or 0))
+    assert not set(range(200, 240)) & set(kept) and set(range(300, 340)) <= set(kept)
+
+
 # ---- mixing
 
 
