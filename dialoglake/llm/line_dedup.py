@@ -5,14 +5,15 @@ select equal lines, so any run of ``run`` lines that two places share is guarant
 whose fingerprint occurs in two places or more go on: there the match is extended both ways over the window's lines (a
 128-bit hash of them), and of equal windows every one but the first (by id, then line) is a repeat. Consecutive repeats
 form runs of any length; their lines are deleted. So a line goes exactly if it lies in ``run`` or more consecutive lines
-that stand, in the same order, at an earlier place, and the first place always stays.
+that stand, in the same order, at an earlier place, and the first place always stays. With ``min_words``, shorter windows
+that hold that many words or more count as well, so that a long passage on one or two lines goes too.
 
 What repeats grows with the input and has no size bound, so the joins are merge joins at every size: a plan seen on a small
 input is the plan of a large one.
 
 Defined results: a null text stays null, an empty one empty; lines without a word are passed over and stay; rows with a
-null id come last; rows equal in id and text count as one place and get the same result; a text of fewer than ``run``
-lines keeps them all; an empty table gives no rows.
+null id come last; rows equal in id and text count as one place and get the same result; without ``min_words`` a
+text of fewer than ``run`` lines keeps them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,19 +36,23 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, "u8").view("i8"))
 
 
-def _windows(run: int):
+def _windows(run: int, min_words: int | None = None):
     """Of each text's windows: fingerprint and its line, two hashes of all lines, first line, all lines' numbers."""
 
     def of(text: bytes) -> list[tuple[int, int, int, int, int, list[int]]]:
         lines = [(n, x) for n, x in enumerate(text.split(b"\n")) if x.strip()]
-        if len(lines) < run:
+        if len(lines) < run and min_words is None:
             return []
         hashed = [xxhash.xxh64_intdigest(x, 1) for _, x in lines]
+        count = [len(x.split()) for _, x in lines] if min_words is not None else []
         out = []
-        for a in range(len(lines) - run + 1):
-            least = max(range(a, a + run), key=lambda i: (-hashed[i], i))  # the last of equals
-            whole = xxhash.xxh3_128_intdigest(b"\n".join(x for _, x in lines[a : a + run]))
-            out.append((hashed[least], lines[least][0], whole >> 64, whole & (2**64 - 1), lines[a][0], [n for n, _ in lines[a : a + run]]))
+        for size in [run] if min_words is None else range(1, run + 1):
+            for a in range(len(lines) - size + 1):
+                if size < run and sum(count[a : a + size]) < min_words:
+                    continue
+                least = max(range(a, a + size), key=lambda i: (-hashed[i], i))  # the last of equals
+                whole = xxhash.xxh3_128_intdigest(b"\n".join(x for _, x in lines[a : a + size]))
+                out.append((hashed[least], lines[least][0], whole >> 64, whole & (2**64 - 1), lines[a][0], [n for n, _ in lines[a : a + size]]))
         return out
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +90,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[c[a : a + 256] for c in rest], t], batch.schema.names[:-1])
 
 
-def repeated_lines(docs: DataFrame, run: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = 3, min_words: int | None = None) -> DataFrame:
     """``docs``: id, k1, k2, _text. -> k1, k2, gone: the numbers of the lines to delete, for texts that have any."""
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"without boolean, id {kind}, k1 long, k2 long, fp long, fp_line int, w1 long, w2 long, line int, lines array<int>"
-    windows = settle(docs.select(F.col("id").isNull().alias("without"), "id", "k1", "k2", "_text").mapInArrow(_windows(run), schema))
+    windows = settle(docs.select(F.col("id").isNull().alias("without"), "id", "k1", "k2", "_text").mapInArrow(_windows(run, min_words), schema))
     at = F.struct("without", "id", "k1", "k2", "fp_line")
     # Both tables of keys are counted with partial sums and written, so that Spark can split a hot key's rows in the joins.
     shared = settle(windows.groupBy("fp").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("fp"))
@@ -100,7 +105,7 @@ def repeated_lines(docs: DataFrame, run: int = 3) -> DataFrame:
     return later.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None, min_words: int | None = None) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from ``text_col``; ``removed_col``, if named, gets their number.
 
     Texts are shuffled once, to meet the lines to delete.
@@ -109,7 +114,7 @@ def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     plain, text, ident = docs.toDF(*names), names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     key = text_key(F.col(ident), F.col(text))
     keyed = plain.select(*names, key.alias("_key")).select(*names, F.col("_key.a").alias("k1"), F.col("_key.b").alias("k2"))
-    gone = settle(repeated_lines(keyed.select(F.col(ident).alias("id"), "k1", "k2", F.col(text).alias("_text")), run))
+    gone = settle(repeated_lines(keyed.select(F.col(ident).alias("id"), "k1", "k2", F.col(text).alias("_text")), run, min_words))
     met = keyed.join(gone.hint("merge"), ["k1", "k2"], "left")
     rest = [n for n in names if n != text]
     more = [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_removed")] if removed_col else []

@@ -97,6 +97,17 @@ def test_line_dedup_matches_plain(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_line_dedup_takes_long_passages_on_few_lines(spark, sf):
+    import corpus_pipeline
+
+    one, two = " ".join(f"a{i}" for i in range(50)), [" ".join(f"b{i}{k}" for i in range(30)) for k in "xy"]
+    short = " ".join(f"c{i}" for i in range(49))
+    rows = [(1, one), (2, "\n".join(two)), (3, short), (4, one), (5, "top\n\n" + "\n\n".join(two) + "\nend"), (6, short), (7, two[1] + "\n" + two[0]), (8, one + "\n" + one)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    want = dict(rows) | {4: "", 5: "top\n\n\nend", 8: ""}
+    assert {x.doc_id: x.text for x in corpus_pipeline.repeated_lines(spark, df, sf).collect()} == want
+
+
 def test_line_dedup_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", 5, 6), (None, "a\nb\nc", 7, 8)], "doc_id long, text string, k1 int, line int")
     assert sorted((x.text, x.k1) for x in line_dedup.dedup_lines(df).collect()) == [("", 7), ("a\nb\nc", 5)]
