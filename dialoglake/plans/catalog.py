@@ -188,6 +188,14 @@ def f6_w3_hallucinations(spark: SparkSession, sf: str) -> DataFrame:
     return marked.select("media_id", F.col("seq").cast("long").alias("seq"), "text", "reason")
 
 
+@query()
+def f6_w3_hallucinations_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As above, with every line of every benchmark item as a phrase."""
+    every = src.table(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("value"))
+    marked = cleaning.mark_hallucinations(src.lines(spark, sf), files.load_phrases(spark, every))
+    return marked.select("media_id", F.col("seq").cast("long").alias("seq"), "text", "reason")
+
+
 @query(f"""WITH {EVT} SELECT media_id, cluster_id, r[2] AS rep_start, r[3] AS rep_end FROM (SELECT media_id, cluster_id, arg_max([round("end" - start, 6), start, "end"], (round("end" - start, 6), -start)) AS r FROM turns GROUP BY ALL)""")
 def g3_representative(spark: SparkSession, sf: str) -> DataFrame:
     return speakers.representative_segment(src.turns(spark, sf))

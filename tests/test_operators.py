@@ -246,3 +246,13 @@ def test_files_that_go_out(spark, tmp_path):
     sinks.append_metrics(turns, str(tmp_path / "m"))
     sinks.append_metrics(turns, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+
+
+def test_every_benchmark_line_is_a_phrase(spark, sf, tmp_path):
+    from dialoglake.plans import catalog
+
+    spark.createDataFrame([(10, "first of ten\nlater of ten"), (11, "first of eleven\nlater of eleven")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lines = ["first of ten", "later of ten", "first of eleven", "later of eleven", "something else"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.text: x.reason for x in catalog.QUERIES["f6_w3_hallucinations_whole"](spark, str(tmp_path)).collect()}
+    assert got == {x: "phrase" for x in lines[:4]} | {"something else": None}
