@@ -404,6 +404,14 @@ def f9_f10_shift_and_cut(spark: SparkSession, sf: str) -> DataFrame:
     return moved.join(cuts, "media_id").select("media_id", F.col("index").cast("long").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "cut")
 
 
+@query()
+def f9_f10_shift_and_cut_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As above, for every window."""
+    e = src.entries(spark, sf)
+    moved = clips.shift_entries(clips.window_members(clips.enumerate_windows(e, OPTIONS), e), ["media_id", "window_no"], "w_start")
+    return moved.select("media_id", F.col("window_no").cast("long").alias("window_no"), F.col("index").cast("long").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.format_string("%.3f", "w_start").alias("cut"))
+
+
 @query(f"WITH {ENT}, {WIN}, {WVAR} SELECT media_id, max(two) = 0 AS no_overlap_signal FROM sc GROUP BY media_id")
 def g19_overlap_signal_check(spark: SparkSession, sf: str) -> DataFrame:
     return clips.overlap_signal_check(_scored(spark, sf))
@@ -630,6 +638,13 @@ def snk5_clip_srt(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.render_clip_srt(e.withColumn("non_speech_labels", F.array().cast("array<string>")).withColumn("raw_text", F.when(F.col("entry_no") % 2 == 0, F.col("body")).otherwise("")))
 
 
+@query()
+def snk5_clip_srt_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As above, for all entries of each track."""
+    e = src.entries(spark, sf).withColumn("index", F.col("entry_no"))
+    return sinks.render_clip_srt(e.withColumn("non_speech_labels", F.array().cast("array<string>")).withColumn("raw_text", F.when(F.col("entry_no") % 2 == 0, F.col("body")).otherwise("")))
+
+
 @query(f"""WITH {EVT}, r AS (SELECT *, CASE WHEN cluster_id <> 'c3' THEN 'Voice ' || cluster_id ELSE cluster_id END AS who FROM turns)
 SELECT media_id, string_agg(printf('SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', media_id, start, "end" - start, who), chr(10) ORDER BY track_seq) AS document FROM r GROUP BY media_id""")
 def snk6_rttm(spark: SparkSession, sf: str) -> DataFrame:

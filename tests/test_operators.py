@@ -256,3 +256,19 @@ def test_every_benchmark_line_is_a_phrase(spark, sf, tmp_path):
     spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {x.text: x.reason for x in catalog.QUERIES["f6_w3_hallucinations_whole"](spark, str(tmp_path)).collect()}
     assert got == {x: "phrase" for x in lines[:4]} | {"something else": None}
+
+
+def test_clips_without_row_caps(spark, sf):
+    from dialoglake.plans import catalog
+    from dialoglake.sources import adapters
+
+    rows = adapters.entries(spark, sf).select("media_id", "entry_no", "start", "end").collect()
+    docs = catalog.QUERIES["snk5_clip_srt_whole"](spark, sf).collect()
+    assert sum(x.document.count(" --> ") for x in docs) == len(rows) > 50 * len(docs) * 0.5
+    assert max(x.document.count(" --> ") for x in docs) > 50 or max(r.entry_no for r in rows) <= 50
+    windows = catalog.QUERIES["j7_windows"](spark, sf).collect()
+    want = {(w.media_id, w.window_no): sum(r.media_id == w.media_id and r.start >= w.start - 1e-6 and r.end <= w.end + 1e-6 for r in rows) for w in windows}
+    got = {}
+    for x in catalog.QUERIES["f9_f10_shift_and_cut_whole"](spark, sf).collect():
+        got[x.media_id, x.window_no] = got.get((x.media_id, x.window_no), 0) + 1
+    assert got == want and max(w for _, w in want) > 1
