@@ -36,6 +36,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, for steps whose work isn't told by their bytes: given to ``repartition`` it isn't merged."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null, without Python."""
     return F.coalesce(F.size(F.filter(F.split(text, GAP), lambda w: w != F.lit(""))), F.lit(0)).cast("long")
