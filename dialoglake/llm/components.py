@@ -13,7 +13,8 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not larger_only:
         both = both.where("b < a")
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written, so that both sides of the join are plain shuffles and Spark can split a hub's edges.
+    least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     met = both.join(least, "a")
     told = met.where("b > a" if larger_only else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not larger_only:

@@ -6,8 +6,8 @@ to r differing positions never span all r + 1 dimensions, so some v is orthogona
 fingerprints agree. 2^(r+1) - 1 tables therefore hold every pair within the radius in a common bucket, for certain.
 
 Equal fingerprints count once. A bucket of at most ``BUCKET`` fingerprints is compared inside one task, which returns only
-links that join parts not joined before; a larger one is hashed again by new masks over the bits not yet fixed, with the
-same guarantee, until no large one is left. No cap is set and no bucket's pairs are written out.
+links that join parts not joined before; a larger one is never gathered but hashed again by new masks over the bits not yet
+fixed, with the same guarantee, until no large one is left. No cap is set and no bucket's pairs are written out.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle give
 one shingle of all words; repeated rows get the same class; a class of null ids only has a null id.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import join_unique, one_row_each, settle, text_key
+from dialoglake.llm.common import join_unique, one_row_each, settle, tasks, text_key
 from dialoglake.llm.components import components
 
 BITS, SEED = 64, 42
@@ -46,8 +46,6 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")[0])
 
 
-
-
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,25 +95,23 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _link(radius: int, bucket: int):
-    """Reads rows sorted by bucket; gives links (kind 0) and, of large buckets, the members to be hashed again (kind 1)."""
+def _link(radius: int):
+    """Reads rows sorted by bucket; gives the links of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, large = None, [], False
-        out: list[tuple[int, int, int, int]] = []
+        at: tuple[int, int] | None = None
+        held: list[np.ndarray] = []
+        out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if large:
-                out.extend((1, v, at[0], 0) for v in held)
-            elif len(held) > 1:
-                values = np.unique(np.array(held, "i8"))
-                out.extend((0, int(values[i]), int(values[j]), 0) for i, j in forest(values.view("u8"), radius))
+            values = np.unique(np.concatenate(held)) if held else np.zeros(0, "i8")
+            out.extend((int(values[i]), int(values[j])) for i, j in forest(values.view("u8"), radius))
             held.clear()
 
         def ready() -> pa.RecordBatch:
             rows = out.copy()
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)], ["kind", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             fixed, value, fp = (np.asarray(c) for c in batch.columns)
@@ -126,15 +122,10 @@ def _link(radius: int, bucket: int):
                     continue
                 if (key := (int(fixed[a]), int(value[a]))) != at:
                     close()
-                    at, large = key, False
-                for c in range(a, b, bucket):
-                    held.extend(fp[c : min(b, c + bucket)].tolist())
-                    if len(held) > bucket:
-                        large = True
-                    if large:
-                        close()
-                    if len(out) > 50_000:
-                        yield ready()
+                    at = key
+                held.append(fp[a:b])
+            if len(out) > 50_000:
+                yield ready()
         close()
         yield ready()
 
@@ -142,22 +133,28 @@ def _link(radius: int, bucket: int):
 
 
 def links(values: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct values ``fp`` that connect all pairs within the radius."""
-    level, found, rows = 0, None, values.select("fp", F.lit(0).cast("long").alias("fixed"))
+    """Links (a, b) between distinct values ``fp`` that connect all pairs within the radius.
+
+    Buckets are counted with partial sums first. Those of one value have no links, those of up to ``bucket`` values are
+    gathered and compared, and the members of larger ones are dealt by the next level's masks and never gathered.
+    """
+    level, found, rows, key = 0, None, values.select("fp", F.lit(0).cast("long").alias("fixed")), ["fixed", "value"]
     while True:
         fresh = F.explode(F.array(*[F.lit(m).cast("long") for m in masks(radius, level)]))
         keyed = rows.withColumn("mask", fresh).select(F.col("fixed").bitwiseOR(F.col("mask")).alias("fixed"), "fp")
         keyed = keyed.select("fixed", F.col("fixed").bitwiseAND(F.col("fp")).alias("value"), "fp")
         if level:
             keyed = keyed.distinct()  # two ways may fix the same bits
-        sorted_ = keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value", "fp")
-        out = settle(sorted_.mapInArrow(_link(radius, bucket), "kind int, a long, b long"))
-        new = out.where("kind = 0").select("a", "b")
+        sizes = settle(keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+        small = keyed.join(sizes.where(F.col("n") <= bucket).select(*key), key, "left_semi").select(*key, "fp")
+        sorted_ = small.repartition(tasks(values), *key).sortWithinPartitions(*key, "fp")
+        new = settle(sorted_.mapInArrow(_link(radius), "a long, b long"))
         found = new if found is None else found.unionByName(new)
-        rows = out.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("fixed"))
-        level += 1
-        if rows.isEmpty():
+        large = sizes.where(F.col("n") > bucket).select(*key)
+        if large.isEmpty():
             return found.distinct()
+        rows = settle(keyed.join(large, key, "left_semi").select("fp", "fixed"))
+        level += 1
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
