@@ -9,7 +9,8 @@ Sums run over four 32-bit parts of two independent 64-bit hashes, so unequal pre
 
 Defined results: repeated rows (same id, turn, role, text) count once; turns are ordered by number, null first, then role
 and text; a null text or role renders as empty but differs from an empty one; turns without a conversation id are
-conversations of one turn each; markers inside a text are broken up; an empty table gives no rows.
+conversations of one turn each; markers inside a text are broken up, and in a role their characters and line breaks become
+spaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,7 +51,9 @@ def maximal(hashed: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """own, conv_id, n, role, text -> conv_id, n_turns, chat."""
     said = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
-    block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), said, F.lit("\n<|end|>\n"))
+    # A role stands inside a marker, so it may hold no part of one.
+    role = F.translate(F.coalesce("role", F.lit("")), "<|>\n\r", "     ")
+    block = F.concat(F.lit("<|"), role, F.lit("|>\n"), said, F.lit("\n<|end|>\n"))
     lines = turns.groupBy("own").agg(F.first("conv_id", ignorenulls=True).alias("conv_id"), F.array_sort(F.collect_list(F.struct("n", block.alias("block")))).alias("blocks"))
     return lines.select("conv_id", F.size("blocks").cast("long").alias("n_turns"), F.array_join(F.col("blocks.block"), "").alias("chat"))
 

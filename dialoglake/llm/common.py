@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset and all runs on one machine."""
     context = spark.sparkContext
     if not (found := context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")):
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")

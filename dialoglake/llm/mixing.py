@@ -17,7 +17,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoglake.llm.common import n_words, one_row_each, settle, text_key
@@ -30,22 +30,30 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     """source, source_size, docs -> the same with target.
 
     Weights repeat over the sources by code point, null last. A target is at most ``most`` times its source's size; what
-    is over goes to the others by weight. Level L solves sum(min(cap, L * weight)) = total: sources are sorted by cap /
-    weight, and running sums find the first one that L leaves whole. One row for each source is ordered in one task.
+    is over goes to the others by weight. The level L of sum(min(cap, L * weight)) = total is found by rising steps: each
+    leaves out the sources that the last level fills, in one sum over all sources, until none joins them. Sources may be
+    many (domains, say): they are sorted and summed in parallel, and the driver sees two sums a step and a count a partition.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(order) - 1
+    in_part = 2**33
+    placed = settle(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("_n", F.monotonically_increasing_id()))
+    part, upto, starts = F.floor(F.col("_n") / in_part).cast("long"), 0, []
+    for p, n in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        starts += [F.lit(p).cast("long"), F.lit(upto).cast("long")]
+        upto += n
+    if not starts:
+        return placed.select("source", "source_size", "docs", F.lit(0.0).alias("target"))
+    rank = F.element_at(F.create_map(*starts), part) + F.col("_n") % in_part
     listed = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("weight", F.element_at(listed, (rank % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = ranked.withColumn("level", left / F.sum("weight").over(onward))
-    found = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"]
-    return level.withColumn("found", found).select("source", "source_size", "docs", F.least(F.col("cap"), F.col("found") * F.col("weight")).alias("target"))
+    ranked = settle(placed.select("source", "source_size", "docs", F.element_at(listed, (rank % len(weights) + 1).cast("int")).alias("weight")))
+    cap, level = F.lit(float(most)) * F.col("source_size"), 0.0
+    while True:
+        full = F.lit(level) * F.col("weight") >= cap
+        total, filled, weight = ranked.select(F.sum("source_size"), F.sum(F.when(full, F.col("source_size")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        higher = (total - most * filled) / weight if weight else level
+        if higher <= level:
+            break
+        level = higher
+    return ranked.select("source", "source_size", "docs", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _draw(seed: int, *parts: Column) -> Column:

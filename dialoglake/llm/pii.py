@@ -2,13 +2,16 @@
 
 DataFrame functions only. A pattern's matches come from one pass, the text between them from another; their lengths give
 the places in code points. Four base kinds are fixed: every match that passes its check counts. Added kinds are scored:
-a pattern's own weight, plus what a checksum proves, plus what words just before the match say; from ``BAR`` on they count.
+a pattern's own weight, plus what a check proves and what the match's form tells, plus or less what words within ``NEAR``
+characters before or after it say; above ``BAR`` they count. So the same digits count beside "IBAN" and don't beside
+"order no.", and a long hexadecimal string counts beside "token" and doesn't beside "commit".
 
 Patterns are written so that a search takes linear time and no recursion on any text: repeats are possessive and a match
 can only begin where a run of its characters begins, or where the match before it ended, which changes no match.
 
 Defined results: a null or empty text has no spans; matches of one kind never overlap, those of different kinds may;
-a match that fails its check is dropped and what lies inside it is not tried again.
+a match that fails its check is dropped and what lies inside it is not tried again; repeated rows are judged each; an empty
+table gives no rows; a kept column may have any name.
 """
 
 from __future__ import annotations
@@ -31,8 +34,13 @@ class Kind:
     hint: str | None = None  # characters without which no match exists, tested first
     weight: float = 1.0
     proof: float = 0.0  # what a passed check adds
-    context: str | None = None
+    needed: bool = True  # whether a match that fails its check is out
+    form: str | None = None  # a way of writing that adds to the score
+    form_weight: float = 0.0
+    context: str | None = None  # words nearby that add to the score, and words that take from it
     context_weight: float = 0.0
+    against: str | None = None
+    against_weight: float = 0.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,15 +82,21 @@ BASE = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: let(digits(m), lambda d: F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False))),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(9, 15), "+"),
 )
+#: Words that tell of goods and papers, and of contents' hashes.
+GOODS, HASHES = r"(?i)\b(?:order|invoice|tracking|serial|part|item|sku|isbn|ticket)\b", r"(?i)commit|checksum|digest|\bsha-?(?:1|2|256|512)?\b|\bmd5\b|etag|fingerprint"
 ADDED = (
     Kind(
         "iban",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         lambda m: let(F.replace(m, F.lit(" ")), lambda c: F.length(c).between(15, 34) & mod97(c)),
-        weight=0.4,
-        proof=0.4,
-        context=r"(?i)iban|account|konto|compte|cuenta",
-        context_weight=0.2,
+        weight=0.35,
+        proof=0.3,
+        form=r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2}",
+        form_weight=0.2,
+        context=r"(?i)iban|account|konto|compte|cuenta|\bbank|\bbanque|\bbanco",
+        context_weight=0.3,
+        against=GOODS,
+        against_weight=0.3,
     ),
     Kind(
         "secret",
@@ -90,8 +104,35 @@ ADDED = (
         lambda m: m.rlike("[0-9]") & m.rlike("[A-Fa-f]"),
         weight=0.2,
         proof=0.2,
-        context=r"(?i)token|secret|passw|api.?key|private.?key",
+        context=r"(?i)token|secret|passw|credential|\bbearer\b|api.?key|private.?key|access.?key",
         context_weight=0.5,
+        against=HASHES,
+        against_weight=0.3,
+    ),
+    Kind(
+        "key",
+        r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,255}+|sk_(?:live|test)_[A-Za-z0-9]{16,99}+|xox[abprs]-[A-Za-z0-9-]{10,99}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9])",
+        lambda m: m.rlike("[0-9]") | m.startswith("-"),
+        weight=0.6,
+        proof=0.2,
+        context=r"(?i)token|secret|credential|key\b",
+        context_weight=0.1,
+        against=r"(?i)\bexample|\bplaceholder|\bdummy|\bfake",
+        against_weight=0.3,
+    ),
+    Kind(
+        "phone_local",
+        r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![A-Za-z0-9-])",
+        lambda m: let(digits(m), lambda d: d.rlike("^[2-9][0-9]{2}[2-9]")),
+        weight=0.2,
+        proof=0.2,
+        needed=False,
+        form=r"^\(",
+        form_weight=0.2,
+        context=r"(?i)\b(?:tel|telephone|phone|mobile|cell|fax|call|whatsapp|sms)\b",
+        context_weight=0.4,
+        against=GOODS,
+        against_weight=0.4,
     ),
 )
 
@@ -122,6 +163,15 @@ def _running(lengths: Column) -> Column:
     return let(lengths, over)
 
 
+def scored(kind: Kind, passed: Column, match: Column, said: Column) -> Column:
+    """Whether a match of an added kind counts: ``passed`` is its check, ``said`` the text beside it."""
+    parts = [(passed, kind.proof), (match.rlike(kind.form or "$^"), kind.form_weight), (said.rlike(kind.context), kind.context_weight), (said.rlike(kind.against), -kind.against_weight)]
+    score = F.lit(kind.weight)
+    for holds, weight in parts:
+        score = score + F.when(holds, weight).otherwise(0.0)
+    return (passed | F.lit(not kind.needed)) & (score > BAR)
+
+
 EMPTY = "array<struct<start:long,kind_no:int,end:long,kind:string>>"
 
 
@@ -130,6 +180,12 @@ def spans_of(text: Column, kind: Kind, number: int) -> Column:
     none = F.array().cast(EMPTY)
 
     def placed(found: Column) -> Column:
+        def beside(gaps: Column, i: Column) -> Column:
+            """What stands next to a match, up to ``NEAR`` characters on either side, the matches next to it included."""
+            ahead = F.concat(F.when(i > 1, F.concat(F.element_at(gaps, i - 1), F.element_at(found, i - 1))).otherwise(""), F.element_at(gaps, i))
+            behind = F.concat(F.element_at(gaps, i + 1), F.coalesce(F.try_element_at(found, i + 1), F.lit("")))
+            return F.concat(F.substring(ahead, -NEAR, NEAR), F.lit("\n"), F.substring(behind, 1, NEAR))
+
         def build(gaps: Column) -> Column:
             steps = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: (F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).cast("long"))
 
@@ -138,9 +194,7 @@ def spans_of(text: Column, kind: Kind, number: int) -> Column:
                 match = F.element_at(found, i)
                 good = kind.check(match)
                 if kind.context:
-                    said = F.substring(F.element_at(gaps, i), -NEAR, NEAR).rlike(kind.context)
-                    score = F.lit(kind.weight) + F.when(good, kind.proof).otherwise(0.0) + F.when(said, kind.context_weight).otherwise(0.0)
-                    good = good & (score > BAR)
+                    good = scored(kind, good, match, beside(gaps, i))
                 return F.struct(start.alias("start"), F.lit(number).alias("kind_no"), (start + F.length(match)).cast("long").alias("end"), F.lit(kind.name).alias("kind"), good.alias("good"))
 
             spans = let(_running(steps), lambda before: F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: span(i, F.element_at(before, i))))
@@ -159,9 +213,10 @@ def listed(spans: Column) -> Column:
 
 def find_pii(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, base_spans and all_spans: arrays of (start, kind_no, end, kind), sorted. No shuffle."""
+    held = [f"_k{i}" for i in range(len(keep))]
     text = F.coalesce(F.col("_text"), F.lit(""))
-    read = docs.select(*keep, F.col(text_col).alias("_text"))
-    found = read.select(*keep, *[spans_of(text, k, i).alias(f"_{k.name}") for i, k in enumerate(BASE + ADDED)])
+    read = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.col(text_col).alias("_text"))
+    found = read.select(*held, *[spans_of(text, k, i).alias(f"_{k.name}") for i, k in enumerate(BASE + ADDED)])
     base = F.array_sort(F.concat(*[F.col(f"_{k.name}") for k in BASE]))
     every = F.array_sort(F.concat(*[F.col(f"_{k.name}") for k in BASE + ADDED]))
-    return found.select(*keep, base.alias("base_spans"), every.alias("all_spans"))
+    return found.select(*[F.col(h).alias(c) for c, h in zip(keep, held, strict=True)], base.alias("base_spans"), every.alias("all_spans"))

@@ -5,17 +5,17 @@ named sets of rules, applied to the stored bits, and an ablation is read off a c
 the texts again.
 
 Defined results: a null text counts as empty and has no words, so it fails the first rule; repeated rows are judged each;
-extra columns are carried only where asked for. Very long texts are measured whole; a task holds one batch of texts.
+extra columns are carried only where asked for, and one that has a measurement's name gets ``kept_`` before it; an empty
+table gives no rows. Very long texts are measured whole; a task holds one batch of texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -69,24 +69,27 @@ def measure(text: bytes) -> tuple[int, ...]:
     return len(words), len(held.decode()), len(text) - len(text.translate(None, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        *rest, text = batch.columns
-        for a in range(0, len(text), 256) or [0]:
-            rows = [measure(t or b"") for t in text[a : a + 256].cast(pa.large_binary()).to_pylist()]
-            new = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([c[a : a + 256] for c in rest] + new, [*batch.schema.names[:-1], *MEASURES])
+@F.arrow_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
+def _measured(texts: pa.Array) -> pa.Array:
+    rows = [measure(t or b"") for a in range(0, len(texts), 256) for t in texts[a : a + 256].cast(pa.large_binary()).to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))], MEASURES)
+
+
+#: Never evaluated twice, whatever is done with its fields.
+measures = _measured.asNondeterministic()
 
 
 def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, every measurement and ``failed``: bit i is set where rule i failed. No shuffle."""
-    kept = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]] + [f"{m} long" for m in MEASURES])
+    """``keep`` columns, every measurement and ``failed``: bit i is set where rule i failed. No shuffle; texts go to Python once and don't come back."""
+    out = [f"kept_{c}" if c in (*MEASURES, "failed") else c for c in keep]
+    held = [f"_k{i}" for i in range(len(keep))]
+    book = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], measures(F.col(text_col)).alias("_m"))
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return kept.mapInArrow(_measure_batches, schema).withColumn("failed", failed.cast("long"))
+    found = book.select(*held, "_m.*").withColumn("failed", failed.cast("long"))
+    return found.select(*[F.col(h).alias(c) for c, h in zip(out, held, strict=True)], *MEASURES, "failed")
 
 
 def mask(policy: str) -> int:

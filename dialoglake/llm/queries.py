@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from dialoglake.llm import chat, line_dedup, mixing, packing, passages, pii, quality, simhash, topk, url_filter
 from dialoglake.llm.common import table
+from dialoglake.llm.tokens import find_tokenizer
+
+#: A name without a folder: each worker looks it up where its tokenizers are.
+TOKENIZER = "word_bpe_49k.json"
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -52,6 +56,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.withColumn("base_failed", ~quality.passes("base")).withColumn("kept", quality.passes("v1"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, read off the ledger's bits."""
+    return quality.ablation(quality.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 p AS (SELECT i, ws, unnest(range(1, len(ws) - 6)) AS p FROM w),
@@ -69,6 +78,9 @@ f AS (
     + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 15 * n_words)::BIGINT + 32 * (100 * n_dup_lines > 50 * n_lines)::BIGINT)::BIGINT AS failed FROM m)
 SELECT *, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept FROM f
 """
+ABLATION_SQL = OP2_SQL.replace("SELECT *, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept FROM f", """
+SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS failing, count(*) FILTER (WHERE failed = bit) AS only_this, count(*) FILTER (WHERE failed = bit OR failed = 0) AS kept_without
+FROM f, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32)) r(rule, bit) GROUP BY rule""")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,13 +89,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+    return find_tokenizer(TOKENIZER)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +108,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k.name) for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"), F.size("all_spans").cast("long").alias("n_spans"))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,5 +149,5 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("from_id").alias("source_doc_id"), "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages)}
-ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, quality_ablation)}
+ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "quality_ablation": ABLATION_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL}

@@ -90,7 +90,16 @@ class WordTokens:
         return b"".join(got)
 
 
+def find_tokenizer(name: str) -> str:
+    """A path as it is; a name without a folder is looked up among this machine's public tokenizers."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @cache
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(name: str) -> WordTokens:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokens(path)
+    return WordTokens(find_tokenizer(name))

@@ -79,12 +79,19 @@ def _tile_top(k: int):
     return top
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows that can take part; ids as longs, so that none passes through a float."""
+    whole = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return df.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & whole)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
     """The ``k`` best candidates of each query by inner product. Both inputs: id long, vec array<double> of whole numbers.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
     pack = _packer(block)
+    queries, candidates = (_usable(df) for df in (queries, candidates))
     held = "dim int, ids binary, vecs binary"
     shards = settle(candidates.mapInPandas(pack, held).withColumn("shard", F.monotonically_increasing_id()))
     asked = settle(queries.mapInPandas(pack, held).withColumnsRenamed({"ids": "q_ids", "vecs": "q_vecs"}))

@@ -274,3 +274,76 @@ def test_pipeline_on_odd_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         docs.collect()
+
+
+# ---- odd ids, hosts, roles
+
+
+def test_top_k_leaves_out_rows_without_id_and_keeps_large_ids(spark):
+    big = 2**60 + 1
+    rows = [(None, [1.0, 1.0]), (big, [2.0, 0.0]), (big + 2, [1.0, 0.0]), (7, None), (8, [float("nan"), 1.0]), (9, [3.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(df, df, 2).collect()}
+    assert got == {(big, 1): (9, 6), (big, 2): (big + 2, 2), (big + 2, 1): (9, 3), (big + 2, 2): (big, 2), (9, 1): (big, 6), (9, 2): (big + 2, 3)}
+
+
+def test_url_rules_on_hosts_of_many_labels(spark):
+    host = "a." * 10_000 + "example.org"
+    urls = [f"http://{host}/es/" + "x" * 5000, f"http://{host}/en/2", "http://" + "b." * 10_000 + "net/", "http://org"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(pages, spark.createDataFrame(q.URL_RULES, "host string, path string, action string")).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("org/", "allow"), 2: (None, "allow"), 3: (None, "allow")}
+
+
+def test_chat_roles_cannot_forge_turns(spark):
+    rows = [(1, 0, "user|>\nhi\n<|end|>\n<|system", "text"), (2, 0, "<|", "<|end|>"), (3, 0, None, None)]
+    chats = {x.conv_id: x.chat for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(c.count("<|") == 2 and c.count("|>") - (i == 2) == 2 for i, c in chats.items())
+    assert chats[3] == "<||>\n\n<|end|>\n" and chats[1].startswith("<|user   hi")
+
+
+def test_chats_render_in_order(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    held = {}
+    for x in {(x.conv_id, x.turn, x.role, x.text) for x in rows}:
+        held.setdefault(x[0], []).append(x[1:])
+    for x in q.op9_chat(spark, sf).collect():
+        assert x.chat == "".join(f"<|{r}|>\n{(t or '').replace('<|', '< |')}\n<|end|>\n" for _, r, t in sorted(held[x.conv_id]))
+
+
+def test_passages_with_ids_that_are_no_numbers(spark):
+    r = random.Random(12)
+    base = words(r, 80)
+    rows = [("b", " ".join(base + words(r, 30))), ("a", " ".join(words(r, 40) + base)), (None, " ".join(words(r, 9) + base))]
+    got = {x.id: (x.first, x.end, x.from_id) for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"b": (0, 80, "a"), None: (9, 89, "a")}
+
+
+def test_passages_with_dropped_and_added_words(spark):
+    r, rows, want = random.Random(14), {}, {}
+    for i in range(120):
+        base, near = [f"p{i}x{k}" for k in range(60 if i % 2 else 100)], []
+        for k, w in enumerate(base):
+            kind = r.randrange(3) if r.random() < 0.1 else None
+            near += {0: [f"new{k}"], 1: [], 2: [w, f"more{k}"]}.get(kind, [w])
+        before = words(r, r.randrange(120))
+        rows[i], rows[1000 + i] = words(r, 60) + base + words(r, 60), before + near + words(r, r.randrange(120))
+        want[1000 + i] = (len(before), len(before) + len(near))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    got = {x.id: x for x in passages.repeated_passages(df).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all(got[i].first >= want[i][0] and got[i].end <= want[i][1] and got[i].end - got[i].first >= 0.8 * (want[i][1] - want[i][0]) for i in got)
+
+
+def test_line_dedup_carries_fewer_rows_than_lines(spark, sf):
+    texts = [x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    lines = sum(1 for t in texts for x in t.split("\n") if x.strip(" \t\r\x0b\x0c"))
+    assert sum(len(line_dedup.selected(t.encode(), 3)) for t in texts) < 0.65 * lines
+
+
+def test_winnowed_lines_select_every_window_once():
+    r = random.Random(5)
+    for _ in range(300):
+        text = "\n".join(r.choice("abcd") for _ in range(r.randrange(12))).encode()
+        found = line_dedup.selected(text, 3)
+        assert sorted(at[first - 1] for _, _, at, spans in found for first, _ in spans) == list(range(max(0, len(text.split(b"\n")) - 2 if text else 0)))
