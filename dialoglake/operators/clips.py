@@ -69,9 +69,11 @@ def score_windows(windows: DataFrame, options: ClipOptions = ClipOptions()) -> D
     return windows.withColumn("score", score)
 
 
-def select_clip_pair(scored: DataFrame) -> DataFrame:
+def select_clip_pair(scored: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
     """media_id, status, hard and calm: of all pairs of windows apart in time the largest difference of scores, the first such pair.
 
+    Recordings without two windows apart get 'no disjoint pair'; those of ``recordings`` (media_id) without any get 'no window'.
+
     A window's best partner is the highest or lowest later one that starts at its end or after: suffix extremes of the
     sorted line, read at the window's end, so no pairs are built.
     """
@@ -92,8 +94,11 @@ def select_clip_pair(scored: DataFrame) -> DataFrame:
     both = pairs.join(a, ["media_id", "i"]).join(b, ["media_id", "j"])
     first_hard = F.col("si") >= F.col("sj")
     chosen = both.select("media_id", F.when(first_hard, F.col("i")).otherwise(F.col("j")).alias("hard"), F.when(first_hard, F.col("j")).otherwise(F.col("i")).alias("calm"), "difference")
-    every = scored.select("media_id").distinct().join(chosen, "media_id", "left")
-    return every.withColumn("status", F.when(F.col("hard").isNull(), "no disjoint pair").otherwise("ok"))
+    every = scored.select("media_id", F.lit(True).alias("_some")).distinct()
+    if recordings is not None:
+        every = recordings.select("media_id").distinct().join(every, "media_id", "left")
+    status = F.when(F.col("_some").isNull(), "no window").when(F.col("hard").isNull(), "no disjoint pair").otherwise("ok")
+    return every.join(chosen, "media_id", "left").withColumn("status", status).drop("_some")
 
 
 def shift_entries(entries: DataFrame, keys: list[str], offset: str) -> DataFrame:

@@ -22,8 +22,13 @@ def fill_omitted_speakers(entries: DataFrame) -> DataFrame:
 
 
 def pair_keys(ours: list[str], theirs: list[str], least: float) -> list[tuple[int | None, int | None]]:
-    """Order-keeping pairs of two lists of texts: equal runs first, then in each gap the most alike that comes next, later of equals."""
+    """Order-keeping pairs of two lists of texts: equal runs first, then in each gap the most alike that comes next, later of equals.
+
+    Runs are found over all texts; the likeness of two texts leaves out characters that are frequent in a long second one,
+    as ``difflib`` does unless told otherwise. Two cheap upper bounds spare most of the full ratios.
+    """
     out: list[tuple[int | None, int | None]] = []
+    likeness = {}
     for tag, i0, i1, j0, j1 in difflib.SequenceMatcher(a=ours, b=theirs, autojunk=False).get_opcodes():
         if tag == "equal":
             out += zip(range(i0, i1), range(j0, j1), strict=True)
@@ -32,8 +37,10 @@ def pair_keys(ours: list[str], theirs: list[str], least: float) -> list[tuple[in
         for i in range(i0, i1):
             best, found = least, None
             for j in range(at, j1):
-                ratio = difflib.SequenceMatcher(a=ours[i], b=theirs[j], autojunk=False).ratio()
-                if ratio >= best:
+                if (pair := likeness.get(theirs[j])) is None:
+                    pair = likeness[theirs[j]] = difflib.SequenceMatcher(b=theirs[j])
+                pair.set_seq1(ours[i])
+                if pair.real_quick_ratio() >= best and pair.quick_ratio() >= best and (ratio := pair.ratio()) >= best:
                     best, found = ratio, j
             out.append((i, found))
             if found is not None:
@@ -62,8 +69,8 @@ def with_registration(rows: DataFrame, registered: DataFrame | None, speaker: st
     if registered is None:
         return rows.withColumn("registered", F.lit(True))
     names = registered.select(F.col("speaker").alias(speaker), F.lit(True).alias("_in")).distinct()
-    anyone = registered.select(F.count("*").alias("_n"))
-    met = rows.join(names, speaker, "left").crossJoin(anyone)  # one row: whether there is a list at all
+    anyone = F.broadcast(registered.select(F.count("*").alias("_n")))  # one row: whether there is a list at all
+    met = rows.join(names, speaker, "left").join(anyone)
     return met.withColumn("registered", F.coalesce("_in", F.lit(False)) | (F.col("_n") == 0)).drop("_in", "_n")
 
 
@@ -102,7 +109,9 @@ def in_point_accuracy(judged: DataFrame, tolerances: tuple[float, ...] = (TOLERA
 
 
 def confusion(judged: DataFrame) -> DataFrame:
-    return judged.groupBy("media_id", "gt_speaker", "app_speaker").agg(F.count("*").alias("count"))
+    """Pairs of speakers with their number and ``rank``: most first, then by name."""
+    counted = judged.groupBy("media_id", "gt_speaker", "app_speaker").agg(F.count("*").alias("count"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("count"), "gt_speaker", "app_speaker")))
 
 
 def appearing_speakers(reference: DataFrame, registered: DataFrame | None = None) -> DataFrame:

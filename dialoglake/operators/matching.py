@@ -13,7 +13,9 @@ from dialoglake.functions.text import length_weight, normalize_text
 from dialoglake.functions.timecode import seconds_to_time_str, time_str_to_seconds
 
 MAX_N, TOP_K, DIM = 3, 10, 256
+# The header of the correspondence table.
 COLUMNS = ["type", "script_start_id", "script_end_id", "script_speaker", "script_dialogue", "stt_start_id", "stt_end_id", "stt_speaker", "stt_text", "start_time", "end_time", "speaker", "subtitle_text"]
+# End of the fixed values.
 
 
 def ngrams(rows: DataFrame, text: str, max_n: int = MAX_N, by_speaker: bool = False, timed: bool = False) -> DataFrame:
@@ -40,16 +42,18 @@ def ngrams(rows: DataFrame, text: str, max_n: int = MAX_N, by_speaker: bool = Fa
 
 
 def hashed_trigrams(texts: list[str]) -> np.ndarray:
-    """The default encoder, offline: counts of hashed character 1- to 3-grams."""
-    out = np.zeros((len(texts), DIM))
-    for row, text in zip(out, texts, strict=True):
-        for n in (1, 2, 3):
-            for i in range(len(text) - n + 1):
-                h = 0
-                for c in text[i : i + n]:
-                    h = (h * 1_000_003 + ord(c) + n) & 0x7FFFFFFF
-                row[h % DIM] += 1
-    return out
+    """The default encoder, offline: counts of hashed character 1- to 3-grams. All texts of a batch are hashed at once."""
+    sizes = np.array([len(t) for t in texts])
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
+    row, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+    out = np.zeros(len(texts) * DIM)
+    for n in (1, 2, 3):
+        whole = np.flatnonzero(left >= n)  # places with n characters of the same text ahead
+        h = np.zeros(len(whole), "i8")
+        for k in range(n):
+            h = (h * 1_000_003 + flat[whole + k] + n) & 0x7FFFFFFF
+        out += np.bincount(row[whole] * DIM + h % DIM, minlength=len(out))
+    return out.reshape(len(texts), DIM)
 
 
 def encode_texts(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed_trigrams, text: str = "normalized_text") -> DataFrame:
@@ -67,27 +71,38 @@ def encode_texts(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray] = h
     return rows.mapInPandas(run, schema)
 
 
-def knn_join(queries: DataFrame, index: DataFrame, k: int = TOP_K, block: int = 4096) -> DataFrame:
+def knn_join(queries: DataFrame, index: DataFrame, k: int = TOP_K, block: int = 2048) -> DataFrame:
     """Exact inner-product neighbours inside each recording. Both: media_id, ngram_id, vec. -> media_id, script_ngram_id, stt_ngram_id, rank, similarity.
 
-    Query blocks of a recording are dealt to different tasks; ties go to the smaller id.
+    A recording's queries and index rows are cut into blocks by their number; every pair of blocks is one tile of at most
+    ``block`` by ``block`` products that keeps its k best a query, and lists are merged by query. Ties go to the smaller id.
     """
     kind = queries.schema["media_id"].dataType.simpleString()
 
     def top(_, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        names = ["media_id", "script_ngram_id", "stt_ngram_id", "rank", "similarity"]
-        if not len(q) or not len(x):
-            return pd.DataFrame(columns=names)
         x = x.sort_values("ngram_id")
         ids, sims = x["ngram_id"].to_numpy(), np.stack(q["vec"].to_list()) @ np.stack(x["vec"].to_list()).T
-        n = min(k, len(ids))
-        order = np.argsort(-np.round(sims, 12), axis=1, kind="stable")[:, :n]
-        return pd.DataFrame({"media_id": np.repeat(q["media_id"].to_numpy(), n), "script_ngram_id": np.repeat(q["ngram_id"].to_numpy(), n), "stt_ngram_id": ids[order].ravel(), "rank": np.tile(np.arange(n), len(q)), "similarity": np.take_along_axis(sims, order, 1).ravel()})
+        keys, n = -np.round(sims, 12), min(k, len(ids))
+        if len(ids) > 4 * n:  # the n best and all that tie with the last of them
+            bar = np.partition(keys, n - 1, axis=1)[:, n - 1]
+            order = np.stack([(near := np.flatnonzero(row <= b))[np.argsort(row[near], kind="stable")[:n]] for row, b in zip(keys, bar, strict=True)])
+        else:
+            order = np.argsort(keys, axis=1, kind="stable")[:, :n]
+        return pd.DataFrame({"media_id": np.repeat(q["media_id"].to_numpy(), n), "script_ngram_id": np.repeat(q["ngram_id"].to_numpy(), n), "stt_ngram_id": ids[order].ravel(), "similarity": np.take_along_axis(sims, order, 1).ravel()})
+
+    def blocks(df: DataFrame, own: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(c) for c in ("media_id", "ngram_id", "vec")], F.floor(F.col("ngram_id") / block).alias(own))
+
+    def meet(df: DataFrame, own: str, others: DataFrame, other: str) -> DataFrame:
+        numbers = others.groupBy("media_id").agg(F.collect_set(other).alias("_met"))
+        return df.join(numbers, "media_id").select("*", F.explode("_met").alias(other)).drop("_met")
 
-    dealt = queries.withColumn("block", F.floor(F.col("ngram_id") / block))
-    blocks = dealt.select(F.col("media_id").alias("media_id"), F.col("block").alias("block")).distinct()
-    index = index.select(*[F.col(c).alias(c) for c in ("media_id", "ngram_id", "vec")])
-    return dealt.groupBy("media_id", "block").cogroup(index.join(blocks, "media_id").groupBy("media_id", "block")).applyInPandas(top, f"media_id {kind}, script_ngram_id long, stt_ngram_id long, rank int, similarity double")
+    q, x, key = blocks(queries, "qb"), blocks(index, "xb"), ["media_id", "qb", "xb"]
+    tiles = meet(q, "qb", x, "xb").groupBy(*key).cogroup(meet(x, "xb", q, "qb").groupBy(*key))
+    found = tiles.applyInPandas(top, f"media_id {kind}, script_ngram_id long, stt_ngram_id long, similarity double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 12)).alias("less"), "stt_ngram_id", "similarity"))), 1, k)
+    lists = found.groupBy("media_id", "script_ngram_id").agg(best.alias("best"))
+    return lists.select("media_id", "script_ngram_id", F.posexplode("best").alias("rank", "hit")).select("media_id", "script_ngram_id", "hit.stt_ngram_id", "rank", "hit.similarity")
 
 
 def candidate_pairs(neighbours: DataFrame, script: DataFrame, stt: DataFrame) -> DataFrame:
@@ -213,15 +228,13 @@ def fill_unmatched_times(rows: DataFrame) -> DataFrame:
     run = Window.partitionBy("media_id", "_run", timed)
     rows = rows.withColumn("_a", F.coalesce(before, F.lit(0.0))).withColumn("_b", F.coalesce(after, "_a"))
     rows = rows.withColumn("_k", F.row_number().over(run.orderBy("row_no"))).withColumn("_size", F.count("*").over(run))
-    step = F.col("_chunk")
     rows = rows.withColumn("_chunk", (F.col("_b") - F.col("_a")) / F.col("_size"))
-
-    def after_steps(k):  # added one by one, as floats round
-        return F.when(k > 0, F.aggregate(F.array_repeat(step, k.cast("int")), F.col("_a"), lambda s, x: s + x)).otherwise(F.col("_a"))
-
+    # A running sum along the run: chunks are added one by one, as floats round.
+    step = F.when(F.col("_k") == 1, F.col("_a")).otherwise(F.col("_chunk"))
+    rows = rows.withColumn("_at", F.sum(step).over(run.orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     gap = F.col("_b") > F.col("_a")
-    start = F.when(gap, after_steps(F.col("_k") - 1)).otherwise(F.col("_a"))
-    end = F.when(gap & (F.col("_k") < F.col("_size")), after_steps(F.col("_k"))).otherwise(F.col("_b"))
+    start = F.when(gap, F.col("_at")).otherwise(F.col("_a"))
+    end = F.when(gap & (F.col("_k") < F.col("_size")), F.col("_at") + F.col("_chunk")).otherwise(F.col("_b"))
     filled = rows.withColumn("start_time", F.when(timed, F.col("start_time")).otherwise(seconds_to_time_str(start)))
     filled = filled.withColumn("end_time", F.when(timed, F.col("end_time")).otherwise(seconds_to_time_str(end)))
     return filled.select("media_id", "row_no", *COLUMNS)

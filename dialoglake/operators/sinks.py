@@ -44,10 +44,10 @@ def _srt(number: Column, start: Column, end: Column, text: Column) -> Column:
 
 
 def usable_subtitle_rows(rows: DataFrame) -> DataFrame:
-    """Rows with start, end and text; the speaker may be blank."""
+    """Rows with start, end and text, white space alone being content; the speaker may be blank."""
     good = F.lit(True)
     for c in ("start_time", "end_time", "subtitle_text"):
-        good = good & (strip(F.coalesce(c, F.lit(""))) != "")
+        good = good & (F.coalesce(c, F.lit("")) != "")
     return rows.where(good)
 
 
@@ -65,16 +65,16 @@ def render_subtitles(rows: DataFrame, order: str = "row_no") -> DataFrame:
 
 
 def render_transcript_srt(rows: DataFrame) -> DataFrame:
-    """Transcript rows -> ``[speaker] text`` subtitles, numbered over the rows that have start, end and text."""
-    good = rows.where("coalesce(start, '') <> '' and coalesce(end, '') <> '' and coalesce(text, '') <> ''")
-    numbered = good.withColumn("_n", F.row_number().over(Window.partitionBy("media_id").orderBy("seq")))
-    text = F.concat(F.lit("["), F.col("speaker"), F.lit("] "), F.col("text"))
+    """Transcript rows -> ``[speaker] text`` subtitles, numbered over the rows that have start, end and text; a blank or null speaker gives the text alone."""
+    bare = rows.withColumns({c: strip(F.coalesce(c, F.lit(""))) for c in ("start", "end", "speaker", "text")})
+    numbered = bare.where("start <> '' and end <> '' and text <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("media_id").orderBy("seq")))
+    text = F.concat(F.when(F.col("speaker") != "", F.concat(F.lit("["), F.col("speaker"), F.lit("] "))).otherwise(""), F.col("text"))
     return _document(numbered, "_n", _srt(F.col("_n"), colon_ms_to_comma_ms(F.col("start")), colon_ms_to_comma_ms(F.col("end")), text))
 
 
 def render_clip_srt(entries: DataFrame) -> DataFrame:
-    """Clip entries -> subtitles with their raw text, or with labels and body put together again."""
-    marks = F.array_join(F.transform(F.concat("speakers", "non_speech_labels"), lambda x: F.concat(F.lit("（"), x, F.lit("）"))), "")
+    """Clip entries -> subtitles with their raw text, or with speakers (no sounds) and body put together again."""
+    marks = F.array_join(F.transform("speakers", lambda x: F.concat(F.lit("（"), x, F.lit("）"))), "")
     text = F.coalesce(F.nullif(F.col("raw_text"), F.lit("")), F.concat(marks, F.coalesce("body", F.lit(""))))
     return _document(entries, "index", _srt(F.col("index"), seconds_to_time_str(F.col("start")), seconds_to_time_str(F.col("end")), text))
 

@@ -58,11 +58,13 @@ def distances(clusters: DataFrame, registry: DataFrame) -> DataFrame:
     """Every cluster with every registered voice: matrix products of cluster batches with registry blocks.
 
     The registry is packed into blocks of at most ``REGISTRY_BLOCK`` voices, one row each, so the clusters meet a few rows.
-    -> media_id, cluster_id, candidates (array of struct distance, reg_order, speaker) per block.
+    -> media_id, cluster_id, candidates (array of struct distance, reg_order, speaker) per block, one for each name.
     """
     kind = clusters.schema["media_id"].dataType.simpleString()
     reg = registry.select("speaker", "reg_order", l2_normalize(F.col("embedding")).alias("v")).where("v is not null")
-    number = F.pmod(F.xxhash64("speaker"), F.lit(max(1, -(-reg.count() // REGISTRY_BLOCK))))
+    # Dealt by all that a row holds, at three quarters of a block's size, so that repeated names spread too and none overflows.
+    blocks = max(1, -(-4 * reg.count() // (3 * REGISTRY_BLOCK)))
+    number = F.pmod(F.xxhash64("speaker", "reg_order", "v"), F.lit(blocks))
     packed = reg.groupBy(number.alias("block")).agg(F.array_sort(F.collect_list(F.struct("reg_order", "speaker", "v"))).alias("voices"))
     rows = clusters.select("media_id", "cluster_id", l2_normalize(F.col("embedding")).alias("v")).where("v is not null")
 
@@ -73,11 +75,12 @@ def distances(clusters: DataFrame, registry: DataFrame) -> DataFrame:
             for media, cluster, v, block, voices in zip(frame["media_id"], frame["cluster_id"], frame["v"], frame["block"], frame["voices"], strict=True):
                 if block != at:
                     at, orders, names, mat = block, [x["reg_order"] for x in voices], [x["speaker"] for x in voices], np.array([x["v"] for x in voices])
-                d = 1 - mat @ np.asarray(v)
-                out.append((media, cluster, [{"distance": float(x), "reg_order": o, "speaker": s} for x, o, s in zip(d, orders, names, strict=True)]))
+                found = sorted(zip((1 - mat @ np.asarray(v)).tolist(), orders, names, strict=True))
+                nearest = {s: {"distance": x, "reg_order": o, "speaker": s} for x, o, s in reversed(found)}  # of a name's voices the nearest
+                out.append((media, cluster, list(nearest.values())))
             yield pd.DataFrame(out, columns=["media_id", "cluster_id", "candidates"])
 
-    tiles = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, packed.count() - 1)).cast("long")))).join(packed, "block")
+    tiles = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block")
     return tiles.mapInPandas(product, f"media_id {kind}, cluster_id string, candidates array<struct<distance:double,reg_order:long,speaker:string>>")
 
 
@@ -93,7 +96,10 @@ def identify(clusters: DataFrame, registry: DataFrame, threshold: float = 0.5) -
     hit = F.coalesce(best["distance"] <= threshold, F.lit(False))
     named = met.withColumn("hit", hit).withColumn("failed", F.coalesce(l2_normalize(F.col("embedding")).isNull(), F.lit(True)))
     named = number_unknowns(named.withColumn("speaker", F.when(F.col("hit"), best["speaker"])))
-    by_name = F.map_from_entries(F.transform("c", lambda x: F.struct(x["speaker"], x["distance"])))
+    # A name may have voices in several blocks; sorted by distance, its first is the nearest.
+    names = F.col("c.speaker")
+    once = F.when(F.size(F.array_distinct(names)) == F.size(names), F.col("c")).otherwise(F.filter("c", lambda x, i: F.array_position(names, x["speaker"]) == i + 1))
+    by_name = F.map_from_entries(F.transform(once, lambda x: F.struct(x["speaker"], x["distance"])))
     return named.select("media_id", "cluster_id", "speaker", best["distance"].alias("distance"), by_name.alias("candidates"))
 
 
@@ -143,9 +149,11 @@ def rematch_unknowns(clusters: DataFrame, registry: DataFrame, labelled: DataFra
 def missing_embeddings(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (namespace, path, content) against the cache (namespace, content_sha256, embedding) -> hits, and one file of each missing content."""
     hashed = files.withColumn("content_sha256", F.sha2("content", 256))
-    hits = hashed.drop("content").join(cache, ["namespace", "content_sha256"])
-    first = Window.partitionBy("namespace", "content_sha256").orderBy("path")
-    misses = hashed.join(cache, ["namespace", "content_sha256"], "left_anti").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    names = hashed.drop("content")
+    hits = names.join(cache, ["namespace", "content_sha256"])
+    # Contents don't travel while the files to read are found; only those are fetched.
+    first = names.join(cache, ["namespace", "content_sha256"], "left_anti").groupBy("namespace", "content_sha256").agg(F.min("path").alias("path"))
+    misses = hashed.join(first, ["namespace", "content_sha256", "path"], "left_semi").dropDuplicates(["namespace", "content_sha256"])
     return hits, misses
 
 

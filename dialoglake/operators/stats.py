@@ -14,7 +14,7 @@ def is_speech() -> Column:
 
 
 def first_speaker() -> Column:
-    return F.coalesce(strip(F.try_element_at("speakers", F.lit(1))), F.lit(""))
+    return F.coalesce(strip(F.get("speakers", F.lit(0))), F.lit(""))
 
 
 def speaker_changes(entries: DataFrame, keys: list[str], order: str = "entry_no") -> DataFrame:

@@ -101,10 +101,21 @@ def f3_meaningful(spark: SparkSession, sf: str) -> DataFrame:
     return src.lines(spark, sf).select("media_id", F.col("seq").cast("long").alias("seq"), tx.is_meaningful(F.col("text")).alias("meaningful"))
 
 
-@query()
+PLAIN_TEXT = "trim(translate(text, '()[]（）［］' || chr(10), '         '))"
+
+
+@query(f"""WITH {UTT}, p AS (SELECT media_id, seq, speaker, {PLAIN_TEXT} AS t FROM utt)
+SELECT media_id, seq, [speaker, '（a）b'] AS speakers, ['music', '効果音'] AS non_speech_labels, t AS body, {NORM.format("'   ' || t || '   '")} AS key,
+['x' || speaker, speaker] AS square_speakers, ['拍手'] AS square_sounds, t || '[note](n)' AS square_body FROM p""")
 def sc7_9_labels(spark: SparkSession, sf: str) -> DataFrame:
-    said = src.utterances(spark, sf).withColumn("raw", F.concat(F.lit("（"), "speaker", F.lit("） "), "text", F.lit(" [music] （（a）b）")))
-    return said.select("media_id", "seq", tx.split_labels(F.col("raw")).alias("l"), tx.match_key(F.col("raw")).alias("key")).select("media_id", "seq", "l.*", "key")
+    plain = F.trim(F.translate("text", "()[]（）［］\n", " " * 9))
+    said = src.utterances(spark, sf).withColumn("text", plain)
+    round_ = F.concat(F.lit("（"), "speaker", F.lit("） "), "text", F.lit(" [music] （（a）b）\n（効果音）"))
+    square = F.concat(F.lit("[x"), "speaker", F.lit("]（"), "speaker", F.lit("] "), "text", F.lit("[note](n) [拍手)"))
+    key = F.concat(F.lit("（"), "speaker", F.lit("）[a]"), "text", F.lit("[music](a(b)c)"))
+    mode = tx.split_labels(square, tx.LabelRules(square_is_speaker=True)).alias("s")
+    rows = said.select("media_id", "seq", tx.split_labels(round_).alias("l"), tx.match_key(key).alias("key"), mode)
+    return rows.select("media_id", "seq", "l.*", "key", F.col("s.speakers").alias("square_speakers"), F.col("s.non_speech_labels").alias("square_sounds"), F.col("s.body").alias("square_body"))
 
 
 # ---- sources
@@ -171,28 +182,23 @@ def src4_script_dialogue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Stock phrases, and the first line of every tenth benchmark passage."""
-    more = src.table(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.split("text", "\n")[0].alias("value"))
-    return files.load_phrases(spark, more)
+    """Stock phrases, and every line of the benchmark passages."""
+    return files.load_phrases(spark, src.table(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("value")))
 
 
-@query(f"""WITH ph AS (SELECT DISTINCT {REPEAT_NORM.format("string_split(text, chr(10))[1]")} AS norm FROM benchmark WHERE item_id % 10 = 0),
-l AS (SELECT doc_id AS media_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
-n AS (SELECT *, {REPEAT_NORM.format('text')} AS norm FROM l),
+STOCK = ", ".join(f"('{p}')" for p in files.STOCK_PHRASES)
+REASONS = f"""n AS (SELECT *, {REPEAT_NORM.format('text')} AS norm FROM l),
 u AS (SELECT *, CASE WHEN trim(text) = '' THEN 'blank' WHEN norm = '' THEN NULL WHEN norm IN (SELECT norm FROM ph) THEN 'phrase'
   WHEN list_bool_or([length(norm) // k >= 3 AND length(norm) % k = 0 AND repeat(norm[1:k], length(norm) // k) = norm FOR k IN [1, 2, 3, 4]]) THEN 'repeat' END AS r FROM n),
-d AS (SELECT *, lag(norm) OVER (PARTITION BY media_id, r IS NULL AND norm <> '' ORDER BY seq) AS before FROM u)
-SELECT media_id, seq, text, CASE WHEN r IS NULL AND norm <> '' AND norm = before THEN 'duplicate' ELSE r END AS reason FROM d""")
-def f6_w3_hallucinations(spark: SparkSession, sf: str) -> DataFrame:
-    marked = cleaning.mark_hallucinations(src.lines(spark, sf), _phrases(spark, sf))
-    return marked.select("media_id", F.col("seq").cast("long").alias("seq"), "text", "reason")
+d AS (SELECT *, lag(norm) OVER (PARTITION BY media_id, r IS NULL AND norm <> '' ORDER BY seq) AS before FROM u),
+rs AS (SELECT * EXCLUDE (norm, r, before), CASE WHEN r IS NULL AND norm <> '' AND norm = before THEN 'duplicate' ELSE r END AS reason FROM d)"""
 
 
-@query()
-def f6_w3_hallucinations_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As above, with every line of every benchmark item as a phrase."""
-    every = src.table(spark, sf, "benchmark").select(F.explode(F.split("text", "\n")).alias("value"))
-    marked = cleaning.mark_hallucinations(src.lines(spark, sf), files.load_phrases(spark, every))
+@query(f"""WITH pl AS (SELECT trim(unnest(string_split(text, chr(10)))) AS p FROM benchmark UNION ALL VALUES {STOCK}),
+ph AS (SELECT DISTINCT {REPEAT_NORM.format("p")} AS norm FROM pl WHERE p <> '' AND NOT starts_with(p, '#')),
+l AS (SELECT doc_id AS media_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents), {REASONS} FROM rs""")
+def f6_w3_hallucinations(spark: SparkSession, sf: str) -> DataFrame:
+    marked = cleaning.mark_hallucinations(src.lines(spark, sf), _phrases(spark, sf))
     return marked.select("media_id", F.col("seq").cast("long").alias("seq"), "text", "reason")
 
 
@@ -221,9 +227,23 @@ def j2_resolved_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.transcript_rows(rows)
 
 
-@query()
+def _cluster_voices(spark: SparkSession, sf: str) -> DataFrame:
+    """A voice for most clusters of the turns: every recording's cluster takes a vector that isn't registered, some find none."""
+    named = src.turns(spark, sf).select("media_id", "cluster_id").distinct()
+    vectors = src.voiceprints(spark, sf)[1].select(F.substring("cluster_id", 2, 9).cast("long").alias("vec_id"), "embedding")
+    number = (F.unix_date(F.to_date("media_id")) * 5 + F.substring("cluster_id", 2, 9).cast("int")) % 61
+    return named.withColumn("vec_id", number.cast("long")).join(vectors, "vec_id").drop("vec_id")
+
+
+@query(f"""WITH {EVT}, {VOICE.replace("clu AS (SELECT vec_id % 20 AS media_id, printf('c%08d', vec_id) AS cluster_id, embedding FROM embeddings ANTI JOIN first USING (label, vec_id))",
+"clu AS (SELECT DISTINCT t.media_id, t.cluster_id, e.embedding FROM turns t JOIN (FROM embeddings ANTI JOIN first USING (label, vec_id)) e ON e.vec_id = ((t.media_id::DATE - DATE '1970-01-01') * 5 + t.cluster_id[2:]::INT) % 61)").replace("ORDER BY cluster_id)) END AS speaker", "ORDER BY cluster_id) + CASE WHEN distance <= 0.8 THEN 0 ELSE (SELECT count(*) FROM novoice v WHERE v.media_id = best.media_id) END) END AS speaker").replace("named AS (", "novoice AS (SELECT DISTINCT media_id, cluster_id FROM turns ANTI JOIN clu USING (media_id, cluster_id)), named AS (")},
+who AS (SELECT media_id, cluster_id, speaker, distance FROM named UNION ALL SELECT media_id, cluster_id, 'Unknown_' || printf('%02d', row_number() OVER (PARTITION BY media_id ORDER BY cluster_id)), NULL FROM novoice),
+ph AS (SELECT {REPEAT_NORM.format("p")} AS norm FROM (VALUES {STOCK}) t(p)), l AS (FROM segs), {REASONS}, {DOMINANT}
+SELECT s.media_id, s.seq, {even_sql('s.start')} AS start, {even_sql('s."end"')} AS "end", s.text, CASE WHEN dom.cluster_id IS NULL THEN 'Unknown' ELSE speaker END AS speaker, coalesce(printf('%.6f', distance), '') AS cosine_distance
+FROM rs s LEFT JOIN dom USING (media_id, seq) LEFT JOIN who ON who.media_id = s.media_id AND who.cluster_id = dom.cluster_id WHERE reason IS NULL""")
 def job1_build_transcripts(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.build_transcripts(src.segments(spark, sf), src.turns(spark, sf), None, None, files.load_phrases(spark))["transcript"]
+    registry, _ = src.voiceprints(spark, sf)
+    return jobs.build_transcripts(src.segments(spark, sf), src.turns(spark, sf), _cluster_voices(spark, sf), registry, files.load_phrases(spark), 0.8)["transcript"]
 
 
 @query(f"WITH {VOICE} SELECT media_id, cluster_id, speaker, round(distance, 6) AS distance FROM named")
@@ -276,6 +296,23 @@ def j17_upsert_voiceprints(spark: SparkSession, sf: str) -> DataFrame:
     return speakers.upsert_voiceprints(old, e.withColumn("seq", F.col("version")).unionByName(bad))
 
 
+@query("""WITH r AS (SELECT DISTINCT 'db' || (label % 3)::VARCHAR AS db, printf('speaker_%05d', label) AS speaker FROM embeddings)
+SELECT db, CASE WHEN db = 'db1' AND speaker = 'speaker_00001' THEN 'Chair' ELSE speaker END AS speaker FROM r""")
+def j17_rename_speaker(spark: SparkSession, sf: str) -> DataFrame:
+    e = src.table(spark, sf, "embeddings").select(F.concat(F.lit("db"), (F.col("label") % 3).cast("string")).alias("db"), F.format_string("speaker_%05d", "label").alias("speaker")).distinct()
+    return speakers.rename_speaker(e, "db1", "speaker_00001", "Chair")
+
+
+@query("""WITH f AS (SELECT page_id, 'db' || (page_id % 3)::VARCHAR AS db, CASE WHEN page_id % 50 = 7 THEN '' ELSE 'v' || (page_id // 2)::VARCHAR END AS speaker FROM pages WHERE page_id % 4 <> 3)
+SELECT page_id AS size, db, speaker, CASE WHEN speaker = '' THEN 'no name' WHEN count(*) OVER (PARTITION BY db, speaker) > 1 THEN 'duplicate' END AS problem FROM f""")
+def src7_scan_voice_files(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("page_id")
+    ending = F.when(n % 4 == 3, ".txt").when(n % 4 == 1, ".WAV").otherwise(".flac")
+    name = F.when(n % 50 == 7, "").otherwise(F.concat(F.lit("v"), F.floor(n / 2).cast("string")))
+    listed = src.table(spark, sf, "pages").select(F.concat(F.lit("file:/voices/db"), (n % 3).cast("string"), F.lit("/"), name, ending).alias("path"), n.alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
+    return files.scan_voice_files(listed).select("size", "db", "speaker", "problem")
+
+
 @query("SELECT 'db' || (label % 3)::VARCHAR AS db, count(DISTINCT label) AS speakers FROM embeddings GROUP BY ALL")
 def g15_database_summary(spark: SparkSession, sf: str) -> DataFrame:
     e = src.table(spark, sf, "embeddings").select(F.concat(F.lit("db"), (F.col("label") % 3).cast("string")).alias("db"), F.col("label").alias("speaker")).distinct()
@@ -333,6 +370,12 @@ def g12_ms_precision_audit(spark: SparkSession, sf: str) -> DataFrame:
     return stats.ms_precision_audit(src.segments(spark, sf).withColumn("start", F.col("start") + 0.0001 * (F.col("seq") % 3)))
 
 
+@query(f"""WITH {EVT}, t AS (SELECT media_id, seq, unnest(['start', 'end']) AS edge, unnest([start + 0.0001 * (seq % 3), "end"]) AS t FROM segs) SELECT media_id, seq, edge, round(t, 6) AS t FROM t WHERE abs(t * 1000 - round_even(t * 1000, 0)) > 1e-6""")
+def g12_ms_precision_violations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.segments(spark, sf).withColumn("start", F.col("start") + 0.0001 * (F.col("seq") % 3))
+    return stats.ms_precision_violations(rows).withColumn("t", F.round("t", 6))
+
+
 @query("""WITH a AS (SELECT doc_id % 20 AS media_id, unnest(string_split(text, chr(10))) AS l FROM documents), b AS (SELECT media_id, count(*) AS lines FROM a WHERE trim(l) <> '' GROUP BY ALL),
 c AS (SELECT user_id % 20 AS media_id, count(*) AS utterances FROM events WHERE NOT (event_id % 11 = 0 AND event_id % 7 <> 0 AND trim(props) = '') GROUP BY ALL)
 SELECT media_id, coalesce(lines, 0) AS lines, coalesce(utterances, 0) AS utterances, coalesce(lines, 0) = coalesce(utterances, 0) AS same FROM b FULL JOIN c USING (media_id)""")
@@ -389,27 +432,24 @@ def j9_select_clip_pair(spark: SparkSession, sf: str) -> DataFrame:
     return clips.select_clip_pair(_scored(spark, sf)).select("media_id", F.round("difference", 6).alias("difference"), "status")
 
 
-@query()
+@query(f"""WITH {ENT}, {WIN}, {WVAR.replace("wvs AS (SELECT media_id, window_no, count(*) AS n,", 'wvs AS (SELECT media_id, window_no, sum(greatest(0, "end" - start)) AS secs, count(*) AS n,').replace("SELECT w.*, n, two,", "SELECT w.*, n, two, secs, changes,")},
+pr AS (SELECT a.media_id, a.window_no AS i, b.window_no AS j, a.score AS si, b.score AS sj FROM sc a JOIN sc b ON a.media_id = b.media_id AND a.window_no < b.window_no AND b.start >= a."end" - 1e-6),
+ch AS (SELECT media_id, arg_max((i, j, si, sj), (round(abs(si - sj), 9), -i, -j)) AS p FROM pr GROUP BY media_id),
+pk AS (SELECT media_id, 'hard' AS kind, CASE WHEN p[3] >= p[4] THEN p[1] ELSE p[2] END AS window_no FROM ch UNION ALL SELECT media_id, 'calm', CASE WHEN p[3] >= p[4] THEN p[2] ELSE p[1] END FROM ch)
+SELECT media_id, media_id::VARCHAR || '_' || kind AS name, kind, window_no, {even_sql('start')} AS start_tc, {even_sql('"end"')} AS end_tc, round(start, 3) AS start, round("end", 3) AS "end", round("end" - start, 6) AS duration, n AS utterance_count, speaker_count,
+changes AS speaker_change_count, round(cpm, 6) AS speaker_change_per_min, two AS overlap_entry_count, round(ratio, 6) AS overlap_entry_ratio, round(secs / ("end" - start), 6) AS speech_time_ratio, round(score, 6) AS score FROM pk JOIN sc USING (media_id, window_no)""")
 def job5_select_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.select_clips(src.entries(spark, sf), OPTIONS)["report"].drop("utterance_counts")
+    return jobs.select_clips(src.entries(spark, sf), OPTIONS)["report"].drop("utterance_counts").withColumns({c: F.round(c, 6) for c in ("duration", "speaker_change_per_min", "overlap_entry_ratio", "speech_time_ratio", "score")})
 
 
-@query(f"""WITH {ENT}, {WIN}, f AS (SELECT *, row_number() OVER (PARTITION BY media_id, window_no ORDER BY entry_no) AS index FROM mem WHERE window_no = 1)
-SELECT media_id, index, round(greatest(0, start - w_start), 6) AS start, round(greatest(0, "end" - w_start), 6) AS "end", printf('%.3f', w_start) AS cut FROM f""")
+@query(f"""WITH {ENT}, {WIN}, f AS (SELECT *, row_number() OVER (PARTITION BY media_id, window_no ORDER BY entry_no) AS index FROM mem)
+SELECT media_id, window_no::BIGINT AS window_no, index, round(greatest(0, start - w_start), 6) AS start, round(greatest(0, "end" - w_start), 6) AS "end", printf('%.3f', w_start) AS cut FROM f""")
 def f9_f10_shift_and_cut(spark: SparkSession, sf: str) -> DataFrame:
     e = src.entries(spark, sf)
-    first = clips.enumerate_windows(e, OPTIONS).where("window_no = 1")
-    moved = clips.shift_entries(clips.window_members(first, e), ["media_id", "window_no"], "w_start")
-    cuts = clips.clip_cut_list(first.withColumn("name", F.col("media_id").cast("string"))).select("media_id", F.col("start").alias("cut"))
-    return moved.join(cuts, "media_id").select("media_id", F.col("index").cast("long").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "cut")
-
-
-@query()
-def f9_f10_shift_and_cut_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As above, for every window."""
-    e = src.entries(spark, sf)
-    moved = clips.shift_entries(clips.window_members(clips.enumerate_windows(e, OPTIONS), e), ["media_id", "window_no"], "w_start")
-    return moved.select("media_id", F.col("window_no").cast("long").alias("window_no"), F.col("index").cast("long").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), F.format_string("%.3f", "w_start").alias("cut"))
+    windows = clips.enumerate_windows(e, OPTIONS).cache()
+    moved = clips.shift_entries(clips.window_members(windows, e), ["media_id", "window_no"], "w_start")
+    cuts = clips.clip_cut_list(windows.withColumn("name", F.format_string("%s %s", "media_id", "window_no"))).select("media_id", F.split("output", "[ .]")[1].cast("int").alias("window_no"), F.col("start").alias("cut"))
+    return moved.join(cuts, ["media_id", "window_no"]).select("media_id", F.col("window_no").cast("long").alias("window_no"), F.col("index").cast("long").alias("index"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "cut")
 
 
 @query(f"WITH {ENT}, {WIN}, {WVAR} SELECT media_id, max(two) = 0 AS no_overlap_signal FROM sc GROUP BY media_id")
@@ -511,15 +551,24 @@ def j11_u1_t4_correspondence(spark: SparkSession, sf: str) -> DataFrame:
     return _longs(t, "row_no", "script_start_id", "stt_start_id")
 
 
-@query(f"""WITH {GIVEN}, {CORR},
-fl AS (SELECT *, coalesce(last_value(CASE WHEN part = 1 THEN floor("end") + floor(("end" * 1000) % 1000) / 1000 END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS a,
-  first_value(CASE WHEN part = 1 THEN floor(start) + floor((start * 1000) % 1000) / 1000 END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b0, sum(part) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM rn WINDOW w AS (PARTITION BY media_id ORDER BY row_no)),
-f2 AS (SELECT *, coalesce(b0, a) AS b, count(*) OVER (PARTITION BY media_id, run, part) AS size, row_number() OVER (PARTITION BY media_id, run, part ORDER BY row_no) AS k FROM fl)
-SELECT media_id, row_no, round(CASE WHEN part = 1 THEN floor(start) + floor((start * 1000) % 1000) / 1000 WHEN b > a THEN a + (k - 1) * (b - a) / size ELSE a END, 1) AS start_s FROM f2 WHERE part = 0 AND b <= a OR part = 1""")
+def back_sql(sec: str) -> str:
+    """``time_str_to_seconds`` of ``seconds_to_time_str`` in SQL."""
+    text = f"{cut_sql(sec)}"
+    return f"({text}[1:2]::INTEGER * 3600.0::DOUBLE + {text}[4:5]::INTEGER * 60.0::DOUBLE + replace({text}[7:12], ',', '.')::DOUBLE)"
+
+
+FILLED = f"""fl AS (SELECT *, coalesce(last_value(CASE WHEN part = 1 THEN {back_sql('"end"')} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS a,
+  first_value(CASE WHEN part = 1 THEN {back_sql('start')} END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b0, sum(part) OVER (w ROWS UNBOUNDED PRECEDING) AS run FROM rn WINDOW w AS (PARTITION BY media_id ORDER BY row_no)),
+f2 AS (SELECT *, coalesce(b0, a) AS b, count(*) OVER (PARTITION BY media_id, run, part) AS size, row_number() OVER (PARTITION BY media_id, run, part ORDER BY row_no) AS k FROM fl),
+f3 AS (SELECT *, list_reduce([a] || list_transform(range(k - 1), lambda i: (b - a) / size), lambda x, y: x + y) AS pt FROM f2),
+ft AS (SELECT *, CASE WHEN part = 1 THEN {cut_sql('start')} WHEN b > a THEN {cut_sql('pt')} ELSE {cut_sql('a')} END AS start_time,
+  CASE WHEN part = 1 THEN {cut_sql('"end"')} WHEN b > a AND k < size THEN {cut_sql('(pt + (b - a) / size)')} ELSE {cut_sql('b')} END AS end_time FROM f3)"""
+
+
+@query(f"WITH {GIVEN}, {CORR}, {FILLED} SELECT media_id, row_no, start_time, end_time FROM ft")
 def w7_fill_unmatched_times(spark: SparkSession, sf: str) -> DataFrame:
     t = matching.correspondence(*_given(spark, sf))
-    start, end = tc.time_str_to_seconds(F.col("start_time")), tc.time_str_to_seconds(F.col("end_time"))
-    return t.where((F.col("type") != "Unmatched_Script") | (end <= start)).select("media_id", F.col("row_no").cast("long").alias("row_no"), F.round(start, 1).alias("start_s"))
+    return t.select("media_id", F.col("row_no").cast("long").alias("row_no"), "start_time", "end_time")
 
 
 @query(f"""WITH {GIVEN}, s AS (SELECT media_id, count(*) AS script_total FROM script GROUP BY ALL), t AS (SELECT media_id, count(*) AS stt_total FROM stt GROUP BY ALL), m AS (SELECT media_id, count(*) AS matches FROM mt GROUP BY ALL)
@@ -533,9 +582,12 @@ def job3_match_script(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.match_script(src.script_lines(spark, sf), src.stt_lines(spark, sf))["table"]
 
 
-@query()
+@query(f"""WITH {GIVEN}, {CORR}, {FILLED}, us0 AS (SELECT media_id, row_no, start_time, end_time, trim(speaker) AS who, subtitle_text AS text FROM ft WHERE start_time <> '' AND end_time <> '' AND subtitle_text <> ''),
+us1 AS (SELECT *, lag(nullif(who, '')) OVER w AS prev, row_number() OVER w AS n FROM us0 WINDOW w AS (PARTITION BY media_id ORDER BY row_no))
+SELECT media_id, string_agg(n::VARCHAR || chr(10) || start_time || ' --> ' || end_time || chr(10) || CASE WHEN who <> '' AND prev IS DISTINCT FROM who THEN '(' || who || ')' ELSE '' END || text || chr(10), chr(10) ORDER BY n) AS document FROM us1 GROUP BY media_id""")
 def job4_export_subtitles(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.export_subtitles(matching.correspondence(*_given(spark, sf)))
+    matched, script, stt = _given(spark, sf)
+    return jobs.export_subtitles(matching.correspondence(matched.cache(), script, stt))
 
 
 # ---- evaluation
@@ -586,7 +638,7 @@ def g6_in_point_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.in_point_accuracy(_judged(spark, sf), (0.3, 0.6, 1.0)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"WITH {TRACKS} SELECT media_id, gt_speaker, app_speaker, count(*) AS count FROM jd GROUP BY ALL")
+@query(f"WITH {TRACKS} SELECT media_id, gt_speaker, app_speaker, count(*) AS count, row_number() OVER (PARTITION BY media_id ORDER BY count(*) DESC, gt_speaker, app_speaker)::INTEGER AS rank FROM jd GROUP BY media_id, gt_speaker, app_speaker")
 def g7_confusion(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.confusion(_judged(spark, sf))
 
@@ -618,9 +670,12 @@ def job6_g16_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
 # ---- documents that go out
 
 
-@query(f"""WITH {UTT} SELECT media_id, string_agg((seq + 1)::VARCHAR || chr(10) || replace({even_sql('start')}[1:8], ':', ':') || ',' || {even_sql('start')}[10:12] || ' --> ' || {even_sql('"end"')}[1:8] || ',' || {even_sql('"end"')}[10:12] || chr(10) || '[' || speaker || '] ' || text || chr(10), chr(10) ORDER BY seq) AS document FROM utt GROUP BY media_id""")
+@query(f"""WITH {UTT}, t AS (SELECT media_id, seq, start, "end", CASE seq % 4 WHEN 2 THEN '  ' WHEN 3 THEN NULL ELSE speaker || ' ' END AS who, CASE WHEN seq % 6 = 5 THEN '  ' ELSE ' ' || text || ' ' END AS said FROM utt),
+r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS n, trim(coalesce(who, '')) AS name FROM t WHERE trim(said) <> '')
+SELECT media_id, string_agg(n::VARCHAR || chr(10) || replace({even_sql('start')}[1:8], ':', ':') || ',' || {even_sql('start')}[10:12] || ' --> ' || {even_sql('"end"')}[1:8] || ',' || {even_sql('"end"')}[10:12] || chr(10) || CASE WHEN name <> '' THEN '[' || name || '] ' ELSE '' END || regexp_replace(said, '^\\s+|\\s+$', '', 'g') || chr(10), chr(10) ORDER BY n) AS document FROM r GROUP BY media_id""")
 def snk4_transcript_srt(spark: SparkSession, sf: str) -> DataFrame:
-    u = src.utterances(spark, sf).withColumn("distance", F.lit(None).cast("double"))
+    u, seq = src.utterances(spark, sf).withColumn("distance", F.lit(None).cast("double")), F.col("seq")
+    u = u.withColumn("speaker", F.when(seq % 4 == 2, "  ").when(seq % 4 != 3, F.concat("speaker", F.lit(" ")))).withColumn("text", F.when(seq % 6 == 5, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))))
     return sinks.render_transcript_srt(sinks.transcript_rows(u))
 
 
@@ -632,17 +687,10 @@ def snk3_f1_w8_sc15_subtitles(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.render_subtitles(rows)
 
 
-@query(f"""WITH {ENT} SELECT media_id, string_agg(entry_no::VARCHAR || chr(10) || {cut_sql('start')} || ' --> ' || {cut_sql('"end"')} || chr(10) || CASE WHEN entry_no % 2 = 0 THEN body ELSE array_to_string(list_transform(speakers, lambda s: '（' || s || '）'), '') || body END || chr(10), chr(10) ORDER BY entry_no) AS document FROM ent WHERE entry_no <= 50 GROUP BY media_id""")
+@query(f"""WITH {ENT} SELECT media_id, string_agg(entry_no::VARCHAR || chr(10) || {cut_sql('start')} || ' --> ' || {cut_sql('"end"')} || chr(10) || CASE WHEN entry_no % 2 = 0 THEN body ELSE array_to_string(list_transform(speakers, lambda s: '（' || s || '）'), '') || body END || chr(10), chr(10) ORDER BY entry_no) AS document FROM ent GROUP BY media_id""")
 def snk5_clip_srt(spark: SparkSession, sf: str) -> DataFrame:
-    e = src.entries(spark, sf).where("entry_no <= 50").withColumn("index", F.col("entry_no"))
-    return sinks.render_clip_srt(e.withColumn("non_speech_labels", F.array().cast("array<string>")).withColumn("raw_text", F.when(F.col("entry_no") % 2 == 0, F.col("body")).otherwise("")))
-
-
-@query()
-def snk5_clip_srt_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As above, for all entries of each track."""
     e = src.entries(spark, sf).withColumn("index", F.col("entry_no"))
-    return sinks.render_clip_srt(e.withColumn("non_speech_labels", F.array().cast("array<string>")).withColumn("raw_text", F.when(F.col("entry_no") % 2 == 0, F.col("body")).otherwise("")))
+    return sinks.render_clip_srt(e.withColumn("non_speech_labels", F.array(F.lit("拍手"))).withColumn("raw_text", F.when(F.col("entry_no") % 2 == 0, F.col("body")).otherwise("")))
 
 
 @query(f"""WITH {EVT}, r AS (SELECT *, CASE WHEN cluster_id <> 'c3' THEN 'Voice ' || cluster_id ELSE cluster_id END AS who FROM turns)
@@ -653,7 +701,10 @@ def snk6_rttm(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.render_rttm(t, names)
 
 
-@query()
+@query(f"""WITH {EVT}, {DOMINANT}, sj AS (SELECT media_id, '[' || string_agg('{{"start":' || s.start::VARCHAR || ',"end":' || s."end"::VARCHAR || ',"text":' || to_json(s.text)::VARCHAR || CASE WHEN cluster_id IS NULL THEN '' ELSE ',"cluster_id":"' || cluster_id || '"' END || '}}', ',' ORDER BY s.seq) || ']' AS j FROM segs s LEFT JOIN dom USING (media_id, seq) GROUP BY media_id),
+r AS (SELECT media_id, cluster_id, arg_max((start, "end"), (round("end" - start, 6), -start)) AS b FROM turns GROUP BY ALL),
+cj AS (SELECT media_id, '{{' || string_agg('"' || cluster_id || '":{{"start":' || b[1]::VARCHAR || ',"end":' || b[2]::VARCHAR || '}}', ',' ORDER BY cluster_id) || '}}' AS j, count(*) AS n FROM r GROUP BY media_id)
+SELECT media_id, '{{"segments":' || coalesce(sj.j, '[]') || coalesce(',"clusters":' || cj.j, '') || ',"num_speakers":' || coalesce(n, 0)::VARCHAR || '}}' AS document FROM sj FULL JOIN cj USING (media_id)""")
 def snk8_recording_document(spark: SparkSession, sf: str) -> DataFrame:
     t = src.turns(spark, sf)
     return sinks.recording_document(speakers.dominant_cluster(src.segments(spark, sf), t), speakers.representative_segment(t))
@@ -668,21 +719,26 @@ def snk9_unknown_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.unknown_cluster_manifest(named, reps).drop("distance", "candidates")
 
 
-@query()
+@query(f"""WITH {VOICE}, l AS (SELECT media_id, min(cluster_id) AS cluster_id FROM named WHERE speaker LIKE 'Unknown%' GROUP BY media_id),
+m AS (SELECT n.*, b.near, b.distance AS d, l.cluster_id IS NOT NULL AS host, l.cluster_id IS NULL AND n.speaker LIKE 'Unknown%' AND b.distance <= 0.9 AS auto FROM named n JOIN best b USING (media_id, cluster_id) LEFT JOIN l ON l.media_id = n.media_id AND l.cluster_id = n.cluster_id)
+SELECT media_id, '00:00:00:000' AS start, '00:00:01:000' AS "end", CASE WHEN host THEN 'Host' WHEN auto THEN near ELSE speaker END AS speaker, cluster_id AS text, CASE WHEN NOT host THEN round(CASE WHEN auto THEN d ELSE distance END, 6) END AS distance, host OR auto AS replaced FROM m""")
 def job2_label_and_rematch(spark: SparkSession, sf: str) -> DataFrame:
     registry, clusters = src.voiceprints(spark, sf)
     named = speakers.identify(clusters, registry, 0.8).join(clusters, ["media_id", "cluster_id"])
     rows = named.select("media_id", F.monotonically_increasing_id().alias("seq"), F.lit("00:00:00:000").alias("start"), F.lit("00:00:01:000").alias("end"), "speaker", F.col("cluster_id").alias("text"), "distance")
     labelled = named.where(tx.is_unknown(F.col("speaker"))).groupBy("media_id").agg(F.min("cluster_id").alias("cluster_id")).withColumn("name", F.lit("Host"))
-    return jobs.label_and_rematch(rows, named, registry, labelled, 0.9)["transcript"].drop("seq")
+    return jobs.label_and_rematch(rows, named, registry, labelled, 0.9)["transcript"].drop("seq").withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query("""WITH p AS (SELECT 's' || (page_id % 97)::VARCHAR AS speaker, regexp_replace(hex(encode(html)), '.(.)', '\\1', 'g') AS h, printf('%012d', page_id) AS path FROM pages),
+c AS (SELECT speaker, path, list_transform(['0','1','2','3','4','5','6','7','8','9','A','B','C','D','E','F'], lambda d: (length(h) - length(replace(h, d, '')))::DOUBLE) AS v FROM p),
+k AS (SELECT speaker, arg_max(v, path) AS v FROM c WHERE list_sum(v) > 0 GROUP BY speaker)
+SELECT 'db' AS db, speaker, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS embedding FROM k""")
 def job7_build_registry(spark: SparkSession, sf: str) -> DataFrame:
     pages = src.table(spark, sf, "pages")
-    f = pages.select(F.lit("n").alias("namespace"), F.lit("db").alias("db"), F.concat(F.lit("s"), (F.col("page_id") % 97).cast("string")).alias("speaker"), F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    f = pages.select(F.lit("n").alias("namespace"), F.lit("db").alias("db"), F.concat(F.lit("s"), (F.col("page_id") % 97).cast("string")).alias("speaker"), F.format_string("%012d", "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
     cache = f.limit(0).select("namespace", F.lit("").alias("content_sha256"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
-    return jobs.build_registry(f, cache, byte_counts)[0]
+    return jobs.build_registry(f, cache, byte_counts)[0].select("db", "speaker", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 def byte_counts(contents: list[bytes]):
@@ -696,8 +752,12 @@ def byte_counts(contents: list[bytes]):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh place in the folder that all executors share, or, where none is set, in a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-files-")
+    """A fresh place in the folder that all executors share, or, where none is set and all runs on one machine, in a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-files-")
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
@@ -705,9 +765,7 @@ def _folder(spark: SparkSession) -> str:
 def snk1_src1_transcript_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     sinks.write_transcript_csv(sinks.transcript_rows(src.utterances(spark, sf).withColumn("distance", F.lit(None).cast("double"))), path)
-    schema = "start string, end string, speaker string, text string, cosine_distance string, media_id string"
-    back = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
-    return back.select("media_id", *[F.coalesce(c, F.lit("")).alias(c) for c in sinks.TRANSCRIPT])
+    return files.read_csv_table(spark, path).select("media_id", *sinks.TRANSCRIPT)
 
 
 @query(f"WITH {GIVEN}, {CORR} SELECT media_id::VARCHAR AS media_id, type, coalesce(script_id::VARCHAR, '') AS script_start_id, speaker, subtitle_text FROM rn")
@@ -734,7 +792,15 @@ def f4_speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
     return src.table(spark, sf, "pages").select("page_id", tx.is_speaker_label(label).alias("speaks"))
 
 
-@query("SELECT doc_id % 20 AS media_id, count(*) AS shown FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY ALL")
+@query("""SELECT doc_id % 20 AS media_id, count(*) AS shown FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)
+WHERE CASE n % 3 WHEN 0 THEN l WHEN 1 THEN ' ' ELSE '' END <> '' GROUP BY ALL""")
 def f1_usable_rows(spark: SparkSession, sf: str) -> DataFrame:
-    l = src.lines(spark, sf).select((F.col("media_id") % 20).alias("media_id"), F.lit("0").alias("start_time"), F.lit("1").alias("end_time"), F.col("text").alias("subtitle_text"))
+    third = F.col("seq") % 3
+    said = F.when(third == 0, F.col("text")).when(third == 1, " ").otherwise("")  # a field of white space is content
+    l = src.lines(spark, sf).select((F.col("media_id") % 20).alias("media_id"), F.lit("0").alias("start_time"), F.lit("1").alias("end_time"), said.alias("subtitle_text"))
     return sinks.usable_subtitle_rows(l).groupBy("media_id").agg(F.count("*").alias("shown"))
+
+
+#: The same queries under the names that they had while the first ones read a part of their tables.
+for _name in ("f6_w3_hallucinations", "snk5_clip_srt", "f9_f10_shift_and_cut"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

@@ -53,7 +53,7 @@ def select_clips(entries: DataFrame, options: clips.ClipOptions = clips.ClipOpti
     """Subtitle tracks -> scored windows, the chosen pair of each recording, report, cut list and shifted entries."""
     windows = clips.enumerate_windows(entries, options).cache()
     scored = clips.score_windows(clips.window_variables(windows, entries), options).cache()
-    pairs = clips.select_clip_pair(scored)
+    pairs = clips.select_clip_pair(scored, entries)
     report = clips.clip_report(pairs, scored)
     chosen = report.select("media_id", "kind", "window_no").join(windows, ["media_id", "window_no"])
     inside = clips.window_members(chosen, entries)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialoglake.functions.text import LabelRules, is_meaningful, split_labels, strip
 from dialoglake.functions.timecode import time_str_to_seconds
 
-# Stock phrases that recognisers make up, the annotation that scripts carry, and audio endings.
+# Stock phrases that recognisers make up, the annotation that scripts carry, patterns of time ranges and script lines, and audio endings.
 STOCK_PHRASES = (
     "ご視聴ありがとうございました",
     "ご視聴ありがとうございます",
@@ -22,20 +22,22 @@ STOCK_PHRASES = (
     "END",
 )
 ANNOTATION = "心の声"
+TIMES = r"(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})\s*-->\s*(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})"
+ASIDE, SPOKEN = r"^\s*[（(](.+)[)）]\s*$", r"^\s*([^\s:：（(][^:：]{0,30}?)\s*[:：]\s*(.+)$"
 AUDIO = ("wav", "mp3", "m4a", "flac", "mp4", "mov", "ogg", "opus", "aac", "wma")
 # End of the fixed values.
 
-TIMES = r"([0-9]+):([0-9]{1,2}):([0-9]{1,2})[,.]([0-9]{1,3})\s*-->\s*([0-9]+):([0-9]{1,2}):([0-9]{1,2})[,.]([0-9]{1,3})"
-
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
 def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """A headed CSV, all strings, empty cells as '', with media_id from the file's name."""
+    """A headed CSV, all strings, empty cells as '', with media_id from the file's name, or from the folder's where it says ``media_id=``."""
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
-    return read.select(stem(F.input_file_name()).alias("media_id"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in read.columns])
+    names = [c for c in read.columns if c != "media_id"]
+    media = F.col("media_id").cast("string") if "media_id" in read.columns else stem(F.input_file_name())
+    return read.select(media.alias("media_id"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in names])
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +97,7 @@ def script_from_text(texts: DataFrame) -> DataFrame:
     """Free text -> script rows: media_id, id (from 1), scene_id, type, speaker, contents."""
     rows = texts.select("media_id", F.posexplode(F.split("text", r"\n|\x0B|\f|\r|\x1C|\x1D|\x1E|\x85| | ")).alias("pos", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
     line = F.col("line")
-    aside, spoken = r"(?U)^\s*[（(](.+)[)）]\s*$", r"(?U)^\s*([^\s:：（(][^:：]{0,30}?)\s*[:：]\s*(.+)$"
+    aside, spoken = "(?U)" + ASIDE, "(?U)" + SPOKEN
     hashed, scene, named = line.startswith("#"), line.rlike(aside), line.rlike(spoken)
     rows = rows.withColumn("type", F.when(hashed | scene, "scene").otherwise("dialogue"))
     rows = rows.withColumn("speaker", F.when(~hashed & ~scene & named, strip(F.regexp_extract(line, spoken, 1))).otherwise(""))
@@ -120,13 +122,26 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
 def scan_voice_files(files: DataFrame) -> DataFrame:
     """``binaryFile`` rows (path, length, modificationTime) laid out as <db>/<speaker>.<ending> -> db, speaker, path, size, modified, problem.
 
-    A speaker found twice in one database is kept with problem 'duplicate'; hidden folders are passed over.
+    A speaker found twice in one database is kept with problem 'duplicate', a file without a name before its ending with
+    'no name'; hidden folders are passed over. ``checked_voice_files`` makes errors of these.
     """
-    form = r"([^/.][^/]*)/([^/]+)\.([A-Za-z0-9]+)$"
+    form = r"([^/.][^/]*)/([^/]*)\.([A-Za-z0-9]+)$"
     rows = files.where(F.lower(F.regexp_extract("path", form, 3)).isin(*AUDIO))
     rows = rows.select(F.regexp_extract("path", form, 1).alias("db"), F.regexp_extract("path", form, 2).alias("speaker"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     twice = F.count("*").over(Window.partitionBy("db", "speaker")) > 1
-    return rows.withColumn("problem", F.when(twice, "duplicate"))
+    return rows.withColumn("problem", F.when(F.col("speaker") == "", "no name").when(twice, "duplicate"))
+
+
+def checked_voice_files(files: DataFrame) -> DataFrame:
+    """The scan without problems; no file at all, a file without a name or a speaker twice in one database is an error."""
+    found = scan_voice_files(files)
+    counts = {r[0]: (r[1], r[2]) for r in found.groupBy("problem").agg(F.count("*"), F.min("path")).collect()}
+    if not counts:
+        raise ValueError(f"no audio file ({', '.join(sorted(AUDIO))})")
+    for problem, (n, path) in counts.items():
+        if problem:
+            raise ValueError(f"{problem}: {n} voice files, the first of them {path}")
+    return found.drop("problem")
 
 
 def load_phrases(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:

@@ -227,9 +227,9 @@ def test_evaluation_report(spark):
 
 
 def test_prefix_resets_after_a_blank_row(spark):
-    rows = [("m", i, "00:00:00,000", "00:00:01,000", s, t) for i, (s, t) in enumerate([("A", "1"), ("A", "2"), ("", "3"), ("A", "4"), ("B", " "), ("B", "5")])]
+    rows = [("m", i, "00:00:00,000", "00:00:01,000", s, t) for i, (s, t) in enumerate([("A", "1"), ("A", "2"), ("", "3"), ("A", "4"), ("B", ""), ("B", " "), ("B", "5")])]
     doc = sinks.render_subtitles(spark.createDataFrame(rows, "media_id string, row_no int, start_time string, end_time string, speaker string, subtitle_text string")).first().document
-    assert [x.split("\n")[2] for x in doc.strip().split("\n\n")] == ["(A)1", "2", "3", "(A)4", "(B)5"]
+    assert [x.split("\n")[2] for x in doc.strip().split("\n\n")] == ["(A)1", "2", "3", "(A)4", "(B) ", "5"]  # white space alone is content, no text at all is not
 
 
 def test_files_that_go_out(spark, tmp_path):
@@ -272,3 +272,102 @@ def test_clips_without_row_caps(spark, sf):
     for x in catalog.QUERIES["f9_f10_shift_and_cut_whole"](spark, sf).collect():
         got[x.media_id, x.window_no] = got.get((x.media_id, x.window_no), 0) + 1
     assert got == want and max(w for _, w in want) > 1
+
+
+# ---- what the rules say at their edges
+
+
+def test_ratio_of_long_texts_leaves_out_frequent_characters():
+    import difflib
+
+    ours, theirs = "abcdefgh " * 34, "abcdxfgh " * 20 + "hgfe dcba " * 13
+    plain = difflib.SequenceMatcher(a=ours, b=theirs).ratio()
+    assert abs(plain - difflib.SequenceMatcher(a=ours, b=theirs, autojunk=False).ratio()) > 0.05
+    assert evaluation.pair_keys([ours], [theirs], plain) == [(0, 0)]
+    assert evaluation.pair_keys([ours], [theirs], plain + 1e-6) == [(0, None), (None, 0)]
+
+
+def plain_pairs(ours, theirs, least):
+    import difflib
+
+    out = []
+    for tag, i0, i1, j0, j1 in difflib.SequenceMatcher(a=ours, b=theirs, autojunk=False).get_opcodes():
+        free = list(range(j0, j1))
+        taken = -1
+        for i in range(i0, i1):
+            if tag == "equal":
+                out.append((i, j0 + i - i0))
+                continue
+            scored = [(difflib.SequenceMatcher(a=ours[i], b=theirs[j]).ratio(), j) for j in free if j > taken]
+            best = max((s for s in scored if s[0] >= least), default=None)
+            out.append((i, best and best[1]))
+            taken = best[1] if best else taken
+        used = {j for _, j in out if j is not None}
+        out += [(None, j) for j in free if j not in used]
+    return out
+
+
+def test_pairing_matches_plain_search():
+    r = random.Random(11)
+    for _ in range(60):
+        texts = ["".join(r.choice("ab cd") for _ in range(r.choice([0, 3, 8, 260]))) for _ in range(12)]
+        ours, theirs = ([r.choice(texts)[: r.choice([2, 6, 300])] for _ in range(r.randrange(8))] for _ in range(2))
+        assert evaluation.pair_keys(ours, theirs, 0.6) == plain_pairs(ours, theirs, 0.6)
+
+
+def test_registry_loses_no_voice_to_an_empty_block(spark, monkeypatch):
+    monkeypatch.setattr(speakers, "REGISTRY_BLOCK", 3)
+    reg = spark.createDataFrame([("one", i, [float(i + 1), 1.0]) for i in range(40)], "speaker string, reg_order long, embedding array<double>")
+    clusters = spark.createDataFrame([("m", f"c{i}", [float(i + 1), 1.0]) for i in range(40)], "media_id string, cluster_id string, embedding array<double>")
+    got = speakers.identify(clusters, reg, 0.0001).collect()
+    assert len(got) == 40 and {x.speaker for x in got} == {"one"} and all(x.distance < 1e-9 for x in got)
+
+
+def test_transcripts_of_blank_and_null_speakers(spark):
+    rows = [("m", 0, "00:00:01:000", "00:00:02:000", " ", " a "), ("m", 1, "00:00:03:000", "00:00:04:000", None, "b"), ("m", 2, "00:00:03:000", "00:00:04:000", "x", "  "), ("m", 3, " ", "00:00:04:000", "x", "c"), ("m", 4, "00:00:05:000", "00:00:06:000", " x ", "d")]
+    doc = sinks.render_transcript_srt(spark.createDataFrame(rows, "media_id string, seq int, start string, end string, speaker string, text string")).first().document
+    assert [b.split("\n")[0::2] for b in doc.strip().split("\n\n")] == [["1", "a"], ["2", "b"], ["3", "[x] d"]]
+
+
+def test_clip_text_put_together_has_no_sounds(spark):
+    rows = [("m", 1, 0.0, 1.0, ["A"], ["bell"], "hi", ""), ("m", 2, 1.0, 2.0, [], ["bell"], None, None), ("m", 3, 2.0, 3.0, ["A"], [], "x", "raw")]
+    df = spark.createDataFrame(rows, "media_id string, index int, start double, end double, speakers array<string>, non_speech_labels array<string>, body string, raw_text string")
+    assert [b.split("\n")[2] for b in sinks.render_clip_srt(df).first().document.split("\n\n")] == ["（A）hi", "", "raw"]
+
+
+def test_recordings_without_a_window_are_told(spark):
+    rows = [("long", i, 10.0 * i, 10.0 * i + 10, ["A" if i % 3 else "B"], "x") for i in range(40)] + [("short", 1, 0.0, 5.0, ["A"], "x")]
+    pairs = jobs.select_clips(spark.createDataFrame(rows, ENTRY), clips.ClipOptions(length=60.0, tolerance=5.0))["pairs"]
+    assert {x.media_id: x.status for x in pairs.collect()} == {"long": "ok", "short": "no window"}
+
+
+def test_voice_files_with_problems_are_errors(spark):
+    import pytest
+
+    from dialoglake.sources import files
+
+    def scan(*paths):
+        return files.checked_voice_files(spark.createDataFrame([(p, 1, None) for p in paths], "path string, length long, modificationTime timestamp")).collect()
+
+    assert [x.speaker for x in scan("file:/v/db/ann.wav", "file:/v/db/note.txt")] == ["ann"]
+    for bad in (("file:/v/db/note.txt",), ("file:/v/db/ann.wav", "file:/v/db/ann.mp3"), ("file:/v/db/.wav",)):
+        with pytest.raises(ValueError):
+            scan(*bad)
+
+
+def test_confusion_is_ranked(spark):
+    df = spark.createDataFrame([("m", "a", "b")] * 2 + [("m", "a", "a"), ("m", "b", "b")], "media_id string, gt_speaker string, app_speaker string")
+    assert [(x.gt_speaker, x.app_speaker) for x in evaluation.confusion(df).orderBy("rank").collect()] == [("a", "b"), ("a", "a"), ("b", "b")]
+
+
+def test_encoder_matches_plain_hashing():
+    texts = ["", "a", "ab", "abc", "日本語 text", "x" * 50, "😀é"]
+    for row, text in zip(matching.hashed_trigrams(texts), texts, strict=True):
+        want = [0] * matching.DIM
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                h = 0
+                for c in text[i : i + n]:
+                    h = (h * 1_000_003 + ord(c) + n) & 0x7FFFFFFF
+                want[h % matching.DIM] += 1
+        assert row.tolist() == want
