@@ -332,7 +332,8 @@ def test_transcripts_of_blank_and_null_speakers(spark):
 def test_clip_text_put_together_has_no_sounds(spark):
     rows = [("m", 1, 0.0, 1.0, ["A"], ["bell"], "hi", ""), ("m", 2, 1.0, 2.0, [], ["bell"], None, None), ("m", 3, 2.0, 3.0, ["A"], [], "x", "raw")]
     df = spark.createDataFrame(rows, "media_id string, index int, start double, end double, speakers array<string>, non_speech_labels array<string>, body string, raw_text string")
-    assert [b.split("\n")[2] for b in sinks.render_clip_srt(df).first().document.split("\n\n")] == ["（A）hi", "", "raw"]
+    times = [f"{i}\n00:00:0{i - 1},000 --> 00:00:0{i},000\n" for i in (1, 2, 3)]
+    assert sinks.render_clip_srt(df).first().document == f"{times[0]}（A）hi\n\n{times[1]}\n\n{times[2]}raw\n"
 
 
 def test_recordings_without_a_window_are_told(spark):
