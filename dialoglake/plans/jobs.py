@@ -37,9 +37,9 @@ def label_and_rematch(transcript: DataFrame, clusters: DataFrame, registry: Data
 
 def match_script(script_lines: DataFrame, stt_lines: DataFrame, encoder: Callable = matching.hashed_trigrams, max_n: int = matching.MAX_N, k: int = matching.TOP_K) -> dict[str, DataFrame]:
     """Script against recognised lines -> correspondence table and usage."""
-    a = matching.ngrams(script_lines, "dialogue", max_n, by_speaker=True)
-    b = matching.ngrams(stt_lines, "text", max_n, timed=True)
-    near = matching.knn_join(matching.encode_texts(a, encoder).select("media_id", "ngram_id", "vec"), matching.encode_texts(b, encoder).select("media_id", "ngram_id", "vec"), k)
+    a = matching.ngrams(script_lines, "dialogue", max_n, by_speaker=True).cache()
+    b = matching.ngrams(stt_lines, "text", max_n, timed=True).cache()
+    near = matching.knn_join(*[matching.encode_texts(g, encoder).select("media_id", "ngram_id", "vec").cache() for g in (a, b)], k)
     chosen = matching.weighted_chain(matching.candidate_pairs(near, a, b)).cache()
     matched = matching.matched_rows(chosen, a, b, stt_lines).cache()
     return {"matched": matched, "table": matching.correspondence(matched, script_lines, stt_lines), "usage": matching.usage_stats(matched, script_lines, stt_lines)}
