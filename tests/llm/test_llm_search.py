@@ -347,3 +347,76 @@ def test_winnowed_lines_select_every_window_once():
         text = "\n".join(r.choice("abcd") for _ in range(r.randrange(12))).encode()
         found = line_dedup.selected(text, 3)
         assert sorted(at[first - 1] for _, _, at, spans in found for first, _ in spans) == list(range(max(0, len(text.split(b"\n")) - 2 if text else 0)))
+
+
+def plain_pipeline(rows):
+    """The first three stages in plain Python: rows (id, text, source) -> those that stay, with what is left of their texts."""
+    from dialoglake.llm import neardup, quality
+
+    kept = [r for r in rows if not failed(r[1] or "", quality)]
+    seen, cut = set(), []
+    for i, text, source in sorted(kept, key=lambda r: (r[0], r[1])):
+        lines = [(n, x) for n, x in enumerate(text.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+        gone = set()
+        for size in (1, 2, 3):
+            for a in range(len(lines) - size + 1):
+                key = tuple(x for _, x in lines[a : a + size])
+                if size < 3 and len(" ".join(key).split()) < 50:
+                    continue
+                if key in seen:
+                    gone |= {n for n, _ in lines[a : a + size]}
+                seen.add(key)
+        cut.append((i, "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone), source))
+    sets = [set(neardup.shingles(t.encode()).tolist()) for _, t, _ in cut]
+    root = list(range(len(cut)))
+    for i in range(len(cut)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if k == root[i] else k for k in root]
+    return [min((cut[i] for i in range(len(cut)) if root[i] == c), key=lambda r: r[0]) for c in sorted(set(root))]
+
+
+def failed(text, quality):
+    import re
+
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    found = Counter(tuple(ws[i : i + 8]) for i in range(len(ws) - 7))
+    again = {i + k for i in range(len(ws) - 7) if found[tuple(ws[i : i + 8])] > 1 for k in range(8)}
+    chars, symbols, double = sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
+    n = len(ws)
+    return n < 20 or 100 * len(again) > 30 * n or 10 * symbols > n or chars < 2 * n or chars > 15 * n or 2 * double > len(lines)
+
+
+def test_pipeline_matches_plain_stages(spark, sf):
+    import corpus_pipeline
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    kept = plain_pipeline([(r.doc_id, r.text, r.source) for r in docs])
+    got = corpus_pipeline.run(spark, sf).collect()
+    size, total, largest = {}, Counter(), Counter()
+    for i, t, s in kept:
+        size[i] = (s, len(t.split()))
+        total[s] += size[i][1]
+        largest[s] = max(largest[s], size[i][1])
+    order, left, free, aims = sorted(total), float(sum(total.values())), set(total), {}
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(order)}
+    while over := {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * total[s]}:
+        aims |= {s: 3.0 * total[s] for s in over}
+        left, free = left - sum(aims[s] for s in over), free - over
+    aims |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    whole, pieces, taken = Tokenizer.from_file(q.tokenizer_path()), Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), Counter()
+    copies = Counter(r.doc_id for r in got if r.piece == 0)
+    want = Counter()
+    for i, t, s in kept:
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        for n, a in enumerate(range(0, len(ids), 8192)):
+            if copies[i]:
+                want[(i, n, a // 4, len(ids[a : a + 8192]) // 4, zlib.crc32(ids[a : a + 8192]))] = copies[i]
+        assert copies[i] <= 3
+        taken[s] += copies[i] * size[i][1]
+    assert pieces == want
+    assert all(abs(taken[s] - aims[s]) <= largest[s] for s in total)
