@@ -236,6 +236,44 @@ def plain_targets(sizes):
         free -= over
 
 
+def test_classes_that_share_a_bucket_and_are_alike_never_stay_apart(spark):
+    from dialoglake.llm import neardup
+
+    rng = np.random.default_rng(7)
+    sets = []
+    for size in (40, 60, 300):
+        base = rng.integers(0, 2**63, size, "u8")
+        for k in range(40):
+            own = base.copy()
+            changed = rng.integers(0, size, int(size * k / 160))
+            own[changed] = rng.integers(0, 2**63, len(changed), "u8")
+            sets.append(np.unique(own))
+    buckets = [neardup.bands(s).tolist() for s in sets]
+    held = [np.unique(s.astype("u4")) for s in sets]
+    nodes = spark.createDataFrame([(i, len(s), b) for i, (s, b) in enumerate(zip(sets, buckets, strict=True))], "node long, n int, bands array<long>")
+    kept = spark.createDataFrame([(i, h.tobytes()) for i, h in enumerate(held)], "node long, held binary")
+    found = {}
+    for i, b in enumerate(buckets):
+        for n, v in enumerate(b):
+            found.setdefault((n, v), []).append(i)
+    links = {(i, j) for m in found.values() if len(m) > neardup.NEXT + 2 for i in m for j in m if i < j and neardup.similar(held[i], held[j]) >= 0.8}
+
+    def classes(pairs):
+        root = list(range(len(sets)))
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    for first in ([], sorted(links)[::9]):
+        known = classes(first)
+        roots = spark.createDataFrame([(i, r) for i, r in enumerate(known) if known.count(r) > 1], "node long, root long")
+        more = neardup.still_apart(nodes, kept, roots, 0.8)
+        got = {r.node: r.root for r in (neardup.joined_classes(roots, more) if more.count() else roots).collect()}
+        want = classes([*links, *first])
+        assert [got.get(i, i) for i in range(len(sets))] == want
+
+
 def test_mixing_reaches_its_targets(spark, sf):
     rows = q.op3_mixing(spark, sf).collect()
     assert sorted(rows) == sorted(q.op3_mixing(spark, sf).collect())
