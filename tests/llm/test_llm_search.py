@@ -420,3 +420,24 @@ def test_pipeline_matches_plain_stages(spark, sf):
         taken[s] += copies[i] * size[i][1]
     assert pieces == want
     assert all(abs(taken[s] - aims[s]) <= largest[s] for s in total)
+
+
+def test_hot_seeds_dealt_by_ranges_give_the_same_matches(spark):
+    r = random.Random(11)
+    phrases = [words(r, 40) for _ in range(3)]
+    rows = []
+    for i in range(400):
+        text = [*words(r, 3), *phrases[0], *words(r, r.randrange(3))]
+        if i % 3 == 0:
+            text += [*phrases[1], *words(r, 2), *phrases[0][:30]]
+        if i > 350:
+            text += phrases[2]
+        rows += [(None if i % 40 == 7 else i // 2, " ".join(text))] * (1 + (i % 50 == 0))
+    texts = passages._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert passages.hot_seeds(texts, 50, 1).count() > 0 and passages.hot_seeds(texts).count() == 0
+        plain, dealt = (Counter(map(tuple, passages.matches(texts, *a).collect())) for a in ((), (50, 1)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert plain and plain == dealt
