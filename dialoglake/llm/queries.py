@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import chat, line_dedup, mixing, packing, passages, pii, quality, simhash, topk, url_filter
-from dialoglake.llm.common import table
+from dialoglake.llm import chat, line_dedup, mixing, packing, passages, pii, quality, simhash, token_files, topk, url_filter
+from dialoglake.llm.common import shared_folder, table
 from dialoglake.llm.tokens import find_tokenizer
 
 #: A name without a folder: each worker looks it up where its tokenizers are.
@@ -149,5 +151,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("from_id").alias("source_doc_id"), "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, quality_ablation)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, TOKENIZER)
+    return token_files.read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, op12_token_files, quality_ablation)}
 ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "quality_ablation": ABLATION_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL}
