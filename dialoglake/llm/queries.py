@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import chat, line_dedup, mixing, packing, passages, pii, quality, simhash, token_files, topk, url_filter
+from dialoglake.llm import chat, importance, line_dedup, mixing, packing, passages, pii, quality, simhash, token_files, topk, url_filter
 from dialoglake.llm.common import shared_folder, table
 from dialoglake.llm.tokens import find_tokenizer
 
@@ -157,5 +157,30 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, op12_token_files, quality_ablation)}
-ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "quality_ablation": ABLATION_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL}
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH tb AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS i, {WORDS_OF} AS ws FROM documents),
+b AS (SELECT unnest({WORDS_OF}) AS w FROM benchmark),
+u AS (SELECT i, unnest(ws) AS w FROM d),
+x AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM u UNION SELECT w FROM b)),
+k AS MATERIALIZED (SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, tb),
+sc AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (w) GROUP BY bucket),
+tc AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM sc)::DOUBLE AS sn, (SELECT coalesce(sum(t), 0) FROM tc)::DOUBLE AS tn),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sn + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (tn + 10000))))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM k) LEFT JOIN sc USING (bucket) LEFT JOIN tc USING (bucket), n),
+m AS (SELECT i, count(*) AS n, sum(gain) AS total FROM u JOIN k USING (w) JOIN g USING (bucket) GROUP BY i),
+q AS (SELECT doc_id, i, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight, ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN m USING (i)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, i) AS k, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * able // 100 THEN k END AS rank FROM r
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, op12_token_files, op13_importance, quality_ablation)}
+ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "quality_ablation": ABLATION_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL, "op13_importance": OP13_SQL}

@@ -1,15 +1,21 @@
 """Token files, importance resampling and hard negatives against plain Python."""
 
+import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from dialoglake.llm import importance, rans, token_files
 from dialoglake.llm import queries as q
-from dialoglake.llm import rans, token_files
 
 TEXTS = "doc_id long, text string"
 
@@ -102,3 +108,80 @@ def test_damage_is_found_and_unlisted_files_are_not_read(spark, tmp_path):
     lost = token_files._Writer(folder, table, 0, 1)
     lost.drop()
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith("part")] == [writer.name]
+
+
+# ---- importance resampling
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+@pytest.mark.parametrize("stretches", [1, 7, 4096, 10**6])
+def test_window_crcs_match_zlib(monkeypatch, stretches):
+    monkeypatch.setattr(importance, "STRETCHES", stretches)
+    r = random.Random(stretches)
+    texts = ["".join(r.choice("abZ ,.é漢0\n-") for _ in range(r.randrange(0, 200))) for _ in range(200)] + ["", "x" * 5000 + " y z", "a", "b"]
+    data = np.frombuffer("".join(texts).encode(), "u1")
+    ends = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    words, sizes, flat = importance.features(data, ends, 3, 10_000)
+    held = [plain_words(t) for t in texts]
+    want = [[zlib.crc32(" ".join(w[i : i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(w) - n + 1)] for w in held]
+    assert words.tolist() == [len(w) for w in held] and sizes.tolist() == [len(w) for w in want] and flat.tolist() == [b for w in want for b in w]
+
+
+def plain_resample(docs, target, share=(10, 100), least=20, most=1, buckets=10_000):
+    def hashed(text):
+        w = plain_words(text)
+        return [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, most + 1) for i in range(len(w) - n + 1)]
+
+    held = [(i, len(plain_words(t)), hashed(t)) for i, t in docs]
+    s, t = Counter(b for *_, h in held for b in h), Counter(b for x in target for b in hashed(x))
+    n, m = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (n + buckets) / ((s[b] + 1) * (m + buckets)))) for b in {*s}}
+    rows = []
+    for i, words, h in held:
+        weight = sum(gain[b] for b in h) // len(h) if h else 0
+        u = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, words, len(h), weight, weight + math.floor(-1000 * math.log(-math.log((u + 0.5) / 4294967296)))))
+    able = sorted((x for x in rows if x[1] >= least), key=lambda x: (-x[4], x[0] is None, x[0] or 0))
+    drawn = Counter((x, k) for k, x in enumerate(able[: len(able) * share[0] // share[1]], 1))
+    rest = able[len(able) * share[0] // share[1] :] + [x for x in rows if x[1] < least]
+    return drawn + Counter((x, None) for x in rest)
+
+
+def resampled(df):
+    return Counter(((x.id, x.words, x.n_features, x.weight, x.score), x["rank"]) for x in df.collect())
+
+
+@pytest.mark.parametrize("most, share", [(1, (10, 100)), (3, (1, 3))])
+def test_resampling_matches_plain(spark, most, share):
+    r = random.Random(most)
+    words = [f"w{n}" for n in range(200)] + ["É", "漢字", "Zed"]
+    docs = [(i, " ".join(r.choices(words, k=r.randrange(0, 60)))) for i in range(300)] + [(400, None), (401, ""), (None, "one two " * 30), (5, "w1 " * 40), (5, "w1 " * 40), (402, "w2 " * 100_000), (403, "--- ***")]
+    target = [" ".join(r.choices(words[:40], k=50)) for _ in range(20)] + [None, ""]
+    df, t = spark.createDataFrame(docs, TEXTS).repartition(5), spark.createDataFrame([(x,) for x in target], "text string")
+    assert resampled(importance.resample(df, t, share=share, most=most)) == plain_resample(docs, target, share=share, most=most)
+
+
+def test_resampling_of_empty_tables_and_clashing_columns(spark):
+    t = spark.createDataFrame([("a b",)], "text string")
+    assert importance.resample(spark.createDataFrame([], TEXTS), t).count() == 0
+    docs = spark.createDataFrame([(1, "a " * 25, 7, 8)], "doc_id long, text string, score int, held int")
+    assert importance.resample(docs, t.limit(0), share=(1, 1)).first()["rank"] == 1
+
+
+def test_ranks_over_many_ranges(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 as score").repartition(9)
+    got = importance.ranked(df, [F.desc("score"), F.col("id")]).orderBy("rank").collect()
+    assert [(x.id, x["rank"]) for x in got] == [(i, k) for k, i in enumerate(sorted(range(5000), key=lambda i: (-(i % 7), i)), 1)]
+
+
+@pytest.mark.parametrize("name", ["op13_importance"])
+def test_query_and_twin_agree(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    cur = con.execute(q.ORACLES[name])
+    names = [c[0] for c in cur.description]
+    assert Counter(map(tuple, q.QUERIES[name](spark, sf).select(*names).collect())) == Counter(cur.fetchall())
