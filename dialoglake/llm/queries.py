@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoglake.llm import chat, importance, line_dedup, mixing, packing, passages, pii, quality, simhash, token_files, topk, url_filter
+from dialoglake.llm import chat, importance, line_dedup, mixing, negatives, packing, passages, pii, quality, simhash, token_files, topk, url_filter
 from dialoglake.llm.common import shared_folder, table
 from dialoglake.llm.tokens import find_tokenizer
 
@@ -151,6 +151,27 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("first").alias("first_word"), F.col("end").alias("end_word"), F.col("from_id").alias("source_doc_id"), "matched")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), topk.whole_parts(F.col("embedding")).alias("vec"))
+    return negatives.hard_negatives(rows.where("id % 50 = 0"), rows)
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS MATERIALIZED (
+  SELECT a.i, a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS own, list_inner_product(a.vec, c.vec)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.vec) = len(c.vec) WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, other_id) AS k FROM s WHERE own QUALIFY k <= 5),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, s.other_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.i, p.k ORDER BY s.score DESC, s.other_id)::INTEGER AS rank
+  FROM p JOIN s ON p.i = s.i AND NOT s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, TOKENIZER)
@@ -182,5 +203,5 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, op12_token_files, op13_importance, quality_ablation)}
-ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "quality_ablation": ABLATION_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL, "op13_importance": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_mixing, op4_url_rules, op5_line_dedup, op6_pii, op7_simhash, op8_packing, op9_chat, op10_passages, op11_hard_negatives, op12_token_files, op13_importance, quality_ablation)}
+ORACLES = {"op1_topk": OP1_SQL, "op2_quality": OP2_SQL, "quality_ablation": ABLATION_SQL, "op4_url_rules": OP4_SQL, "op5_line_dedup": OP5_SQL, "op9_chat": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_importance": OP13_SQL}

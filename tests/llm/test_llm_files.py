@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dialoglake.llm import importance, rans, token_files
+from dialoglake.llm import importance, negatives, rans, token_files
 from dialoglake.llm import queries as q
 
 TEXTS = "doc_id long, text string"
@@ -177,7 +177,7 @@ def test_ranks_over_many_ranges(spark):
     assert [(x.id, x["rank"]) for x in got] == [(i, k) for k, i in enumerate(sorted(range(5000), key=lambda i: (-(i % 7), i)), 1)]
 
 
-@pytest.mark.parametrize("name", ["op13_importance"])
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op13_importance"])
 def test_query_and_twin_agree(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
@@ -185,3 +185,68 @@ def test_query_and_twin_agree(spark, sf, name):
     cur = con.execute(q.ORACLES[name])
     names = [c[0] for c in cur.description]
     assert Counter(map(tuple, q.QUERIES[name](spark, sf).select(*names).collect())) == Counter(cur.fetchall())
+
+
+# ---- hard negatives
+
+
+def plain_negatives(rows, wanted, k=5, m=3):
+    out = Counter()
+    for i, label, v in rows:
+        if not wanted(i):
+            continue
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), j, lab) for j, lab, w in rows if j != i and len(w) == len(v))
+        for s, j, lab in [x for x in scored if x[2] == label][:k]:
+            fit = [(-n, o) for n, o, other in scored if other != label and 50 * -s <= 100 * -n <= 95 * -s]
+            out.update((i, j, rank, o, -s, n) for rank, (n, o) in enumerate(fit[:m], 1))
+    return out
+
+
+VECTORS = "id long, label int, vec array<double>"
+
+
+@pytest.mark.parametrize("shard, at_once", [(2**23, 512), (2048, 1), (4096, 7)])
+def test_hard_negatives_match_plain_search(spark, monkeypatch, shard, at_once):
+    for name, value in (("SHARD_BYTES", shard), ("ANCHOR_BYTES", 512), ("AT_ONCE", at_once), ("CODES", 5), ("SAMPLE", 60), ("FAN", 3)):
+        monkeypatch.setattr(negatives, name, value)
+    r = np.random.default_rng(shard)
+    rows = [(i, int(i % 4), r.integers(-3, 6, 6).astype(float).tolist()) for i in range(250)]
+    rows += [(7, 3, [5.0] * 6), (7, 3, [5.0] * 6), (300, 1, [1.0]), (301, 2, [2.0]), (302, 1, [2.0]), (303, 1, []), (304, 2, []), (2**60, 0, [4.0] * 6), (305, 9, [0.0] * 6)]
+    odd = [(400, None, [1.0] * 6), (401, 1, None), (402, 1, [None] * 6), (403, 1, [float("nan")] * 6), (404, 1, [float("inf")] * 6), (None, 1, [1.0] * 6)]
+    df = spark.createDataFrame(rows + odd, VECTORS).repartition(6)
+    wanted = lambda i: i % 10 == 0 or i in (7, 303)
+    got = negatives.hard_negatives(df.where("id % 10 = 0 or id in (7, 303)"), df)
+    assert Counter(map(tuple, got.collect())) == plain_negatives(rows, wanted)
+
+
+def test_bounds_hold_every_row_of_a_cell_and_fall():
+    r = np.random.default_rng(2)
+    vectors = np.floor(256 * r.normal(size=(3000, 16)) * np.repeat([1, 5], 1500)[:, None])
+    books = (negatives.codebook(vectors[:500, :8]), negatives.codebook(vectors[:500, 8:]))
+    shard = negatives.Shard(np.arange(3000), np.zeros(3000, int), vectors, books)
+    for anchor in vectors[:20]:
+        cells, last = list(shard.walk(anchor)), np.inf
+        assert sorted(x for _, _, a, b in cells for x in range(a, b)) == list(range(3000))
+        for most, least, a, b in cells:
+            scores = shard.vectors[a:b] @ anchor
+            assert most <= last and least <= scores.min() and scores.max() <= most
+            last = most
+
+
+def test_a_walk_stops_before_it_has_seen_all_rows(monkeypatch):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16)) * 400
+    vectors = np.floor(centres[r.integers(0, 40, 8000)] + r.normal(size=(8000, 16)) * 4)
+    shard = negatives.Shard(np.arange(8000), np.arange(8000) % 3, vectors, (negatives.codebook(vectors[:2000, :8]), negatives.codebook(vectors[:2000, 8:])))
+    seen, plain = [], shard.scores
+    monkeypatch.setattr(shard, "scores", lambda anchor, ranges: seen.append(sum(b - a for a, b in ranges)) or plain(anchor, ranges))
+    found = shard.positives(-1, 1, vectors[5], 5)
+    scores = vectors @ vectors[5]
+    want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if shard.labels[np.flatnonzero(shard.ids == i)[0]] == 1)[:5]
+    assert [(-s, i) for s, i in found] == [(int(s), i) for s, i in want] and sum(seen) < 4000
+
+
+def test_hard_negatives_of_empty_tables(spark):
+    none = spark.createDataFrame([], VECTORS)
+    some = spark.createDataFrame([(1, 1, [1.0]), (2, 1, [2.0])], VECTORS)
+    assert negatives.hard_negatives(none, none).count() == negatives.hard_negatives(none, some).count() == negatives.hard_negatives(some, some).count() == 0
