@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoglake.functions.timecode import format_time
-from dialoglake.operators.stats import clip_variables, is_speech
-
-EPS = 1e-6
+from dialoglake.operators.figures import EPS, window_sums
+from dialoglake.operators.stats import is_speech, utterance_counts
 
 
 @dataclass(frozen=True)
@@ -47,26 +46,32 @@ def window_members(windows: DataFrame, entries: DataFrame, bin_seconds: float =
     return met.drop("bin")
 
 
-def window_variables(windows: DataFrame, entries: DataFrame) -> DataFrame:
-    members = window_members(windows, entries)
-    keys = ["media_id", "window_no"]
-    durations = windows.select(*keys, (F.col("end") - F.col("start")).alias("duration"))
-    return windows.join(clip_variables(members, keys, durations), keys)
+def window_variables(windows: DataFrame, entries: DataFrame, options: ClipOptions = ClipOptions()) -> DataFrame:
+    """Windows of at most ``options``' length and tolerance with the figures of their speech; see ``figures`` for how."""
+    sums = window_sums(windows, entries, options.length + options.tolerance)
+    met = windows.withColumn("window_no", F.col("window_no").cast("long")).join(sums, ["media_id", "window_no"], "left").fillna(0, ["n", "two", "seconds", "changes", "speakers"])
+    d = F.col("end") - F.col("start")
+    return met.select(
+        "media_id", F.col("window_no").cast("int").alias("window_no"), "start", "end", d.alias("duration"), F.col("n").alias("utterance_count"), F.col("speakers").alias("speaker_count"), F.col("changes").alias("speaker_change_count"),
+        F.when(d > 0, F.col("changes") / (d / 60)).otherwise(0.0).alias("speaker_change_per_min"), F.col("two").alias("overlap_entry_count"), F.when(F.col("n") > 0, F.col("two") / F.col("n")).otherwise(0.0).alias("overlap_entry_ratio"),
+        F.when(d > 0, F.col("seconds") / d).otherwise(0.0).alias("speech_time_ratio"),
+    )
 
 
 def score_windows(windows: DataFrame, options: ClipOptions = ClipOptions()) -> DataFrame:
     """Windows with score: weighted z-scores inside the recording, less a penalty for missing the number of speakers."""
-    all_ = Window.partitionBy("media_id")
+    figures = {"change": "speaker_change_per_min", "overlap": "overlap_entry_ratio"}
+    means = windows.groupBy("media_id").agg(F.count("*").alias("_n"), *[f(c).alias(f"_{name}_{f.__name__}") for name, c in figures.items() for f in (F.avg, F.stddev_pop, F.min, F.max)])
+    met = windows.join(means, "media_id")
 
-    def z(c: str):
-        spread = F.stddev_pop(c).over(all_)
-        flat = (F.count("*").over(all_) < 2) | (F.min(c).over(all_) == F.max(c).over(all_)) | (spread == 0)
-        return F.when(flat, 0.0).otherwise((F.col(c) - F.avg(c).over(all_)) / spread)
+    def z(name: str):
+        mean, spread, low, high = (F.col(f"_{name}_{f}") for f in ("avg", "stddev_pop", "min", "max"))
+        return F.when((F.col("_n") < 2) | (low == high) | (spread == 0), 0.0).otherwise((F.col(figures[name]) - mean) / spread)
 
-    score = options.weight_change * z("speaker_change_per_min") + options.weight_overlap * z("overlap_entry_ratio")
+    score = options.weight_change * z("change") + options.weight_overlap * z("overlap")
     if options.target_speakers is not None:
         score = score - F.abs(F.col("speaker_count") - options.target_speakers) * options.speaker_penalty
-    return windows.withColumn("score", score)
+    return met.select(*windows.columns, score.alias("score"))
 
 
 def select_clip_pair(scored: DataFrame, recordings: DataFrame | None = None) -> DataFrame:
@@ -116,6 +121,13 @@ def clip_report(pairs: DataFrame, windows: DataFrame) -> DataFrame:
     return met.select("media_id", name.alias("name"), "kind", "window_no", format_time(F.col("start")).alias("start_tc"), format_time(F.col("end")).alias("end_tc"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), *[c for c in met.columns if c not in ("media_id", "kind", "window_no", "start", "end")])
 
 
+def clip_utterances(clips: DataFrame, entries: DataFrame) -> DataFrame:
+    """``clips`` (two of each recording at most) with utterance_counts, the only figure that needs the entries themselves."""
+    keys = ["media_id", "kind"]
+    inside = window_members(clips.select(*keys, "start", "end"), entries)
+    return clips.join(utterance_counts(inside, keys), keys, "left")
+
+
 def clip_cut_list(clips: DataFrame) -> DataFrame:
     """What a cutter needs: media_id, start and end with three decimals, file name."""
     return clips.select("media_id", F.format_string("%.3f", "start").alias("start"), F.format_string("%.3f", "end").alias("end"), F.concat("name", F.lit(".mp4")).alias("output"))

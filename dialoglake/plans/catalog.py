@@ -418,7 +418,7 @@ def j8_window_members(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     e = src.entries(spark, sf)
-    return clips.score_windows(clips.window_variables(clips.enumerate_windows(e, OPTIONS).cache(), e), OPTIONS).cache()
+    return clips.score_windows(clips.window_variables(clips.enumerate_windows(e, OPTIONS), e, OPTIONS).cache(), OPTIONS)
 
 
 @query(f"WITH {ENT}, {WIN}, {WVAR} SELECT media_id, window_no, speaker_count, round(cpm, 6) AS cpm, round(ratio, 6) AS ratio, round(score, 6) AS score FROM sc")
@@ -439,7 +439,7 @@ pk AS (SELECT media_id, 'hard' AS kind, CASE WHEN p[3] >= p[4] THEN p[1] ELSE p[
 SELECT media_id, media_id::VARCHAR || '_' || kind AS name, kind, window_no, {even_sql('start')} AS start_tc, {even_sql('"end"')} AS end_tc, round(start, 3) AS start, round("end", 3) AS "end", round("end" - start, 6) AS duration, n AS utterance_count, speaker_count,
 changes AS speaker_change_count, round(cpm, 6) AS speaker_change_per_min, two AS overlap_entry_count, round(ratio, 6) AS overlap_entry_ratio, round(secs / ("end" - start), 6) AS speech_time_ratio, round(score, 6) AS score FROM pk JOIN sc USING (media_id, window_no)""")
 def job5_select_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.select_clips(src.entries(spark, sf), OPTIONS)["report"].drop("utterance_counts").withColumns({c: F.round(c, 6) for c in ("duration", "speaker_change_per_min", "overlap_entry_ratio", "speech_time_ratio", "score")})
+    return jobs.select_clips(src.entries(spark, sf), OPTIONS)["report"].withColumns({c: F.round(c, 6) for c in ("duration", "speaker_change_per_min", "overlap_entry_ratio", "speech_time_ratio", "score")})
 
 
 @query(f"""WITH {ENT}, {WIN}, f AS (SELECT *, row_number() OVER (PARTITION BY media_id, window_no ORDER BY entry_no) AS index FROM mem)

@@ -51,13 +51,14 @@ def export_subtitles(table: DataFrame) -> DataFrame:
 
 def select_clips(entries: DataFrame, options: clips.ClipOptions = clips.ClipOptions()) -> dict[str, DataFrame]:
     """Subtitle tracks -> scored windows, the chosen pair of each recording, report, cut list and shifted entries."""
-    windows = clips.enumerate_windows(entries, options).cache()
-    scored = clips.score_windows(clips.window_variables(windows, entries), options).cache()
+    windows = clips.enumerate_windows(entries, options)
+    scored = clips.score_windows(clips.window_variables(windows, entries, options).cache(), options).cache()
     pairs = clips.select_clip_pair(scored, entries)
     report = clips.clip_report(pairs, scored)
-    chosen = report.select("media_id", "kind", "window_no").join(windows, ["media_id", "window_no"])
+    chosen = report.select("media_id", "kind", "window_no").join(scored.select("media_id", "window_no", "start", "end"), ["media_id", "window_no"])
     inside = clips.window_members(chosen, entries)
-    return {"windows": scored, "pairs": pairs, "report": report, "cuts": clips.clip_cut_list(report), "entries": clips.shift_entries(inside, ["media_id", "kind"], "w_start")}
+    utterances = clips.clip_utterances(chosen, entries).select("media_id", "kind", "utterance_counts")
+    return {"windows": scored, "pairs": pairs, "report": report, "utterances": utterances, "cuts": clips.clip_cut_list(report), "entries": clips.shift_entries(inside, ["media_id", "kind"], "w_start")}
 
 
 def evaluate_subtitles(reference: DataFrame, generated: DataFrame, registered: DataFrame | None = None, tolerances: tuple[float, ...] = (evaluation.TOLERANCE,), turns: DataFrame | None = None, rules: LabelRules = LabelRules()) -> dict[str, DataFrame]:

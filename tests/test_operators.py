@@ -126,6 +126,32 @@ def test_clip_pairs_match_exhaustive_search(spark):
     assert out["report"].count() == 6 and out["cuts"].count() == 6 and out["entries"].where("start < 0").count() == 0
 
 
+def test_window_figures_match_members(spark):
+    r = random.Random(11)
+    rows = []
+    for m in "abcd":
+        t = 0.0
+        for i in range(150):
+            start, length = round(t, 2), r.choice([0.0, 1.0, 2.5, 7.0, 45.0, -3.0, -400.0] if m == "b" else [0.5, 2.0, 5.0])
+            rows.append((m, i + 1 if m != "c" else 1000 - i, start, round(start + length, 2), [r.choice(["A", " A", "B", "", "C"]) for _ in range(r.randrange(0, 4))], r.choice(["x", "", " "])))
+            t += r.choice([0.0, 0.3, 2.0])
+    rows += [("a", 999, None, 5.0, ["A"], "x"), ("a", 998, 5.0, None, ["A"], "x")]
+    e, o = spark.createDataFrame(rows, ENTRY), clips.ClipOptions(length=20.0, tolerance=8.0)
+    windows = clips.enumerate_windows(e, o)
+    d = windows.select("media_id", "window_no", (F.col("end") - F.col("start")).alias("duration"))
+    # Membership as it is said: every entry against every window of its recording.
+    held = windows.withColumnsRenamed({"start": "w_start", "end": "w_end"}).join(e, "media_id").where("start >= w_start - 1e-6 and end <= w_end + 1e-6")
+    want = {(x.media_id, x.window_no): x for x in stats.clip_variables(held, ["media_id", "window_no"], d).collect()}
+    got = clips.window_variables(windows, e, o).collect()
+    assert len(got) == len(want) > 200
+    for x in got:
+        w = want[x.media_id, x.window_no]
+        for name in ("utterance_count", "speaker_count", "speaker_change_count", "overlap_entry_count"):
+            assert x[name] == w[name], (name, x)
+        assert abs(x.speech_time_ratio - w.speech_time_ratio) < 1e-9 and x.duration == w.duration
+    assert clips.window_variables(windows.limit(0), e, o).count() == 0
+
+
 # ---- scripts
 
 
