@@ -262,10 +262,12 @@ def test_files_that_go_out(spark, tmp_path):
     segs = spark.createDataFrame([("m", 0, 0.0, 1.5, 'say "x"'), ("m", 1, 5.0, 6.0, "later")], SEG)
     turns = spark.createDataFrame([("m", 0, "c0", 0.0, 2.0)], TURN)
     out = jobs.build_transcripts(segs, turns, None, None, spark.createDataFrame([("none",)], "phrase string"))
-    sinks.write_transcript_csv(out["transcript"], str(tmp_path / "t"))
-    text = next((tmp_path / "t" / "media_id=m").glob("*.csv")).read_text()
+    recordings = spark.createDataFrame([("m",), ("silent",)], "media_id string")
+    sinks.write_transcript_csv(out["transcript"], str(tmp_path / "t"), recordings)
+    text = (tmp_path / "t" / "m.csv").read_text("utf-8-sig")
+    assert (tmp_path / "t" / "silent.csv").read_text("utf-8-sig") == '"start","end","speaker","text","cosine_distance"\n'
     assert text.splitlines()[0] == '"start","end","speaker","text","cosine_distance"' and '"Unknown_01"' in text and '"Unknown"' in text
-    assert out["rttm"].first().document == "SPEAKER m 1 0.000 2.000 <NA> <NA> Unknown_01 <NA> <NA>"
+    assert out["rttm"].first().document == "SPEAKER m 1 0.000 2.000 <NA> <NA> Unknown_01 <NA> <NA>\n"
     assert '"num_speakers":1' in sinks.recording_document(out["segments"], speakers.representative_segment(turns)).first().document
     sinks.append_metrics(turns.limit(0), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
@@ -274,6 +276,48 @@ def test_files_that_go_out(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
 
 
+def test_recordings_without_usable_rows_have_empty_documents(spark):
+    recordings = spark.createDataFrame([("m",), ("blank",), ("none",)], "media_id string")
+    rows = spark.createDataFrame([("m", 0, "00:00:01:000", "00:00:02:000", "A", "hi"), ("blank", 0, "00:00:01:000", "00:00:02:000", "A", " ")], "media_id string, seq int, start string, end string, speaker string, text string")
+    assert {x.media_id: x.document for x in sinks.render_transcript_srt(rows, recordings).collect()} == {"m": "1\n00:00:01,000 --> 00:00:02,000\n[A] hi\n", "blank": "", "none": ""}
+    assert {x.media_id for x in sinks.render_transcript_srt(rows).collect()} == {"m", "blank"}
+    edited = rows.selectExpr("media_id", "seq as row_no", "start as start_time", "end as end_time", "speaker", "nullif(text, ' ') as subtitle_text")
+    assert {x.media_id: x.document for x in sinks.render_subtitles(edited, recordings=recordings).collect()} == {"m": "1\n00:00:01:000 --> 00:00:02:000\n(A)hi\n", "blank": "", "none": ""}
+    turns = spark.createDataFrame([("m", 0, "c0", 0.0, 2.0), ("m", 1, "c1", 1.0, 2.0)], TURN)
+    got = {x.media_id: x.document for x in sinks.render_rttm(turns, turns.selectExpr("media_id", "cluster_id", "upper(cluster_id) as speaker"), recordings).collect()}
+    assert got == {"m": "SPEAKER m 1 0.000 2.000 <NA> <NA> C0 <NA> <NA>\nSPEAKER m 1 1.000 1.000 <NA> <NA> C1 <NA> <NA>\n", "blank": "", "none": ""}
+
+
+def test_document_files_are_published_whole_or_not_at_all(spark, tmp_path):
+    from dialoglake.sources.documents import write_documents
+
+    def docs(*rows):
+        return spark.createDataFrame(list(rows), "media_id string, document string").repartition(3)
+
+    def there():
+        return {p.name: p.read_text() for p in (tmp_path / "d").rglob("*") if p.is_file()}
+
+    path = str(tmp_path / "d")
+    write_documents(docs(("a", "1\n"), ("b", None), ("c d", "é")), path, "srt")
+    first = {"a.srt": "1\n", "b.srt": "", "c d.srt": "é"}
+    assert there() == first
+    with pytest.raises(Exception, match="already"):
+        write_documents(docs(("z", "x"), ("a", "2")), path, "srt")
+    with pytest.raises(Exception, match="two documents"):
+        write_documents(docs(("y", "1"), ("y", "2")), path, "srt", overwrite=True)
+    for bad in ("x/y", ".hidden", "", None, " a"):
+        with pytest.raises(Exception, match="can't name"):
+            write_documents(docs(("ok1", "1"), ("ok2", "1"), (bad, "1")), path, "srt")
+    # A task that fails after others have written leaves nothing behind.
+    broken = docs(*[(f"n{i}", "x") for i in range(30)]).withColumn("document", F.when(F.col("media_id") == "n17", F.raise_error(F.lit("boom"))).otherwise(F.col("document")))
+    with pytest.raises(Exception, match="boom"):
+        write_documents(broken, path, "srt")
+    assert there() == first and [p.name for p in (tmp_path / "d").iterdir() if p.is_dir()] == []
+    write_documents(docs(("a", "2"), ("e", "5")), path, "rttm")
+    write_documents(docs(("a", "3")), path, "srt", overwrite=True, bom=True)
+    assert there() == {"a.srt": "\ufeff3", "a.rttm": "2", "e.rttm": "5"}
+
+
 def test_every_benchmark_line_is_a_phrase(spark, sf, tmp_path):
     from dialoglake.plans import catalog
 

@@ -69,6 +69,8 @@ def test_meaning_and_names(spark):
         ("（a（b）c）d", tx.LabelRules(), (["a（b）c"], [], "d")),
         ("（open", tx.LabelRules(), ([], [], "（open")),
         ("[Ann] hi\n[Ann] you", tx.LabelRules(square_is_speaker=True), (["Ann"], [], "hi\nyou")),
+        ("（[BGM]）x", tx.LabelRules(square_is_speaker=True), ([], ["BGM"], "x")),
+        ("[［拍手］] x", tx.LabelRules(square_is_speaker=True), ([], ["拍手"], "x")),
         (None, tx.LabelRules(), ([], [], "")),
     ],
 )
