@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoglake.llm.common import join_unique, one_row_each, settle, tasks, text_key
+from dialoglake.llm.common import join_unique, settle, tasks
 from dialoglake.llm.components import components
 
 BITS, SEED = 64, 42
@@ -167,14 +167,3 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col:
     named = settle(least.join(inside, "root").select("fp", "rows", "component_id"))
     limit = max(1, prints.count() // 1000)
     return join_unique(prints, named, ["fp"], "rows", limit).select("id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document of each class by id (null last), all columns as they were; of equal rows one."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain, ident, text = docs.toDF(*names), names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    key = text_key(*[F.col(n) for n in names])
-    placed = plain.select(F.struct(F.col(ident).isNull().alias("without"), F.col(ident).alias("id"), key["a"].alias("a"), key["b"].alias("b")).alias("id"), F.col(text).alias("text"))
-    found = near_duplicates(placed, radius, shingle, "id", "text").where(F.col("id") == F.col("component_id"))
-    chosen = settle(found.groupBy(F.col("id.a").alias("key_a"), F.col("id.b").alias("key_b")).agg(F.count("*").alias("rows")))
-    return one_row_each(plain, names, chosen).toDF(*docs.columns)

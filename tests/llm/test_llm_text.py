@@ -182,6 +182,23 @@ def test_large_buckets_are_hashed_again(spark, bucket):
     assert {v: got.get(v, v) for v in signed} == want
 
 
+@pytest.mark.parametrize("edges", [7, 60, 2**19])
+def test_components_of_long_paths_over_many_tasks(spark, monkeypatch, edges):
+    from dialoglake.llm import components as module
+
+    monkeypatch.setattr(module, "EDGES", edges)
+    r = random.Random(edges)
+    order = r.sample(range(-500, 500), 300)
+    pairs = list(zip(order[:100], order[1:100])) + [(order[100], x) for x in order[101:180]] + [(r.choice(order[180:]), r.choice(order[180:])) for _ in range(90)]
+    root = {x: x for x in order}
+    for _ in range(300):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.root for x in components(spark.createDataFrame(pairs + pairs[:20], "a long, b long").repartition(5)).collect()}
+    assert got == {x: root[x] for a, b in pairs if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_simhash_of_odd_rows(spark):
     got = {(r.id, r.fp): r.component_id for r in simhash.near_duplicates(docs(spark, ODD)).collect()}
     assert got[(1, 0)] == got[(2, 0)] == got[(3, 0)] == 1
