@@ -132,18 +132,67 @@ def relabel(transcript: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select(*transcript.columns, "replaced")
 
 
-def rematch_unknowns(clusters: DataFrame, registry: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """After a name was given: ``labelled`` (media_id, cluster_id, name) become it; every other unknown is matched again.
+def new_voices(clusters: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Labelled clusters (media_id, cluster_id, name) as voices: speaker, reg_order, embedding.
 
-    -> media_id, cluster_id, old, speaker, distance, how (manual, auto, or null for what stays).
+    Names that can't be registered and unusable vectors give none; of a name given twice the last by recording and cluster stays.
     """
+    given = labelled.select("media_id", "cluster_id", valid_name(F.col("name")).alias("speaker")).join(clusters.select("media_id", "cluster_id", "embedding"), ["media_id", "cluster_id"])
+    usable = given.where(F.col("speaker").isNotNull() & l2_normalize(F.col("embedding")).isNotNull())
+    last = usable.groupBy("speaker").agg(F.max(F.struct("media_id", "cluster_id", "embedding")).alias("m"))
+    # Only the order among themselves matters: whoever was registered before comes first.
+    return last.select("speaker", F.xxhash64("speaker").alias("reg_order"), "m.embedding")
+
+
+def with_voices(registry: DataFrame, new: DataFrame) -> DataFrame:
+    """``registry`` (speaker, reg_order, embedding) with ``new`` ones behind the others; a name already there is overwritten."""
+    kept = registry.select("speaker", F.lit(0).alias("_new"), F.col("reg_order").cast("long").alias("reg_order"), F.col("embedding").cast("array<double>").alias("embedding")).join(new.select("speaker"), "speaker", "left_anti")
+    both = kept.unionByName(new.select("speaker", F.lit(1).alias("_new"), "reg_order", F.col("embedding").cast("array<double>").alias("embedding")))
+    last = kept.agg(F.coalesce(F.max("reg_order"), F.lit(-1)).alias("_last"))
+    behind = both.where("_new = 1").withColumn("_n", F.row_number().over(Window.orderBy("speaker")))
+    placed = behind.join(F.broadcast(last)).select("speaker", (F.col("_last") + F.col("_n")).alias("reg_order"), "embedding")
+    return kept.select("speaker", "reg_order", "embedding").unionByName(placed)
+
+
+def rematch_unknowns(clusters: DataFrame, registry: DataFrame, labelled: DataFrame, threshold: float = 0.5, recompute: bool = False) -> DataFrame:
+    """After names were given: ``labelled`` (media_id, cluster_id, name) become them and are registered; then every other unknown is matched again.
+
+    Where ``clusters`` hold their ``candidates`` (name -> distance, nearest first, as ``identify`` gives them), only the voices
+    just registered are measured, and merged into the stored distances; those to a name that was overwritten no longer count.
+    Otherwise unknowns meet the whole registry. Of equal distances the voice registered first wins, new ones by name.
+
+    -> media_id, cluster_id, old, speaker, distance, how (manual, auto, or null for what stays). A labelled cluster has no
+    distance; an unknown that stays one takes over its new distance. With ``recompute`` a labelled cluster gets its distance to
+    the registry as it is now, and an unknown that stays one keeps what it had.
+    """
+    new = new_voices(clusters, labelled)
     marked = clusters.join(labelled, ["media_id", "cluster_id"], "left")
-    again = identify(marked.where(F.col("name").isNull() & is_unknown(F.col("speaker")) & F.col("embedding").isNotNull()), registry, threshold)
-    again = again.select("media_id", "cluster_id", F.when(~is_unknown(F.col("speaker")), F.col("speaker")).alias("_auto"), F.col("distance").alias("_d"))
-    met = marked.join(again, ["media_id", "cluster_id"], "left")
-    how = F.when(F.col("name").isNotNull(), "manual").when(F.col("_auto").isNotNull(), "auto")
-    distance = F.when(F.col("name").isNotNull(), F.lit(None).cast("double")).otherwise(F.coalesce("_d", "distance"))
-    return met.select("media_id", "cluster_id", F.col("speaker").alias("old"), F.coalesce("name", "_auto", "speaker").alias("speaker"), distance.alias("distance"), how.alias("how"))
+    asked = marked.where(F.col("embedding").isNotNull() & F.when(F.col("name").isNull(), is_unknown(F.col("speaker"))).otherwise(F.lit(recompute)))
+    if "candidates" in clusters.columns:
+        near = merged_nearest(asked, registry, new)
+    else:
+        found = identify(asked.select("media_id", "cluster_id", "embedding"), with_voices(registry, new), float("inf"))
+        near = found.where("distance is not null").select("media_id", "cluster_id", F.col("speaker").alias("_near"), F.col("distance").alias("_d"))
+    met = marked.join(near, ["media_id", "cluster_id"], "left")
+    given = F.col("name").isNotNull()
+    hit = ~given & F.coalesce(F.col("_d") <= threshold, F.lit(False))
+    how = F.when(given, "manual").when(hit, "auto")
+    stays = F.col("distance") if recompute else F.coalesce("_d", "distance")
+    distance = F.when(given, F.col("_d") if recompute else F.lit(None).cast("double")).when(hit, F.col("_d")).otherwise(stays)
+    speaker = F.when(given, F.col("name")).when(hit, F.col("_near")).otherwise(F.col("speaker"))
+    return met.select("media_id", "cluster_id", F.col("speaker").alias("old"), speaker.alias("speaker"), distance.alias("distance"), how.alias("how"))
+
+
+def merged_nearest(asked: DataFrame, registry: DataFrame, new: DataFrame) -> DataFrame:
+    """media_id, cluster_id, _near, _d: the nearest of the stored candidates that still hold and of the ``new`` voices, which alone are measured."""
+    keys = ["media_id", "cluster_id"]
+    stored = asked.select(*keys, F.posexplode(F.map_entries("candidates")).alias("at", "c")).select(*keys, F.lit(0).alias("age"), F.col("at").cast("long").alias("at"), F.col("c.key").alias("speaker"), F.col("c.value").alias("d"))
+    overwritten = registry.select("speaker").join(new.select("speaker"), "speaker", "left_semi")
+    old = stored.join(overwritten, "speaker", "left_anti").groupBy(*keys).agg(F.min(F.struct("d", "age", "at", "speaker")).alias("m"))
+    fresh = distances(asked.select(*keys, "embedding"), new).select(*keys, F.explode("candidates").alias("c"))
+    rows = fresh.select(*keys, F.struct(F.col("c.distance").alias("d"), F.lit(1).alias("age"), F.lit(0).cast("long").alias("at"), F.col("c.speaker").alias("speaker")).alias("m"))
+    best = old.unionByName(rows).groupBy(*keys).agg(F.min("m").alias("m"))
+    return best.select(*keys, F.col("m.speaker").alias("_near"), F.col("m.d").alias("_d"))
 
 
 def missing_embeddings(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

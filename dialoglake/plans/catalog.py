@@ -15,6 +15,7 @@ from dialoglake.operators import cleaning, clips, evaluation, matching, sinks, s
 from dialoglake.plans import jobs
 from dialoglake.sources import adapters as src
 from dialoglake.sources import files
+from dialoglake.sources.documents import write_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,16 +107,17 @@ PLAIN_TEXT = "trim(translate(text, '()[]（）［］' || chr(10), '         '))"
 
 @query(f"""WITH {UTT}, p AS (SELECT media_id, seq, speaker, {PLAIN_TEXT} AS t FROM utt)
 SELECT media_id, seq, [speaker, '（a）b'] AS speakers, ['music', '効果音'] AS non_speech_labels, t AS body, {NORM.format("'   ' || t || '   '")} AS key,
-['x' || speaker, speaker] AS square_speakers, ['拍手'] AS square_sounds, t || '[note](n)' AS square_body FROM p""")
+['x' || speaker, speaker] AS square_speakers, ['拍手', 'BGM'] AS square_sounds, [speaker, '／a'] AS plain_speakers, t || '[note](n)' AS square_body FROM p""")
 def sc7_9_labels(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.trim(F.translate("text", "()[]（）［］\n", " " * 9))
     said = src.utterances(spark, sf).withColumn("text", plain)
     round_ = F.concat(F.lit("（"), "speaker", F.lit("） "), "text", F.lit(" [music] （（a）b）\n（効果音）"))
-    square = F.concat(F.lit("[x"), "speaker", F.lit("]（"), "speaker", F.lit("] "), "text", F.lit("[note](n) [拍手)"))
+    square = F.concat(F.lit("[x"), "speaker", F.lit("]（"), "speaker", F.lit("] "), "text", F.lit("[note](n) [拍手) （[BGM]）"))
+    noted = F.concat(F.lit("（"), "speaker", F.lit("（VTR）／x・y）（／a） "), "text")
     key = F.concat(F.lit("（"), "speaker", F.lit("）[a]"), "text", F.lit("[music](a(b)c)"))
     mode = tx.split_labels(square, tx.LabelRules(square_is_speaker=True)).alias("s")
-    rows = said.select("media_id", "seq", tx.split_labels(round_).alias("l"), tx.match_key(key).alias("key"), mode)
-    return rows.select("media_id", "seq", "l.*", "key", F.col("s.speakers").alias("square_speakers"), F.col("s.non_speech_labels").alias("square_sounds"), F.col("s.body").alias("square_body"))
+    rows = said.select("media_id", "seq", tx.split_labels(round_).alias("l"), tx.match_key(key).alias("key"), mode, tx.split_labels(noted, tx.LabelRules(strip_suffix=True)).alias("n"))
+    return rows.select("media_id", "seq", "l.*", "key", F.col("s.speakers").alias("square_speakers"), F.col("s.non_speech_labels").alias("square_sounds"), F.col("s.body").alias("square_body"), F.col("n.speakers").alias("plain_speakers"))
 
 
 # ---- sources
@@ -231,12 +233,13 @@ def _cluster_voices(spark: SparkSession, sf: str) -> DataFrame:
     """A voice for most clusters of the turns: every recording's cluster takes a vector that isn't registered, some find none."""
     named = src.turns(spark, sf).select("media_id", "cluster_id").distinct()
     vectors = src.voiceprints(spark, sf)[1].select(F.substring("cluster_id", 2, 9).cast("long").alias("vec_id"), "embedding")
-    number = (F.unix_date(F.to_date("media_id")) * 5 + F.substring("cluster_id", 2, 9).cast("int")) % 61
-    return named.withColumn("vec_id", number.cast("long")).join(vectors, "vec_id").drop("vec_id")
+    size = F.broadcast(src.table(spark, sf, "embeddings").agg((F.max("vec_id") + 1).alias("_size")))  # one row
+    number = (F.unix_date(F.to_date("media_id")) * 5 + F.substring("cluster_id", 2, 9).cast("int")) % F.col("_size")
+    return named.join(size).withColumn("vec_id", number.cast("long")).join(vectors, "vec_id").drop("vec_id", "_size")
 
 
 @query(f"""WITH {EVT}, {VOICE.replace("clu AS (SELECT vec_id % 20 AS media_id, printf('c%08d', vec_id) AS cluster_id, embedding FROM embeddings ANTI JOIN first USING (label, vec_id))",
-"clu AS (SELECT DISTINCT t.media_id, t.cluster_id, e.embedding FROM turns t JOIN (FROM embeddings ANTI JOIN first USING (label, vec_id)) e ON e.vec_id = ((t.media_id::DATE - DATE '1970-01-01') * 5 + t.cluster_id[2:]::INT) % 61)").replace("ORDER BY cluster_id)) END AS speaker", "ORDER BY cluster_id) + CASE WHEN distance <= 0.8 THEN 0 ELSE (SELECT count(*) FROM novoice v WHERE v.media_id = best.media_id) END) END AS speaker").replace("named AS (", "novoice AS (SELECT DISTINCT media_id, cluster_id FROM turns ANTI JOIN clu USING (media_id, cluster_id)), named AS (")},
+"clu AS (SELECT DISTINCT t.media_id, t.cluster_id, e.embedding FROM turns t JOIN (FROM embeddings ANTI JOIN first USING (label, vec_id)) e ON e.vec_id = ((t.media_id::DATE - DATE '1970-01-01') * 5 + t.cluster_id[2:]::INT) % (SELECT max(vec_id) + 1 FROM embeddings))").replace("ORDER BY cluster_id)) END AS speaker", "ORDER BY cluster_id) + CASE WHEN distance <= 0.8 THEN 0 ELSE (SELECT count(*) FROM novoice v WHERE v.media_id = best.media_id) END) END AS speaker").replace("named AS (", "novoice AS (SELECT DISTINCT media_id, cluster_id FROM turns ANTI JOIN clu USING (media_id, cluster_id)), named AS (")},
 who AS (SELECT media_id, cluster_id, speaker, distance FROM named UNION ALL SELECT media_id, cluster_id, 'Unknown_' || printf('%02d', row_number() OVER (PARTITION BY media_id ORDER BY cluster_id)), NULL FROM novoice),
 ph AS (SELECT {REPEAT_NORM.format("p")} AS norm FROM (VALUES {STOCK}) t(p)), l AS (FROM segs), {REASONS}, {DOMINANT}
 SELECT s.media_id, s.seq, {even_sql('s.start')} AS start, {even_sql('s."end"')} AS "end", s.text, CASE WHEN dom.cluster_id IS NULL THEN 'Unknown' ELSE speaker END AS speaker, coalesce(printf('%.6f', distance), '') AS cosine_distance
@@ -267,10 +270,17 @@ def j3_relabel(spark: SparkSession, sf: str) -> DataFrame:
     return speakers.relabel(u, mapping)
 
 
-@query(f"""WITH {VOICE}, near AS (SELECT media_id, cluster_id, distance, near FROM best), l AS (SELECT media_id, min(cluster_id) AS cluster_id, 'Named ' || media_id::VARCHAR AS name FROM named WHERE speaker LIKE 'Unknown%' GROUP BY media_id)
-SELECT n.media_id, n.cluster_id, n.speaker AS old, coalesce(l.name, CASE WHEN n.speaker LIKE 'Unknown%' AND b.distance <= 0.9 THEN b.near END, n.speaker) AS speaker,
-CASE WHEN l.name IS NULL THEN round(n.distance, 6) END AS distance, CASE WHEN l.name IS NOT NULL THEN 'manual' WHEN n.speaker LIKE 'Unknown%' AND b.distance <= 0.9 THEN 'auto' END AS how
-FROM named n JOIN near b USING (media_id, cluster_id) LEFT JOIN l ON l.media_id = n.media_id AND l.cluster_id = n.cluster_id""")
+#: After labels ``l`` (media_id, cluster_id, name): the new voices, the last of each name, and the nearest voice of every unknown among old and new.
+REMATCH = """nv AS (SELECT name, arg_max(v, (media_id, cluster_id)) AS v FROM l JOIN unit USING (media_id, cluster_id) GROUP BY name),
+nd AS (SELECT u.media_id, u.cluster_id, n.name, 1 - list_cosine_similarity(u.v, n.v) AS d FROM named k JOIN unit u USING (media_id, cluster_id), nv n WHERE k.speaker LIKE 'Unknown%'),
+nb AS (SELECT media_id, cluster_id, arg_min(name, (round(d, 9), name)) AS name, min(d) AS d FROM nd GROUP BY ALL),
+rm AS (SELECT n.media_id, n.cluster_id, n.speaker AS old, l.name, CASE WHEN round(nb.d, 9) < round(b.distance, 9) THEN nb.name ELSE b.near END AS near, CASE WHEN n.speaker LIKE 'Unknown%' THEN least(b.distance, nb.d) ELSE n.distance END AS distance
+  FROM named n JOIN best b USING (media_id, cluster_id) LEFT JOIN nb ON nb.media_id = n.media_id AND nb.cluster_id = n.cluster_id LEFT JOIN l ON l.media_id = n.media_id AND l.cluster_id = n.cluster_id),
+rh AS (SELECT *, CASE WHEN name IS NOT NULL THEN 'manual' WHEN old LIKE 'Unknown%' AND distance <= 0.9 THEN 'auto' END AS how FROM rm)"""
+
+
+@query(f"""WITH {VOICE}, l AS (SELECT media_id, min(cluster_id) AS cluster_id, 'Named ' || media_id::VARCHAR AS name FROM named WHERE speaker LIKE 'Unknown%' GROUP BY media_id), {REMATCH}
+SELECT media_id, cluster_id, old, coalesce(name, CASE WHEN how = 'auto' THEN near END, old) AS speaker, CASE WHEN name IS NULL THEN round(distance, 6) END AS distance, how FROM rh""")
 def j15_rematch_unknowns(spark: SparkSession, sf: str) -> DataFrame:
     registry, clusters = src.voiceprints(spark, sf)
     named = speakers.identify(clusters, registry, 0.8).join(clusters, ["media_id", "cluster_id"])
@@ -694,7 +704,7 @@ def snk5_clip_srt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EVT}, r AS (SELECT *, CASE WHEN cluster_id <> 'c3' THEN 'Voice ' || cluster_id ELSE cluster_id END AS who FROM turns)
-SELECT media_id, string_agg(printf('SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', media_id, start, "end" - start, who), chr(10) ORDER BY track_seq) AS document FROM r GROUP BY media_id""")
+SELECT media_id, string_agg(printf('SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', media_id, start, "end" - start, who) || chr(10), '' ORDER BY track_seq) AS document FROM r GROUP BY media_id""")
 def snk6_rttm(spark: SparkSession, sf: str) -> DataFrame:
     t = src.turns(spark, sf)
     names = t.where("cluster_id <> 'c3'").select("media_id", "cluster_id").distinct().withColumn("speaker", F.concat(F.lit("Voice "), "cluster_id"))
@@ -719,9 +729,9 @@ def snk9_unknown_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.unknown_cluster_manifest(named, reps).drop("distance", "candidates")
 
 
-@query(f"""WITH {VOICE}, l AS (SELECT media_id, min(cluster_id) AS cluster_id FROM named WHERE speaker LIKE 'Unknown%' GROUP BY media_id),
-m AS (SELECT n.*, b.near, b.distance AS d, l.cluster_id IS NOT NULL AS host, l.cluster_id IS NULL AND n.speaker LIKE 'Unknown%' AND b.distance <= 0.9 AS auto FROM named n JOIN best b USING (media_id, cluster_id) LEFT JOIN l ON l.media_id = n.media_id AND l.cluster_id = n.cluster_id)
-SELECT media_id, '00:00:00:000' AS start, '00:00:01:000' AS "end", CASE WHEN host THEN 'Host' WHEN auto THEN near ELSE speaker END AS speaker, cluster_id AS text, CASE WHEN NOT host THEN round(CASE WHEN auto THEN d ELSE distance END, 6) END AS distance, host OR auto AS replaced FROM m""")
+@query(f"""WITH {VOICE}, l AS (SELECT media_id, min(cluster_id) AS cluster_id, 'Host' AS name FROM named WHERE speaker LIKE 'Unknown%' GROUP BY media_id), {REMATCH}
+SELECT media_id, '00:00:00:000' AS start, '00:00:01:000' AS "end", coalesce(name, CASE WHEN how = 'auto' THEN near END, old) AS speaker, cluster_id AS text, CASE WHEN name IS NULL THEN round(CASE WHEN how = 'auto' THEN distance ELSE kept END, 6) END AS distance, how IS NOT NULL AS replaced
+FROM rh JOIN (SELECT media_id, cluster_id, distance AS kept FROM named) USING (media_id, cluster_id)""")
 def job2_label_and_rematch(spark: SparkSession, sf: str) -> DataFrame:
     registry, clusters = src.voiceprints(spark, sf)
     named = speakers.identify(clusters, registry, 0.8).join(clusters, ["media_id", "cluster_id"])
@@ -768,13 +778,13 @@ def snk1_src1_transcript_csv(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_csv_table(spark, path).select("media_id", *sinks.TRANSCRIPT)
 
 
-@query(f"WITH {GIVEN}, {CORR} SELECT media_id::VARCHAR AS media_id, type, coalesce(script_id::VARCHAR, '') AS script_start_id, speaker, subtitle_text FROM rn")
+@query(f"""WITH {GIVEN}, {CORR}, {FILLED} SELECT ft.media_id::VARCHAR AS media_id, ft.type, coalesce(ft.script_id::VARCHAR, '') AS script_start_id, coalesce(ft.script_id::VARCHAR, '') AS script_end_id, coalesce(s.speaker, '') AS script_speaker, coalesce(s.dialogue, '') AS script_dialogue,
+coalesce(ft.stt_id::VARCHAR, '') AS stt_start_id, coalesce(ft.stt_id::VARCHAR, '') AS stt_end_id, coalesce(t.stt_speaker, '') AS stt_speaker, coalesce(t.text, '') AS stt_text, start_time, end_time, coalesce(ft.speaker, '') AS speaker, coalesce(subtitle_text, '') AS subtitle_text
+FROM ft LEFT JOIN script s ON s.media_id = ft.media_id AND s.id = ft.script_id LEFT JOIN stt t ON t.media_id = ft.media_id AND t.id = ft.stt_id""")
 def snk2_correspondence_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     sinks.write_correspondence_csv(matching.correspondence(*_given(spark, sf)), path)
-    schema = ", ".join(f"{c} string" for c in matching.COLUMNS) + ", media_id string"
-    back = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return back.select("media_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("type", "script_start_id", "speaker", "subtitle_text")])
+    return files.read_csv_table(spark, path).select("media_id", *matching.COLUMNS)
 
 
 @query(f"WITH {EVT}, c AS (SELECT media_id, count(*) AS n FROM turns GROUP BY ALL) SELECT media_id, n FROM c UNION ALL SELECT media_id, n FROM c")
@@ -785,6 +795,60 @@ def snk7_append_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _paired(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every two conversations put together under the even number, so that odd recordings have no rows; and all recordings."""
+    u, odd = src.utterances(spark, sf), F.col("media_id") % 2
+    rows = u.withColumn("seq", F.col("seq") * 2 + odd).withColumn("media_id", F.col("media_id") - odd).withColumn("distance", F.lit(None).cast("double"))
+    return rows, u.select("media_id").distinct()
+
+
+PAIRED = f"""{UTT}, pu AS (SELECT media_id - media_id % 2 AS media_id, seq * 2 + media_id % 2 AS seq, speaker, text, start, "end" FROM utt), al AS (SELECT DISTINCT media_id FROM utt)"""
+
+
+def _written(spark: SparkSession, documents: DataFrame, ending: str, **options) -> str:
+    path = _folder(spark)
+    write_documents(documents, path, ending, **options)
+    return path
+
+
+@query(f"""WITH {PAIRED}, b AS (SELECT media_id, string_agg('"' || {even_sql('start')} || '","' || {even_sql('"end"')} || '","' || replace(speaker, '"', '""') || '","' || replace(text, '"', '""') || '",""' || chr(10), '' ORDER BY seq) AS body FROM pu GROUP BY media_id)
+SELECT media_id::VARCHAR AS media_id, '"start","end","speaker","text","cosine_distance"' || chr(10) || coalesce(body, '') AS document FROM al LEFT JOIN b USING (media_id)""")
+def snk1_transcript_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows, recordings = _paired(spark, sf)
+    path = _folder(spark)
+    sinks.write_transcript_csv(sinks.transcript_rows(rows), path, recordings)
+    return files.whole_texts(spark, path).withColumnRenamed("text", "document")
+
+
+@query(f"""WITH {PAIRED}, r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq) AS n FROM pu WHERE trim(text) <> ''),
+b AS (SELECT media_id, string_agg(n::VARCHAR || chr(10) || {even_sql('start')}[1:8] || ',' || {even_sql('start')}[10:12] || ' --> ' || {even_sql('"end"')}[1:8] || ',' || {even_sql('"end"')}[10:12] || chr(10) || '[' || speaker || '] ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10), chr(10) ORDER BY n) AS document FROM r GROUP BY media_id)
+SELECT media_id::VARCHAR AS media_id, coalesce(document, '') AS document FROM al LEFT JOIN b USING (media_id)""")
+def snk4_transcript_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows, recordings = _paired(spark, sf)
+    path = _written(spark, sinks.render_transcript_srt(sinks.transcript_rows(rows), recordings), "srt")
+    return files.read_documents(spark, path, "srt")
+
+
+@query(f"""WITH {PAIRED}, p AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY seq)::INTEGER AS index, lag(speaker) OVER (PARTITION BY media_id ORDER BY seq) AS prev, round(floor(start) + floor((start * 1000) % 1000) / 1000, 3) AS t FROM pu)
+SELECT media_id::VARCHAR AS media_id, row_number() OVER (PARTITION BY media_id ORDER BY t, index)::INTEGER AS entry_no, index, t AS start, CASE WHEN prev IS NOT DISTINCT FROM speaker THEN []::VARCHAR[] ELSE [speaker] END AS speakers, trim(replace(text, chr(10), ' ')) AS body FROM p""")
+def snk3_src2_subtitle_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows, recordings = _paired(spark, sf)
+    edited = rows.select("media_id", F.col("seq").alias("row_no"), tc.seconds_to_time_str(F.col("start")).alias("start_time"), tc.seconds_to_time_str(F.col("end")).alias("end_time"), "speaker", F.replace("text", F.lit("\n"), F.lit(" ")).alias("subtitle_text"))
+    entries = files.read_subtitles(spark, _written(spark, sinks.render_subtitles(edited, recordings=recordings), "srt"))
+    return entries.select("media_id", "entry_no", "index", F.round("start", 3).alias("start"), "speakers", "body")
+
+
+@query(f"""WITH {EVT}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY track_seq) - 1 AS line FROM turns)
+SELECT media_id, line AS track_seq, 'V' || cluster_id AS cluster_id, round(start, 3) AS start, round("end", 3) AS "end" FROM n""")
+def snk6_src6_rttm_files(spark: SparkSession, sf: str) -> DataFrame:
+    t = src.turns(spark, sf)
+    names = t.select("media_id", "cluster_id").distinct().withColumn("speaker", F.concat(F.lit("V"), "cluster_id"))
+    silent = t.select(F.concat("media_id", F.lit(" silent")).alias("media_id"))
+    path = _written(spark, sinks.render_rttm(t, names, t.select("media_id").unionByName(silent)), "rttm")
+    back = files.read_rttm(spark, path)
+    return back.select("media_id", F.col("track_seq").cast("long").alias("track_seq"), "cluster_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
 @query("SELECT page_id, NOT (l IN ('笑') OR contains(l, 'BGM') OR ends_with(l, '音')) AS speaks FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '笑' WHEN 1 THEN 'BGM ' || url WHEN 2 THEN url || '音' ELSE url END AS l FROM pages)")
 def f4_speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
     k, url = F.col("page_id") % 4, F.col("url")

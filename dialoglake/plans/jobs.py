@@ -28,11 +28,11 @@ def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame
     return {"segments": rows, "clusters": named, "transcript": transcript, "subtitles": sinks.render_transcript_srt(transcript), "rttm": sinks.render_rttm(turns, named), "manifest": sinks.unknown_cluster_manifest(named, reps)}
 
 
-def label_and_rematch(transcript: DataFrame, clusters: DataFrame, registry: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
-    """Give names to unknown clusters, match the others again, and rewrite rows and subtitles."""
-    moved = speakers.rematch_unknowns(clusters, registry, labelled, threshold)
+def label_and_rematch(transcript: DataFrame, clusters: DataFrame, registry: DataFrame, labelled: DataFrame, threshold: float = 0.5, recompute: bool = False) -> dict[str, DataFrame]:
+    """Give names to unknown clusters, register their voices, match the others again, and rewrite rows and subtitles."""
+    moved = speakers.rematch_unknowns(clusters, registry, labelled, threshold, recompute)
     rows = speakers.relabel(transcript, moved.where("how is not null").select("media_id", "old", "speaker", "distance"))
-    return {"clusters": moved, "transcript": rows, "subtitles": sinks.render_transcript_srt(rows)}
+    return {"clusters": moved, "registry": speakers.with_voices(registry, speakers.new_voices(clusters, labelled)), "transcript": rows, "subtitles": sinks.render_transcript_srt(rows)}
 
 
 def match_script(script_lines: DataFrame, stt_lines: DataFrame, encoder: Callable = matching.hashed_trigrams, max_n: int = matching.MAX_N, k: int = matching.TOP_K) -> dict[str, DataFrame]:

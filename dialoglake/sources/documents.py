@@ -1,6 +1,6 @@
 """One named file for each recording, written by tasks and published by the driver.
 
-A data source for ``write``: rows are (media_id, document). A task writes its files into a staging folder of its own below
+A data source for ``write`` and ``read``: rows are (media_id, document). A task writes its files into a staging folder of its own below
 the target; what it returns is that folder's name alone. The commit first looks whether two tasks hold a file of one name,
 or the target holds it already and isn't to be overwritten, and only then moves files to their places; so a failed or lost
 attempt, or an aborted job, leaves none. Names are ``<media_id>.<ending>``; an id that can't name a file is an error.
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from dialoglake.sources.storage import place
 
@@ -94,6 +94,37 @@ class _Writer(DataSourceWriter):
                 time.sleep(0.2)
 
 
+#: Bytes of files that one task reads, about.
+READ_BYTES = 2**25
+
+
+@dataclass
+class Some(InputPartition):
+    names: list[str]
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.target, self.ending = options["path"], f".{options.get('ending', 'txt')}"
+
+    def partitions(self) -> list[Some]:
+        at, root = place(self.target)
+        out, size = [Some([])], 0
+        for info in at.get_file_info(fs.FileSelector(root)):
+            if info.type == fs.FileType.File and info.base_name.endswith(self.ending):
+                if size >= READ_BYTES:
+                    out, size = [*out, Some([])], 0
+                out[-1].names.append(info.base_name)
+                size += (info.size or 0) + 2**12
+        return out
+
+    def read(self, partition: Some) -> Iterator[tuple[str, str]]:
+        at, root = place(self.target)
+        for name in partition.names:
+            with at.open_input_stream(f"{root}/{name}") as f:
+                yield name.removesuffix(self.ending), f.read().decode().removeprefix(BOM)
+
+
 class DocumentFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -102,6 +133,9 @@ class DocumentFiles(DataSource):
     def schema(self) -> str:
         return "media_id string, document string"
 
+    def reader(self, schema) -> _Reader:
+        return _Reader(dict(self.options))
+
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(dict(self.options), overwrite)
 

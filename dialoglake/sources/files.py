@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoglake.functions.text import LabelRules, is_meaningful, split_labels, strip
 from dialoglake.functions.timecode import time_str_to_seconds
+from dialoglake.sources.documents import DocumentFiles
 
 # Stock phrases that recognisers make up, the annotation that scripts carry, patterns of time ranges and script lines, and audio endings.
 STOCK_PHRASES = (
@@ -37,7 +40,7 @@ def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
     names = [c for c in read.columns if c != "media_id"]
     media = F.col("media_id").cast("string") if "media_id" in read.columns else stem(F.input_file_name())
-    return read.select(media.alias("media_id"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿")) for c in names])
+    return read.select(media.alias("media_id"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip("﻿").strip('"')) for c in names])
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -46,6 +49,12 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return read.select(stem(F.input_file_name()).alias("media_id"), F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n").alias("text"))
 
 
+def read_documents(spark: SparkSession, path: str, ending: str) -> DataFrame:
+    """media_id, document of the files that ``write_documents`` has written, empty ones too, which Spark's own readers pass over."""
+    spark.dataSource.register(DocumentFiles)
+    return spark.read.format("documents").options(path=path if ":/" in path else os.path.abspath(path), ending=ending).load()
+
+
 def parse_subtitles(texts: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
     """media_id, text of subtitle files -> entries ordered by start: media_id, entry_no, index, start, end, speakers, body, non_speech_labels, raw_text.
 

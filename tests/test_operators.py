@@ -59,6 +59,29 @@ def test_rematch_relabel_and_manifest(spark):
     assert [(x.label, x.clip) for x in sinks.unknown_cluster_manifest(named, reps).collect()] == [("Unknown_01", "clip_c0.wav")]
 
 
+def test_a_named_voice_is_registered_before_the_others_are_matched(spark):
+    reg = spark.createDataFrame([("Ann", 0, [1.0, 0.0, 0.0]), ("Zoe", 1, [0.0, 0.0, 1.0])], "speaker string, reg_order long, embedding array<float>")
+    rows = [("m", "c0", [0.0, 1.0, 0.0]), ("m", "c1", [0.01, 1.0, 0.0]), ("m", "c2", [0.6, 0.6, 0.6]), ("m", "c3", None), ("n", "c0", [0.0, 0.9, 0.1]), ("n", "c1", [0.0, 0.1, 1.0]), ("n", "c2", [-1.0, -1.0, 0.0])]
+    voices = spark.createDataFrame(rows, "media_id string, cluster_id string, embedding array<float>")
+    named = speakers.identify(voices, reg, 0.05).join(voices, ["media_id", "cluster_id"])
+    labelled = spark.createDataFrame([("m", "c0", "New")], "media_id string, cluster_id string, name string")
+    whole = speakers.rematch_unknowns(named.drop("candidates"), reg, labelled, 0.05)
+    merged = speakers.rematch_unknowns(named, reg, labelled, 0.05)
+    got = {(x.media_id, x.cluster_id): (x.speaker, x.how) for x in merged.collect()}
+    assert got[("m", "c1")] == ("New", "auto") and got[("n", "c0")] == ("New", "auto") and got[("m", "c0")] == ("New", "manual") and got[("n", "c1")] == ("Zoe", None)
+    plain = lambda df: sorted((x.media_id, x.cluster_id, x.old, x.speaker, x.distance and round(x.distance, 9), x.how) for x in df.collect())
+    assert plain(whole) == plain(merged)
+    # A registered name given again is overwritten: distances to its old voice no longer count.
+    again = spark.createDataFrame([("m", "c0", "Zoe")], "media_id string, cluster_id string, name string")
+    for flow in (False, True):
+        a, b = (plain(speakers.rematch_unknowns(x, reg, again, 0.05, flow)) for x in (named.drop("candidates"), named))
+        assert a == b and {x[1:4] for x in a if x[0] == "m" and x[1] == "c1"} == {("c1", "Unknown_03", "Zoe")}
+    manual = next(x for x in speakers.rematch_unknowns(named, reg, again, 0.05, True).collect() if x.how == "manual")
+    assert abs(manual.distance) < 1e-9
+    now = {x.speaker: (x.reg_order, x.embedding) for x in speakers.with_voices(reg, speakers.new_voices(named, again)).collect()}
+    assert now == {"Ann": (0, [1.0, 0.0, 0.0]), "Zoe": (1, [0.0, 1.0, 0.0])}
+
+
 def test_cache_and_registry(spark):
     f = spark.createDataFrame([("n", "a", bytearray(b"1")), ("n", "b", bytearray(b"1")), ("n", "c", bytearray(b"2")), ("o", "d", bytearray(b"1"))], "namespace string, path string, content binary")
     cache = f.where("path = 'c'").select("namespace", F.sha2("content", 256).alias("content_sha256"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
@@ -316,6 +339,11 @@ def test_document_files_are_published_whole_or_not_at_all(spark, tmp_path):
     write_documents(docs(("a", "2"), ("e", "5")), path, "rttm")
     write_documents(docs(("a", "3")), path, "srt", overwrite=True, bom=True)
     assert there() == {"a.srt": "\ufeff3", "a.rttm": "2", "e.rttm": "5"}
+    from dialoglake.sources import files
+
+    write_documents(docs(("empty", None)), path, "rttm")
+    assert {x.media_id: x.document for x in files.read_documents(spark, path, "rttm").collect()} == {"a": "2", "e": "5", "empty": ""}
+    assert files.read_documents(spark, path, "srt").first().document == "3"
 
 
 def test_every_benchmark_line_is_a_phrase(spark, sf, tmp_path):
