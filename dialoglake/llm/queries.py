@@ -120,8 +120,8 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
-  SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l,
-    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS chat
+  SELECT conv_id, count(*) AS n, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS l,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS chat
   FROM t GROUP BY conv_id)
 SELECT conv_id, n AS n_turns, chat FROM c
 WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.n > c.n AND d.l[1:c.n] = c.l) AND NOT EXISTS (SELECT 1 FROM c d WHERE d.l = c.l AND d.conv_id < c.conv_id)

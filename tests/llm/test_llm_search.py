@@ -143,6 +143,16 @@ def test_chats_match_plain(spark):
     assert all("<|x" not in x.chat for x in got) and chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chats_whose_turns_agree_in_number_and_role(spark):
+    r = random.Random(8)
+    rows = [(c, r.choice([0, 0, 1, None]), r.choice(["user", None]), r.choice(["a", "b", "c", "", None])) for c in range(150) for _ in range(r.randrange(1, 5))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(df).collect()
+    assert Counter((x.conv_id, x.n_turns) for x in got) == plain_chats(rows)
+    first = spark.createDataFrame([(1, 5, "u", "b"), (1, 5, "u", "a"), (1, None, "u", "z")], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(first).first().chat == "".join(f"<|u|>\n{x}\n<|end|>\n" for x in "zab")
+
+
 # ---- passages
 
 
