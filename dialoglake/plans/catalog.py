@@ -838,6 +838,15 @@ def snk3_src2_subtitle_files(spark: SparkSession, sf: str) -> DataFrame:
     return entries.select("media_id", "entry_no", "index", F.round("start", 3).alias("start"), "speakers", "body")
 
 
+@query(f"""WITH {UTT}, p AS (SELECT media_id, seq, {cut_sql('start')} AS start_tc, {cut_sql('"end"')} AS end_tc, ltrim(replace(text, chr(10), ' ')) AS text, speaker AS stt_speaker, {NORM.format('text')} AS norm FROM utt)
+SELECT media_id::VARCHAR AS media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seq) - 1)::INTEGER AS id, start_tc, end_tc, rtrim(text) AS text, stt_speaker FROM p
+WHERE end_tc > start_tc AND length(norm) >= 2 AND regexp_matches(norm, '[a-zA-Z0-9]') AND NOT (len(string_split(norm, ' ')) >= 2 AND len(list_distinct(string_split(norm, ' '))) = 1)""")
+def src3_stt_files_in_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Recogniser subtitles written as files and read in splits far smaller than a file."""
+    path = _written(spark, _srt_texts(spark, sf, ("[", "] ")).withColumnRenamed("text", "document"), "srt")
+    return files.read_stt_srt(spark, path, split_bytes=512).select("media_id", "id", "start_tc", "end_tc", F.rtrim("text").alias("text"), "stt_speaker")
+
+
 @query(f"""WITH {EVT}, n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY track_seq) - 1 AS line FROM turns)
 SELECT media_id, line AS track_seq, 'V' || cluster_id AS cluster_id, round(start, 3) AS start, round("end", 3) AS "end" FROM n""")
 def snk6_src6_rttm_files(spark: SparkSession, sf: str) -> DataFrame:

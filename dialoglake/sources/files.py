@@ -7,8 +7,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dialoglake.functions.ranks import number_in_ranges
 from dialoglake.functions.text import LabelRules, is_meaningful, split_labels, strip
 from dialoglake.functions.timecode import time_str_to_seconds
+from dialoglake.sources.blocks import SPLIT_BYTES, read_blocks
 from dialoglake.sources.documents import DocumentFiles
 
 # Stock phrases that recognisers make up, the annotation that scripts carry, patterns of time ranges and script lines, and audio endings.
@@ -30,6 +32,9 @@ ASIDE, SPOKEN = r"^\s*[（(](.+)[)）]\s*$", r"^\s*([^\s:：（(][^:：]{0,30}?)
 AUDIO = ("wav", "mp3", "m4a", "flac", "mp4", "mov", "ogg", "opus", "aac", "wma")
 # End of the fixed values.
 
+#: Seconds of a recording whose entries are numbered in one task.
+STRETCH = 3600
+
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
@@ -60,7 +65,11 @@ def parse_subtitles(texts: DataFrame, rules: LabelRules = LabelRules()) -> DataF
 
     Blocks are parted by blank lines; the first line that holds a time range counts; blocks without one are passed over.
     """
-    blocks = texts.select("media_id", F.posexplode(F.split(strip(F.col("text")), r"\n[\s]*\n")).alias("pos", "block"))
+    return subtitle_entries(texts.select("media_id", F.lit(0).alias("split"), F.posexplode(F.split(strip(F.col("text")), r"\n[\s]*\n")).alias("nth", "block")), rules)
+
+
+def subtitle_entries(blocks: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
+    """media_id, split, nth, block -> entries; numbers come from counts of the splits, and of stretches of time, before."""
     rows = blocks.withColumn("lines", F.split("block", "\n")).withColumn("at", F.expr(f"array_position(transform(lines, l -> l rlike r'{TIMES}'), true)")).where("at > 0")
     line = F.element_at("lines", F.col("at").cast("int"))
 
@@ -69,30 +78,48 @@ def parse_subtitles(texts: DataFrame, rules: LabelRules = LabelRules()) -> DataF
         return h * 3600 + m * 60 + s + ms / 1000.0
 
     rest = F.filter(F.slice("lines", F.col("at").cast("int") + 1, F.size("lines")), lambda x: strip(x) != "")
-    rows = rows.select("media_id", "pos", seconds(1).alias("start"), seconds(5).alias("end"), F.array_join(rest, "\n").alias("raw_text"))
+    rows = rows.select("media_id", "split", "nth", seconds(1).alias("start"), seconds(5).alias("end"), F.array_join(rest, "\n").alias("raw_text"))
+    rows = number_in_ranges(rows, F.col("split"), [F.col("nth")], "index")
+    rows = number_in_ranges(rows, F.floor(F.col("start") / STRETCH), [F.col("start"), F.col("index")], "entry_no")
     rows = rows.withColumn("labels", split_labels(F.col("raw_text"), rules))
-    found = rows.withColumn("index", F.row_number().over(Window.partitionBy("media_id").orderBy("pos")))
-    return found.select("media_id", F.row_number().over(Window.partitionBy("media_id").orderBy("start", "index")).alias("entry_no"), "index", "start", "end", "labels.speakers", "labels.body", "labels.non_speech_labels", "raw_text")
+    return rows.select("media_id", "entry_no", "index", "start", "end", "labels.speakers", "labels.body", "labels.non_speech_labels", "raw_text")
 
 
-def read_subtitles(spark: SparkSession, path: str, rules: LabelRules = LabelRules()) -> DataFrame:
-    return parse_subtitles(whole_texts(spark, path), rules)
+def read_subtitles(spark: SparkSession, path: str, rules: LabelRules = LabelRules(), split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Entries of subtitle files; a file of more than ``split_bytes`` is read by several tasks."""
+    return subtitle_entries(read_blocks(spark, path, True, split_bytes), rules)
 
 
 def parse_stt_srt(texts: DataFrame) -> DataFrame:
     """Recogniser subtitles: media_id, id (dense, from 0), start_tc, end_tc, start, end, text, stt_speaker. Needs three lines, the second with an arrow; senseless rows go."""
-    blocks = texts.select("media_id", F.posexplode(F.split(strip(F.col("text")), "\n\n")).alias("pos", "block"))
+    return stt_lines(texts.select("media_id", F.lit(0).alias("split"), F.posexplode(F.split(strip(F.col("text")), "\n\n")).alias("nth", "block")))
+
+
+def stt_lines(blocks: DataFrame) -> DataFrame:
+    """media_id, split, nth, block -> recognised lines."""
     rows = blocks.withColumn("lines", F.split(strip(F.col("block")), "\n")).where((F.size("lines") >= 3) & F.contains(F.try_element_at("lines", F.lit(2)), F.lit("-->")))
     times = F.split(F.element_at("lines", 2), "-->")
     said = F.array_join(F.slice("lines", 3, F.size("lines")), " ")
     named = r"^\s*\[([^\]]*)\]\s*(.*)$"
-    rows = rows.select("media_id", "pos", strip(times[0]).alias("start_tc"), strip(times[1]).alias("end_tc"), F.when(said.rlike(named), F.regexp_extract(said, named, 2)).otherwise(said).alias("text"), strip(F.regexp_extract(said, named, 1)).alias("stt_speaker"))
-    return valid_stt(rows.withColumn("start", time_str_to_seconds(F.col("start_tc"))).withColumn("end", time_str_to_seconds(F.col("end_tc"))), "pos").select("media_id", "id", "start_tc", "end_tc", "start", "end", "text", "stt_speaker")
+    rows = rows.select("media_id", "split", "nth", strip(times[0]).alias("start_tc"), strip(times[1]).alias("end_tc"), F.when(said.rlike(named), F.regexp_extract(said, named, 2)).otherwise(said).alias("text"), strip(F.regexp_extract(said, named, 1)).alias("stt_speaker"))
+    timed = rows.withColumn("start", time_str_to_seconds(F.col("start_tc"))).withColumn("end", time_str_to_seconds(F.col("end_tc")))
+    kept = number_in_ranges(timed.where(has_content()), F.col("split"), [F.col("nth")], "id").withColumn("id", F.col("id") - 1)
+    return kept.select("media_id", "id", "start_tc", "end_tc", "start", "end", "text", "stt_speaker")
+
+
+def read_stt_srt(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Recognised lines of subtitle files; a file of more than ``split_bytes`` is read by several tasks."""
+    return stt_lines(read_blocks(spark, path, False, split_bytes))
+
+
+def has_content() -> Column:
+    """Whether a recognised row lasts and means something."""
+    return (F.col("end") > F.col("start")) & is_meaningful(F.col("text"))
 
 
 def valid_stt(rows: DataFrame, order: str) -> DataFrame:
     """Rows that last and mean something, with id dense from 0."""
-    kept = rows.where(F.col("end") > F.col("start")).where(is_meaningful(F.col("text")))
+    kept = rows.where(has_content())
     return kept.withColumn("id", F.row_number().over(Window.partitionBy("media_id").orderBy(order)) - 1)
 
 

@@ -1,5 +1,6 @@
 """Scalar rules, against literals."""
 
+import random
 import re
 import unicodedata
 
@@ -120,3 +121,42 @@ def test_repair_chunks(spark):
     whole = spark.createDataFrame([("m", "x"), ("o", "only text"), ("p", " ")], "media_id string, text string")
     got = files.repair_asr_chunks(spark.createDataFrame(rows, "media_id string, seq int, start double, end double, text string"), whole).orderBy("media_id", "seq").collect()
     assert [(r.media_id, r.start, r.end) for r in got] == [("m", 0.0, 0.0), ("m", 1.0, 1.0), ("m", 1.0, 3.0), ("m", 3.0, 3.0), ("n", 5.0, 6.0), ("o", 0.0, 0.0)]
+
+
+MESSY = "\ufeff\n \n1\r\n00:00:05,000 --> 00:00:06,000\r\n（森）later\r\n\r\n2\n00:00:01,000 --> 00:00:02,500\nfirst\n \t\n\n\nno time here\n\n3\r00:00:01.000 --> 00:00:02,000\rcarriage\r\r4\n00:00:03,000 --> 00:00:04,000\nlast é漢\n\u3000\n"
+
+
+@pytest.mark.parametrize("spaces", [True, False])
+def test_blocks_are_the_same_at_any_split(tmp_path, spaces):
+    import pyarrow.fs as fs
+
+    from dialoglake.sources.blocks import blocks_of
+
+    for n, text in enumerate((MESSY, MESSY.replace("\r\n", "\n").replace("\r", "\n"), "", "\n\n", "x", "\r\n\r\nx\r\n\r\n")):
+        path = tmp_path / f"{n}.srt"
+        path.write_bytes(text.encode())
+        file, size = fs.LocalFileSystem().open_input_file(str(path)), len(text.encode())
+        whole = list(blocks_of(file, 0, size, spaces))
+        plain = [b for b in re.split(r"\n[ \t\n\x0b\f\r]*\n" if spaces else r"\n\n+", re.sub("\r\n?", "\n", text.removeprefix("\ufeff")).strip("\n")) if b.strip("\n")]
+        assert [b.strip() for b in whole if b.strip()] == [b.strip() for b in plain if b.strip()]
+        for step in (1, 3, 2**16):
+            for cut in range(1, size):  # a split at every byte
+                assert list(blocks_of(file, 0, cut, spaces, step)) + list(blocks_of(file, cut, size, spaces, step)) == whole
+        for width in (1, 2, 5):
+            assert [b for a in range(0, size, width) for b in blocks_of(file, a, min(size, a + width), spaces)] == whole
+
+
+def test_files_read_in_splits_give_the_same_rows(spark, tmp_path):
+    r = random.Random(1)
+    for name in ("one", "two"):
+        rows = [f"{i}\n00:{r.randrange(60):02}:{r.randrange(60):02},000 --> 01:00:00,000\n[A] word number {i}\n" for i in range(200)]
+        (tmp_path / f"{name}.srt").write_text("\n".join(rows))
+    (tmp_path / "messy.srt").write_bytes(MESSY.encode())
+    plain = lambda df: sorted(map(str, df.collect()))
+    texts = files.whole_texts(spark, str(tmp_path))
+    want, heard = plain(files.parse_subtitles(texts)), plain(files.parse_stt_srt(texts))
+    assert len(want) == 404 and len(heard) > 400
+    for size in (97, 1000, 2**25):
+        assert plain(files.read_subtitles(spark, str(tmp_path), split_bytes=size)) == want
+        assert plain(files.read_stt_srt(spark, str(tmp_path), split_bytes=size)) == heard
+    assert {x.media_id for x in files.read_subtitles(spark, str(tmp_path / "t*.srt")).collect()} == {"two"}
