@@ -113,58 +113,6 @@ def candidate_pairs(neighbours: DataFrame, script: DataFrame, stt: DataFrame) ->
     return met.withColumn("weighted_similarity", length_weight(F.col("similarity"), F.col("script_n")))
 
 
-def best_chain(frame: pd.DataFrame) -> list[int]:
-    """Rows of the heaviest chain: each script range begins after the one before ends, and each time range not before it ends.
-
-    A sweep by script start. A row enters a tree of prefix maxima, over ranks of its later time, once its script end lies
-    behind the sweep; only a positive best is worth following; of equals the first row wins.
-    """
-    w, s0, s1 = (frame[c].to_numpy() for c in ("weighted_similarity", "script_start", "script_end"))
-    low, high = frame[["start_time", "end_time"]].min(axis=1).to_numpy(), frame[["start_time", "end_time"]].max(axis=1).to_numpy()
-    if not len(w):
-        return []
-    times = np.unique(high)
-    rank, seen = np.searchsorted(times, high) + 1, np.searchsorted(times, low, side="right")
-    size = len(times)
-    tree = [(0.0, 0)] * (size + 1)
-    best, back = w.astype(float).copy(), np.full(len(w), -1)
-    by_end, e = np.argsort(s1, kind="stable"), 0
-    for i in range(len(w)):
-        while e < len(by_end) and s1[by_end[e]] < s0[i]:
-            j, r = int(by_end[e]), int(rank[by_end[e]])
-            key = (float(best[j]), -j)
-            while r <= size:
-                if key > tree[r]:
-                    tree[r] = key
-                r += r & -r
-            e += 1
-        r, top = int(seen[i]), (0.0, 0)
-        while r > 0:
-            if tree[r] > top:
-                top = tree[r]
-            r -= r & -r
-        if top[0] > 0:
-            best[i], back[i] = top[0] + w[i], -top[1]
-    at, out = int(best.argmax()), []
-    while at >= 0:
-        out.append(at)
-        at = int(back[at])
-    return out[::-1]
-
-
-def weighted_chain(candidates: DataFrame) -> DataFrame:
-    """The heaviest chain of each recording, in order: the chosen candidates with ``chain_no``."""
-    names = candidates.columns
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["script_start", "stt_start", "similarity", "script_ngram_id", "rank"], ascending=[True, True, False, True, True], kind="stable").reset_index(drop=True)
-        chosen = best_chain(frame)
-        return frame.iloc[chosen][names].assign(chain_no=np.arange(len(chosen)))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", chain_no long"
-    return candidates.groupBy("media_id").applyInPandas(run, schema)
-
-
 def matched_rows(chosen: DataFrame, script: DataFrame, stt: DataFrame, stt_lines: DataFrame) -> DataFrame:
     """Chosen pairs -> correspondence rows. Times come from the first and last recognised line; the script's speaker comes first."""
     a = script.select("media_id", F.col("ngram_id").alias("script_ngram_id"), F.col("original_ids").alias("script_ids"), F.col("text").alias("script_dialogue"), F.col("speaker").alias("script_speaker"))

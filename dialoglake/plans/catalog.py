@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dialoglake.functions import text as tx
 from dialoglake.functions import timecode as tc
-from dialoglake.operators import cleaning, clips, evaluation, matching, sinks, speakers, stats
+from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats
 from dialoglake.plans import jobs
 from dialoglake.sources import adapters as src
 from dialoglake.sources import files
@@ -514,7 +514,30 @@ def ud1_j6_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def w9_weighted_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.weighted_chain(ud1_j6_candidates(spark, sf))
+    return chains.weighted_chain(ud1_j6_candidates(spark, sf))
+
+
+def _fixed_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn as script with the turn before, itself and the next as recognised, in quarters of weight."""
+    u = src.utterances(spark, sf)
+    s, t = F.col("s"), F.col("t")
+    asks = u.select("media_id", F.col("seq").alias("s"), F.explode(F.array(*[F.col("seq") + d for d in (-1, 0, 1)])).alias("t"))
+    met = asks.join(u.select("media_id", F.col("seq").alias("t"), F.col("start").alias("start_time"), F.col("end").alias("end_time")), ["media_id", "t"])
+    weight = (((s * 7 + t * 3) % 5) - 1) / 4.0
+    return met.select("media_id", s.alias("script_ngram_id"), t.alias("stt_ngram_id"), (t - s + 1).alias("rank"), weight.alias("similarity"), s.alias("script_start"), (s + s % 2).alias("script_end"), t.alias("stt_start"), t.alias("stt_end"), "start_time", "end_time", weight.alias("weighted_similarity"))
+
+
+@query(f"""WITH RECURSIVE {UTT},
+c AS (SELECT a.media_id, a.seq AS s, a.seq + a.seq % 2 AS e, b.seq AS t, b.start AS lo, b."end" AS hi, (((7 * a.seq + 3 * b.seq) % 5 - 1) / 4)::DOUBLE AS w FROM utt a JOIN utt b ON a.media_id = b.media_id AND b.seq BETWEEN a.seq - 1 AND a.seq + 1),
+l AS (SELECT media_id, list(s ORDER BY s, t) AS s, list(e ORDER BY s, t) AS e, list(t ORDER BY s, t) AS t, list(lo ORDER BY s, t) AS lo, list(hi ORDER BY s, t) AS hi, list(w ORDER BY s, t) AS w, count(*) AS n FROM c GROUP BY media_id),
+st AS (SELECT media_id, 1::BIGINT AS i, [w[1]] AS best, [0::BIGINT] AS back FROM l
+  UNION ALL SELECT media_id, i + 1, best || [w[i + 1] + greatest(list_max(r), 0)], back || [CASE WHEN list_max(r) > 0 THEN list_position(r, list_max(r))::BIGINT ELSE 0 END]
+  FROM (SELECT st.*, l.w, list_transform(range(1, i + 1), lambda j: CASE WHEN l.e[j] < l.s[i + 1] AND l.hi[j] <= l.lo[i + 1] THEN best[j] ELSE -1e18 END) AS r FROM st JOIN l USING (media_id) WHERE i < n)),
+tr AS (SELECT media_id, list_position(best, list_max(best))::BIGINT AS k, back FROM st JOIN l USING (media_id) WHERE i = n UNION ALL SELECT media_id, back[k], back FROM tr WHERE back[k] > 0)
+SELECT media_id, l.s[k] AS script_start, l.t[k] AS stt_start, row_number() OVER (PARTITION BY media_id ORDER BY k) - 1 AS chain_no FROM tr JOIN l USING (media_id)""")
+def w9_t1_chain_of_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain over blocks of four script positions, so that frontiers are handed on."""
+    return chains.weighted_chain(_fixed_candidates(spark, sf), 4).select("media_id", "script_start", "stt_start", "chain_no")
 
 
 def _given(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoglake.functions.text import LabelRules
-from dialoglake.operators import cleaning, clips, evaluation, matching, sinks, speakers
+from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers
 
 
 def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame | None, registry: DataFrame | None, phrases: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
@@ -40,7 +40,7 @@ def match_script(script_lines: DataFrame, stt_lines: DataFrame, encoder: Callabl
     a = matching.ngrams(script_lines, "dialogue", max_n, by_speaker=True).cache()
     b = matching.ngrams(stt_lines, "text", max_n, timed=True).cache()
     near = matching.knn_join(*[matching.encode_texts(g, encoder).select("media_id", "ngram_id", "vec").cache() for g in (a, b)], k)
-    chosen = matching.weighted_chain(matching.candidate_pairs(near, a, b)).cache()
+    chosen = chains.weighted_chain(matching.candidate_pairs(near, a, b)).cache()
     matched = matching.matched_rows(chosen, a, b, stt_lines).cache()
     return {"matched": matched, "table": matching.correspondence(matched, script_lines, stt_lines), "usage": matching.usage_stats(matched, script_lines, stt_lines)}
 

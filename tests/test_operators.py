@@ -1,5 +1,6 @@
 """Joins, windows, chains and reports, against plain Python and literals. Two recordings at once, so that leaks show."""
 
+import pickle
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
-from dialoglake.operators import cleaning, clips, evaluation, matching, sinks, speakers, stats
+from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats
 from dialoglake.plans import jobs
 
 SEG = "media_id string, seq int, start double, end double, text string"
@@ -201,13 +202,39 @@ def plain_chain(f):
     return out[::-1]
 
 
+def random_candidates(r, n):
+    f = pd.DataFrame([{"weighted_similarity": r.randrange(-3, 9) / 4, "script_start": (s := r.randrange(6)), "script_end": s + r.randrange(-1, 3), "start_time": float(r.randrange(8)), "end_time": float(r.randrange(8))} for _ in range(n)])
+    return f.sort_values("script_start", kind="stable").reset_index(drop=True)
+
+
 def test_best_chain_matches_quadratic_search():
     r = random.Random(8)
     for _ in range(400):
-        n = r.randrange(1, 14)
-        f = pd.DataFrame([{"weighted_similarity": r.randrange(-3, 9) / 4, "script_start": (s := r.randrange(6)), "script_end": s + r.randrange(3), "start_time": float(r.randrange(8)), "end_time": float(r.randrange(8))} for _ in range(n)])
-        f = f.sort_values("script_start", kind="stable").reset_index(drop=True)
-        assert matching.best_chain(f) == plain_chain(f)
+        f = random_candidates(r, r.randrange(1, 14))
+        low, high = f[["start_time", "end_time"]].min(axis=1), f[["start_time", "end_time"]].max(axis=1)
+        rows = list(zip(f.index, f["script_start"], f["script_end"], low, high, f["weighted_similarity"], strict=True))
+        for size in (1, 3, 14):  # handed on after every so many rows
+            frontier, back = chains.Frontier(), []
+            for a in range(0, len(rows), size):
+                frontier = pickle.loads(pickle.dumps(frontier))
+                back += frontier.follow(rows[a : a + size])
+            at, got = frontier.best[1], []
+            while at >= 0:
+                got.append(at)
+                at = back[at]
+            assert got[::-1] == plain_chain(f)
+
+
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_chains_over_blocks_match_quadratic_search(spark, block):
+    r, frames, want = random.Random(block), [], []
+    for m in range(6):
+        f = random_candidates(r, (1, 40, 60, 25, 60, 2)[m]).assign(media_id=f"m{m}", stt_start=lambda x: range(len(x)), similarity=1.0, script_ngram_id=0, rank=0)
+        frames.append(f)
+        want += [(f"m{m}", i, k) for k, i in enumerate(plain_chain(f))]
+    df = spark.createDataFrame(pd.concat(frames)).repartition(3)
+    assert sorted((x.media_id, x.stt_start, x.chain_no) for x in chains.weighted_chain(df, block).collect()) == sorted(want)
+    assert chains.weighted_chain(df.limit(0), block).count() == 0
 
 
 def test_knn_matches_plain_and_breaks_ties_by_id(spark):
