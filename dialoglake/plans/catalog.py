@@ -697,7 +697,36 @@ def j13_align_entries(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def job6_g16_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     ref, gen = _chat_tracks(spark, sf)
-    return jobs.evaluate_subtitles(ref, gen, tolerances=(0.3, 1.0))["report"].drop("utterance_counts")
+    return jobs.evaluate_subtitles(ref, gen, spark.createDataFrame([("user",)], "speaker string"), (0.3, 1.0), _entry_turns(ref))["report"].drop("utterance_counts")
+
+
+def _entry_turns(entries: DataFrame) -> DataFrame:
+    """Each entry's first speaker as a turn; two of three run on into the next."""
+    spoken = entries.where(F.size("speakers") > 0)
+    return spoken.select("media_id", F.col("entry_no").alias("track_seq"), F.element_at("speakers", 1).alias("cluster_id"), "start", (F.col("end") + (F.col("entry_no") % 3) * 0.5).alias("end"))
+
+
+@query(f"""WITH {TRACKS}, {VARS},
+sd AS (SELECT media_id, count(*) FILTER (WHERE entry_no % 9 <> 4) AS matched_count, count(*) FILTER (WHERE entry_no % 9 = 4) AS unmatched_gt_count FROM ent GROUP BY ALL),
+ag AS (SELECT media_id, round(avg(error), 3) AS in_point_mean_error, round(median(error), 3) AS in_point_median_error, round(max(error), 3) AS in_point_max_error, count(*) FILTER (WHERE judgement = 'correct') AS correct_count, count(*) FILTER (WHERE judgement = 'false_negative') AS false_negative_count,
+  count(*) FILTER (WHERE judgement = 'false_positive') AS false_positive_count, count(*) FILTER (WHERE judgement = 'correct_unknown') AS correct_unknown_count, round(avg((error <= 0.3)::INTEGER), 4) AS within_03, round(avg((error <= 1.0)::INTEGER), 4) AS within_10 FROM jd GROUP BY ALL),
+nm2 AS (SELECT DISTINCT media_id, unnest(speakers) AS s FROM ent WHERE {SPEECH}),
+rg AS (SELECT media_id, count(*) FILTER (WHERE s IN ('view', 'click')) AS registered_speaker_count, count(*) FILTER (WHERE s NOT IN ('view', 'click')) AS unregistered_speaker_count FROM nm2 GROUP BY ALL),
+tn AS (SELECT media_id, start, "end" + (entry_no % 3) * 0.5 AS "end" FROM ent WHERE len(speakers) > 0),
+ed AS (SELECT media_id, round(start * 1000000)::BIGINT AS t, 1 AS d FROM tn UNION ALL SELECT media_id, round("end" * 1000000)::BIGINT, -1 FROM tn), nt AS (SELECT media_id, t, sum(d) AS d FROM ed GROUP BY ALL),
+ho AS (SELECT media_id, sum(d) OVER o AS depth, lead(t) OVER o - t AS span FROM nt WINDOW o AS (PARTITION BY media_id ORDER BY t)),
+ov AS (SELECT media_id, round(sum(CASE WHEN depth >= 2 THEN span ELSE 0 END) / sum(CASE WHEN depth >= 1 THEN span ELSE 0 END), 4) AS overlap_time_ratio FROM ho GROUP BY media_id)
+SELECT sd.*, 0::BIGINT AS unmatched_app_count, ag.* EXCLUDE (media_id), round(correct_count / matched_count, 4) AS speaker_accuracy, rg.* EXCLUDE (media_id), round(duration, 3) AS duration, utterance_count, speaker_count, changes AS speaker_change_count, round(changes / (duration / 60), 6) AS speaker_change_per_min,
+overlap_entry_count, round(overlap_entry_count / utterance_count, 6) AS overlap_entry_ratio, round(secs / duration, 6) AS speech_time_ratio, overlap_time_ratio FROM sd JOIN ag USING (media_id) JOIN rg USING (media_id) JOIN vs USING (media_id) JOIN ch USING (media_id) JOIN ov USING (media_id)""")
+def g16_report_of_given(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report on given pairs, with turns and a list of registered speakers."""
+    ref, _, pairs, registered = _tracks(spark, sf)
+    judged = _judged(spark, sf)
+    parts = evaluation.evaluation_summary(pairs, judged), evaluation.in_point_accuracy(judged, (0.3, 1.0)), evaluation.appearing_speakers(ref, registered)
+    report = evaluation.evaluation_report(*parts, ref, _entry_turns(ref)).drop("utterance_counts")
+    within = {f"within_{name}": F.element_at("in_point_accuracies", F.lit(t)) for name, t in (("03", 0.3), ("10", 1.0))}
+    rounded = {c: F.round(c, 6) for c in ("speaker_change_per_min", "overlap_entry_ratio", "speech_time_ratio")}
+    return report.withColumns(within | rounded | {"duration": F.round("duration", 3)}).drop("in_point_accuracies")
 
 
 # ---- documents that go out
