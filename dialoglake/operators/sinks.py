@@ -9,6 +9,7 @@ from dialoglake.functions.text import is_unknown, strip, subtitle_text
 from dialoglake.functions.timecode import colon_ms_to_comma_ms, format_distance, format_time, seconds_to_time_str
 from dialoglake.operators.matching import COLUMNS
 from dialoglake.sources.documents import write_documents
+from dialoglake.sources.storage import path_exists
 
 #: White space at a field's ends is content, and a quote inside a field is doubled.
 VERBATIM = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
@@ -29,9 +30,25 @@ def write_correspondence_csv(rows: DataFrame, path: str) -> None:
     rows.repartition("media_id").sortWithinPartitions("media_id", "row_no").select("media_id", *COLUMNS).write.options(header=True, **VERBATIM).partitionBy("media_id").csv(path)
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    if not rows.isEmpty():
-        rows.write.mode("append").parquet(path)
+def append_metrics(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds ``rows`` to the table in ``path``; no rows add nothing. Columns and types are those of the first append, else it is an error.
+
+    With a ``run`` rows lie under its name, and a run that is repeated, after a failure or by mistake, takes the place of
+    itself. A table is appended to either always with runs or never.
+    """
+    if rows.isEmpty():
+        return
+    own = rows if run is None else rows.withColumn("run", F.lit(run))
+    spark = rows.sparkSession
+    if path_exists(path):
+        there = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema}
+        given = {f.name: f.dataType.simpleString() for f in own.schema}
+        if {**there, "run": "string"} != {**given, "run": "string"} or ("run" in there) != ("run" in given):
+            raise ValueError(f"the table has {there}, these rows have {given}")
+    if run is None:
+        own.write.mode("append").parquet(path)
+    else:
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def _document(rows: DataFrame, order: str, block: Column, mark: str = "\n", good: Column | None = None, recordings: DataFrame | None = None, tail: str = "") -> DataFrame:

@@ -11,3 +11,8 @@ def place(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system that holds ``folder``, a URI or a local path, and the path there."""
     at, path = fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1) if ":/" in folder else os.path.abspath(folder))
     return at, path.rstrip("/")
+
+
+def path_exists(folder: str) -> bool:
+    at, path = place(folder)
+    return at.get_file_info(path).type != fs.FileType.NotFound

@@ -324,6 +324,14 @@ def test_files_that_go_out(spark, tmp_path):
     sinks.append_metrics(turns, str(tmp_path / "m"))
     sinks.append_metrics(turns, str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    for run in ("7", "8", "8"):
+        sinks.append_metrics(turns, str(tmp_path / "runs"), run)
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    for clash in (turns.drop("end"), turns.withColumn("more", F.lit(1)), turns.withColumn("end", F.col("end").cast("string"))):
+        with pytest.raises(ValueError, match="the table has"):
+            sinks.append_metrics(clash, str(tmp_path / "runs"), "9")
+    with pytest.raises(ValueError, match="the table has"):
+        sinks.append_metrics(turns, str(tmp_path / "runs"))
 
 
 def test_recordings_without_usable_rows_have_empty_documents(spark):
