@@ -137,6 +137,10 @@ ADDED = (
 )
 
 
+#: What every match of an added kind holds: one search decides whether a text is searched for each of them.
+SIGNS = r"[0-9A-Fa-f]{32}|[A-Z]{2}[0-9]{2}|[0-9]{3}[.\x20-][0-9]{4}|AKIA|gh[oprsu]_|sk_|xox[abprs]-|-----BEGIN"
+
+
 def _running(lengths: Column) -> Column:
     """Exclusive running sums of an array, in about n * sqrt(n) steps: sums of blocks, then sums inside each block."""
 
@@ -216,7 +220,9 @@ def find_pii(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
     held = [f"_k{i}" for i in range(len(keep))]
     text = F.coalesce(F.col("_text"), F.lit(""))
     read = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.col(text_col).alias("_text"))
-    found = read.select(*held, *[spans_of(text, k, i).alias(f"_{k.name}") for i, k in enumerate(BASE + ADDED)])
+    signed, none = F.col("_text").rlike(SIGNS), F.array().cast(EMPTY)
+    spans = [F.when(signed, x).otherwise(none) if k in ADDED else x for k, x in ((k, spans_of(text, k, i)) for i, k in enumerate(BASE + ADDED))]
+    found = read.select(*held, *[x.alias(f"_{k.name}") for x, k in zip(spans, BASE + ADDED, strict=True)])
     base = F.array_sort(F.concat(*[F.col(f"_{k.name}") for k in BASE]))
     every = F.array_sort(F.concat(*[F.col(f"_{k.name}") for k in BASE + ADDED]))
     return found.select(*[F.col(h).alias(c) for c, h in zip(keep, held, strict=True)], base.alias("base_spans"), every.alias("all_spans"))
