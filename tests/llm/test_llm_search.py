@@ -283,7 +283,19 @@ def test_pipeline_on_odd_rows(spark, sf):
         docs = spark.createDataFrame(rows, DOCS)
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
-        docs.collect()
+        assert docs.count() == (2 if rows else 0)
+    # Each stage on the odd rows themselves.
+    quality, lines, near, mix, pack = (f for _, f in corpus_pipeline.STAGES)
+    docs, u, v = spark.createDataFrame(odd, DOCS), odd[4], odd[5]
+    plain = lambda df: Counter(map(tuple, df.collect()))
+    assert plain(quality(spark, docs, sf)) == Counter([u, v])
+    counted = [(*r[:4], None if r[1] is None else len(r[1])) for r in odd]
+    assert plain(lines(spark, docs, sf)) == Counter(counted)
+    assert plain(near(spark, docs, sf)) == Counter([odd[0], odd[2], u, v])
+    mixed = plain(mix(spark, docs, sf))
+    assert set(mixed) <= {odd[2], u, v} and 2 <= mixed[u] + mixed[v] <= 3 and 1 <= mixed[odd[2]] <= 2
+    packed = pack(spark, docs, sf).collect()
+    assert Counter(x.doc_id for x in packed) == Counter([1, 2, 3, 3, None, None]) and {x.length for x in packed if x.doc_id in (1, 2)} == {1}
 
 
 # ---- odd ids, hosts, roles
