@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoglake.functions.text import is_unknown, valid_name
+from dialoglake.functions.vectors import l2_normalize
+from dialoglake.operators.voices import nearest_voices
 
 #: Seconds of a time bin of the overlap join, and the registry rows that one matrix product takes.
 BIN, REGISTRY_BLOCK = 60.0, 4096
@@ -42,13 +44,6 @@ def representative_segment(turns: DataFrame) -> DataFrame:
     return turns.groupBy("media_id", "cluster_id").agg(F.max(span).alias("m")).select("media_id", "cluster_id", (-F.col("m.less")).alias("rep_start"), F.col("m.end").alias("rep_end"))
 
 
-def l2_normalize(vector: Column) -> Column:
-    """Unit vector in doubles; null for a vector of length zero."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
-
-
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine of unit vectors."""
     return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -84,13 +79,17 @@ def distances(clusters: DataFrame, registry: DataFrame) -> DataFrame:
     return tiles.mapInPandas(product, f"media_id {kind}, cluster_id string, candidates array<struct<distance:double,reg_order:long,speaker:string>>")
 
 
-def identify(clusters: DataFrame, registry: DataFrame, threshold: float = 0.5) -> DataFrame:
+def identify(clusters: DataFrame, registry: DataFrame, threshold: float = 0.5, k: int | None = None) -> DataFrame:
     """clusters (media_id, cluster_id, embedding?) -> speaker, distance, candidates (name -> distance).
 
     The nearest registered voice names the cluster if it is within the threshold; of equals the first registered. All
-    others are numbered ``Unknown_01``... by cluster, those without a usable vector first.
+    others are numbered ``Unknown_01``... by cluster, those without a usable vector first. With ``k`` the candidates are the
+    k nearest names, found without measuring blocks of the registry that can't hold them; else they are all names.
     """
-    near = distances(clusters, registry).groupBy("media_id", "cluster_id").agg(F.array_sort(F.flatten(F.collect_list("candidates"))).alias("c"))
+    if k is None:
+        near = distances(clusters, registry).groupBy("media_id", "cluster_id").agg(F.array_sort(F.flatten(F.collect_list("candidates"))).alias("c"))
+    else:
+        near = nearest_voices(clusters, registry, k).withColumnRenamed("candidates", "c")
     met = clusters.select("media_id", "cluster_id", "embedding").join(near, ["media_id", "cluster_id"], "left")
     best = F.try_element_at("c", F.lit(1))
     hit = F.coalesce(best["distance"] <= threshold, F.lit(False))
@@ -184,11 +183,18 @@ def rematch_unknowns(clusters: DataFrame, registry: DataFrame, labelled: DataFra
 
 
 def merged_nearest(asked: DataFrame, registry: DataFrame, new: DataFrame) -> DataFrame:
-    """media_id, cluster_id, _near, _d: the nearest of the stored candidates that still hold and of the ``new`` voices, which alone are measured."""
+    """media_id, cluster_id, _near, _d: the nearest of the stored candidates that still hold and of the ``new`` voices, which alone are measured.
+
+    A cluster whose stored candidates, being the k nearest, were all overwritten is measured against what else is registered.
+    """
     keys = ["media_id", "cluster_id"]
     stored = asked.select(*keys, F.posexplode(F.map_entries("candidates")).alias("at", "c")).select(*keys, F.lit(0).alias("age"), F.col("at").cast("long").alias("at"), F.col("c.key").alias("speaker"), F.col("c.value").alias("d"))
     overwritten = registry.select("speaker").join(new.select("speaker"), "speaker", "left_semi")
     old = stored.join(overwritten, "speaker", "left_anti").groupBy(*keys).agg(F.min(F.struct("d", "age", "at", "speaker")).alias("m"))
+    if not overwritten.isEmpty():
+        lost = asked.where(F.size("candidates") > 0).join(old, keys, "left_anti")
+        again = nearest_voices(lost, registry.join(overwritten, "speaker", "left_anti")).select(*keys, F.col("candidates")[0].alias("c"))
+        old = old.unionByName(again.select(*keys, F.struct(F.col("c.distance").alias("d"), F.lit(0).alias("age"), F.lit(0).cast("long").alias("at"), F.col("c.speaker").alias("speaker")).alias("m")))
     fresh = distances(asked.select(*keys, "embedding"), new).select(*keys, F.explode("candidates").alias("c"))
     rows = fresh.select(*keys, F.struct(F.col("c.distance").alias("d"), F.lit(1).alias("age"), F.lit(0).cast("long").alias("at"), F.col("c.speaker").alias("speaker")).alias("m"))
     best = old.unionByName(rows).groupBy(*keys).agg(F.min("m").alias("m"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +9,12 @@ from pyspark.sql import functions as F
 
 from dialoglake.functions import text as tx
 from dialoglake.functions import timecode as tc
-from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats
+from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats, voices
 from dialoglake.plans import jobs
 from dialoglake.sources import adapters as src
 from dialoglake.sources import files
 from dialoglake.sources.documents import write_documents
+from dialoglake.sources.storage import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,13 +245,28 @@ SELECT s.media_id, s.seq, {even_sql('s.start')} AS start, {even_sql('s."end"')}
 FROM rs s LEFT JOIN dom USING (media_id, seq) LEFT JOIN who ON who.media_id = s.media_id AND who.cluster_id = dom.cluster_id WHERE reason IS NULL""")
 def job1_build_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     registry, _ = src.voiceprints(spark, sf)
-    return jobs.build_transcripts(src.segments(spark, sf), src.turns(spark, sf), _cluster_voices(spark, sf), registry, files.load_phrases(spark), 0.8)["transcript"]
+    return jobs.build_transcripts(src.segments(spark, sf), src.turns(spark, sf), _cluster_voices(spark, sf), registry, files.load_phrases(spark), 0.8, 1)["transcript"]
 
 
 @query(f"WITH {VOICE} SELECT media_id, cluster_id, speaker, round(distance, 6) AS distance FROM named")
 def j4_w4_identify(spark: SparkSession, sf: str) -> DataFrame:
     registry, clusters = src.voiceprints(spark, sf)
-    return speakers.identify(clusters, registry, 0.8).select("media_id", "cluster_id", "speaker", F.round("distance", 6).alias("distance"))
+    return speakers.identify(clusters, registry, 0.8, 1).select("media_id", "cluster_id", "speaker", F.round("distance", 6).alias("distance"))
+
+
+@query("""WITH r AS (SELECT 's' || (vec_id // 6)::VARCHAR AS speaker, vec_id AS reg_order, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0),
+q AS (SELECT vec_id % 20 AS media_id, 'c' || vec_id::VARCHAR AS cluster_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),
+d AS (SELECT media_id, cluster_id, speaker, min((round(1 - list_cosine_similarity(q.v, r.v), 9), reg_order)) AS d FROM q, r GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY media_id, cluster_id ORDER BY d) AS rank FROM d)
+SELECT media_id, cluster_id, rank, speaker, round(d[1], 6) AS distance FROM n WHERE rank <= 3""")
+def j4_nearest_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second vector is a registered voice, three to a name, and the others are clusters; blocks of 64 voices, so that some can be skipped."""
+    e = src.table(spark, sf, "embeddings")
+    registry = e.where("vec_id % 2 = 0").select(F.concat(F.lit("s"), F.floor(F.col("vec_id") / 6)).alias("speaker"), F.col("vec_id").alias("reg_order"), "embedding")
+    clusters = e.where("vec_id % 2 = 1").select((F.col("vec_id") % 20).alias("media_id"), F.concat(F.lit("c"), "vec_id").alias("cluster_id"), "embedding")
+    near = voices.nearest_voices(clusters, registry, 3, tile_bytes=1 << 15)
+    each = near.select("media_id", "cluster_id", F.posexplode("candidates").alias("rank", "c"))
+    return each.select("media_id", "cluster_id", (F.col("rank") + 1).cast("long").alias("rank"), "c.speaker", F.round("c.distance", 6).alias("distance"))
 
 
 @query(f"WITH {VOICE} SELECT media_id, cluster_id, speaker, round(d, 6) AS d FROM dist")
@@ -813,19 +827,9 @@ def byte_counts(contents: list[bytes]):
 # ---- files written and read again
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh place in the folder that all executors share, or, where none is set and all runs on one machine, in a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-files-")
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {UTT} SELECT media_id::VARCHAR AS media_id, {even_sql('start')} AS start, {even_sql('"end"')} AS "end", speaker, text, '' AS cosine_distance FROM utt""")
 def snk1_src1_transcript_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch_folder(spark)
     sinks.write_transcript_csv(sinks.transcript_rows(src.utterances(spark, sf).withColumn("distance", F.lit(None).cast("double"))), path)
     return files.read_csv_table(spark, path).select("media_id", *sinks.TRANSCRIPT)
 
@@ -834,14 +838,14 @@ def snk1_src1_transcript_csv(spark: SparkSession, sf: str) -> DataFrame:
 coalesce(ft.stt_id::VARCHAR, '') AS stt_start_id, coalesce(ft.stt_id::VARCHAR, '') AS stt_end_id, coalesce(t.stt_speaker, '') AS stt_speaker, coalesce(t.text, '') AS stt_text, start_time, end_time, coalesce(ft.speaker, '') AS speaker, coalesce(subtitle_text, '') AS subtitle_text
 FROM ft LEFT JOIN script s ON s.media_id = ft.media_id AND s.id = ft.script_id LEFT JOIN stt t ON t.media_id = ft.media_id AND t.id = ft.stt_id""")
 def snk2_correspondence_csv(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch_folder(spark)
     sinks.write_correspondence_csv(matching.correspondence(*_given(spark, sf)), path)
     return files.read_csv_table(spark, path).select("media_id", *matching.COLUMNS)
 
 
 @query(f"WITH {EVT}, c AS (SELECT media_id, count(*) AS n FROM turns GROUP BY ALL) SELECT media_id, n FROM c UNION ALL SELECT media_id, n FROM c")
 def snk7_append_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    path, rows = _folder(spark), src.turns(spark, sf).groupBy("media_id").agg(F.count("*").alias("n"))
+    path, rows = scratch_folder(spark), src.turns(spark, sf).groupBy("media_id").agg(F.count("*").alias("n"))
     for run in ("first", "second", "second"):  # the last is a repeat, which adds nothing
         sinks.append_metrics(rows, path, run)
     return spark.read.parquet(path).select("media_id", "n")
@@ -858,7 +862,7 @@ PAIRED = f"""{UTT}, pu AS (SELECT media_id - media_id % 2 AS media_id, seq * 2 +
 
 
 def _written(spark: SparkSession, documents: DataFrame, ending: str, **options) -> str:
-    path = _folder(spark)
+    path = scratch_folder(spark)
     write_documents(documents, path, ending, **options)
     return path
 
@@ -867,7 +871,7 @@ def _written(spark: SparkSession, documents: DataFrame, ending: str, **options)
 SELECT media_id::VARCHAR AS media_id, '"start","end","speaker","text","cosine_distance"' || chr(10) || coalesce(body, '') AS document FROM al LEFT JOIN b USING (media_id)""")
 def snk1_transcript_files(spark: SparkSession, sf: str) -> DataFrame:
     rows, recordings = _paired(spark, sf)
-    path = _folder(spark)
+    path = scratch_folder(spark)
     sinks.write_transcript_csv(sinks.transcript_rows(rows), path, recordings)
     return files.whole_texts(spark, path).withColumnRenamed("text", "document")
 

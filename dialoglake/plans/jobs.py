@@ -14,15 +14,18 @@ from dialoglake.functions.text import LabelRules
 from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers
 
 
-def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame | None, registry: DataFrame | None, phrases: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
-    """Recognised segments, turns and voices -> transcript, named clusters, subtitles, RTTM and the manifest of unknown voices."""
+def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame | None, registry: DataFrame | None, phrases: DataFrame, threshold: float = 0.5, nearest: int | None = None) -> dict[str, DataFrame]:
+    """Recognised segments, turns and voices -> transcript, named clusters, subtitles, RTTM and the manifest of unknown voices.
+
+    The manifest holds the distances to the ``nearest`` names, or to all.
+    """
     said = cleaning.drop_hallucinations(segments, phrases)
     reps = speakers.representative_segment(turns)
     if registry is None or clusters is None:
         named = speakers.label_all_unknown(reps.select("media_id", "cluster_id")).withColumn("distance", F.lit(None).cast("double")).withColumn("candidates", F.lit(None).cast("map<string,double>"))
     else:
         voices = reps.select("media_id", "cluster_id").join(clusters, ["media_id", "cluster_id"], "left")
-        named = speakers.identify(voices, registry, threshold)
+        named = speakers.identify(voices, registry, threshold, nearest)
     rows = speakers.resolve_speaker(speakers.dominant_cluster(said, turns), named)
     transcript = sinks.transcript_rows(rows)
     return {"segments": rows, "clusters": named, "transcript": transcript, "subtitles": sinks.render_transcript_srt(transcript), "rttm": sinks.render_rttm(turns, named), "manifest": sinks.unknown_cluster_manifest(named, reps)}

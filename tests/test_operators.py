@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
-from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats
+from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats, voices
 from dialoglake.plans import jobs
 
 SEG = "media_id string, seq int, start double, end double, text string"
@@ -20,6 +20,56 @@ ENTRY = "media_id string, entry_no int, start double, end double, speakers array
 # ---- voices
 
 
+def plain_nearest(registry, v, k):
+    """The k nearest names by measuring every voice: (distance, reg_order, speaker)."""
+    unit = lambda x: np.array(x, "f8") / np.linalg.norm(x)
+    best = {}
+    for d, o, s in sorted((round(round(1 - float(unit(v) @ unit(x)), 12), 9) + 0.0, o, s) for s, o, x in registry if x is not None and any(x)):
+        best.setdefault(s, (d, o, s))
+    return list(best.values())[:k]
+
+
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_nearest_voices_match_measuring_all(spark, k):
+    r = np.random.default_rng(k)
+    middles = r.normal(size=(12, 16))
+    near = lambda m: [float(x) for x in (middles[m] + r.normal(scale=0.15, size=16)).astype("f4")]
+    # A third of the voices are one and the same, names have up to three voices, some vectors are unusable.
+    same = near(0)
+    registry = [(f"s{n // 3}", n, same if n % 3 == 0 else near(n % 12)) for n in range(240)] + [("gone", 240, None), ("zero", 241, [0.0] * 16)]
+    clusters = [("ab"[n % 2], f"c{n:02d}", near(n % 12)) for n in range(40)] + [("a", "same", same), ("a", "none", None), ("b", "zero", [0.0] * 16), ("b", "far", [float(-x) for x in middles[3].astype("f4")])]
+    reg = spark.createDataFrame(registry, "speaker string, reg_order long, embedding array<float>")
+    clu = spark.createDataFrame(clusters, "media_id string, cluster_id string, embedding array<float>")
+    for size in (16 * 8 * 1000, 16 * 8 * 20, 16 * 8):  # one block, a dozen, one voice a block
+        got = {(x.media_id, x.cluster_id): [(round(c.distance, 9) + 0.0, c.reg_order, c.speaker) for c in x.candidates] for x in voices.nearest_voices(clu, reg, k, size).collect()}
+        assert got == {(m, c): plain_nearest(registry, v, k) for m, c, v in clusters if v is not None and any(v)}
+    assert voices.nearest_voices(clu, reg.limit(0), k).isEmpty() and voices.nearest_voices(clu.limit(0), reg, k, 16 * 8 * 20).isEmpty()
+
+
+def test_far_blocks_of_voices_are_skipped(spark):
+    r = np.random.default_rng(5)
+    middles = r.normal(size=(40, 32))
+    rows = [(n, [float(x) for x in middles[n % 40] + r.normal(scale=0.1, size=32)]) for n in range(4000)]
+    reg = spark.createDataFrame([(f"s{n}", n, v) for n, v in rows if n % 4], "speaker string, reg_order long, embedding array<float>")
+    clu = spark.createDataFrame([("a", f"c{n}", v) for n, v in rows if n % 4 == 0], "media_id string, cluster_id string, embedding array<float>")
+    seen = []
+    plain = voices.blocks_to_search
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(voices, "blocks_to_search", lambda *a: seen.append((plain(*a).count(), a[2].selectExpr("sum(size(bounds))").first()[0])) or plain(*a))
+        voices.nearest_voices(clu, reg, 1, 32 * 8 * 100).collect()
+    pairs, blocks = seen[0]
+    assert pairs + 1000 < 0.4 * 1000 * blocks
+
+
+def test_candidates_that_were_all_overwritten_are_measured_again(spark):
+    reg = spark.createDataFrame([("x", 0, [1.0, 0.0]), ("y", 1, [0.8, 0.6]), ("z", 2, [0.0, 1.0])], "speaker string, reg_order long, embedding array<float>")
+    clu = spark.createDataFrame([("m", "c0", [0.9, -0.1]), ("m", "c1", [-1.0, 0.0])], "media_id string, cluster_id string, embedding array<float>")
+    named = speakers.identify(clu, reg, 0.0, 1).join(clu, ["media_id", "cluster_id"])
+    labelled = spark.createDataFrame([("m", "c1", "x")], "media_id string, cluster_id string, name string")
+    plain, whole = (sorted(map(str, speakers.rematch_unknowns(d, reg, labelled, 0.5).withColumn("distance", F.round("distance", 9)).collect())) for d in (named, named.drop("candidates")))
+    assert plain == whole and "speaker='y'" in "".join(plain)
+
+
 def test_dominant_cluster_matches_plain(spark):
     r = random.Random(1)
     turns = [("ab"[i % 2], i, f"c{r.randrange(4)}", s := r.randrange(0, 3000) / 10, s + r.randrange(0, 900) / 10) for i in range(80)]
