@@ -14,6 +14,7 @@ from dialoglake.plans import jobs
 from dialoglake.sources import adapters as src
 from dialoglake.sources import files
 from dialoglake.sources.documents import write_documents
+from dialoglake.sources.embedding_store import EmbeddingStore
 from dialoglake.sources.storage import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -817,6 +818,20 @@ def job7_build_registry(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.build_registry(f, cache, byte_counts)[0].select("db", "speaker", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+@query(ORACLES["job7_build_registry"])
+def job7_j16_registry_from_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third file's vector is stored by a first run; a second computes the rest, and a third, which makes the registry, none."""
+    pages = src.table(spark, sf, "pages")
+    f = pages.select("page_id", F.lit("n").alias("namespace"), F.lit("db").alias("db"), F.concat(F.lit("s"), (F.col("page_id") % 97).cast("string")).alias("speaker"), F.format_string("%012d", "page_id").alias("path"), F.col("html").cast("binary").alias("content"))
+    store = EmbeddingStore(scratch_folder(spark))
+    jobs.build_registry_from_store(f.where("page_id % 3 = 0"), store, byte_counts)
+    jobs.build_registry_from_store(f, store, byte_counts)
+    registry, computed = jobs.build_registry_from_store(f, store, byte_counts)
+    if computed:
+        raise ValueError(f"{computed} stored vectors were computed again")
+    return registry.select("db", "speaker", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
 def byte_counts(contents: list[bytes]):
     """A stand-in for a voice model: how often each of 16 byte classes occurs."""
     import numpy as np

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dialoglake.functions.text import LabelRules
 from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers
+from dialoglake.sources.embedding_store import EmbeddingStore
 
 
 def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame | None, registry: DataFrame | None, phrases: DataFrame, threshold: float = 0.5, nearest: int | None = None) -> dict[str, DataFrame]:
@@ -74,12 +75,24 @@ def evaluate_subtitles(reference: DataFrame, generated: DataFrame, registered: D
     return {"pairs": pairs, "detail": evaluation.evaluation_detail(judged), "summary": summary, "accuracy": accuracy, "confusion": evaluation.confusion(judged), "report": evaluation.evaluation_report(summary, accuracy, speakers_, reference, turns)}
 
 
-def build_registry(files: DataFrame, cache: DataFrame, embed: Callable) -> tuple[DataFrame, DataFrame]:
-    """Voice files (namespace, db, speaker, path, content) -> registry of unit vectors, and what is new for the cache."""
+def build_registry(files: DataFrame, cache: DataFrame, embed: Callable, complete: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Voice files (namespace, db, speaker, path, content) -> registry of unit vectors, and what is new for the cache; a ``complete`` cache lacks none."""
     hits, misses = speakers.missing_embeddings(files, cache)
     new = speakers.compute_embeddings(misses, embed)
-    vectors = cache.unionByName(new)
+    vectors = cache if complete else cache.unionByName(new)
     named = files.withColumn("content_sha256", F.sha2("content", 256)).drop("content").join(vectors, ["namespace", "content_sha256"])
     unit = named.select("db", "speaker", speakers.l2_normalize(F.col("embedding")).alias("embedding"), F.row_number().over(matching.Window.partitionBy("db", "speaker").orderBy("path")).alias("seq"))
     empty = unit.select("db", "speaker", "embedding").limit(0)
     return speakers.upsert_voiceprints(empty, unit.where("embedding is not null")), new
+
+
+def build_registry_from_store(files: DataFrame, store: EmbeddingStore, embed: Callable) -> tuple[DataFrame, int]:
+    """Voice files -> registry, by way of the store: only contents that it lacks are computed, and published before they are used.
+
+    Also tells how many were computed. A run that is lost before it publishes computes them again, one lost later doesn't.
+    Files without a namespace or content give no voice.
+    """
+    spark, files = files.sparkSession, files.where("namespace is not null and content is not null")
+    misses = speakers.missing_embeddings(files, store.read(spark))[1]
+    computed = 0 if misses.isEmpty() else store.add(speakers.compute_embeddings(misses, embed))
+    return build_registry(files, store.read(spark), embed, complete=True)[0], computed

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats, voices
 from dialoglake.plans import jobs
+from dialoglake.sources.embedding_store import EmbeddingStore
 
 SEG = "media_id string, seq int, start double, end double, text string"
 TURN = "media_id string, track_seq int, cluster_id string, start double, end double"
@@ -147,6 +148,30 @@ def test_cache_and_registry(spark):
     assert {x.speaker for x in speakers.rename_speaker(old, "d", "Ann", "Cid").collect()} == {"Cid", "Bob"}
 
 
+def test_stored_vectors_are_computed_once(spark, tmp_path):
+    f = spark.createDataFrame([("n", "d", "Ann", "a", bytearray(b"12")), ("n", "d", "Bob", "b", bytearray(b"12")), ("", "d", "Cid", "c", bytearray(b"12")), ("n/1", "d", "Dan", "e", bytearray(b"3"))], "namespace string, db string, speaker string, path string, content binary")
+    embed = lambda c: [[float(len(x)), 1.0] for x in c]
+    store = EmbeddingStore(str(tmp_path / "store"))
+    assert store.read(spark).isEmpty()
+    first, computed = jobs.build_registry_from_store(f.where("speaker <> 'Dan'"), store, embed)
+    assert computed == 2 and first.count() == 3  # equal contents of a namespace once, and once for the empty namespace
+    assert jobs.build_registry_from_store(f, store, embed)[1] == 1
+    batches = store.batches()
+
+    def fails(contents):
+        raise RuntimeError("no vector should be computed")
+
+    again, computed = jobs.build_registry_from_store(f, store, fails)
+    assert computed == 0 and {x.speaker: [round(y, 6) for y in x.embedding] for x in again.collect()} == {**{s: [0.894427, 0.447214] for s in ("Ann", "Bob", "Cid")}, "Dan": [0.707107, 0.707107]}
+    # A run that fails leaves nothing that is read, nor does a batch that was never published.
+    with pytest.raises(Exception, match="no vector"):
+        jobs.build_registry_from_store(f.withColumn("content", F.lit(b"new")), store, fails)
+    (tmp_path / "store" / "batch=lost").mkdir()
+    assert store.batches() == batches
+    store.add(store.read(spark, ["n/1"]))  # as if two runs had added it at once
+    assert store.read(spark).count() == 3 and [x.namespace for x in store.read(spark, ["n/1"]).collect()] == ["n/1"]
+
+
 def test_hallucinations_remember_what_was_accepted(spark):
     said = ["はい。", "はい", "おわり", "はい！", " ", "。。", "別", "はい", "ハイハイハイ", "はい", None]
     rows = spark.createDataFrame([(m, i, 0.0, 1.0, t) for m in "ab" for i, t in enumerate(said)], SEG)
