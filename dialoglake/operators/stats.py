@@ -9,6 +9,10 @@ from dialoglake.functions.text import strip
 from dialoglake.functions.timecode import is_integer_ms
 
 
+#: Seconds of a recording that one group of a scan holds.
+STRETCH = 600.0
+
+
 def is_speech() -> Column:
     return (F.size("speakers") > 0) | (strip(F.coalesce("body", F.lit(""))) != "")
 
@@ -58,17 +62,27 @@ def clip_variables(entries: DataFrame, keys: list[str], durations: DataFrame, or
     )
 
 
-def overlap_time_ratio(turns: DataFrame) -> DataFrame:
-    """media_id, overlap_time_ratio: time with two or more turns open, over time with one or more; microseconds inside."""
+def overlap_time_ratio(turns: DataFrame, stretch: float = STRETCH) -> DataFrame:
+    """media_id, overlap_time_ratio: time with two or more turns open, over time with one or more; microseconds inside.
+
+    A recording is scanned in stretches of time, each its own group: how many turns are open where one begins is the sum over
+    those before, and its last edge lasts until the first of the next, so only one row for each stretch is gathered for a recording.
+    """
     us = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
-    open_ = turns.where("end > start")
-    edges = open_.select("media_id", us("start").alias("t"), F.lit(1).alias("d")).unionByName(open_.select("media_id", us("end").alias("t"), F.lit(-1).alias("d")))
-    net = edges.groupBy("media_id", "t").agg(F.sum("d").alias("d"))
-    along = Window.partitionBy("media_id").orderBy("t")
-    held = net.withColumn("depth", F.sum("d").over(along)).withColumn("span", F.lead("t").over(along) - F.col("t"))
-    sums = held.groupBy("media_id").agg(F.sum(F.when(F.col("depth") >= 2, F.col("span")).otherwise(0)).alias("two"), F.sum(F.when(F.col("depth") >= 1, F.col("span")).otherwise(0)).alias("one"))
-    every = turns.select("media_id").distinct().join(sums, "media_id", "left")
-    return every.select("media_id", F.when(F.coalesce("one", F.lit(0)) > 0, F.col("two") / F.col("one")).otherwise(0.0).alias("overlap_time_ratio"))
+    both = F.array(F.struct(us("start").alias("t"), F.lit(1).alias("d")), F.struct(us("end").alias("t"), F.lit(-1).alias("d")))
+    # A turn without length opens nothing; its one edge keeps the recording in the result.
+    none = F.array(F.struct(F.coalesce(us("start"), F.lit(0).cast("long")).alias("t"), F.lit(0).alias("d")))
+    edges = turns.select("media_id", F.explode(F.when(F.col("end") > F.col("start"), both).otherwise(none)).alias("e"))
+    placed = edges.select("media_id", F.floor(F.col("e.t") / int(stretch * 1_000_000)).alias("part"), "e.t", "e.d").repartition("media_id", "part")
+    net = placed.groupBy("media_id", "part", "t").agg(F.sum("d").alias("d"))
+    parts = net.groupBy("media_id", "part").agg(F.sum("d").alias("sum"), F.min("t").alias("first"))
+    along = Window.partitionBy("media_id").orderBy("part")
+    ends = parts.select("media_id", "part", F.coalesce(F.sum("sum").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("open"), F.lead("first").over(along).alias("next"))
+    inside = Window.partitionBy("media_id", "part").orderBy("t")
+    held = net.withColumn("sofar", F.sum("d").over(inside)).withColumn("then", F.lead("t").over(inside)).join(ends, ["media_id", "part"])
+    span, depth = F.coalesce("then", "next") - F.col("t"), F.col("open") + F.col("sofar")
+    sums = held.groupBy("media_id").agg(F.sum(F.when(depth >= 2, span).otherwise(0)).alias("two"), F.sum(F.when(depth >= 1, span).otherwise(0)).alias("one"))
+    return sums.select("media_id", F.when(F.col("one") > 0, F.col("two") / F.col("one")).otherwise(0.0).alias("overlap_time_ratio"))
 
 
 def label_inventory(entries: DataFrame) -> DataFrame:

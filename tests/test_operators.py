@@ -195,6 +195,22 @@ def test_variables_and_overlap(spark):
     assert {x.media_id: x.overlap_time_ratio for x in stats.overlap_time_ratio(turns).collect()} == {"m": 0.2, "n": 0.0}
 
 
+def test_overlap_ratio_is_the_same_in_any_stretches(spark):
+    r = random.Random(8)
+    turns = [("ab"[n % 2], n, "c", s := r.randrange(0, 400) / 10, s + r.choice([0, 0.1, 2.5, 20, 90])) for n in range(60)] + [("c", 0, "c", 5.0, 5.0), ("d", 0, "c", 0.0, 36000.0), ("d", 1, "c", 9000.0, 18000.0), ("d", 2, "c", 36500.0, 36600.0)]
+    want = {}
+    for m in "abcd":
+        ms = lambda x: round(x * 10)
+        depth = [0] * 370_000
+        for _, _, _, s, e in (t for t in turns if t[0] == m):
+            for i in range(ms(s), ms(e)):
+                depth[i] += 1
+        one = sum(d >= 1 for d in depth)
+        want[m] = round(sum(d >= 2 for d in depth) / one, 9) if one else 0.0
+    for stretch in (0.7, 13.0, 600.0, 1e6):
+        assert {x.media_id: round(x.overlap_time_ratio, 9) for x in stats.overlap_time_ratio(spark.createDataFrame(turns, TURN), stretch).collect()} == want
+
+
 def test_clip_pairs_match_exhaustive_search(spark):
     r = random.Random(4)
     rows = []
