@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoglake.functions.scans import by_place, scan
 from dialoglake.functions.text import is_unknown, match_key, strip
 from dialoglake.operators.stats import clip_variables, first_speaker, is_speech, overlap_time_ratio
 
@@ -17,8 +18,9 @@ MIN_SIMILARITY, TOLERANCE = 0.6, 0.5
 def fill_omitted_speakers(entries: DataFrame) -> DataFrame:
     """Speech entries with ``speaker``: a blank one takes over the last named; leading blanks stay ''."""
     speech = entries.where(is_speech()).withColumn("speaker", first_speaker())
-    so_far = Window.partitionBy("media_id").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0)
-    return speech.withColumn("speaker", F.coalesce(F.last(F.when(F.col("speaker") != "", F.col("speaker")), ignorenulls=True).over(so_far), F.lit("")))
+    own = F.when(F.col("speaker") != "", F.col("speaker"))
+    speech = scan(speech, by_place("entry_no"), [F.col("entry_no")], {"_before": ("last", own)})
+    return speech.withColumn("speaker", F.coalesce(own, "_before", F.lit(""))).drop("_before")
 
 
 def pair_keys(ours: list[str], theirs: list[str], least: float) -> list[tuple[int | None, int | None]]:

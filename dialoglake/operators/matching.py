@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoglake.functions.scans import by_place, by_time, number, scan
 from dialoglake.functions.text import length_weight, normalize_text
 from dialoglake.functions.timecode import seconds_to_time_str, time_str_to_seconds
+from dialoglake.sources.storage import kept
 
 MAX_N, TOP_K, DIM = 3, 10, 256
+#: Where lines stand that no match follows.
+LAST = 2**31 - 1
 # The header of the correspondence table.
 COLUMNS = ["type", "script_start_id", "script_end_id", "script_speaker", "script_dialogue", "stt_start_id", "stt_end_id", "stt_speaker", "stt_text", "start_time", "end_time", "speaker", "subtitle_text"]
 # End of the fixed values.
@@ -148,33 +152,34 @@ def correspondence(matched: DataFrame, script_lines: DataFrame, stt_lines: DataF
         seconds_to_time_str(F.col("start")).alias("start_time"), seconds_to_time_str(F.col("end")).alias("end_time"), F.col("stt_speaker").alias("speaker"), F.col("text").alias("subtitle_text"),
     )
     timed = matched.select("media_id", *COLUMNS).unionByName(heard)
-    order = Window.partitionBy("media_id").orderBy(time_str_to_seconds(F.col("start_time")), F.when(F.col("type") == "Matched", 0).otherwise(1), "stt_start_id", "script_start_id")
-    timed = timed.withColumn("pos", F.row_number().over(order))
+    timed = timed.withColumn("_at", time_str_to_seconds(F.col("start_time")))
+    order = [F.col("_at"), F.when(F.col("type") == "Matched", 0).otherwise(1), F.col("stt_start_id"), F.col("script_start_id")]
+    timed = kept(number(kept(timed), by_time("_at"), order, "pos").drop("_at"))
     unused = unmatched(script_lines, matched, "script_ids").select(
         "media_id", F.lit("Unmatched_Script").alias("type"), F.col("id").alias("script_start_id"), F.col("id").alias("script_end_id"), F.col("speaker").alias("script_speaker"), F.col("dialogue").alias("script_dialogue"), none_int.alias("stt_start_id"), none_int.alias("stt_end_id"), none.alias("stt_speaker"), none.alias("stt_text"),
         none.alias("start_time"), none.alias("end_time"), "speaker", F.col("dialogue").alias("subtitle_text"),
     )
-    upto = Window.partitionBy("media_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    records = timed.where("type = 'Matched'").withColumn("before", F.max("script_start_id").over(upto)).where("before is null or script_start_id > before")
+    matches = timed.where("type = 'Matched'").select("media_id", "pos", "script_start_id")
+    records = scan(matches, by_place("pos"), [F.col("pos")], {"before": ("max", F.col("script_start_id"))}).where("before is null or script_start_id > before")
     marks = records.select("media_id", F.col("script_start_id").alias("at"), F.lit(1).alias("kind"), "pos", none_int.alias("sid"))
     asks = unused.select("media_id", (F.col("script_start_id")).alias("at"), F.lit(2).alias("kind"), none_int.alias("pos"), F.col("script_start_id").alias("sid"))
-    onward = Window.partitionBy("media_id").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = asks.unionByName(marks).withColumn("pos", F.last("pos", ignorenulls=True).over(onward)).where("kind = 2").select("media_id", F.col("sid").alias("script_start_id"), F.coalesce("pos", F.lit(2**31 - 1)).alias("pos"))
-    whole = timed.withColumn("part", F.lit(1)).unionByName(unused.join(placed, ["media_id", "script_start_id"]).withColumn("part", F.lit(0)))
-    final = Window.partitionBy("media_id").orderBy("pos", "part", F.when(F.col("part") == 0, F.col("script_start_id")))
-    return fill_unmatched_times(whole.withColumn("row_no", F.row_number().over(final)).drop("pos", "part"))
+    line = scan(asks.unionByName(marks), by_place("at"), [F.col("at"), -F.col("kind")], {"pos": ("last", F.col("pos"))}, back=True)
+    placed = line.where("kind = 2").select("media_id", F.col("sid").alias("script_start_id"), F.coalesce("pos", F.lit(LAST)).alias("pos"))
+    whole = kept(timed.withColumn("part", F.lit(1)).unionByName(unused.join(placed, ["media_id", "script_start_id"]).withColumn("part", F.lit(0))))
+    # All lines behind the last match share one place, so there their own numbers part them.
+    line = F.when(F.col("part") == 0, F.col("script_start_id"))
+    part = F.struct(by_place("pos"), F.when(F.col("pos") == LAST, by_place("script_start_id")).otherwise(0))
+    return fill_unmatched_times(number(whole, part, [F.col("pos"), F.col("part"), line], "row_no").drop("pos", "part"))
 
 
 def fill_unmatched_times(rows: DataFrame) -> DataFrame:
     """Runs of untimed rows share the gap between their neighbours evenly; no gap gives them no length."""
-    along = Window.partitionBy("media_id").orderBy("row_no")
-    timed = F.col("type") != "Unmatched_Script"
-    rows = rows.withColumn("_run", F.sum(timed.cast("int")).over(along))
-    before = F.last(F.when(timed, time_str_to_seconds(F.coalesce("end_time", "start_time"))), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy("media_id").orderBy(F.desc("row_no")).rowsBetween(Window.unboundedPreceding, -1)
-    after = F.last(F.when(timed, time_str_to_seconds(F.col("start_time"))), ignorenulls=True).over(back)
+    timed, part, along = F.col("type") != "Unmatched_Script", by_place("row_no"), [F.col("row_no")]
+    before = F.when(timed, time_str_to_seconds(F.coalesce("end_time", "start_time")))
+    after = F.when(timed, time_str_to_seconds(F.col("start_time")))
+    rows = scan(rows, part, along, {"_run": ("sum", timed.cast("int")), "_a": ("last", before), "_b": ("next", after)})
     run = Window.partitionBy("media_id", "_run", timed)
-    rows = rows.withColumn("_a", F.coalesce(before, F.lit(0.0))).withColumn("_b", F.coalesce(after, "_a"))
+    rows = rows.withColumn("_a", F.coalesce("_a", F.lit(0.0))).withColumn("_b", F.coalesce("_b", "_a"))
     rows = rows.withColumn("_k", F.row_number().over(run.orderBy("row_no"))).withColumn("_size", F.count("*").over(run))
     rows = rows.withColumn("_chunk", (F.col("_b") - F.col("_a")) / F.col("_size"))
     # A running sum along the run: chunks are added one by one, as floats round.

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoglake.functions.scans import STRETCH, by_place, scan
 from dialoglake.functions.text import strip
 from dialoglake.functions.timecode import is_integer_ms
 
 
-#: Seconds of a recording that one group of a scan holds.
-STRETCH = 600.0
-
-
 def is_speech() -> Column:
     return (F.size("speakers") > 0) | (strip(F.coalesce("body", F.lit(""))) != "")
 
@@ -24,8 +21,8 @@ def first_speaker() -> Column:
 def speaker_changes(entries: DataFrame, keys: list[str], order: str = "entry_no") -> DataFrame:
     """keys, changes: entries whose first speaker differs from the last named one before; the first named entry is no change."""
     named = entries.where(is_speech()).withColumn("_who", first_speaker()).where("_who <> ''")
-    before = F.lag("_who").over(Window.partitionBy(*keys).orderBy(order))
-    return named.withColumn("_changed", (F.col("_who") != before).cast("long")).groupBy(*keys).agg(F.coalesce(F.sum("_changed"), F.lit(0)).alias("changes"))
+    named = scan(named.select(*keys, order, "_who"), by_place(order), [F.col(order)], {"_before": ("last", F.col("_who"))}, tuple(keys))
+    return named.withColumn("_changed", (F.col("_who") != F.col("_before")).cast("long")).groupBy(*keys).agg(F.coalesce(F.sum("_changed"), F.lit(0)).alias("changes"))
 
 
 def utterance_counts(entries: DataFrame, keys: list[str], order: str = "entry_no") -> DataFrame:

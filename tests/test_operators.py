@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 
+from dialoglake.functions import scans
 from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers, stats, voices
 from dialoglake.plans import jobs
 from dialoglake.sources.embedding_store import EmbeddingStore
@@ -596,3 +597,45 @@ def test_encoder_matches_plain_hashing():
                     h = (h * 1_000_003 + ord(c) + n) & 0x7FFFFFFF
                 want[h % matching.DIM] += 1
         assert row.tolist() == want
+
+
+# ---- scans
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_scans_match_plain_in_any_parts(spark, size):
+    r = random.Random(size)
+    rows = [(r.choice([None, "a", "b"]), i, r.choice([None, r.randint(-5, 5)])) for i in range(80)]
+    df = spark.createDataFrame(rows, "media_id string, n int, v int")
+    v = F.col("v")
+    for back in (False, True):
+        found = {"nearest": ("last", v), "next": ("next", v), "total": ("sum", v), "least": ("min", v), "most": ("max", F.when(v.isNotNull(), F.struct(v.alias("a"), "n")))}
+        got = {(x.media_id, x.n): (x.nearest, x.next, x.total, x.least, x.most["a"] if x.most else None) for x in scans.scan(df, F.floor(F.col("n") / size), [F.col("n")], found, back=back).collect()}
+        want = {}
+        for m, n, _ in rows:
+            after = [w for k, j, w in rows if k == m and j > n and w is not None]
+            before = after[::-1] if back else [w for k, j, w in rows if k == m and j < n and w is not None]
+            want[m, n] = (before[-1] if before else None, after[0] if after else None, sum(before), min(before, default=None), max(before, default=None))
+        assert got == want
+    assert scans.scan(df.limit(0), F.col("n"), [F.col("n")], {"x": ("last", v)}).isEmpty()
+    placed = {(x.media_id, x.n): x.at for x in scans.number(df, F.floor(F.col("n") / size), [F.col("n")], "at").collect()}
+    assert placed == {(m, n): sum(k == m and j <= n for k, j, _ in rows) for m, n, _ in rows}
+
+
+def test_tables_are_the_same_in_small_parts(spark, monkeypatch):
+    r = random.Random(3)
+    entries = spark.createDataFrame([("ab"[n % 2], n, float(n), n + 1.0, [s] if (s := r.choice(["", "X", "Y"])) else [], "t") for n in range(60)], ENTRY)
+    lines = spark.createDataFrame([("ab"[n % 2], n, float(n), n + 1.0, r.choice(["one", "two", "", "..."])) for n in range(60)], SEG)
+    script = spark.createDataFrame([("m", n, "S", f"line number {n}") for n in range(30)], "media_id string, id int, speaker string, dialogue string")
+    heard = spark.createDataFrame([("m", n, 2.0 * n, 2.0 * n + 1, f"line number {n}", "") for n in range(3, 24) if n % 5 < 3], "media_id string, id int, start double, end double, text string, stt_speaker string")
+    phrases = spark.createDataFrame([("nothing",)], "phrase string")
+
+    def results():
+        tables = [evaluation.fill_omitted_speakers(entries), cleaning.mark_hallucinations(lines, phrases), stats.speaker_changes(entries, ["media_id"])]
+        matched = spark.createDataFrame([("m", "Matched", n, n, "S", f"line number {n}", n, n, "", f"line number {n}", f"00:00:{2 * n:02d},000", f"00:00:{2 * n + 1:02d},000", "S", "x", [n], [n]) for n in (3, 5, 6, 12, 20)], "media_id string, type string, script_start_id int, script_end_id int, script_speaker string, script_dialogue string, stt_start_id int, stt_end_id int, stt_speaker string, stt_text string, start_time string, end_time string, speaker string, subtitle_text string, script_ids array<int>, stt_ids array<int>")
+        return [sorted(map(repr, t.collect())) for t in [*tables, matching.correspondence(matched, script, heard)]]
+
+    whole = results()
+    monkeypatch.setattr(scans, "PLACES", 2)
+    monkeypatch.setattr(scans, "STRETCH", 5.0)
+    assert results() == whole and all(whole)
