@@ -16,23 +16,42 @@ from dialoglake.functions.text import is_unknown, valid_name
 from dialoglake.functions.vectors import l2_normalize
 from dialoglake.operators.voices import nearest_voices
 
-#: Seconds of a time bin of the overlap join, and the registry rows that one matrix product takes.
+#: Seconds of the shortest time bin of the overlap join, and the registry rows that one matrix product takes.
 BIN, REGISTRY_BLOCK = 60.0, 4096
 
 
 def dominant_cluster(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """segments (media_id, seq, start, end) with cluster_id: the cluster that overlaps longest; of equals the one whose first overlapping turn comes first; none gives null.
 
-    Both sides are cut into time bins, so a long recording spreads over many tasks; an overlap counts in the bin where it starts.
+    Of two that overlap one begins inside the other. So each row stands once as a span, in the bin where it begins, at the level whose bins
+    are at least as long as it is, and its beginning is looked up in two bins of every level that the other side has. Spans of ten hours
+    and of ten seconds take one row each, and a long recording spreads over many tasks. Levels grow fourfold, so they are few; one row holds them all.
+    Rows without a start or end meet nothing.
     """
 
-    def binned(df: DataFrame) -> DataFrame:
-        return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.greatest("start", "end") / BIN))))
+    def level() -> Column:
+        return F.greatest(F.ceil(F.log(4.0, (F.col("end") - F.col("start")) / BIN)), F.lit(0)).cast("int")
 
-    s = binned(segments.select("media_id", "seq", F.col("start").alias("start"), F.col("end").alias("end")))
-    t = binned(turns.select("media_id", "track_seq", "cluster_id", "start", "end")).select("media_id", "bin", "track_seq", "cluster_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    def placed(df: DataFrame, others: DataFrame, inside: bool) -> DataFrame:
+        """``df`` once as a span and twice for each level of ``others``; ``inside`` tells whose beginnings are looked up, those of segments or of turns."""
+
+        def at(looked_up: bool, level: Column, back: int = 0) -> Column:
+            size = F.lit(BIN) * F.pow(F.lit(4.0), level)
+            return F.struct(F.lit(inside == looked_up).alias("inside"), level.alias("level"), (F.floor(F.col("start") / size) - back).alias("bin"))
+
+        levels = others.agg(F.collect_set(level()).alias("_levels"))  # one row of a few dozen numbers
+        asks = F.flatten(F.transform("_levels", lambda n: F.array(at(True, n, 1), at(True, n))))
+        places = F.explode(F.concat(F.array(at(False, level())), asks))
+        return df.join(F.broadcast(levels)).withColumn("_at", places).select("media_id", "_at.*", *[c for c in df.columns if c != "media_id"])
+
+    # What has no length or no time meets nothing.
+    timed = F.col("end") > F.col("start")
+    s = segments.where(timed).select("media_id", "seq", "start", "end")
+    t = turns.where(timed).select("media_id", "track_seq", "cluster_id", "start", "end")
+    # ``inside``: the segment begins inside the turn, or with it; otherwise the turn begins inside the segment.
+    left, right = placed(s, t, True), placed(t, s, False).withColumnsRenamed({"start": "t_start", "end": "t_end"})
     low, high = F.greatest("start", "t_start"), F.least("end", "t_end")
-    met = s.join(t, ["media_id", "bin"]).where((F.round(high - low, 6) > 0) & (F.floor(low / BIN) == F.col("bin")))
+    met = left.join(right, ["media_id", "inside", "level", "bin"]).where((F.round(high - low, 6) > 0) & (F.col("inside") == (F.col("t_start") <= F.col("start"))))
     each = met.groupBy("media_id", "seq", "cluster_id").agg(F.sum(F.round((high - low) * 1_000_000).cast("long")).alias("us"), F.min("track_seq").alias("first"))
     best = each.groupBy("media_id", "seq").agg(F.max(F.struct("us", -F.col("first"), "cluster_id")).alias("best"))
     return segments.join(best.select("media_id", "seq", F.col("best.cluster_id").alias("cluster_id"), (F.col("best.us") / 1e6).alias("overlap")), ["media_id", "seq"], "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from dialoglake.functions.text import LabelRules
 from dialoglake.operators import chains, cleaning, clips, evaluation, matching, sinks, speakers
 from dialoglake.sources.embedding_store import EmbeddingStore
+from dialoglake.sources.storage import kept
 
 
 def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame | None, registry: DataFrame | None, phrases: DataFrame, threshold: float = 0.5, nearest: int | None = None) -> dict[str, DataFrame]:
@@ -20,7 +21,7 @@ def build_transcripts(segments: DataFrame, turns: DataFrame, clusters: DataFrame
 
     The manifest holds the distances to the ``nearest`` names, or to all.
     """
-    said = cleaning.drop_hallucinations(segments, phrases)
+    said = kept(cleaning.drop_hallucinations(segments, phrases))
     reps = speakers.representative_segment(turns)
     if registry is None or clusters is None:
         named = speakers.label_all_unknown(reps.select("media_id", "cluster_id")).withColumn("distance", F.lit(None).cast("double")).withColumn("candidates", F.lit(None).cast("map<string,double>"))

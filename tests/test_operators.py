@@ -88,6 +88,21 @@ def test_dominant_cluster_matches_plain(spark):
         assert got[(m, n)] == want
 
 
+def test_long_and_odd_spans_meet_each_other_once(spark):
+    r = random.Random(2)
+    lengths = [0.0, 0.5, 59.0, 60.0, 61.0, 240.0, 241.0, 36_000.0, 1e6]
+    span = lambda: (a := float(r.randrange(-3000, 40_000)), a + r.choice(lengths))
+    turns = [("m", i, f"c{i}", *span()) for i in range(60)] + [("m", 60, "gone", None, 5.0), ("m", 61, "back", 9.0, 5.0)]
+    segs = [("m", i, *span(), "") for i in range(60)] + [("m", 60, None, 1.0, ""), ("m", 61, 5.0, None, ""), ("n", 0, 0.0, 5.0, "")]
+    t = spark.createDataFrame(turns, TURN)
+    got = {(x.media_id, x.seq): (x.cluster_id, x.overlap) for x in speakers.dominant_cluster(spark.createDataFrame(segs, SEG), t).collect()}
+    assert len(got) == len(segs)
+    for m, n, s, e, _ in segs:
+        met = [(min(e, b) - max(s, a), -k, c) for tm, k, c, a, b in turns if tm == m and None not in (s, e, a, b) and min(e, b) > max(s, a)]
+        assert got[m, n] == ((best := max(met))[2], best[0]) if met else got[m, n] == (None, None)
+    assert speakers.dominant_cluster(spark.createDataFrame(segs, SEG), t.limit(0)).where("cluster_id is null").count() == len(segs)
+
+
 def test_identify_threshold_ties_and_numbers(spark):
     reg = spark.createDataFrame([("Ann", 0, [1.0, 0.0]), ("Bob", 1, [0.0, 1.0]), ("Cat", 2, [2.0, 0.0])], "speaker string, reg_order long, embedding array<float>")
     rows = [("m", "c0", [5.0, 0.0]), ("m", "c1", [1.0, 1.0]), ("m", "c2", [0.0, 0.0]), ("m", "c3", [-1.0, 0.1]), ("m", "c4", None), ("n", "c0", [0.0, 3.0])]
