@@ -7,7 +7,8 @@ places share has a common seed. Every seed place meets the seed's first place (b
 position) and its place in the nearest earlier document, never all others, so a seed of n places gives fewer than 2n
 matches. A match counts if the ``NEAR`` words before it, or those after it, are alike in both places: each seed carries two
 64-bit sketches of these words, and in a passage of ``min_words`` or more every seed has a side with that many words of the
-passage. So short phrases that happen to recur cost nothing beyond this step. Inside a pair of documents a
+passage. So short phrases that happen to recur cost nothing beyond this step. Places that no passage found so far holds then
+meet every other earlier place of their seed, in tiles of bounded size (``further``), so no partner is left out. Inside a pair of documents a
 Fenwick tree over the earlier document's positions chains matches that go forward in both, each paying for the gap to the
 one before; chains far apart or off their diagonal come apart. Neighbouring chains of a document, whatever sources they
 lead to, form a region, because parts of one passage may have their first places in different documents. Regions, those of
@@ -36,6 +37,9 @@ from dialoglake.llm.common import settle, tasks, text_key
 K, W, BLOCK = 5, 8, 128
 #: Words of a sketch, and the share of its bits that both places must have. Sketches need ``NEAR`` words on that side.
 NEAR, ALIKE = 16, 0.55
+#: Places that ask, and places asked, in one tile of a seed's places; pairs that a task looks at together, and how far words of a
+#: passage may be shifted between its two places.
+TILE_ASKS, TILE_PLACES, PAIRS, SHIFT = 4096, 8192, 2**17, 10
 #: A seed of more than ``HOT`` places, and more than half of a task's mean, is dealt by ranges of documents, at most ``RANGES``;
 #: one document in ``SAMPLE`` tells which and where. The draw decides about tasks only, never about matches.
 HOT, RANGES, SAMPLE = 20_000, 64, 64
@@ -48,6 +52,7 @@ MARGIN, JUMP, DROP = 32, 24, 24
 GAP = 0.1
 NO_ID = 2**63 - 1
 U1, U2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
+LOWER = np.uint64(2**32 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,11 +70,11 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
     return x
 
 
-def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and positions of the selected seeds, and sketches of the words before and after each."""
+def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and positions of the selected seeds, sketches of the words before and after each, and 32-bit ones of the ``NEAR`` words beyond these."""
     n = len(words) - K + 1
     if n < 1:
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "u8")
+        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0, "u8")
     known: dict[bytes, int] = {}
     one = np.fromiter((known.get(x) or known.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in words), "u8", len(words))
     h = np.zeros(n, "u8")
@@ -90,7 +95,10 @@ def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     sketch = _slide(np.concatenate([edge, np.uint64(1) << (one >> np.uint64(58)), edge]), NEAR, np.bitwise_or)
     before = np.where(at >= NEAR, sketch[at], 0)
     after = np.where(at + K + NEAR <= len(words), sketch[at + K + NEAR], 0)
-    return h[at], at, before.astype("u8"), after.astype("u8")
+    half = (sketch | sketch >> np.uint64(32)) & LOWER
+    far_before = np.where(at >= 2 * NEAR, half[np.maximum(at - NEAR, 0)], 0).astype("u8")
+    far_after = np.where(at + K + 2 * NEAR <= len(words), half[np.minimum(at + K + 2 * NEAR, len(words))], 0).astype("u8")
+    return h[at], at, before.astype("u8"), after.astype("u8"), far_before << np.uint64(32) | far_after
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,10 +107,10 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(text), 256):
             found = [seeds((t or b"").split()) for t in text[a : a + 256].cast(pa.large_binary()).to_pylist()]
             take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            h, at, before, after = (np.concatenate([f[i] for f in found]) for i in range(4))
+            h, at, before, after, far = (np.concatenate([f[i] for f in found]) for i in range(5))
             yield pa.RecordBatch.from_arrays(
-                [k[a : a + 256].take(take) for k in keys] + [pa.array(h.view("i8")), pa.array(at.astype("i4")), pa.array(before.view("i8")), pa.array(after.view("i8"))],
-                [*batch.schema.names[:-1], "h", "pos", "before", "after"],
+                [k[a : a + 256].take(take) for k in keys] + [pa.array(h.view("i8")), pa.array(at.astype("i4")), pa.array(before.view("i8")), pa.array(after.view("i8")), pa.array(far.view("i8"))],
+                [*batch.schema.names[:-1], "h", "pos", "before", "after", "far"],
             )
 
 
@@ -346,15 +354,26 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by seed and place -> each place with the seed's first place and with its last place in the document before, where alike.
 
     Rows marked as known stand for earlier places that another task meets; they are met here but meet nothing themselves.
+    The places of a seed with three or more, or marked with 2 as those of a hot one, are given too, with the seed's hash and
+    their sketches, for ``further``.
     """
     held = None  # the row before, the first row of its seed and the last row of that seed's document before, if any
+    n_before = 0  # places of the last row's seed so far
+    names = [*PAIR, "pos", "from_pos", "h", "before", "after", "far"]
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)  # h, oid, k1, pos, before, after, known
-        before = held if held is not None else np.full((3, 7), -1, "i8")
+        rows = np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)  # h, oid, k1, pos, before, after, known, far
+        before = held if held is not None else np.full((3, 8), -1, "i8")
         # The three rows held stand before the batch, so that all places can be told by row number.
         rows = np.concatenate([before[[1, 2, 0]], rows])
+        again = np.zeros(len(rows), bool)
+        again[3:] = (rows[3:, :4] == rows[2:-1, :4]).all(axis=1)  # rows that repeat id and text
+        if held is None:
+            again[3] = False
+        rows = rows[~again]
+        if len(rows) == 3:
+            continue
         at = np.arange(len(rows))
         new_h = np.ones(len(rows), bool)
         new_h[3:] = rows[3:, 0] != rows[2:-1, 0]
@@ -362,29 +381,37 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_doc[3:] = new_h[3:] | (rows[3:, 1:3] != rows[2:-1, 1:3]).any(axis=1)
         if held is None:
             new_h[3] = new_doc[3] = True
-        again = np.zeros(len(rows), bool)
-        again[3:] = ~new_doc[3:] & (rows[3:, 3] == rows[2:-1, 3])  # rows that repeat id and text
         first = np.maximum.accumulate(np.where(new_h, at, 0))
+        nth = np.where(first == 2, at - 3 + n_before, at - first)  # from 0
+        n_before = int(nth[-1]) + 1
         first[first == 2] = 0
         start = np.maximum.accumulate(np.where(new_doc, at, 0))
         last = np.where(start == 2, 1, np.where(new_h[start], -1, start - 1))
         held = rows[[-1, first[-1], last[-1] if last[-1] >= 0 else -1]]
         if last[-1] < 0:
             held[2] = held[1]  # no document before: the first place stands in
-        own = (at > 2) & ~new_h & ~again & (rows[:, 6] == 0)
+        own = (at > 2) & ~new_h & (rows[:, 6] != 1)
         one = np.flatnonzero(own)
         # In the first document of a seed, and where both are one place, there is no second match.
         two = np.flatnonzero(own & (last >= 0) & (rows[last, 1:4] != rows[first, 1:4]).any(axis=1))
         a, b = np.concatenate([one, two]), np.concatenate([first[one], last[two]])
         good = alike(rows[a, 4:6].view("u8"), rows[b, 4:6].view("u8"))
         a, b = a[good], b[good]
-        if len(a):
-            columns = [rows[a, 1], rows[a, 2], rows[b, 1], rows[b, 2], rows[a, 3].astype("i4"), rows[b, 3].astype("i4")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*PAIR, "pos", "from_pos"])
+        # From the third place on; with it the two before it, of which the second is the row before.
+        third = np.flatnonzero((at > 2) & (nth == 2) & (rows[:, 6] == 0))
+        rest = np.flatnonzero((at > 2) & (rows[:, 6] != 1) & ((nth >= 2) | (rows[:, 6] == 2)))
+        rest = np.concatenate([rest, third - 1, first[third]])
+        if len(a) + len(rest):
+            no = [np.zeros(n, "i8") for n in (len(a), len(rest))]
+            told = [[rows[a, 1], rows[a, 2], rows[b, 1], rows[b, 2], rows[a, 3], rows[b, 3], *[no[0]] * 4], [rows[rest, 1], rows[rest, 2], *[no[1]] * 2, rows[rest, 3], no[1], *[rows[rest, i] for i in (0, 4, 5, 7)]]]
+            free = np.arange(len(a) + len(rest)) < len(a)
+            masks = [None, None, ~free, ~free, None, ~free, free, free, free, free]
+            columns = [np.concatenate([x, y]) for x, y in zip(*told, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype("i4") if n in ("pos", "from_pos") else c, mask=m) for n, c, m in zip(names, columns, masks, strict=True)], names)
 
 
 def _places(texts: DataFrame) -> DataFrame:
-    return texts.mapInArrow(_seed_rows, "oid long, k1 long, h long, pos int, before long, after long").select("h", "oid", "k1", "pos", "before", "after")
+    return texts.mapInArrow(_seed_rows, "oid long, k1 long, h long, pos int, before long, after long, far long").select("h", "oid", "k1", "pos", "before", "after", "far")
 
 
 def hot_seeds(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
@@ -396,31 +423,206 @@ def hot_seeds(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFra
     return settle(drawn.join(F.broadcast(many), "h").groupBy("h").agg(F.percentile_approx("oid", steps).alias("cuts")))
 
 
-def matches(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
-    """Each seed place with the seed's first place and with its place in the nearest earlier document, where alike.
+def met(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """``matches``, and rows with ``h``: the places of all seeds that have three or more.
 
     The places of a hot seed are dealt by ranges of documents. Each range is given the two places that it needs of the ranges
     before it, the first of all and the last, so it finds the same matches as one task with all places would.
     """
-    kinds = "oid long, k1 long, from_oid long, from_k1 long, pos int, from_pos int"
-    held = ("h", "oid", "k1", "pos", "before", "after", "known")
+    kinds = "oid long, k1 long, from_oid long, from_k1 long, pos int, from_pos int, h long, before long, after long, far long"
+    held = ("h", "oid", "k1", "pos", "before", "after", "known", "far")
     found, many = _places(texts).withColumn("known", F.lit(0)), hot_seeds(texts, hot, sample)
     if many.isEmpty():
         return found.repartition("h").sortWithinPartitions("h", "oid", "k1", "pos").select(*held).mapInArrow(_meet, kinds)
     many = F.broadcast(many)
     part = F.size(F.filter("cuts", lambda c: c < F.col("oid")))
-    place = F.struct("oid", "k1", "pos", "before", "after")
+    place = F.struct("oid", "k1", "pos", "before", "after", "far")
     ends = settle(found.join(many, "h").groupBy("h", part.alias("part")).agg(F.min(place).alias("low"), F.max(place).alias("high")))
     earlier = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     needed = ends.select("h", "part", F.array_distinct(F.array(F.min("low").over(earlier), F.max("high").over(earlier))).alias("places")).select("h", "part", F.explode("places").alias("p"))
     known = needed.where("p is not null").select("h", "part", "p.*", F.lit(1).alias("known"))
-    dealt = found.join(many, "h", "left").withColumn("part", F.coalesce(F.when(F.col("cuts").isNotNull(), part), F.lit(0))).select("h", "part", *held[1:])
+    dealt = found.join(many, "h", "left").withColumn("part", F.coalesce(F.when(F.col("cuts").isNotNull(), part), F.lit(0)))
+    dealt = dealt.withColumn("known", F.when(F.col("cuts").isNotNull(), 2).otherwise(0)).select("h", "part", *held[1:])
     return dealt.unionByName(known).repartition("h", "part").sortWithinPartitions("h", "part", "oid", "k1", "pos").select(*held).mapInArrow(_meet, kinds)
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Chains, gathered by region and source; ``ask`` numbers the groups. No length is asked here: a passage may keep one seed."""
-    pairs = matches(texts).repartition(tasks(texts), *PAIR).sortWithinPartitions(*PAIR, "pos", "from_pos")
+def matches(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
+    """Each seed place with the seed's first place and with its place in the nearest earlier document, where alike."""
+    return first_matches(met(texts, hot, sample))
+
+
+def first_matches(seen: DataFrame) -> DataFrame:
+    return seen.where("from_oid is not null").select(*PAIR, "pos", "from_pos")
+
+
+def may_hold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two places (before, after, far), which broadcast, may share a passage: windows of ``NEAR`` words that it spans are alike.
+
+    Of 50 words around a seed, ``NEAR`` or nearly stand on both sides, or twice as many on one. A text that ends before a
+    window is full has no sketch of it; then the passage ends there too and the other side tells.
+    """
+
+    def near(a, b):
+        own = np.bitwise_count(a)
+        return (own > 0) & (np.bitwise_count(a & b) >= ALIKE * own)
+
+    half = np.uint64(32)
+    before, after = (near(x[..., i], y[..., i]) for i in (0, 1))
+    far_before, far_after = near(x[..., 2] >> half, y[..., 2] >> half), near(x[..., 2] & LOWER, y[..., 2] & LOWER)
+    no_before, no_after = ((x[..., i] == 0) | (y[..., i] == 0) for i in (0, 1))
+    short_before, short_after = ((x[..., 2] >> half == 0) | (y[..., 2] >> half == 0)), ((x[..., 2] & LOWER == 0) | (y[..., 2] & LOWER == 0))
+    return before & after | before & (far_before | short_before & no_after) | after & (far_after | short_after & no_before)
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float) -> np.ndarray:
+    """Whether words around two places, a byte each (``_windows``), leave room for a passage that holds both: an upper bound.
+
+    A word counts as met if it stands on the same side of the other place, up to ``SHIFT`` words off.
+    """
+    need = min_words - K
+    width, gains = x.shape[1] // 2, []
+    for side in (slice(0, width), slice(width, None)):
+        own, other = x[:, side], np.pad(y[:, side], ((0, 0), (SHIFT, SHIFT)))
+        meets = np.zeros(own.shape, bool)
+        for i in range(2 * SHIFT + 1):
+            meets |= own == other[:, i : i + width]
+        gain = np.cumsum(meets & (own > 0), axis=1, dtype="f4") - np.float32(similarity) * np.arange(1, width + 1, dtype="f4")
+        gains.append(np.pad(gain, ((0, 0), (1, 0))))
+    # Words on one side, and the best of so many or more on the other that both make up min_words.
+    best = np.maximum.accumulate(gains[1][:, ::-1], axis=1)[:, ::-1]
+    least = np.clip(need - np.arange(width + 1), 0, width)
+    return (gains[0] + best[:, least] + K * (1 - similarity) > -1e-3).any(axis=1)
+
+
+def _windows(width: int):
+    """oid, k1, positions, text -> for each position a byte for each of ``width`` words before it (nearest first) and after its seed, 0 where there is none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: tuple[list, ...] = ([], [], [], [])
+            for oid, k1, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                edge = np.zeros(width, "u1")
+                told = np.concatenate([edge, np.array([1 + zlib.crc32(w) % 255 for w in text.encode().split()], "u1"), edge])
+                for i in at:
+                    window = np.concatenate([told[i : i + width][::-1], told[i + width + K : i + 2 * width + K]])
+                    for column, value in zip(rows, (oid, k1, i, window.tobytes()), strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["oid", "k1", "pos", "window"])
+
+    return run
+
+
+def _tile_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole tiles, those that ask first -> row numbers of each that asks and of every earlier place of its tile that may share a passage with it."""
+    # h, row, column, asked, oid, k1, pos, before, after, far
+    starts = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]])
+    places, asked = rows[:, 4:7], rows[:, 3] == 1
+    rank = np.empty(len(rows), "i8")
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+    # Equal places have equal ranks, so none is its own partner.
+    rank[order] = np.concatenate([[0], np.cumsum((places[order[1:]] != places[order[:-1]]).any(axis=1))])
+    sketch = np.ascontiguousarray(rows[:, 7:10]).view("u8")
+    first = np.add.reduceat((~asked).astype("i8"), starts[:-1]) + starts[:-1]  # the tile's first place asked
+    ask = np.flatnonzero(~asked)
+    tile = np.searchsorted(starts, ask, "right") - 1
+    low, count = first[tile], (starts[1:] - first)[tile]
+    # As many that ask as make up PAIRS pairs at a time.
+    cut = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS), "right")
+    for a, b in zip([0, *cut], [*cut, len(ask)], strict=True):
+        if a >= b:
+            continue
+        p = np.repeat(ask[a:b], count[a:b])
+        q = np.arange(len(p)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + np.repeat(low[a:b], count[a:b])
+        for keep in (lambda p, q: rank[q] < rank[p], lambda p, q: alike(sketch[p, :2], sketch[q, :2]), lambda p, q: may_hold(sketch[p], sketch[q])):
+            kept = keep(p, q)
+            p, q = p[kept], q[kept]
+        if len(p):
+            yield p, q
+
+
+TILE = ["h", "row", "column"]
+PLACE = [*TILE, "asked", "oid", "k1", "pos", "before", "after", "far"]
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by tile -> tables that part no tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([np.asarray(c).astype("i8") for c in batch.columns[:3]], axis=1)
+        change = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(3)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            yield pa.Table.from_batches([*held, batch.slice(0, change[-1])])
+            held = []
+        held.append(batch.slice(change[-1]) if len(change) else batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(tiles: pa.Table) -> np.ndarray:
+    return np.stack([tiles.column(n).to_numpy().astype("i8") for n in PLACE], axis=1)
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of tiles -> those in any pair."""
+    for tiles in _whole_tiles(batches):
+        met = np.zeros(len(tiles), bool)
+        for p, q in _tile_pairs(_numbers(tiles)):
+            met[p] = met[q] = True
+        yield from tiles.filter(pa.array(met)).to_batches()
+
+
+def _further(min_words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tiles in _whole_tiles(batches):
+            places = _numbers(tiles)
+            windows = np.frombuffer(b"".join(tiles.column("window").to_pylist()), "u1").reshape(len(tiles), -1)
+            for ps, qs in _tile_pairs(places):
+                for a in range(0, len(ps), 4096):
+                    p, q = ps[a : a + 4096], qs[a : a + 4096]
+                    good = may_reach(windows[p], windows[q], min_words, similarity)
+                    p, q = places[p[good]], places[q[good]]
+                    columns = [p[:, 4], p[:, 5], q[:, 4], q[:, 5], p[:, 6].astype("i4"), q[:, 6].astype("i4")]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*PAIR, "pos", "from_pos"])
+
+    return run
+
+
+def further(texts: DataFrame, seen: DataFrame, kept: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Matches of places that no passage of ``kept`` holds with all earlier places of their seed that may share a passage with them.
+
+    A seed's places are dealt into tiles, so no task holds a seed; places inside passages are asked but don't ask.
+    Sketches tell which places have a partner at all; the words around those then tell which pairs leave room for a passage.
+    """
+    spans = kept.groupBy("oid", "k1").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    inside = F.exists("spans", lambda s: (s["first"] <= F.col("pos")) & (F.col("pos") + K <= s["end"]))
+    rest = seen.where("h is not null").select("h", "oid", "k1", "pos", "before", "after", "far").join(spans, ["oid", "k1"], "left")
+    rest = rest.withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans")
+    sizes = rest.groupBy("h").agg(F.count("*").alias("n"), F.count_if("open").alias("asks")).where("asks > 0")
+    tiles = settle(sizes.select("h", F.ceil(F.col("asks") / TILE_ASKS).cast("int").alias("down"), F.ceil(F.col("n") / TILE_PLACES).cast("int").alias("across")))
+    dealt = rest.join(tiles, "h").withColumn("deal", F.xxhash64("oid", "k1", "pos"))
+
+    def side(asked: int, own: str, other: str) -> DataFrame:
+        at = {own: F.pmod("deal", F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
+        rows = dealt if asked else dealt.where("open")
+        return rows.select("h", at["down"].alias("row"), at["across"].alias("column"), F.lit(asked).alias("asked"), "oid", "k1", "pos", "before", "after", "far")
+
+    rows = side(0, "down", "across").unionByName(side(1, "across", "down")).repartition(tasks(seen), *TILE).sortWithinPartitions(*TILE, "asked").select(*PLACE)
+    involved = settle(rows.mapInArrow(_involved, "h long, row int, column int, asked int, oid long, k1 long, pos int, before long, after long, far long"))
+    wanted = involved.groupBy("oid", "k1").agg(F.collect_set("pos").alias("at"))
+    windows = texts.join(wanted, ["oid", "k1"]).select("oid", "k1", "at", "_text").mapInArrow(_windows(max(NEAR, min_words - K + 3)), "oid long, k1 long, pos int, window binary").dropDuplicates(["oid", "k1", "pos"])
+    pairs = involved.join(windows, ["oid", "k1", "pos"]).repartition(tasks(seen), *TILE).sortWithinPartitions(*TILE, "asked").select(*PLACE, "window")
+    return pairs.mapInArrow(_further(min_words, similarity), "oid long, k1 long, from_oid long, from_k1 long, pos int, from_pos int")
+
+
+def candidates(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Chains of the matches ``found``, gathered by region and source; ``ask`` numbers the groups. No length is asked here: a passage may keep one seed."""
+    pairs = found.repartition(tasks(texts), *PAIR).sortWithinPartitions(*PAIR, "pos", "from_pos")
     chains = pairs.mapInArrow(_chains, "oid long, k1 long, from_oid long, from_k1 long, a0 int, a1 int, b0 int, b1 int")
     along = Window.partitionBy("oid", "k1").orderBy("a0", "a1", "from_oid", "from_k1", "b0")
     so_far = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -450,17 +652,9 @@ def aligned(texts: DataFrame, asks: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(_align_rows, "oid long, k1 long, from_oid long, first int, end int, hits int")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each repeated passage: id, first and end (words from 0, end exclusive), from_id (where most of it stands earlier), matched."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if not isinstance(docs.schema["id"].dataType, IntegralType):
-        names = numbered(docs)
-        known = repeated_passages(docs.join(names, "id", "left").select("oid", "text"), min_words, similarity, "oid")
-        for c in ("id", "from_id"):
-            known = known.join(names.select(F.col("id").alias(f"_{c}"), F.col("oid").alias(c)), c, "left")
-        return known.select(F.col("_id").alias("id"), "first", "end", F.col("_from_id").alias("from_id"), "matched")
-    texts = _texts(docs, "id", "text")
-    found = settle(aligned(texts, candidates(texts), min_words)).where("end > first")
+def passages_of(found: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Alignments -> those stretches that they cover which are long and alike enough."""
+    found = found.where("end > first")
     order = Window.partitionBy("oid", "k1").orderBy("first", "end", "from_oid", "hits")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     # Alignments that meet make one passage.
@@ -473,7 +667,28 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     regions = parts.groupBy("oid", "k1", "region").agg(
         F.min("first").alias("first"), F.max("end").alias("end"), F.sum("fresh").alias("covered"), F.sum("good").alias("good"), F.max(F.struct("length", (-F.col("from_oid")).alias("less"))).alias("source")
     )
-    kept = regions.where((F.col("covered") >= min_words) & (F.col("good") >= similarity * F.col("covered")))
+    return regions.where((F.col("covered") >= min_words) & (F.col("good") >= similarity * F.col("covered")))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each repeated passage: id, first and end (words from 0, end exclusive), from_id (where most of it stands earlier), matched."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not isinstance(docs.schema["id"].dataType, IntegralType):
+        names = numbered(docs)
+        known = repeated_passages(docs.join(names, "id", "left").select("oid", "text"), min_words, similarity, "oid")
+        for c in ("id", "from_id"):
+            known = known.join(names.select(F.col("id").alias(f"_{c}"), F.col("oid").alias(c)), c, "left")
+        return known.select(F.col("_id").alias("id"), "first", "end", F.col("_from_id").alias("from_id"), "matched")
+    texts = _texts(docs, "id", "text")
+    seen = settle(met(texts))
+    found = settle(aligned(texts, candidates(texts, first_matches(seen)), min_words))
+    kept = settle(passages_of(found, min_words, similarity))
+    more = settle(further(texts, seen, kept, min_words, similarity))
+    if not more.isEmpty():
+        asks = candidates(texts, more)
+        asked = asks.select("oid", "k1").unionByName(asks.select(F.col("from_oid").alias("oid"), F.col("from_k1").alias("k1"))).distinct()
+        found = found.unionByName(aligned(texts.join(asked, ["oid", "k1"], "left_semi"), asks, min_words))
+        kept = passages_of(settle(found), min_words, similarity)
     no = F.lit(NO_ID)
     return kept.select(
         F.when(F.col("oid") != no, F.col("oid")).alias("id"), "first", "end", F.when(-F.col("source.less") != no, -F.col("source.less")).alias("from_id"), F.round("good").cast("long").alias("matched")

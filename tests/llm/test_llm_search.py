@@ -213,6 +213,23 @@ def test_passages_made_of_pieces_known_from_elsewhere(spark):
     assert {x.id for x in passages.repeated_passages(df).collect()} == want
 
 
+def test_passages_whose_seeds_stand_in_other_documents_before_and_between(spark):
+    r = random.Random(21)
+    rows, want = {}, {}
+    for i in range(30):
+        base = [f"m{i}x{k}" for k in range(64)]
+        # Every five words of the passage also stand in the first and in the nearest earlier document, but in short pieces only.
+        for n in (1, 2, 7, 8):
+            rows[10 * i + n] = [w for a in range(0, 60, 6) for w in [*words(r, 25), *base[a : a + 10]]]
+        rows[10 * i + 5], rows[10 * i + 9] = words(r, 70) + base + words(r, 70), words(r, 90 * (i % 2)) + base + words(r, 90 * (i // 2 % 2))
+        want[10 * i + 9] = (90 * (i % 2), 90 * (i % 2) + 64, 10 * i + 5)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    assert {x.id: (x.first, x.end, x.from_id) for x in passages.repeated_passages(df).collect()} == want
+    texts = passages._texts(df, "doc_id", "text")
+    seen = [passages.met(texts, *a) for a in ((), (3, 1))]  # hot seeds dealt by ranges give all their places too
+    assert len({frozenset(Counter(map(tuple, s.where("h is not null").collect())).items()) for s in seen}) == 1
+
+
 def test_every_long_exact_repeat_is_covered(spark, sf):
     texts = {x.doc_id: (x.text or "").split() for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = {}
