@@ -1,7 +1,8 @@
-"""Near-duplicates by the similarity of their word shingles: MinHash bands for candidates, the shingles themselves to confirm.
+"""Near-duplicates by the similarity of their word shingles: SimHash fingerprints and MinHash bands for candidates, the shingles themselves to confirm.
 
-A text is its set of hashes of ``SHINGLE`` consecutive words. Texts with equal sets are one node. Each of ``BANDS`` bands
-joins ``ROWS`` least hashes under as many permutations; two sets of similarity s share a band with odds of
+A text is its set of hashes of ``SHINGLE`` consecutive words. Texts with equal sets are one node. Nodes whose fingerprints
+(majority bits of the set) differ in at most ``RADIUS`` bits are found by the covering masks of ``simhash.links``; texts at 0.8
+may differ in more bits, so bands find these: each of ``BANDS`` bands joins ``ROWS`` least hashes under as many permutations; two sets of similarity s share a band with odds of
 1 - (1 - s^ROWS)^BANDS, 0.9996 at 0.8. In a bucket each node, sorted by its number of shingles, asks the ``NEXT`` before it
 and the bucket's first, so candidates grow with the buckets and not with their squares. A candidate is a link if the
 shingles (32-bit hashes) have a Jaccard similarity of ``similarity`` or more; classes are what links connect. Where a bucket
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from dialoglake.llm.common import one_row_each, settle, tasks, text_key
 from dialoglake.llm.components import components
+from dialoglake.llm.simhash import links, majority
 
-SHINGLE, BANDS, ROWS, NEXT, SEED = 5, 20, 5, 2, 42
+SHINGLE, BANDS, ROWS, NEXT, SEED, RADIUS = 5, 20, 5, 2, 42, 3
 #: Most shingles and most nodes on either side of a tile, and bits of the sketch that bounds how alike two sets can be.
 TILE_SHINGLES, TILE_NODES, SKETCH = 2**20, 4096, 4096
 _draw = np.random.default_rng(SEED)
@@ -63,7 +65,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = pa.array(np.array([xxhash.xxh3_64_intdigest(f.tobytes()) for f in found], "u8").view("i8"))
             n = pa.array([len(f) for f in found], pa.int32())
             rows = pa.array([bands(f).tolist() for f in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([k[a : a + 256] for k in keys] + [node, n, rows], [*batch.schema.names[:-1], "node", "n", "bands"])
+            fp = pa.array(np.array([majority(f) for f in found], "u8").view("i8"))
+            yield pa.RecordBatch.from_arrays([k[a : a + 256] for k in keys] + [node, n, rows, fp], [*batch.schema.names[:-1], "node", "n", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +93,17 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that connect all whose fingerprints are equal or within the radius."""
+    prints = settle(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = nodes.join(prints, "fp").where("node <> least").select("least", "node")
+    near = links(prints, radius)
+    for c in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")), c)
+    met = equal.toDF("a", "b").unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _confirm(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,13 +208,14 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     key = text_key(*[F.col(n) for n in names])
     placed = plain.select(F.col(ident).isNull().alias("without"), F.col(ident).alias("id"), key["a"].alias("key_a"), key["b"].alias("key_b"), F.col(text).alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = settle(placed.mapInArrow(_nodes, f"without boolean, id {kind}, key_a long, key_b long, node long, n int, bands array<long>"))
+    rows = settle(placed.mapInArrow(_nodes, f"without boolean, id {kind}, key_a long, key_b long, node long, n int, bands array<long>, fp long"))
     place = F.struct("without", "id", "key_a", "key_b")
-    nodes = settle(rows.groupBy("node").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = settle(rows.groupBy("node").agg(F.min(place).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     # A band's number is part of its bucket; empty sets are one node and ask nobody.
     buckets = nodes.where("n > 0").select("n", "node", F.posexplode("bands").alias("band", "bucket")).select("band", "bucket", "n", "node")
     asked = buckets.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "n", "node").select("band", "bucket", "node")
-    pairs = settle(asked.mapInArrow(_ask, "a long, b long").distinct())
+    printed = fingerprint_pairs(nodes.where("n > 0").select("node", "fp"))
+    pairs = settle(asked.mapInArrow(_ask, "a long, b long").unionByName(printed).distinct())
     sizes = nodes.select("node", "least")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sizes, "node").select("node", "least.key_a", "least.key_b")
     texts = placed.select("key_a", "key_b", "_text").join(wanted, ["key_a", "key_b"]).select("node", "_text")

@@ -33,6 +33,14 @@ BITS, SEED = 64, 42
 BUCKET = 2048
 
 
+def majority(hashed: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(BITS, "i8")
+    for a in range(0, len(hashed), 8192):
+        counts += np.unpackbits(hashed[a : a + 8192].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i4")
+    return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     words = text.lower().split()
     if not words:
@@ -40,10 +48,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     hashed = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))), "<u8", len(words) - shingle + 1)
-    counts = np.zeros(BITS, "i8")
-    for a in range(0, len(hashed), 8192):
-        counts += np.unpackbits(hashed[a : a + 8192].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i4")
-    return int(np.packbits(counts * 2 > len(hashed), bitorder="little").view("<u8")[0])
+    return majority(hashed)
 
 
 def _fingerprints(shingle: int):

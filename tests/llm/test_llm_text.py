@@ -235,6 +235,29 @@ def test_pipeline_drops_texts_whose_shingles_are_alike(spark):
     assert not set(range(200, 240)) & set(kept) and set(range(300, 340)) <= set(kept)
 
 
+def test_near_duplicates_start_from_fingerprints_within_three_bits(spark):
+    from dialoglake.llm import neardup
+
+    r, prints = random.Random(6), []
+    for _ in range(40):
+        base = r.getrandbits(64)
+        prints += [base, base, *[base ^ sum(1 << b for b in r.sample(range(64), n)) for n in (1, 3, 4, 7)]]
+    rows = [(i + 1000, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                root = [root[j] if k == root[i] else k for k in root]
+    got = list(range(len(prints)))
+    for x in neardup.fingerprint_pairs(spark.createDataFrame(rows, "node long, fp long")).collect():
+        assert x.a < x.b
+        got = [got[x.a - 1000] if k == got[x.b - 1000] else k for k in got]
+    assert [got.index(k) for k in got] == [root.index(k) for k in root]
+    texts = [f"{'a ' * i}one two three four five six seven" for i in range(3)]
+    sets = [neardup.shingles(t.encode()) for t in texts]
+    assert [simhash.majority(s) for s in sets] == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+
+
 # ---- mixing
 
 
