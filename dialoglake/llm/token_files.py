@@ -65,26 +65,35 @@ def _wide(held: bytes, n: int) -> np.ndarray:
 
 
 def _ids(tokenizer: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end, names = np.array([end_id], "<u4").tobytes(), ["id", "n", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and at a task's end one without ids whose ``counts`` tell how often the task has met each id."""
         encode = word_tokens(tokenizer).encode
+        total, kind = np.zeros(0, "i8"), None
         for batch in batches:
             ident, texts = batch.columns
+            kind = ident.type
             for a in range(0, len(texts), 64):
                 held = [encode(t or "") + end for t in texts[a : a + 64].to_pylist()]
+                found = np.bincount(np.frombuffer(b"".join(held), "<u4"))
+                if len(found) > len(total):
+                    found, total = total, found
+                total[: len(found)] += found
                 n = pa.array([len(h) // 4 for h in held], pa.int64())
-                yield pa.RecordBatch.from_arrays([ident[a : a + 64], n, pa.array(list(map(_narrow, held)), pa.large_binary())], ["id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([ident[a : a + 64], n, pa.array(list(map(_narrow, held)), pa.large_binary()), pa.nulls(len(held), pa.large_binary())], names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.large_binary()), pa.array([total.astype("<i8").tobytes()], pa.large_binary())], names)
 
     return run
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each id that the task has met."""
+    """Counts as tasks wrote them -> one row for each id that they have met."""
     total = np.zeros(0, "i8")
     for batch in batches:
-        for n, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = np.bincount(_wide(held, n))
+        for held in batch.column(0).to_pylist():
+            found = np.frombuffer(held, "<i8").copy()
             if len(found) > len(total):
                 found, total = total, found
             total[: len(found)] += found
@@ -191,9 +200,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """Writes the files into ``folder``, which driver and executors share; -> the list of files: part, nth, name, n_docs, n_ids, n_blocks, bytes."""
     kind = docs.schema[id_col].dataType
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    held = settle(read.mapInArrow(_ids(tokenizer, end_id), f"id {kind.simpleString()}, n long, ids binary"))
-    # At most one row for each id of the vocabulary comes to the driver.
-    met = held.select("n", "ids").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    written = settle(read.mapInArrow(_ids(tokenizer, end_id), f"id {kind.simpleString()}, n long, ids binary, counts binary"))
+    held = written.where("n is not null").select("id", "n", "ids")
+    # At most one row for each id of the vocabulary comes to the driver. Ids were counted where they were made, so they aren't read for it.
+    met = written.where("counts is not null").select("counts").mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r[0] for r in met), default=-1) + 1, "i8")
     for token, n in met:
         counts[token] = n

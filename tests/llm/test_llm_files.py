@@ -250,3 +250,13 @@ def test_hard_negatives_of_empty_tables(spark):
     none = spark.createDataFrame([], VECTORS)
     some = spark.createDataFrame([(1, 1, [1.0]), (2, 1, [2.0])], VECTORS)
     assert negatives.hard_negatives(none, none).count() == negatives.hard_negatives(none, some).count() == negatives.hard_negatives(some, some).count() == 0
+
+
+def test_ids_are_counted_in_the_task_that_makes_them():
+    texts = ["the cat sat", None, "", "the café the"] * 50
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 100), pa.int64()), pa.array(texts[a : a + 100])], ["id", "text"]) for a in (0, 100)]
+    *rows, counts = token_files._ids(q.TOKENIZER, 1)(iter(batches))
+    assert sum(r.num_rows for r in rows) == len(texts) and all(r.column(3).null_count == r.num_rows for r in rows)
+    ids = np.concatenate([token_files._wide(h, n) for r in rows for n, h in zip(r.column(1).to_pylist(), r.column(2).to_pylist(), strict=True)])
+    assert counts.column(1).null_count == 1 and np.frombuffer(counts.column(3)[0].as_py(), "<i8").tolist() == np.bincount(ids).tolist()
+    assert not list(token_files._ids(q.TOKENIZER, 1)(iter([])))
