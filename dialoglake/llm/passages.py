@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,14 +39,16 @@ from dialoglake.llm.common import settle, tasks, text_key
 K, W, BLOCK = 5, 8, 128
 #: Words of a sketch, and the share of its bits that both places must have. Sketches need ``NEAR`` words on that side.
 NEAR, ALIKE = 16, 0.55
-#: Places that ask, and places asked, in one tile of a seed's places; pairs that a task looks at together, and how far words of a
-#: passage may be shifted between its two places.
+#: Places that ask, and places asked, in one tile of a seed's places; pairs that a task looks at together, and how many words beyond
+#: a passage's least a window holds.
 TILE_ASKS, TILE_PLACES, PAIRS, SHIFT = 4096, 8192, 2**17, 10
 #: A seed of more than ``HOT`` places, and more than half of a task's mean, is dealt by ranges of documents, at most ``RANGES``;
 #: one document in ``SAMPLE`` tells which and where. The draw decides about tasks only, never about matches.
 HOT, RANGES, SAMPLE = 20_000, 64, 64
 #: Of a run of equal seeds (one word over and over) one in ``RUN`` stays, and the second.
 RUN = 20
+#: Words whose hashes one Python process remembers.
+REMEMBERED = 600_000
 #: Words that an alignment may at least go past a chain's ends (``min_words`` if that is more), the widest gap that a chain crosses or a region holds, and how far
 #: an alignment's score may fall below its best before it ends.
 MARGIN, JUMP, DROP = 32, 24, 24
@@ -70,46 +74,79 @@ def _slide(x: np.ndarray, w: int, best) -> np.ndarray:
     return x
 
 
-def seeds(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and positions of the selected seeds, sketches of the words before and after each, and 32-bit ones of the ``NEAR`` words beyond these."""
-    n = len(words) - K + 1
+class _Hashes(dict):
+    """Hashes of words, remembered up to ``REMEMBERED`` of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+HASHES = _Hashes()
+
+
+def seeds_of(texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Words of texts -> text's number, hash and position of each selected seed, sketches of the words before and after it, and 32-bit ones of the ``NEAR`` words beyond these."""
+    sizes = np.array([len(t) for t in texts], "i8")
+    total = int(sizes.sum())
+    n = total - K + 1
     if n < 1:
-        return np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "u8"), np.zeros(0, "u8")
-    known: dict[bytes, int] = {}
-    one = np.fromiter((known.get(x) or known.setdefault(x, xxhash.xxh3_64_intdigest(x)) for x in words), "u8", len(words))
+        return (np.zeros(0, "i8"), np.zeros(0, "u8"), np.zeros(0, "i8"), *(np.zeros(0, "u8") for _ in range(3)))
+    one = np.fromiter(map(HASHES.__getitem__, chained.from_iterable(texts)), "u8", total)
+    starts = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(texts)), sizes)
+    pos = np.arange(total) - starts[text]
+    left = sizes[text] - pos  # words from a place on
+    place = left[:n] >= K
     h = np.zeros(n, "u8")
     for i in range(K):
         h = h * np.uint64(U1) + one[i : i + n]
     h = _mix(h)
     pairs = _mix(one[:-1] * np.uint64(U2) + one[1:])
-    chosen = _slide(pairs, K - 1, np.minimum) == pairs[:n]
+    chosen = (_slide(pairs, K - 1, np.minimum) == pairs[:n]) & place
     # Windows of W places without a seed get their least one, so that every run of K + W - 1 words holds a seed.
-    w = min(W, n)
-    least = np.where(_slide(chosen, w, np.logical_or), np.uint64(0), _slide(h, w, np.minimum))
-    chosen |= _slide(np.concatenate([np.zeros(w - 1, "u8"), least, np.zeros(w - 1, "u8")]), w, np.maximum) == h
+    if n >= W:
+        whole = left[: n - W + 1] >= K + W - 1
+        least = np.where(whole & ~_slide(chosen, W, np.logical_or), _slide(h, W, np.minimum), np.uint64(0))
+        edge = np.zeros(W - 1, "u8")
+        more = _slide(np.concatenate([edge, least, edge]), W, np.maximum) == h
+    else:
+        more = np.zeros(n, bool)
+    for i in np.flatnonzero((sizes >= K) & (sizes < K + W - 1)):
+        own = slice(starts[i], starts[i] + sizes[i] - K + 1)
+        if not chosen[own].any():
+            more[own] = h[own] == h[own].min()
+    chosen |= more & place
     # Any K + RUN - 1 words inside a run of equal seeds still hold one of them; its second one tells that the run repeats itself.
-    runs = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
-    since = np.arange(n) - np.repeat(runs, np.diff(np.append(runs, n)))
+    fresh = pos[:n] == 0
+    fresh[1:] |= h[1:] != h[:-1]
+    since = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     at = np.flatnonzero(chosen & ((since % RUN == 0) | (since == 1)))
-    edge = np.zeros(NEAR, "u8")
-    sketch = _slide(np.concatenate([edge, np.uint64(1) << (one >> np.uint64(58)), edge]), NEAR, np.bitwise_or)
-    before = np.where(at >= NEAR, sketch[at], 0)
-    after = np.where(at + K + NEAR <= len(words), sketch[at + K + NEAR], 0)
-    half = (sketch | sketch >> np.uint64(32)) & LOWER
-    far_before = np.where(at >= 2 * NEAR, half[np.maximum(at - NEAR, 0)], 0).astype("u8")
-    far_after = np.where(at + K + 2 * NEAR <= len(words), half[np.minimum(at + K + 2 * NEAR, len(words))], 0).astype("u8")
-    return h[at], at, before.astype("u8"), after.astype("u8"), far_before << np.uint64(32) | far_after
+    sketch = _slide(np.concatenate([np.uint64(1) << (one >> np.uint64(58)), np.zeros(NEAR, "u8")]), NEAR, np.bitwise_or)
+
+    def words(first: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, sketch[np.clip(first, 0, total)], np.uint64(0))
+
+    before, after = words(at - NEAR, pos[at] >= NEAR), words(at + K, left[at] >= K + NEAR)
+    far_before, far_after = words(at - 2 * NEAR, pos[at] >= 2 * NEAR), words(at + K + NEAR, left[at] >= K + 2 * NEAR)
+    far_before, far_after = ((x | x >> np.uint64(32)) & LOWER for x in (far_before, far_after))
+    return text[at], h[at], pos[at], before, after, far_before << np.uint64(32) | far_after
+
+
+def seeds(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """``seeds_of`` one text."""
+    return seeds_of([words])[1:]
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *keys, text = batch.columns
         for a in range(0, len(text), 256):
-            found = [seeds((t or b"").split()) for t in text[a : a + 256].cast(pa.large_binary()).to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            h, at, before, after, far = (np.concatenate([f[i] for f in found]) for i in range(5))
+            take, h, at, before, after, far = seeds_of([(t or b"").split() for t in text[a : a + 256].cast(pa.large_binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [k[a : a + 256].take(take) for k in keys] + [pa.array(h.view("i8")), pa.array(at.astype("i4")), pa.array(before.view("i8")), pa.array(after.view("i8")), pa.array(far.view("i8"))],
+                [k[a : a + 256].take(pa.array(take)) for k in keys] + [pa.array(h.view("i8")), pa.array(at.astype("i4")), pa.array(before.view("i8")), pa.array(after.view("i8")), pa.array(far.view("i8"))],
                 [*batch.schema.names[:-1], "h", "pos", "before", "after", "far"],
             )
 
@@ -199,37 +236,51 @@ def _chain_cluster(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, in
     return out
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by both documents, then position -> a row for each chain: documents, a0, a1, b0, b1 (words, ends exclusive)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    at, out = None, []
-
-    def close() -> None:
-        if held:
-            a, b = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            out.extend((*at, a0, a1 + K, b0, b1 + K) for a0, a1, b0, b1, _ in chain(a, b))
-            held.clear()
+def _whole(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[pa.Table]:
+    """Rows in which equal keys, the first columns, are neighbours -> tables that part no key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(c) for c in batch.columns[:n_keys]]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(n_keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            yield pa.Table.from_batches([*held, batch.slice(0, change[-1])])
+            held = []
+        held.append(batch.slice(change[-1]) if len(change) else batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def ready() -> pa.RecordBatch:
-        rows = out.copy()
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.int32()) for i in range(8)], [*PAIR, "a0", "a1", "b0", "b1"])
 
-    for batch in batches:
-        *docs, pos, from_pos = (np.asarray(c) for c in batch.columns)
-        change = np.flatnonzero(np.any([d[1:] != d[:-1] for d in docs], axis=0)) + 1
-        starts = [0, *change.tolist(), len(pos)]
-        for x, y in zip(starts, starts[1:], strict=False):
-            if x == y:
-                continue
-            if (key := tuple(int(d[x]) for d in docs)) != at:
-                close()
-                at = key
-            held.append((pos[x:y].astype("i8"), from_pos[x:y].astype("i8")))
-        if len(out) > 20_000:
-            yield ready()
-    close()
-    yield ready()
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by both documents, then position -> a row for each chain: documents, a0, a1, b0, b1 (words, ends exclusive)."""
+    names = [*PAIR, "a0", "a1", "b0", "b1"]
+
+    def batch_of(docs: list, spans: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, "i8")) for d in docs] + [pa.array(np.asarray(x, "i4")) for x in spans], names)
+
+    for table in _whole(batches, 4):
+        *docs, a, b = (table.column(i).to_numpy().astype("i8") for i in range(6))
+        new = np.ones(len(a), bool)
+        new[1:] = np.any([d[1:] != d[:-1] for d in docs], axis=0)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(a))
+        step = np.diff(a, prepend=0)
+        on = new | (step > 0) & (step <= JUMP) & (np.diff(b, prepend=0) == step)
+        plain = np.logical_and.reduceat(on, starts)  # one diagonal without a wide gap, or one match: one chain
+        x, y = starts[plain], ends[plain] - 1
+        if len(x):
+            yield batch_of([d[x] for d in docs], [a[x], a[y] + K, b[x], b[y] + K])
+        out = []
+        for x, y in zip(starts[~plain], ends[~plain], strict=True):
+            key = [int(d[x]) for d in docs]
+            out.extend((*key, a0, a1 + K, b0, b1 + K) for a0, a1, b0, b1, _ in chain(a[x:y], b[x:y]))
+        if out:
+            columns = list(zip(*out, strict=True))
+            yield batch_of(columns[:4], columns[4:])
 
 
 def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -351,63 +402,52 @@ def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by seed and place -> each place with the seed's first place and with its last place in the document before, where alike.
+    """Rows, those of a seed together -> each place with the seed's first place and with its last place in the document before, where alike.
 
     Rows marked as known stand for earlier places that another task meets; they are met here but meet nothing themselves.
     The places of a seed with three or more, or marked with 2 as those of a hot one, are given too, with the seed's hash and
     their sketches, for ``further``.
     """
-    held = None  # the row before, the first row of its seed and the last row of that seed's document before, if any
-    n_before = 0  # places of the last row's seed so far
     names = [*PAIR, "pos", "from_pos", "h", "before", "after", "far"]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)  # h, oid, k1, pos, before, after, known, far
-        before = held if held is not None else np.full((3, 8), -1, "i8")
-        # The three rows held stand before the batch, so that all places can be told by row number.
-        rows = np.concatenate([before[[1, 2, 0]], rows])
-        again = np.zeros(len(rows), bool)
-        again[3:] = (rows[3:, :4] == rows[2:-1, :4]).all(axis=1)  # rows that repeat id and text
-        if held is None:
-            again[3] = False
-        rows = rows[~again]
-        if len(rows) == 3:
+    for table in _whole(batches):
+        deal = table.column(0).to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(deal[1:] != deal[:-1]) + 1])
+        sizes = np.diff(np.append(starts, len(deal)))
+        keep = np.flatnonzero(np.repeat(sizes > 1, sizes) | (table.column("known").to_numpy() == 2))
+        if not len(keep):
             continue
-        at = np.arange(len(rows))
-        new_h = np.ones(len(rows), bool)
-        new_h[3:] = rows[3:, 0] != rows[2:-1, 0]
-        new_doc = np.ones(len(rows), bool)
-        new_doc[3:] = new_h[3:] | (rows[3:, 1:3] != rows[2:-1, 1:3]).any(axis=1)
-        if held is None:
-            new_h[3] = new_doc[3] = True
+        deal, h, oid, k1, pos, before, after, known, far = (c.to_numpy().astype("i8")[keep] for c in table.columns)
+        order = np.lexsort((2 * pos + (known == 1), k1, oid, np.repeat(np.arange(len(sizes)), sizes)[keep]))
+        deal, h, oid, k1, pos, before, after, known, far = (c[order] for c in (deal, h, oid, k1, pos, before, after, known, far))
+        new = np.ones(len(h), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in (deal, oid, k1, pos)], axis=0)
+        if not new.all():  # rows that repeat id and text
+            deal, h, oid, k1, pos, before, after, known, far = (c[new] for c in (deal, h, oid, k1, pos, before, after, known, far))
+        at = np.arange(len(h))
+        new_h = np.ones(len(h), bool)
+        new_h[1:] = deal[1:] != deal[:-1]
+        new_doc = new_h.copy()
+        new_doc[1:] |= (oid[1:] != oid[:-1]) | (k1[1:] != k1[:-1])
         first = np.maximum.accumulate(np.where(new_h, at, 0))
-        nth = np.where(first == 2, at - 3 + n_before, at - first)  # from 0
-        n_before = int(nth[-1]) + 1
-        first[first == 2] = 0
         start = np.maximum.accumulate(np.where(new_doc, at, 0))
-        last = np.where(start == 2, 1, np.where(new_h[start], -1, start - 1))
-        held = rows[[-1, first[-1], last[-1] if last[-1] >= 0 else -1]]
-        if last[-1] < 0:
-            held[2] = held[1]  # no document before: the first place stands in
-        own = (at > 2) & ~new_h & (rows[:, 6] != 1)
+        last = np.where(start == first, -1, start - 1)
+        own = ~new_h & (known != 1)
         one = np.flatnonzero(own)
         # In the first document of a seed, and where both are one place, there is no second match.
-        two = np.flatnonzero(own & (last >= 0) & (rows[last, 1:4] != rows[first, 1:4]).any(axis=1))
+        two = np.flatnonzero(own & (last > first))
         a, b = np.concatenate([one, two]), np.concatenate([first[one], last[two]])
-        good = alike(rows[a, 4:6].view("u8"), rows[b, 4:6].view("u8"))
+        sketch = np.stack([before, after], axis=1).view("u8")
+        good = alike(sketch[a], sketch[b])
         a, b = a[good], b[good]
-        # From the third place on; with it the two before it, of which the second is the row before.
-        third = np.flatnonzero((at > 2) & (nth == 2) & (rows[:, 6] == 0))
-        rest = np.flatnonzero((at > 2) & (rows[:, 6] != 1) & ((nth >= 2) | (rows[:, 6] == 2)))
-        rest = np.concatenate([rest, third - 1, first[third]])
-        if len(a) + len(rest):
-            no = [np.zeros(n, "i8") for n in (len(a), len(rest))]
-            told = [[rows[a, 1], rows[a, 2], rows[b, 1], rows[b, 2], rows[a, 3], rows[b, 3], *[no[0]] * 4], [rows[rest, 1], rows[rest, 2], *[no[1]] * 2, rows[rest, 3], no[1], *[rows[rest, i] for i in (0, 4, 5, 7)]]]
-            free = np.arange(len(a) + len(rest)) < len(a)
-            masks = [None, None, ~free, ~free, None, ~free, free, free, free, free]
-            columns = [np.concatenate([x, y]) for x, y in zip(*told, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype("i4") if n in ("pos", "from_pos") else c, mask=m) for n, c, m in zip(names, columns, masks, strict=True)], names)
+        starts = np.flatnonzero(new_h)
+        sizes = np.diff(np.append(starts, len(h)))
+        rest = np.flatnonzero((known == 2) | (known == 0) & np.repeat(sizes > 2, sizes))
+        if len(a):
+            told = [oid[a], k1[a], oid[b], k1[b], pos[a].astype("i4"), pos[b].astype("i4")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in told] + [pa.nulls(len(a), pa.int64())] * 4, names)
+        if len(rest):
+            no = [pa.nulls(len(rest), pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(oid[rest]), pa.array(k1[rest]), *no, pa.array(pos[rest].astype("i4")), pa.nulls(len(rest), pa.int32()), *(pa.array(c[rest]) for c in (h, before, after, far))], names)
 
 
 def _places(texts: DataFrame) -> DataFrame:
@@ -430,20 +470,20 @@ def met(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     before it, the first of all and the last, so it finds the same matches as one task with all places would.
     """
     kinds = "oid long, k1 long, from_oid long, from_k1 long, pos int, from_pos int, h long, before long, after long, far long"
-    held = ("h", "oid", "k1", "pos", "before", "after", "known", "far")
+    held = ("deal", "h", "oid", "k1", "pos", "before", "after", "known", "far")
     found, many = _places(texts).withColumn("known", F.lit(0)), hot_seeds(texts, hot, sample)
     if many.isEmpty():
-        return found.repartition("h").sortWithinPartitions("h", "oid", "k1", "pos").select(*held).mapInArrow(_meet, kinds)
+        return found.repartition("h").sortWithinPartitions("h").select(F.col("h").alias("deal"), *held[1:]).mapInArrow(_meet, kinds)
     many = F.broadcast(many)
     part = F.size(F.filter("cuts", lambda c: c < F.col("oid")))
     place = F.struct("oid", "k1", "pos", "before", "after", "far")
     ends = settle(found.join(many, "h").groupBy("h", part.alias("part")).agg(F.min(place).alias("low"), F.max(place).alias("high")))
     earlier = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     needed = ends.select("h", "part", F.array_distinct(F.array(F.min("low").over(earlier), F.max("high").over(earlier))).alias("places")).select("h", "part", F.explode("places").alias("p"))
-    known = needed.where("p is not null").select("h", "part", "p.*", F.lit(1).alias("known"))
+    known = needed.where("p is not null").select("h", "part", "p.*", F.lit(1).alias("known"), F.xxhash64("h", "part").alias("deal"))
     dealt = found.join(many, "h", "left").withColumn("part", F.coalesce(F.when(F.col("cuts").isNotNull(), part), F.lit(0)))
-    dealt = dealt.withColumn("known", F.when(F.col("cuts").isNotNull(), 2).otherwise(0)).select("h", "part", *held[1:])
-    return dealt.unionByName(known).repartition("h", "part").sortWithinPartitions("h", "part", "oid", "k1", "pos").select(*held).mapInArrow(_meet, kinds)
+    dealt = dealt.withColumn("known", F.when(F.col("cuts").isNotNull(), 2).otherwise(0)).withColumn("deal", F.when(F.col("cuts").isNotNull(), F.xxhash64("h", "part")).otherwise(F.col("h")))
+    return dealt.select(*held).unionByName(known.select(*held)).repartition("deal").sortWithinPartitions("deal").mapInArrow(_meet, kinds)
 
 
 def matches(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
@@ -475,148 +515,204 @@ def may_hold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def may_reach(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float) -> np.ndarray:
-    """Whether words around two places, a byte each (``_windows``), leave room for a passage that holds both: an upper bound.
+    """Words around two places, a byte each (``_windows``) -> by how many words a passage that holds both may at most be above the bar; below 0, none can.
 
-    A word counts as met if it stands on the same side of the other place, up to ``SHIFT`` words off.
+    The longest common subsequence of the words on each side, for every number of the first place's words, bounds what any
+    alignment can match there. It is found for many pairs at once, the second place's words as bits (Hyyro).
     """
-    need = min_words - K
-    width, gains = x.shape[1] // 2, []
+    need, width = min_words - K, x.shape[1] // 2
+    gains = []
     for side in (slice(0, width), slice(width, None)):
-        own, other = x[:, side], np.pad(y[:, side], ((0, 0), (SHIFT, SHIFT)))
-        meets = np.zeros(own.shape, bool)
-        for i in range(2 * SHIFT + 1):
-            meets |= own == other[:, i : i + width]
-        gain = np.cumsum(meets & (own > 0), axis=1, dtype="f4") - np.float32(similarity) * np.arange(1, width + 1, dtype="f4")
-        gains.append(np.pad(gain, ((0, 0), (1, 0))))
-    # Words on one side, and the best of so many or more on the other that both make up min_words.
+        own, other = x[:, side], np.pad(y[:, side], ((0, 0), (0, 64 - width)))
+        gain, free = np.zeros((len(x), width + 1), "f4"), np.full(len(x), 2**64 - 1, "u8")
+        for i in range(width):
+            met = free & np.packbits(other == own[:, i : i + 1], axis=1, bitorder="little").view("<u8")[:, 0]
+            free = (free + met) | (free - met)
+            gain[:, i + 1] = np.bitwise_count(~free) - np.float32(similarity * (i + 1))
+        gain[:, 1:][own == 0] = -np.inf  # no such word
+        gains.append(gain)
+    # Words on one side, and the best of so many or more on the other that both make up min_words; those beyond a window count as met.
     best = np.maximum.accumulate(gains[1][:, ::-1], axis=1)[:, ::-1]
-    least = np.clip(need - np.arange(width + 1), 0, width)
-    return (gains[0] + best[:, least] + K * (1 - similarity) > -1e-3).any(axis=1)
+    least = need - np.arange(width + 1)
+    beyond = (1 - similarity) * np.maximum(0, least - width)
+    return (gains[0] + best[:, np.clip(least, 0, width)] + beyond + K * (1 - similarity)).max(axis=1) + 1e-3
+
+
+def holds(x: np.ndarray, y: np.ndarray, min_words: int, similarity: float) -> bool:
+    """Whether the windows of two places, aligned, are a passage already."""
+    width, words, hits = len(x) // 2, K, K
+    for side in (slice(0, width), slice(width, None)):
+        own, other = (w[side][: np.count_nonzero(w[side])] for w in (x, y))
+        end, met = extend(own, other)
+        words, hits = words + end, hits + met
+    return words >= min_words and hits >= similarity * words
 
 
 def _windows(width: int):
-    """oid, k1, positions, text -> for each position a byte for each of ``width`` words before it (nearest first) and after its seed, 0 where there is none."""
+    """oid, k1, rows of tiles, text -> those rows, each with a byte for every of ``width`` words before it (nearest first) and after its seed, 0 where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edge = np.zeros(width, "u1")
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for oid, k1, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                edge = np.zeros(width, "u1")
-                told = np.concatenate([edge, np.array([1 + zlib.crc32(w) % 255 for w in text.encode().split()], "u1"), edge])
-                for i in at:
-                    window = np.concatenate([told[i : i + width][::-1], told[i + width + K : i + 2 * width + K]])
-                    for column, value in zip(rows, (oid, k1, i, window.tobytes()), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["oid", "k1", "pos", "window"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                lists = part.column("rows")
+                ends, rows = np.cumsum(pc.list_value_length(lists).to_numpy()), lists.flatten()
+                pos, windows, low = rows.field(1).to_numpy(), [], 0
+                for text, high in zip(part.column("_text").cast(pa.large_binary()).to_pylist(), ends.tolist(), strict=True):
+                    told = np.concatenate([edge, np.array([1 + zlib.crc32(w) % 255 for w in text.split()], "u1"), edge])
+                    at = pos[low:high, None].astype("i8") + np.arange(width)
+                    windows.append(np.concatenate([told[at][:, ::-1], told[at + width + K]], axis=1))
+                    low = high
+                take = pa.array(np.repeat(np.arange(part.num_rows), np.diff(ends, prepend=0)))
+                held = pa.array([w.tobytes() for w in np.concatenate(windows)], pa.binary())
+                fields = [rows.field(i) for i in range(rows.type.num_fields)]
+                yield pa.RecordBatch.from_arrays([part.column("oid").take(take), part.column("k1").take(take), *fields, held], ["oid", "k1", *[rows.type.field(i).name for i in range(rows.type.num_fields)], "window"])
 
     return run
 
 
-def _tile_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole tiles, those that ask first -> row numbers of each that asks and of every earlier place of its tile that may share a passage with it."""
-    # h, row, column, asked, oid, k1, pos, before, after, far
-    starts = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]])
-    places, asked = rows[:, 4:7], rows[:, 3] == 1
-    rank = np.empty(len(rows), "i8")
-    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
-    # Equal places have equal ranks, so none is its own partner.
-    rank[order] = np.concatenate([[0], np.cumsum((places[order[1:]] != places[order[:-1]]).any(axis=1))])
-    sketch = np.ascontiguousarray(rows[:, 7:10]).view("u8")
-    first = np.add.reduceat((~asked).astype("i8"), starts[:-1]) + starts[:-1]  # the tile's first place asked
-    ask = np.flatnonzero(~asked)
-    tile = np.searchsorted(starts, ask, "right") - 1
-    low, count = first[tile], (starts[1:] - first)[tile]
+#: A place in a tile: what it does there (0 asks, 1 is asked, 2 both), its number in its seed if the tile holds the whole seed, and that
+#: of its nearest place in an earlier document, which it has met already, as it has the seed's first place.
+PLACE = ["tile", "role", "oid", "k1", "pos", "before", "after", "far", "nth", "tried"]
+PLACE_KINDS = "tile long, role int, oid long, k1 long, pos int, before long, after long, far long, nth int, tried int"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
+    """Rows, those of a tile together -> whole tiles in which someone asks, places in order and each once in its role; their columns."""
+    for table in _whole(batches):
+        tile, role = (table.column(n).to_numpy() for n in ("tile", "role"))
+        starts = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1])
+        sizes = np.diff(np.append(starts, len(tile)))
+        live = np.logical_or.reduceat(role != 1, starts) & np.logical_or.reduceat(role != 0, starts) & (sizes > 1)
+        table = table.filter(pa.array(np.repeat(live, sizes)))
+        if not len(table):
+            continue
+        columns = [table.column(n).to_numpy().astype("i8") for n in ("role", "pos", "k1", "oid", "tile")]
+        order = np.lexsort(columns)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+        table = table.take(pa.array(order[new]))
+        yield table, {n: table.column(n).to_numpy().astype("i8") for n in PLACE if n in table.column_names}
+
+
+def _numbered(c: dict[str, np.ndarray]) -> None:
+    """Tells the places of tiles that hold a whole seed their numbers, and which of them they have met."""
+    at = np.arange(len(c["tile"]))
+    new = np.ones(len(at), bool)
+    new[1:] = c["tile"][1:] != c["tile"][:-1]
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    new[1:] |= (c["oid"][1:] != c["oid"][:-1]) | (c["k1"][1:] != c["k1"][:-1])
+    start = np.maximum.accumulate(np.where(new, at, 0))
+    whole = np.logical_and.reduceat((c["role"] != 0), np.flatnonzero(first == at))[np.cumsum(first == at) - 1] & (c["nth"] == 0)
+    c["nth"], c["tried"] = np.where(whole, at - first, -1), np.where(whole & (start > first), start - 1 - first, -2)
+
+
+def _tile_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tiles -> row numbers of each place that asks and of every earlier place asked there that it hasn't met and may share a passage with; one that asks stays in one piece."""
+    new_tile = np.ones(len(c["tile"]), bool)
+    new_tile[1:] = c["tile"][1:] != c["tile"][:-1]
+    new = new_tile.copy()
+    new[1:] |= np.any([c[n][1:] != c[n][:-1] for n in ("oid", "k1", "pos")], axis=0)
+    at = np.arange(len(new))
+    place, tile = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new, new_tile))
+    sketch = np.stack([c[n] for n in ("before", "after", "far")], axis=1).view("u8")
+    ask, asked = np.flatnonzero(c["role"] != 1), np.flatnonzero(c["role"] != 0)
+    # Rows of one place are neighbours, so none is its own partner.
+    low = np.searchsorted(asked, tile[ask])
+    count = np.searchsorted(asked, place[ask]) - low
     # As many that ask as make up PAIRS pairs at a time.
     cut = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS), "right")
     for a, b in zip([0, *cut], [*cut, len(ask)], strict=True):
         if a >= b:
             continue
         p = np.repeat(ask[a:b], count[a:b])
-        q = np.arange(len(p)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + np.repeat(low[a:b], count[a:b])
-        for keep in (lambda p, q: rank[q] < rank[p], lambda p, q: alike(sketch[p, :2], sketch[q, :2]), lambda p, q: may_hold(sketch[p], sketch[q])):
+        q = asked[np.arange(len(p)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + np.repeat(low[a:b], count[a:b])]
+        for keep in (lambda p, q: (c["nth"][q] != 0) & (c["nth"][q] != c["tried"][p]), lambda p, q: alike(sketch[p, :2], sketch[q, :2]), lambda p, q: may_hold(sketch[p], sketch[q])):
             kept = keep(p, q)
             p, q = p[kept], q[kept]
         if len(p):
             yield p, q
 
 
-TILE = ["h", "row", "column"]
-PLACE = [*TILE, "asked", "oid", "k1", "pos", "before", "after", "far"]
-
-
-def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by tile -> tables that part no tile."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = np.stack([np.asarray(c).astype("i8") for c in batch.columns[:3]], axis=1)
-        change = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(3)):
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(change):
-            yield pa.Table.from_batches([*held, batch.slice(0, change[-1])])
-            held = []
-        held.append(batch.slice(change[-1]) if len(change) else batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _numbers(tiles: pa.Table) -> np.ndarray:
-    return np.stack([tiles.column(n).to_numpy().astype("i8") for n in PLACE], axis=1)
-
-
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of tiles -> those in any pair."""
-    for tiles in _whole_tiles(batches):
-        met = np.zeros(len(tiles), bool)
-        for p, q in _tile_pairs(_numbers(tiles)):
+    for table, c in _tiles(batches):
+        _numbered(c)
+        met = np.zeros(len(table), bool)
+        for p, q in _tile_pairs(c):
             met[p] = met[q] = True
-        yield from tiles.filter(pa.array(met)).to_batches()
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[n][met].astype("i4") if n in ("role", "pos", "nth", "tried") else c[n][met]) for n in PLACE], PLACE)
 
 
 def _further(min_words: int, similarity: float):
+    """Rows of tiles with windows -> each place that asks with the best partner whose window makes a passage with its own; without such a one, with every partner not ruled out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tiles in _whole_tiles(batches):
-            places = _numbers(tiles)
-            windows = np.frombuffer(b"".join(tiles.column("window").to_pylist()), "u1").reshape(len(tiles), -1)
-            for ps, qs in _tile_pairs(places):
-                for a in range(0, len(ps), 4096):
-                    p, q = ps[a : a + 4096], qs[a : a + 4096]
-                    good = may_reach(windows[p], windows[q], min_words, similarity)
-                    p, q = places[p[good]], places[q[good]]
-                    columns = [p[:, 4], p[:, 5], q[:, 4], q[:, 5], p[:, 6].astype("i4"), q[:, 6].astype("i4")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*PAIR, "pos", "from_pos"])
+        for table, c in _tiles(batches):
+            held = table.column("window").to_pylist()
+            windows = np.frombuffer(b"".join(held), "u1").reshape(len(held), -1)
+            out: list[tuple[int, int]] = []
+            for ps, qs in _tile_pairs(c):
+                score = np.concatenate([may_reach(windows[ps[a : a + 4096]], windows[qs[a : a + 4096]], min_words, similarity) for a in range(0, len(ps), 4096)])
+                order = np.lexsort((qs, -score, ps))
+                order = order[score[order] > 0]
+                ps, qs = ps[order], qs[order]
+                starts = np.flatnonzero(np.diff(ps, prepend=-1))
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ps)], strict=False):
+                    p = int(ps[a])
+                    found = next((q for q in qs[a:b].tolist() if holds(windows[p], windows[q], min_words, similarity)), None)
+                    out.extend((p, q) for q in (qs[a:b].tolist() if found is None else [found]))
+            if out:
+                p, q = np.array(out).T
+                columns = [c["oid"][p], c["k1"][p], c["oid"][q], c["k1"][q], c["pos"][p].astype("i4"), c["pos"][q].astype("i4")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [*PAIR, "pos", "from_pos"])
 
     return run
 
 
 def further(texts: DataFrame, seen: DataFrame, kept: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Matches of places that no passage of ``kept`` holds with all earlier places of their seed that may share a passage with them.
+    """Matches of places that no passage of ``kept`` holds with earlier places of their seed, any but those they have met, that share a passage with them.
 
-    A seed's places are dealt into tiles, so no task holds a seed; places inside passages are asked but don't ask.
-    Sketches tell which places have a partner at all; the words around those then tell which pairs leave room for a passage.
+    A seed's places are one tile, or are dealt into tiles where they are many, so no task holds a large seed; places inside
+    passages are asked but don't ask. Sketches tell which places have a partner at all; the words around those then tell
+    which pairs leave room for a passage. A passage has one source, so a place whose partner is sure needs no other.
     """
     spans = kept.groupBy("oid", "k1").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["first"] <= F.col("pos")) & (F.col("pos") + K <= s["end"]))
-    rest = seen.where("h is not null").select("h", "oid", "k1", "pos", "before", "after", "far").join(spans, ["oid", "k1"], "left")
-    rest = rest.withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans")
-    sizes = rest.groupBy("h").agg(F.count("*").alias("n"), F.count_if("open").alias("asks")).where("asks > 0")
-    tiles = settle(sizes.select("h", F.ceil(F.col("asks") / TILE_ASKS).cast("int").alias("down"), F.ceil(F.col("n") / TILE_PLACES).cast("int").alias("across")))
-    dealt = rest.join(tiles, "h").withColumn("deal", F.xxhash64("oid", "k1", "pos"))
-
-    def side(asked: int, own: str, other: str) -> DataFrame:
-        at = {own: F.pmod("deal", F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))}
-        rows = dealt if asked else dealt.where("open")
-        return rows.select("h", at["down"].alias("row"), at["across"].alias("column"), F.lit(asked).alias("asked"), "oid", "k1", "pos", "before", "after", "far")
-
-    rows = side(0, "down", "across").unionByName(side(1, "across", "down")).repartition(tasks(seen), *TILE).sortWithinPartitions(*TILE, "asked").select(*PLACE)
-    involved = settle(rows.mapInArrow(_involved, "h long, row int, column int, asked int, oid long, k1 long, pos int, before long, after long, far long"))
-    wanted = involved.groupBy("oid", "k1").agg(F.collect_set("pos").alias("at"))
-    windows = texts.join(wanted, ["oid", "k1"]).select("oid", "k1", "at", "_text").mapInArrow(_windows(max(NEAR, min_words - K + 3)), "oid long, k1 long, pos int, window binary").dropDuplicates(["oid", "k1", "pos"])
-    pairs = involved.join(windows, ["oid", "k1", "pos"]).repartition(tasks(seen), *TILE).sortWithinPartitions(*TILE, "asked").select(*PLACE, "window")
+    places = seen.where("h is not null").select("h", "oid", "k1", "pos", "before", "after", "far")
+
+    def opened(rows: DataFrame) -> DataFrame:
+        return rows.join(spans, ["oid", "k1"], "left").withColumn("open", ~F.coalesce(inside, F.lit(False))).drop("spans")
+
+    many = settle(places.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > TILE_PLACES))
+    if large := not many.isEmpty():
+        # At most one seed for every TILE_PLACES rows.
+        sizes = opened(places.join(F.broadcast(many), "h")).groupBy("h").agg(F.first("n").alias("n"), F.count_if("open").alias("asks"))
+        many = settle(sizes.select("h", F.ceil(F.col("asks") / TILE_ASKS).cast("int").alias("down"), F.ceil(F.col("n") / TILE_PLACES).cast("int").alias("across")))
+    rows = opened(places).withColumn("nth", F.lit(0))
+    if not large:
+        rows = rows.select(F.col("h").alias("tile"), F.when(F.col("open"), 2).otherwise(1).alias("role"), *PLACE[2:9])
+    else:
+        dealt = rows.join(F.broadcast(many), "h", "left").withColumn("deal", F.xxhash64("oid", "k1", "pos"))
+        no_tile = F.array().cast("array<struct<tile:bigint,role:int,nth:int>>")
+
+        def dealt_to(row, column, role: int):
+            return F.struct(F.xxhash64("h", row, column).alias("tile"), F.lit(role).alias("role"), F.lit(-1).alias("nth"))
+
+        # Numbers from 1, so that a seed without open places has no tile.
+        asked = F.when(F.col("down") > 0, F.transform(F.sequence(F.lit(1), F.col("down")), lambda i: dealt_to(i, (F.pmod("deal", F.col("across")) + 1).cast("int"), 1)))
+        asks = F.when(F.col("open") & (F.col("down") > 0), F.transform(F.sequence(F.lit(1), F.col("across")), lambda i: dealt_to((F.pmod("deal", F.col("down")) + 1).cast("int"), i, 0)))
+        own = F.array(F.struct(F.col("h").alias("tile"), F.when(F.col("open"), 2).otherwise(1).alias("role"), F.lit(0).alias("nth")))
+        placed = F.when(F.col("down").isNull(), own).otherwise(F.concat(F.coalesce(asked, no_tile), F.coalesce(asks, no_tile)))
+        rows = dealt.select(F.explode(placed).alias("t"), "oid", "k1", "pos", "before", "after", "far").select("t.tile", "t.role", *PLACE[2:8], "t.nth")
+    rows = rows.withColumn("tried", F.lit(0)).select(*PLACE)
+    involved = settle(rows.repartition(tasks(seen), "tile").sortWithinPartitions("tile").mapInArrow(_involved, PLACE_KINDS))
+    wanted = involved.groupBy("oid", "k1").agg(F.collect_list(F.struct("tile", "pos", "role", "before", "after", "far", "nth", "tried")).alias("rows"))
+    kinds = "oid long, k1 long, tile long, pos int, role int, before long, after long, far long, nth int, tried int, window binary"
+    windows = texts.join(wanted, ["oid", "k1"]).select("oid", "k1", "rows", "_text").mapInArrow(_windows(min(64, max(NEAR, min_words - K + SHIFT))), kinds)
+    pairs = windows.repartition(tasks(seen), "tile").sortWithinPartitions("tile").select(*PLACE, "window")
     return pairs.mapInArrow(_further(min_words, similarity), "oid long, k1 long, from_oid long, from_k1 long, pos int, from_pos int")
 
 
@@ -652,22 +748,34 @@ def aligned(texts: DataFrame, asks: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(_align_rows, "oid long, k1 long, from_oid long, first int, end int, hits int")
 
 
-def passages_of(found: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Alignments -> those stretches that they cover which are long and alike enough."""
-    found = found.where("end > first")
+def _in_regions(found: DataFrame) -> DataFrame:
+    """Alignments with their ``region``, those that meet being one, and the words that each adds to it, ``fresh``, with those matched, ``good``."""
     order = Window.partitionBy("oid", "k1").orderBy("first", "end", "from_oid", "hits")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # Alignments that meet make one passage.
     found = found.withColumn("new", F.coalesce(F.col("first") > before, F.lit(True)).cast("int")).withColumn("before", before)
     found = found.withColumn("region", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     before = F.when(F.col("new") == 0, F.col("before"))
-    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("first"), F.coalesce(before, F.lit(0))))
+    found = found.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("first"), F.coalesce(before, F.lit(0)))))
     length = F.col("end") - F.col("first")
-    parts = found.withColumn("fresh", fresh).withColumn("good", F.col("hits") * F.col("fresh") / length).withColumn("length", length)
+    return found.withColumn("good", F.col("hits") * F.col("fresh") / length).withColumn("length", length)
+
+
+def passages_of(found: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Alignments -> those stretches that they cover which are long and alike enough.
+
+    Where a stretch as a whole isn't, because a poor alignment covers words of a good one, those alignments count that are passages by themselves.
+    """
+    columns = ["oid", "k1", "from_oid", "first", "end", "hits"]
+    parts = _in_regions(found.where("end > first").select(*columns))
+    region = Window.partitionBy("oid", "k1", "region")
+    whole = (F.sum("fresh").over(region) >= min_words) & (F.sum("good").over(region) >= similarity * F.sum("fresh").over(region) - 1e-6)
+    alone = (F.col("length") >= min_words) & (F.col("hits") >= similarity * F.col("length"))
+    parts = _in_regions(parts.withColumn("whole", whole).where(F.col("whole") | alone).select(*columns))
     regions = parts.groupBy("oid", "k1", "region").agg(
         F.min("first").alias("first"), F.max("end").alias("end"), F.sum("fresh").alias("covered"), F.sum("good").alias("good"), F.max(F.struct("length", (-F.col("from_oid")).alias("less"))).alias("source")
     )
-    return regions.where((F.col("covered") >= min_words) & (F.col("good") >= similarity * F.col("covered")))
+    # Words matched are parts of whole numbers: a sum that is the bar itself must not fall below it by rounding.
+    return regions.where((F.col("covered") >= min_words) & (F.col("good") >= similarity * F.col("covered") - 1e-6))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

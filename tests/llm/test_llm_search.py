@@ -230,6 +230,40 @@ def test_passages_whose_seeds_stand_in_other_documents_before_and_between(spark)
     assert len({frozenset(Counter(map(tuple, s.where("h is not null").collect())).items()) for s in seen}) == 1
 
 
+def test_a_poor_alignment_hides_no_good_one(spark):
+    found = spark.createDataFrame([(9, 0, 1, 0, 523, 391), (9, 0, 2, 0, 541, 498), (9, 0, 1, 600, 700, 70), (9, 0, 2, 800, 830, 30), (9, 0, 3, 830, 860, 25)], "oid long, k1 long, from_oid long, first int, end int, hits int")
+    got = sorted((x["first"], x["end"], -x.source.less) for x in passages.passages_of(found, 50, 0.8).collect())
+    assert got == [(0, 541, 2), (800, 860, 2)]
+
+
+def test_places_without_a_passage_give_few_further_matches(spark):
+    r = random.Random(31)
+    short = words(r, 45)  # alike in hundreds of documents, but too short for a passage
+    base = words(r, 64)
+    rows = {i: [w if r.random() > 0.03 else f"x{i}" for w in short] for i in range(300)}
+    # The passage's seeds stand in the first document and in the nearest earlier one, but in short pieces only.
+    for n in (1000, 1001, 1500, 1501):
+        rows[n] = [w for a in range(0, 60, 6) for w in [*words(r, 25), *base[a : a + 10]]]
+    for n in range(1100, 1130):
+        rows[n] = words(r, 70) + base + words(r, 70)
+    rows[1600] = words(r, 80) + base + words(r, 80)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")
+    texts = passages._texts(df, "doc_id", "text")
+    none = spark.createDataFrame([], "oid long, k1 long, first int, end int")
+    more = passages.further(texts, passages.met(texts), none, 50, 0.8).collect()
+    assert not [m for m in more if m.oid < 1000]
+    assert {m.from_oid for m in more if m.oid == 1600} <= set(range(1100, 1130)) and 1 <= len([m for m in more if m.oid == 1600]) <= 64
+    assert len({(m.oid, m.pos) for m in more}) == len(more)
+    small = passages.TILE_ASKS, passages.TILE_PLACES
+    try:  # seeds dealt over several tiles find a partner for the same places, and may find one in each
+        passages.TILE_ASKS, passages.TILE_PLACES = 8, 16
+        tiled = passages.further(texts, passages.met(texts), none, 50, 0.8).collect()
+    finally:
+        passages.TILE_ASKS, passages.TILE_PLACES = small
+    assert {(m.oid, m.pos) for m in tiled} >= {(m.oid, m.pos) for m in more} and not [m for m in tiled if m.oid < 1000]
+    assert {x.id: (x.first, x.end) for x in passages.repeated_passages(df).collect()}[1600] == (80, 144)
+
+
 def test_every_long_exact_repeat_is_covered(spark, sf):
     texts = {x.doc_id: (x.text or "").split() for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = {}
@@ -461,6 +495,15 @@ def test_pipeline_matches_plain_stages(spark, sf):
     assert all(abs(taken[s] - aims[s]) <= largest[s] for s in total)
 
 
+def test_seeds_of_many_texts_are_those_of_each():
+    r = random.Random(41)
+    for _ in range(40):
+        texts = [[str(r.randrange(r.choice([1, 2, 50, 3000]))).encode() for _ in range(r.choice([0, 1, 4, 5, 11, 12, 13, 20, 40, 100, 300]))] for _ in range(r.randrange(1, 8))]
+        text, *got = passages.seeds_of(texts)
+        for i, words_ in enumerate(texts):
+            assert [g[text == i].tolist() for g in got] == [w.tolist() for w in passages.seeds(words_)]
+
+
 def test_hot_seeds_dealt_by_ranges_give_the_same_matches(spark):
     r = random.Random(11)
     phrases = [words(r, 40) for _ in range(3)]
