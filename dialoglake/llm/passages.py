@@ -8,7 +8,7 @@ position) and its place in the nearest earlier document, never all others, so a
 matches. A match counts if the ``NEAR`` words before it, or those after it, are alike in both places: each seed carries two
 64-bit sketches of these words, and in a passage of ``min_words`` or more every seed has a side with that many words of the
 passage. So short phrases that happen to recur cost nothing beyond this step. Places that no passage found so far holds then
-meet every other earlier place of their seed, in tiles of bounded size (``further``), so no partner is left out. Inside a pair of documents a
+meet every other earlier place of their seed, in tiles of bounded size (``further``), and keep one sure partner, or all that may be one. Inside a pair of documents a
 Fenwick tree over the earlier document's positions chains matches that go forward in both, each paying for the gap to the
 one before; chains far apart or off their diagonal come apart. Neighbouring chains of a document, whatever sources they
 lead to, form a region, because parts of one passage may have their first places in different documents. Regions, those of
@@ -39,13 +39,13 @@ from dialoglake.llm.common import settle, tasks, text_key
 K, W, BLOCK = 5, 8, 128
 #: Words of a sketch, and the share of its bits that both places must have. Sketches need ``NEAR`` words on that side.
 NEAR, ALIKE = 16, 0.55
-#: Places that ask, and places asked, in one tile of a seed's places; pairs that a task looks at together, and how many words beyond
-#: a passage's least a window holds.
-TILE_ASKS, TILE_PLACES, PAIRS, SHIFT = 4096, 8192, 2**17, 10
+#: Places that ask, and places asked, in one tile of a seed's places; pairs that a task looks at together, pairs from which a tile
+#: is large, how many words beyond a passage's least a window holds, and partners that are aligned in search of a sure one.
+TILE_ASKS, TILE_PLACES, PAIRS, LARGE, SHIFT, TRIES = 4096, 8192, 2**17, 2**12, 10, 4
 #: A seed of more than ``HOT`` places, and more than half of a task's mean, is dealt by ranges of documents, at most ``RANGES``;
 #: one document in ``SAMPLE`` tells which and where. The draw decides about tasks only, never about matches.
 HOT, RANGES, SAMPLE = 20_000, 64, 64
-#: Of a run of equal seeds (one word over and over) one in ``RUN`` stays, and the second.
+#: Of a run of equal seeds (one to four words over and over) one for every ``RUN`` words stays, and the second.
 RUN = 20
 #: Words whose hashes one Python process remembers.
 REMEMBERED = 600_000
@@ -119,11 +119,13 @@ def seeds_of(texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
         if not chosen[own].any():
             more[own] = h[own] == h[own].min()
     chosen |= more & place
-    # Any K + RUN - 1 words inside a run of equal seeds still hold one of them; its second one tells that the run repeats itself.
-    fresh = pos[:n] == 0
-    fresh[1:] |= h[1:] != h[:-1]
-    since = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    at = np.flatnonzero(chosen & ((since % RUN == 0) | (since == 1)))
+    # Any K + RUN + 2 words inside a run of equal seeds still hold one of them; its second one tells that the run repeats itself.
+    at = np.flatnonzero(chosen)
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (h[at[1:]] != h[at[:-1]]) | (np.diff(at) >= K) | (text[at[1:]] != text[at[:-1]])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    step = (at - at[first]) // RUN
+    at = at[fresh | np.roll(fresh, 1) | (step != np.roll(step, 1))]
     sketch = _slide(np.concatenate([np.uint64(1) << (one >> np.uint64(58)), np.zeros(NEAR, "u8")]), NEAR, np.bitwise_or)
 
     def words(first: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -471,9 +473,9 @@ def met(texts: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """
     kinds = "oid long, k1 long, from_oid long, from_k1 long, pos int, from_pos int, h long, before long, after long, far long"
     held = ("deal", "h", "oid", "k1", "pos", "before", "after", "known", "far")
-    found, many = _places(texts).withColumn("known", F.lit(0)), hot_seeds(texts, hot, sample)
+    found, many = _places(texts), hot_seeds(texts, hot, sample)
     if many.isEmpty():
-        return found.repartition("h").sortWithinPartitions("h").select(F.col("h").alias("deal"), *held[1:]).mapInArrow(_meet, kinds)
+        return found.repartition("h").sortWithinPartitions("h").withColumn("deal", F.col("h")).withColumn("known", F.lit(0)).select(*held).mapInArrow(_meet, kinds)
     many = F.broadcast(many)
     part = F.size(F.filter("cuts", lambda c: c < F.col("oid")))
     place = F.struct("oid", "k1", "pos", "before", "after", "far")
@@ -621,18 +623,44 @@ def _tile_pairs(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
     # Rows of one place are neighbours, so none is its own partner.
     low = np.searchsorted(asked, tile[ask])
     count = np.searchsorted(asked, place[ask]) - low
+    apart = lambda p, q: (c["nth"][q] != 0) & (c["nth"][q] != c["tried"][p])
+    near = lambda p, q: alike(sketch[p, :2], sketch[q, :2])
+    both = lambda p, q: may_hold(sketch[p], sketch[q])
+
+    def kept(p: np.ndarray, q: np.ndarray, *rules) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rule in rules:
+            good = rule(p, q)
+            p, q = p[good], q[good]
+        if len(p):
+            yield p, q
+
+    # Of large tiles all that are asked are held against some that ask at once, without rows for their pairs.
+    own = np.bitwise_count(sketch[ask, :2])
+    bars = np.where(own > 0, np.ceil(ALIKE * own), 255).astype("u1")
+    starts = np.flatnonzero(np.diff(low, prepend=-1)) if len(low) else np.zeros(0, "i8")
+    ends = np.append(starts[1:], len(ask)).astype("i8")
+    most = np.maximum.reduceat(count, starts) if len(starts) else count
+    large = (ends - starts) * most >= LARGE
+    for x, y, n in zip(starts[large].tolist(), ends[large].tolist(), most[large].tolist(), strict=True):
+        there = asked[low[x] : low[x] + n]
+        at_once = max(1, 8 * PAIRS // max(1, n))
+        for a in range(x, y, at_once):
+            b = min(y, a + at_once)
+            good = np.zeros((b - a, n), bool)
+            for i in (0, 1):
+                good |= np.bitwise_count(sketch[ask[a:b], i][:, None] & sketch[there, i][None, :]) >= bars[a:b, i][:, None]
+            good &= np.arange(n) < count[a:b, None]
+            p, q = np.nonzero(good)
+            yield from kept(ask[a + p], there[q], apart, both)
+    small = np.repeat(~large, ends - starts)
+    ask, low, count = ask[small], low[small], count[small]
     # As many that ask as make up PAIRS pairs at a time.
     cut = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS), "right")
     for a, b in zip([0, *cut], [*cut, len(ask)], strict=True):
-        if a >= b:
-            continue
-        p = np.repeat(ask[a:b], count[a:b])
-        q = asked[np.arange(len(p)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + np.repeat(low[a:b], count[a:b])]
-        for keep in (lambda p, q: (c["nth"][q] != 0) & (c["nth"][q] != c["tried"][p]), lambda p, q: alike(sketch[p, :2], sketch[q, :2]), lambda p, q: may_hold(sketch[p], sketch[q])):
-            kept = keep(p, q)
-            p, q = p[kept], q[kept]
-        if len(p):
-            yield p, q
+        if a < b:
+            p = np.repeat(ask[a:b], count[a:b])
+            q = asked[np.arange(len(p)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + np.repeat(low[a:b], count[a:b])]
+            yield from kept(p, q, apart, near, both)
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -647,7 +675,7 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _further(min_words: int, similarity: float):
-    """Rows of tiles with windows -> each place that asks with the best partner whose window makes a passage with its own; without such a one, with every partner not ruled out."""
+    """Rows of tiles with windows -> each place that asks with a partner whose window makes a passage with its own; if none of the best ``TRIES`` does, with every partner not ruled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, c in _tiles(batches):
@@ -662,7 +690,7 @@ def _further(min_words: int, similarity: float):
                 starts = np.flatnonzero(np.diff(ps, prepend=-1))
                 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ps)], strict=False):
                     p = int(ps[a])
-                    found = next((q for q in qs[a:b].tolist() if holds(windows[p], windows[q], min_words, similarity)), None)
+                    found = next((q for q in qs[a : min(b, a + TRIES)].tolist() if holds(windows[p], windows[q], min_words, similarity)), None)
                     out.extend((p, q) for q in (qs[a:b].tolist() if found is None else [found]))
             if out:
                 p, q = np.array(out).T

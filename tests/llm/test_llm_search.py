@@ -504,6 +504,17 @@ def test_seeds_of_many_texts_are_those_of_each():
             assert [g[text == i].tolist() for g in got] == [w.tolist() for w in passages.seeds(words_)]
 
 
+def test_words_over_and_over_keep_few_seeds():
+    r = random.Random(43)
+    for period in (1, 2, 3, 4):
+        for _ in range(20):
+            edge = [[f"e{r.randrange(10**6)}".encode() for _ in range(30)] for _ in (0, 1)]
+            text = edge[0] + [f"p{k % period}x".encode() for k in range(400)] + edge[1]
+            h, at, *_ = passages.seeds(text)
+            at = at[(at >= 30) & (at <= 425)]
+            assert len(at) <= 400 // passages.RUN + 6 and np.diff(at).max() <= passages.RUN + 3
+
+
 def test_hot_seeds_dealt_by_ranges_give_the_same_matches(spark):
     r = random.Random(11)
     phrases = [words(r, 40) for _ in range(3)]
