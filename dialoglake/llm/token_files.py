@@ -69,13 +69,13 @@ def _ids(tokenizer: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and at a task's end one without ids whose ``counts`` tell how often the task has met each id."""
-        encode = word_tokens(tokenizer).encode
+        encode = word_tokens(tokenizer).encode_all
         total, kind = np.zeros(0, "i8"), None
         for batch in batches:
             ident, texts = batch.columns
             kind = ident.type
             for a in range(0, len(texts), 64):
-                held = [encode(t or "") + end for t in texts[a : a + 64].to_pylist()]
+                held = [ids + end for ids in encode([t or "" for t in texts[a : a + 64].to_pylist()])]
                 found = np.bincount(np.frombuffer(b"".join(held), "<u4"))
                 if len(found) > len(total):
                     found, total = total, found

@@ -65,29 +65,39 @@ class WordTokens:
         self.engine = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {"": b""}
 
-    def _look_up(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if len(w) < 1000 and PLAIN.fullmatch(w) and "<|" not in w]
-        found = {w: np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in {*words}.difference(plain)}
-        if plain:
+    def _look_up(self, words: set[str]) -> dict[str, bytes]:
+        letters = [w for w in words if w.isascii() and w.isalpha() and len(w) < 1000]  # one piece each
+        others = words.difference(letters)
+        plain = [w for w in others if len(w) < 1000 and PLAIN.fullmatch(w) and "<|" not in w]
+        found = {w: np.array(self.whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in others.difference(plain)}
+        if letters or plain:
             parts = [[low] if (low := w.lower()).isalpha() else self.pieces.findall(low) for w in plain]
-            rank = np.array(self.engine.encode_ordinary("".join(p + END for ps in parts for p in ps)), "i8")
+            pieces = [w.lower() for w in letters]
+            pieces.extend(p for ps in parts for p in ps)
+            rank = np.array(self.engine.encode_ordinary(END.join(pieces) + END), "i8")
             ends = np.flatnonzero(self.closes[rank]) + 1
-            stops = np.concatenate([[0], ends[np.cumsum([len(p) for p in parts]) - 1]]) * 4
-            flat = self.ids[rank].tobytes()
-            found |= {w: flat[a:b] for w, a, b in zip(plain, stops[:-1].tolist(), stops[1:].tolist(), strict=True)}
-        if len(self.known) < REMEMBERED:
-            self.known |= found
+            last = np.cumsum(np.array([1] * len(letters) + [len(p) for p in parts]))
+            stops = np.concatenate([[0], ends[last - 1]]) * 4
+            flat, stops = self.ids[rank].tobytes(), stops.tolist()
+            found.update((w, flat[a:b]) for w, a, b in zip(letters + plain, stops, stops[1:], strict=False))
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` each of a few texts: words that aren't remembered are looked up together, and forgotten again where there are too many."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
         known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            found = self._look_up(list({w for w, g in zip(words, got, strict=True) if g is None}))
-            got = [found[w] if g is None else g for w, g in zip(words, got, strict=True)]
-        return b"".join(got)
+        new = set().union(*split).difference(known)
+        if new:
+            known.update(self._look_up(new))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if len(known) > REMEMBERED:
+            for word in new:
+                del known[word]
+        return out
 
 
 def find_tokenizer(name: str) -> str:

@@ -443,3 +443,19 @@ def test_targets_of_many_sources(spark):
     got = mixing.targets(spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, docs long").repartition(6))
     want = plain_targets(sizes)
     assert all(abs(x.target - want[x.source]) < 1e-6 * max(1, want[x.source]) for x in got.collect()) and got.count() == len(sizes)
+
+
+def test_words_of_several_texts_are_looked_up_together(monkeypatch):
+    from dialoglake.llm import tokens
+
+    mine = tokens.WordTokens(tokens.find_tokenizer(q.tokenizer_path()))
+    texts = ["", "one Two  three\nfour", "\n \n", "four one caf\u00e9 <|x|> a<|b", "x" * 1200 + " one", "\u65e5\u672c 3.14 don't a_b ten", "\tfive\x0bsix\x00 \u01c5"]
+    want = [np.array(mine.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    asked, look_up = [], mine._look_up
+    monkeypatch.setattr(mine, "_look_up", lambda words: asked.append(set(words)) or look_up(words))
+    for most in (600_000, 600_000, 2):
+        monkeypatch.setattr(tokens, "REMEMBERED", most)
+        assert mine.encode_all(texts) == want == [mine.encode(t) for t in texts]
+    assert len(asked) == 1 and {"one", "four"} <= asked[0]
+    mine.known = {"": b""}
+    assert mine.encode_all(texts) == want and len(mine.known) == 1  # too many to be remembered
