@@ -28,11 +28,11 @@ def straight(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
-def nearest_voices(clusters: DataFrame, registry: DataFrame, k: int = 1, tile_bytes: int = TILE_BYTES) -> DataFrame:
+def nearest_voices(clusters: DataFrame, registry: DataFrame, k: int = 1, tile_bytes: int = TILE_BYTES, places: int = 12) -> DataFrame:
     """clusters (media_id, cluster_id, embedding) against registry (speaker, reg_order, embedding): the k nearest names.
 
     -> media_id, cluster_id, candidates: array of (distance, reg_order, speaker), nearest first, a name once with the nearest
-    of its voices. Distances are rounded to 12 places; of equals the voice registered first comes first. Fewer than k names
+    of its voices. Distances are rounded to ``places`` places; of equals the voice registered first comes first. Fewer than k names
     give them all. A null vector or one of length zero takes no part on either side; a cluster without one has no row.
     """
     voices = registry.select("speaker", F.col("reg_order").cast("long").alias("reg_order"), l2_normalize(F.col("embedding")).alias("v")).where("v is not null")
@@ -41,15 +41,15 @@ def nearest_voices(clusters: DataFrame, registry: DataFrame, k: int = 1, tile_by
     block = max(1, tile_bytes // (8 * dim))
     if n <= block:
         one = voices.withColumn("block", F.lit(0)).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("reg_order", "speaker", "v"))).alias("voices"))
-        return merged(measured(asked.withColumn("block", F.lit(0)), one, k), k)
+        return merged(measured(asked.withColumn("block", F.lit(0)), one, k, places), k)
     pivots = pivots_of(voices, n, block)
     packed = kept(packed_voices(voices, pivots, block))
     bounds = kept(packed_bounds(packed, pivots))
     seen = seen_from(asked, pivots, ["media_id", "cluster_id"])
     likely = likeliest(pairs_of(seen.withColumn("bar", F.lit(None).cast("double")).withColumn("done", F.lit(-1)), bounds))
-    first = kept(merged(measured(likely.select("media_id", "cluster_id", "block").join(asked, ["media_id", "cluster_id"]), packed, k), k, F.min("block").alias("done")))
-    more = blocks_to_search(seen, first, bounds, k).join(asked, ["media_id", "cluster_id"])
-    return merged(measured(more, packed, k).unionByName(first.withColumnRenamed("done", "block")), k)
+    first = kept(merged(measured(likely.select("media_id", "cluster_id", "block").join(asked, ["media_id", "cluster_id"]), packed, k, places), k, F.min("block").alias("done")))
+    more = blocks_to_search(seen, first, bounds, k, places).join(asked, ["media_id", "cluster_id"])
+    return merged(measured(more, packed, k, places).unionByName(first.withColumnRenamed("done", "block")), k)
 
 
 def pivots_of(voices: DataFrame, n: int, block: int) -> np.ndarray:
@@ -154,15 +154,15 @@ def likeliest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("media_id", "cluster_id").agg(F.min(F.struct("off", "block")).alias("m")).select("media_id", "cluster_id", "m.block")
 
 
-def blocks_to_search(seen: DataFrame, first: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
+def blocks_to_search(seen: DataFrame, first: DataFrame, bounds: DataFrame, k: int, places: int = 12) -> DataFrame:
     """media_id, cluster_id, block: what can't be skipped once each cluster has its best names of one block (``first``)."""
-    # Short of k names nothing is ruled out: no two unit vectors are farther apart than 2.
+    # Short of k names nothing is ruled out: no two unit vectors are farther apart than 2. What rounds to the same distance isn't either.
     last = F.try_element_at("candidates", F.lit(k))["distance"]
-    bar = first.select("media_id", "cluster_id", "done", F.when(last.isNull(), 2.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 * last))).alias("bar"))
+    bar = first.select("media_id", "cluster_id", "done", F.when(last.isNull(), 2.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 * (last + 10.0**-places)))).alias("bar"))
     return pairs_of(seen.join(bar, ["media_id", "cluster_id"]), bounds).select("media_id", "cluster_id", "block")
 
 
-def measured(asked: DataFrame, packed: DataFrame, k: int) -> DataFrame:
+def measured(asked: DataFrame, packed: DataFrame, k: int, places: int = 12) -> DataFrame:
     """Clusters (media_id, cluster_id, v, block) with the k nearest names of that block: tiles of at most about ``CLUSTERS`` clusters and one block."""
     kind = asked.schema["media_id"].dataType.simpleString()
     counts = asked.groupBy("block").agg(F.ceil(F.count("*") / CLUSTERS).alias("_tiles"))
@@ -172,7 +172,7 @@ def measured(asked: DataFrame, packed: DataFrame, k: int) -> DataFrame:
     def run(frames):
         for frame in frames:
             for block, them, voices in zip(frame["block"], frame["clusters"], frame["voices"], strict=True):
-                far = np.round(1 - np.stack([x["v"] for x in them]) @ np.stack([x["v"] for x in voices]).T, 12) + 0.0
+                far = np.round(1 - np.stack([x["v"] for x in them]) @ np.stack([x["v"] for x in voices]).T, places) + 0.0
                 out = []
                 for row, order in zip(far, far.argsort(1, kind="stable"), strict=True):  # voices lie in order of registration
                     best: dict = {}

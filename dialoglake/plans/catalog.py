@@ -265,7 +265,7 @@ def j4_nearest_names(spark: SparkSession, sf: str) -> DataFrame:
     e = src.table(spark, sf, "embeddings")
     registry = e.where("vec_id % 2 = 0").select(F.concat(F.lit("s"), F.floor(F.col("vec_id") / 6)).alias("speaker"), F.col("vec_id").alias("reg_order"), "embedding")
     clusters = e.where("vec_id % 2 = 1").select((F.col("vec_id") % 20).alias("media_id"), F.concat(F.lit("c"), "vec_id").alias("cluster_id"), "embedding")
-    near = voices.nearest_voices(clusters, registry, 3, tile_bytes=1 << 15)
+    near = voices.nearest_voices(clusters, registry, 3, tile_bytes=1 << 15, places=9)
     each = near.select("media_id", "cluster_id", F.posexplode("candidates").alias("rank", "c"))
     return each.select("media_id", "cluster_id", (F.col("rank") + 1).cast("long").alias("rank"), "c.speaker", F.round("c.distance", 6).alias("distance"))
 

@@ -654,3 +654,13 @@ def test_tables_are_the_same_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(scans, "PLACES", 2)
     monkeypatch.setattr(scans, "STRETCH", 5.0)
     assert results() == whole and all(whole)
+
+
+def test_distances_equal_when_rounded_go_to_the_voice_registered_first(spark):
+    from dialoglake.operators import voices as near
+
+    angle = [2e-5, 1e-5]  # distances of 2e-10 and 5e-11: equal at 9 places, not at 12
+    registry = spark.createDataFrame([("late", 2, [float(np.cos(angle[1])), float(np.sin(angle[1]))]), ("early", 1, [float(np.cos(angle[0])), float(np.sin(angle[0]))]), ("far", 3, [0.0, 1.0])], "speaker string, reg_order long, embedding array<double>")
+    clusters = spark.createDataFrame([(1, "c", [1.0, 0.0])], "media_id long, cluster_id string, embedding array<double>")
+    got = {p: [c.speaker for c in near.nearest_voices(clusters, registry, 1, places=p).first().candidates] for p in (9, 12)}
+    assert got == {9: ["early"], 12: ["late"]}
