@@ -63,6 +63,24 @@ def test_far_blocks_of_voices_are_skipped(spark):
     assert pairs + 1000 < 0.4 * 1000 * blocks
 
 
+def test_blocks_to_measure_travel_as_bits_of_a_shard(spark):
+    r = np.random.default_rng(6)
+    middles = r.normal(size=(30, 8))
+    for spread, share in ((10.0, 1.0), (0.02, 0.4)):  # voices without any order, where nothing can be skipped, and of 30 speakers
+        rows = [(n, [float(x) for x in (middles[n % 30] + r.normal(scale=spread, size=8)).astype("f4")]) for n in range(900)]
+        registry, clusters = [(f"s{n // 3}", n, v) for n, v in rows if n % 3], [("a", f"c{n}", v) for n, v in rows if n % 3 == 0]
+        reg = spark.createDataFrame(registry, "speaker string, reg_order long, embedding array<float>")
+        clu = spark.createDataFrame(clusters, "media_id string, cluster_id string, embedding array<float>")
+        seen, plain = [], voices.measured
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(voices, "measured", lambda asked, packed, *a: seen.append((asked.collect(), packed.selectExpr("sum(size(sizes))").first()[0] if "sizes" in packed.columns else packed.count())) or plain(asked, packed, *a))
+            got = {x.cluster_id: [(round(c.distance, 9) + 0.0, c.reg_order, c.speaker) for c in x.candidates] for x in voices.nearest_voices(clu, reg, 3, 8 * 8 * 20).collect()}
+        assert got == {c: plain_nearest(registry, v, 3) for _, c, v in clusters}
+        (first, _), (rest, blocks) = seen
+        assert len(first) == 300 and len(rest) <= 300 and blocks >= 30  # one row for each cluster and shard, not for each block
+        assert sum(int.from_bytes(x.wanted).bit_count() for x in rest) + 300 <= share * 300 * blocks
+
+
 def test_candidates_that_were_all_overwritten_are_measured_again(spark):
     reg = spark.createDataFrame([("x", 0, [1.0, 0.0]), ("y", 1, [0.8, 0.6]), ("z", 2, [0.0, 1.0])], "speaker string, reg_order long, embedding array<float>")
     clu = spark.createDataFrame([("m", "c0", [0.9, -0.1]), ("m", "c1", [-1.0, 0.0])], "media_id string, cluster_id string, embedding array<float>")
