@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoglake.functions.text import is_unknown, valid_name
 from dialoglake.functions.vectors import l2_normalize
+from dialoglake.operators.overlaps import REACH, TURN, fits, overlaps
 from dialoglake.operators.voices import nearest_voices
 
 #: Seconds of the shortest time bin of the overlap join, and the registry rows that one matrix product takes.
@@ -23,10 +24,33 @@ BIN, REGISTRY_BLOCK = 60.0, 4096
 def dominant_cluster(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """segments (media_id, seq, start, end) with cluster_id: the cluster that overlaps longest; of equals the one whose first overlapping turn comes first; none gives null.
 
+    Overlaps are added up by sweeping over stretches of time (``overlaps``), so that turns that lie on each other cost no pairs. Only rows
+    of more than an hour, segments of more than ten minutes and times finer than microseconds are joined instead (``met_by_levels``).
+    Rows without a start or end meet nothing.
+    """
+    # What has no length or no time meets nothing.
+    timed = F.col("end") > F.col("start")
+    s = segments.where(timed).select("media_id", "seq", "start", "end", fits(REACH).alias("_fits"))
+    t = turns.where(timed).select("media_id", "track_seq", "cluster_id", "start", "end", fits(TURN).alias("_fits"))
+    rows, other = s.groupBy("media_id", "seq").agg(F.count("*").alias("n"), F.count_if(~F.col("_fits")).alias("o")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
+    far = t.where("not _fits").drop("_fits")
+    parted = other > 0 or not far.isEmpty()
+    s, odd, near = s.where("_fits").drop("_fits"), s.where("not _fits").drop("_fits"), t.where("_fits").drop("_fits")
+    each = overlaps(s, near, best=rows < 2 and not parted)
+    if parted:
+        each = each.unionByName(met_by_levels(odd, t.drop("_fits"))).unionByName(met_by_levels(s, far))
+    if rows > 1 or parted:
+        each = each.groupBy("media_id", "seq", "cluster_id").agg(F.sum("us").alias("us"), F.min("first").alias("first"))
+        each = each.groupBy("media_id", "seq").agg(F.max(F.struct("us", -F.col("first"), "cluster_id")).alias("best")).select("media_id", "seq", "best.cluster_id", "best.us")
+    return segments.join(each.select("media_id", "seq", "cluster_id", (F.col("us") / 1e6).alias("overlap")), ["media_id", "seq"], "left")
+
+
+def met_by_levels(segments: DataFrame, turns: DataFrame) -> DataFrame:
+    """media_id, seq, cluster_id, us, first: microseconds that each cluster overlaps each segment, and its first overlapping turn, by joining them.
+
     Of two that overlap one begins inside the other. So each row stands once as a span, in the bin where it begins, at the level whose bins
     are at least as long as it is, and its beginning is looked up in two bins of every level that the other side has. Spans of ten hours
     and of ten seconds take one row each, and a long recording spreads over many tasks. Levels grow fourfold, so they are few; one row holds them all.
-    Rows without a start or end meet nothing.
     """
 
     def level() -> Column:
@@ -44,17 +68,11 @@ def dominant_cluster(segments: DataFrame, turns: DataFrame) -> DataFrame:
         places = F.explode(F.concat(F.array(at(False, level())), asks))
         return df.join(F.broadcast(levels)).withColumn("_at", places).select("media_id", "_at.*", *[c for c in df.columns if c != "media_id"])
 
-    # What has no length or no time meets nothing.
-    timed = F.col("end") > F.col("start")
-    s = segments.where(timed).select("media_id", "seq", "start", "end")
-    t = turns.where(timed).select("media_id", "track_seq", "cluster_id", "start", "end")
     # ``inside``: the segment begins inside the turn, or with it; otherwise the turn begins inside the segment.
-    left, right = placed(s, t, True), placed(t, s, False).withColumnsRenamed({"start": "t_start", "end": "t_end"})
+    left, right = placed(segments, turns, True), placed(turns, segments, False).withColumnsRenamed({"start": "t_start", "end": "t_end"})
     low, high = F.greatest("start", "t_start"), F.least("end", "t_end")
     met = left.join(right, ["media_id", "inside", "level", "bin"]).where((F.round(high - low, 6) > 0) & (F.col("inside") == (F.col("t_start") <= F.col("start"))))
-    each = met.groupBy("media_id", "seq", "cluster_id").agg(F.sum(F.round((high - low) * 1_000_000).cast("long")).alias("us"), F.min("track_seq").alias("first"))
-    best = each.groupBy("media_id", "seq").agg(F.max(F.struct("us", -F.col("first"), "cluster_id")).alias("best"))
-    return segments.join(best.select("media_id", "seq", F.col("best.cluster_id").alias("cluster_id"), (F.col("best.us") / 1e6).alias("overlap")), ["media_id", "seq"], "left")
+    return met.groupBy("media_id", "seq", "cluster_id").agg(F.sum(F.round((high - low) * 1_000_000).cast("long")).alias("us"), F.min("track_seq").cast("long").alias("first"))
 
 
 def representative_segment(turns: DataFrame) -> DataFrame:

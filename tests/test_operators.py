@@ -106,6 +106,65 @@ def test_dominant_cluster_matches_plain(spark):
         assert got[(m, n)] == want
 
 
+def plain_dominant(segs, turns):
+    """(media_id, seq) -> cluster and microseconds, by comparing every segment with every turn; rows of one number count together."""
+    each = {}
+    for m, n, s, e, _ in segs:
+        for tm, k, c, a, b in turns:
+            if tm == m and (us := round((min(e, b) - max(s, a)) * 1e6)) > 0:
+                of = each.setdefault((m, n), {}).setdefault(c, [0, k])
+                of[:] = of[0] + us, min(of[1], k)
+    return {key: max((us, -first, c) for c, (us, first) in of.items())[::-2] for key, of in each.items()}
+
+
+def dense_spans(seed):
+    """Turns that lie on each other, most of them in two clusters at once, over several stretches of time."""
+    r = random.Random(seed)
+    span = lambda n: (a := r.randrange(0, 6_000_000) / 1000, a + r.randrange(0, n) / 1000)
+    turns = [("ab"[i % 2], i * 7919 % 600, f"c{i % 4}", *span(500_000)) for i in range(300)]
+    turns += [(m, k + 600, f"c{k % 5}", a, b) for m, k, _, a, b in turns]
+    return [("ab"[i % 2], i, *span(560_000 if i % 3 else 5000), "") for i in range(400)], turns
+
+
+def test_dense_overlaps_are_added_up_without_pairs(spark):
+    segs, turns = dense_spans(3)
+    df = speakers.dominant_cluster(spark.createDataFrame(segs, SEG), spark.createDataFrame(turns, TURN))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # segments with what was found, not with turns
+    got = {(x.media_id, x.seq): (x.cluster_id, round(x.overlap * 1e6)) for x in df.collect() if x.cluster_id}
+    assert got == plain_dominant(segs, turns)
+    # Long spans, times finer than microseconds and numbers given twice.
+    segs += [("a", 900 + i, 10.0 * i, 10.0 * i + 700 + i / 3, "") for i in range(30)] + [("b", i, 50.0 * i, 50.0 * i + 20, "") for i in range(1, 80, 2)]
+    turns += [("a", 2000 + i, f"c{i % 3}", 5.0 * i, 5.0 * i + 4000 + i / 7) for i in range(20)]
+    more = speakers.dominant_cluster(spark.createDataFrame(segs, SEG), spark.createDataFrame(turns, TURN)).collect()
+    assert len(more) == len(segs) and {(x.media_id, x.seq): (x.cluster_id, round(x.overlap * 1e6)) for x in more if x.cluster_id} == plain_dominant(segs, turns)
+
+
+def test_sweep_over_stretches_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    from dialoglake.operators import overlaps
+
+    segs, turns = dense_spans(4)
+    turns += [("a", 5000 + i, None, 20.0 * i, 20.0 * i + 90) for i in range(300)]
+    us = lambda x: round(x * 1e6)
+    rows = [(us(s) // overlaps.STRETCH, m, n, None, us(s), us(e), None) for m, n, s, e, _ in segs if e > s]
+    for m, k, c, a, b in turns:
+        rows += [(p, m, None, c, us(a), us(b), k) for p in range((us(a) - overlaps.REACH) // overlaps.STRETCH, (us(b) - 1) // overlaps.STRETCH + 1) if b > a]
+    names, kinds = ["part", "media_id", "seq", "cluster_id", "lo", "hi", "first"], [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    rows.sort(key=lambda x: x[:2])
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    want = plain_dominant(segs, [t[:2] + (t[2] or "",) + t[3:] for t in turns])
+    for many, pairs in ((20, 30), (10**6, 10**6)):
+        monkeypatch.setattr(overlaps, "ROWS", many)
+        monkeypatch.setattr(overlaps, "PAIRS", pairs)
+        best, every = ([x for t in overlaps.whole_stretches(table.to_batches(7)) for b in overlaps.found(t, flag) for x in b.to_pylist()] for flag in (True, False))
+        assert {(x["media_id"], x["seq"]): (x["cluster_id"] or "", x["us"]) for x in best} == want and len(best) == len(want)
+        most = {}
+        for x in every:
+            most.setdefault((x["media_id"], x["seq"]), []).append((x["us"], -x["first"], x["cluster_id"] or ""))
+        assert {k: max(v)[::-2] for k, v in most.items()} == want
+
+
 def test_long_and_odd_spans_meet_each_other_once(spark):
     r = random.Random(2)
     lengths = [0.0, 0.5, 59.0, 60.0, 61.0, 240.0, 241.0, 36_000.0, 1e6]
