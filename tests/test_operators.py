@@ -741,3 +741,12 @@ def test_distances_equal_when_rounded_go_to_the_voice_registered_first(spark):
     clusters = spark.createDataFrame([(1, "c", [1.0, 0.0])], "media_id long, cluster_id string, embedding array<double>")
     got = {p: [c.speaker for c in near.nearest_voices(clusters, registry, 1, places=p).first().candidates] for p in (9, 12)}
     assert got == {9: ["early"], 12: ["late"]}
+
+
+@pytest.mark.parametrize("name", ["job1_build_transcripts", "snk8_recording_document", "j2_resolved_transcript"])
+def test_queries_on_overlaps_join_no_pairs(spark, sf, name):
+    from dialoglake.plans import catalog
+
+    # Segments and turns would meet in a join on these.
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mapinarrow" in plan.lower() and "inside#" not in plan and "bin#" not in plan
